@@ -1,0 +1,327 @@
+"""DuckDB SQL for the registered queries, written from the tables, not from the library."""
+
+from __future__ import annotations
+
+# Views over the given tables; see FIXTURES.md.
+VIEWS = {
+    "cases": """
+select o.o_orderkey as case_id,
+  case when o.o_orderkey % 997 = 0 then null else cast(year(o.o_orderdate) as int) end as ano,
+  cast(o.o_orderdate as date) as fec_not,
+  case o.o_orderkey % 5
+    when 0 then substr(cast(o.o_orderdate as string), 1, 10)
+    when 1 then concat(substr(cast(o.o_orderdate as string), 1, 10), ' 00:00:00')
+    when 2 then concat(cast(year(o.o_orderdate) as string), '-', cast(month(o.o_orderdate) as string), '-', cast(day(o.o_orderdate) as string))
+    when 3 then '' else '31/12/1999' end as fec_txt,
+  case when o.o_orderkey % 11 = 0 then null when o.o_orderkey % 3 = 0 then 'F' when o.o_orderkey % 13 = 0 then '' else 'M' end as sexo,
+  case when o.o_orderkey % 17 = 0 then null else cast((o.o_custkey * 7 + o.o_orderkey) % 95 as double) end as edad,
+  case when o.o_orderkey % 101 = 0 then 'UNKNOWN' when o.o_orderkey % 103 = 0 then null
+    when o.o_orderkey % 4 = 0 then concat(chr(9), ' ', lower(n.n_name), ' ') else n.n_name end as dept
+from orders o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey
+where n.n_nationkey <> 3""",
+    "named": "select *, upper(trim(dept, chr(32) || chr(9) || chr(10) || chr(13))) as region from cases",
+    "dated": """
+select *, try_cast(regexp_extract(fec_txt, '^ *([0-9]{1,4}-[0-9]{1,2}-[0-9]{1,2})', 1) as date) as parsed from cases""",
+    "areas": "select upper(trim(n_name)) as name from nation",
+    "seqs": """
+select doc_id,
+  concat('D', cast(doc_id as string), ' ',
+    case doc_id % 7 when 0 then 'Dengue virus 1 isolate' when 1 then 'Dengue virus type 2' when 2 then 'DENV-3' when 3 then 'DENV4'
+      when 4 then 'Orthoflavivirus denguei' when 5 then 'Zika virus' else 'DENV1' end,
+    case doc_id % 5 when 0 then ', complete genome' when 1 then ', complete cds' when 2 then ', partial cds'
+      when 3 then ', partial genome and complete cds' else ', genomic RNA' end) as description,
+  case when doc_id % 50 = 0 then '' when doc_id % 9 = 0 then lower(s) else s end as sequence,
+  letters
+from (select doc_id, letters, translate(letters, 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTNACGTACGR-') as s
+      from (select doc_id, regexp_replace(lower(text), '[^a-z]', '', 'g') as letters from documents))""",
+    "docs": "select doc_id, concat('>', description, chr(10), sequence) as body from seqs",
+    "rules": """
+select * from (values
+ ('DENV1', 'Dengue virus type 1|Dengue virus 1|DENV-1|Orthoflavivirus denguei'),
+ ('DENV2', 'Dengue virus type 2|Dengue virus 2|DENV-2|DENV2|Orthoflavivirus denguei'),
+ ('DENV3', 'Dengue virus type 3|Dengue virus 3|DENV-3|DENV3|Orthoflavivirus denguei'),
+ ('DENV4', 'Dengue virus type 4|Dengue virus 4|DENV-4|DENV4|Orthoflavivirus denguei')) as t(serotype, pattern)""",
+    "matches": """
+select d.doc_id, d.body, r.serotype from docs d join rules r on regexp_matches(d.body, r.pattern)
+where regexp_matches(d.body, 'complete genome|complete cds') and not regexp_matches(d.body, 'partial')""",
+    "fetch_log": """
+select cast(e.id as varchar) as id, e.attempt, e.status, case when e.status = 200 then d.body end as body
+from (select user_id as id, cast(row_number() over (partition by user_id order by ts, event_id) as int) as attempt,
+        case event_type when 'signup' then 200 when 'error' then null else 503 end as status from events) e
+join docs d on d.doc_id = e.id""",
+    "fetched": """
+select ids.id, f.attempt, f.body
+from (select distinct id from fetch_log) ids left join (
+  select id, attempt, body from fetch_log where status = 200 and attempt <= 5
+  qualify row_number() over (partition by id order by attempt) = 1) f on f.id = ids.id""",
+    "judged": """
+select f.id, r.serotype, f.body,
+  case when f.body is null then 'errors'
+    when regexp_matches(f.body, r.pattern) and regexp_matches(f.body, 'complete genome|complete cds')
+      and not regexp_matches(f.body, 'partial') then 'included' else 'excluded' end as outcome
+from fetched f cross join rules r""",
+    "search_pages": """
+select cast(floor(event_id / 3) as bigint) * 100 as retstart,
+  cast(sum(case when event_type <> 'error' then 1 else 0 end) as int) as n_ids
+from events group by 1""",
+    "used_pages": """
+select retstart, n_ids from search_pages
+where retstart < coalesce((select min(retstart) from search_pages where n_ids = 0), 9223372036854775807)""",
+    "listed": """
+select cast(floor(event_id / 3) as bigint) * 100 as retstart,
+  cast(row_number() over (partition by floor(event_id / 3) order by event_id) - 1 as int) as rank, cast(user_id as varchar) as id
+from events where event_type <> 'error'""",
+    "sought": """
+select l.id, count(*) as n_listed from listed l join used_pages p on l.retstart = p.retstart group by l.id""",
+    "region_counts": "select region, count(*) as casos from named group by region",
+    "region_table": "select a.name, c.casos from areas a left join region_counts c on c.region = a.name",
+    "year_table": """
+select a.name, cast(y.year as int) as year, c.casos
+from areas a cross join (select unnest(range(1994, 2003)) as year) y
+left join (select region, year(fec_not) as year, count(*) as casos from named group by 1, 2) c
+  on c.region = a.name and c.year = y.year""",
+    "text_year_table": """
+select a.name, cast(y.year as int) as year, c.casos
+from areas a cross join (select unnest(range(1994, 2003)) as year) y
+left join (select upper(trim(dept, chr(32) || chr(9) || chr(10) || chr(13))) as region, year(parsed) as year, count(*) as casos
+           from dated group by 1, 2) c
+  on c.region = a.name and c.year = y.year""",
+}
+
+_USES = {
+    "named": ["cases"],
+    "dated": ["cases"],
+    "docs": ["seqs"],
+    "matches": ["docs", "rules"],
+    "fetch_log": ["docs"],
+    "fetched": ["fetch_log"],
+    "judged": ["fetched", "rules"],
+    "used_pages": ["search_pages"],
+    "sought": ["listed", "used_pages"],
+    "region_counts": ["named"],
+    "region_table": ["areas", "region_counts"],
+    "year_table": ["areas", "named"],
+    "text_year_table": ["areas", "dated"],
+}
+
+
+def _with(sql: str, *views: str) -> str:
+    """The SQL after the views it needs, each behind the views it uses itself."""
+    needed: list[str] = []
+
+    def add(view: str) -> None:
+        for used in _USES.get(view, []):
+            add(used)
+        if view not in needed:
+            needed.append(view)
+
+    for view in views:
+        add(view)
+    return "with " + ",\n".join(f"{view} as ({VIEWS[view].strip()})" for view in needed) + "\n" + sql
+
+
+def _fill(table: str, keys: str, window: str) -> str:
+    low, high = f"min(casos) over ({window})", f"max(casos) over ({window})"
+    return f"""
+select {keys}, casos,
+  case when casos is null then null when {high} = {low} then 0.5
+    else cast(casos - {low} as double) / cast({high} - {low} as double) end as fill
+from {table}"""
+
+
+_NUMBERS = {
+    "l_orderkey": "bigint",
+    "l_partkey": "bigint",
+    "l_suppkey": "bigint",
+    "l_linenumber": "int",
+    "l_quantity": "double",
+    "l_extendedprice": "double",
+    "l_discount": "double",
+    "l_tax": "double",
+}
+_TEXTS = {"l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"}
+
+
+def _profile() -> str:
+    rows = [
+        f"""select '{c}' as "column", '{kind}' as type, count(*) as n, count(*) - count({c}) as missing, cast(min({c}) as double) as min,
+  quantile_cont(cast({c} as double), 0.25) as q1, quantile_cont(cast({c} as double), 0.5) as median, round(avg({c}), 6) as mean,
+  quantile_cont(cast({c} as double), 0.75) as q3, cast(max({c}) as double) as max from lineitem"""
+        for c, kind in _NUMBERS.items()
+    ]
+    rows += [
+        f"""select '{c}', '{kind}', count(*), count(*) - count({c}), null, null, null, null, null, null from lineitem"""
+        for c, kind in _TEXTS.items()
+    ]
+    return "\nunion all ".join(rows)
+
+
+_ORDERS = {
+    "o_orderkey": "bigint",
+    "o_custkey": "bigint",
+    "o_orderstatus": "string",
+    "o_totalprice": "double",
+    "o_orderdate": "timestamp_ntz",
+    "o_orderpriority": "string",
+}
+
+
+def _structure() -> str:
+    first = "(select * from orders order by o_orderkey limit 6)"
+    return "\nunion all ".join(
+        f"""select '{c}' as "column", '{kind}' as type,
+  string_agg(coalesce(cast({c} as varchar), 'NA'), ' ' order by o_orderkey) as first_values from {first}"""
+        for c, kind in _ORDERS.items()
+    )
+
+
+_STATS = """
+select serotype, cast(sum(case when outcome = 'included' then {weight} else 0 end) as bigint) as included,
+  cast(sum(case when outcome = 'excluded' then {weight} else 0 end) as bigint) as excluded,
+  cast(sum(case when outcome = 'errors' then {weight} else 0 end) as bigint) as errors
+from {source} group by serotype"""
+
+_AGE = """case when edad <= 5 then '0-5 years' when edad <= 17 then '6-17 years' when edad <= 60 then '18-60 years'
+  else '60+ years' end"""
+
+_SEX = "case sexo when 'M' then 'Male' else 'Female' end"
+
+_AMBIGUOUS = "length(regexp_replace(sequence, '[ACGTacgt]', '', 'g'))"
+
+
+def _entry(sequence: str, width: int) -> str:
+    wrapped = f"rtrim(regexp_replace({sequence}, '(.{{{width}}})', '\\1' || chr(10), 'g'), chr(10))"
+    return f"concat('>', description, case when {sequence} = '' then '' else chr(10) || {wrapped} end)"
+
+
+_KEPT = "select id, serotype, body from judged where outcome = 'included'"
+
+ORACLE: dict[str, str] = {
+    "region_year_map": _with(_fill("year_table", "name, year", "partition by year"), "year_table"),
+    "region_year_map_from_text": _with(_fill("text_year_table", "name, year", "partition by year"), "text_year_table"),
+    "annual_cases": _with("select ano, count(*) as casos from cases group by ano", "cases"),
+    "cases_by_sex": _with(
+        f"select ano, sexo, {_SEX} as label, count(*) as casos from cases where sexo in ('M', 'F') group by ano, sexo", "cases"
+    ),
+    "cases_by_age_group": _with(
+        f"select ano, {_AGE} as age_group, count(*) as casos, cast(count(*) as double) as casos_plotted from cases group by 1, 2",
+        "cases",
+    ),
+    "case_tables": _with(
+        f"""select 'annual' as kind, ano, cast(null as varchar) as key, count(*) as casos from cases group by ano
+union all select 'sex', ano, sexo, count(*) from cases where sexo in ('M', 'F') group by ano, sexo
+union all select 'age_group', ano, {_AGE}, count(*) from cases group by 2, 3""",
+        "cases",
+    ),
+    "cases_by_region": _with("select region as dept, casos from region_counts", "region_counts"),
+    "cases_by_region_as_written": _with("select any_value(region) as dept, count(*) as casos from named group by dept", "named"),
+    "region_map": _with("select name, casos from region_table", "region_table"),
+    "region_map_as_written": _with(
+        """select a.name, c.casos from areas a
+left join (select dept, any_value(region) as region, count(*) as casos from named group by dept) c on c.region = a.name""",
+        "areas",
+        "named",
+    ),
+    "map_fill": _with(_fill("region_table", "name", ""), "region_table"),
+    "one_year_map": _with(
+        _fill(
+            """(select a.name, c.casos from areas a
+  left join (select region, count(*) as casos from named where year(fec_not) = 1996 group by region) c on c.region = a.name) t""",
+            "name",
+            "",
+        ),
+        "areas",
+        "named",
+    ),
+    "region_reconcile": _with(
+        """select distinct region as name, 'cases' as side from named where region is null or region not in (select name from areas)
+union all select distinct name, 'regions' from areas where name not in (select region from named where region is not null)""",
+        "areas",
+        "named",
+    ),
+    "year_levels": _with(
+        """select ano, cast(dense_rank() over (order by ano) as int) as level
+from (select distinct ano from cases where ano is not null)""",
+        "cases",
+    ),
+    "distinct_regions": _with("select distinct dept from cases", "cases"),
+    "blank_to_null": _with(
+        "select case_id, ano, nullif(fec_txt, '') as fec_txt, nullif(sexo, '') as sexo, edad, nullif(dept, '') as dept from cases",
+        "cases",
+    ),
+    "parsed_dates": _with(
+        """select case_id, fec_txt, strftime(parsed, '%Y-%m-%d') as parsed, cast(year(parsed) as int) as year from dated""", "dated"
+    ),
+    "column_profile": _profile(),
+    "preview": _with("select case_id, ano, sexo, edad, dept from cases order by case_id limit 6", "cases"),
+    "structure": _structure(),
+    "ambiguity": _with(
+        f"""select doc_id, cast({_AMBIGUOUS} as int) as n_ambiguous,
+  cast({_AMBIGUOUS} as double) / nullif(length(sequence), 0) as ambiguous_fraction from seqs""",
+        "seqs",
+    ),
+    "filter_ambiguous_0": _with(
+        f"select doc_id, description, sequence from seqs where sequence <> '' and {_AMBIGUOUS} = 0", "seqs"
+    ),
+    "filter_ambiguous_5pct": _with(
+        f"""select doc_id, description, sequence from seqs
+where cast({_AMBIGUOUS} as double) / nullif(length(sequence), 0) <= 0.05""",
+        "seqs",
+    ),
+    "ambiguity_stats": _with(
+        f"""select count(*) as total, count(*) filter (share <= 0.05) as kept,
+  count(*) filter (share is null or share > 0.05) as dropped, count(*) filter (sequence = '') as n_empty
+from (select sequence, cast({_AMBIGUOUS} as double) / nullif(length(sequence), 0) as share from seqs)""",
+        "seqs",
+    ),
+    "dna_letters": _with(
+        """select doc_id, regexp_replace(upper(letters), '[^ACGTMRWSYKVHDBN]', '', 'g') as letters,
+  cast(length(regexp_replace(upper(letters), '[ACGTMRWSYKVHDBN]', '', 'g')) as int) as n_non_dna from seqs""",
+        "seqs",
+    ),
+    "purge": _with(
+        "select doc_id, description, sequence from seqs where not regexp_matches(upper(sequence), '[-N]')", "seqs"
+    ),
+    "purge_stats": _with(
+        """select count(*) as total, count(*) filter (not regexp_matches(upper(sequence), '[-N]')) as valid,
+  count(*) filter (regexp_matches(upper(sequence), '[-N]')) as removed from seqs""",
+        "seqs",
+    ),
+    "fasta_entries": _with(f"select doc_id, {_entry('sequence', 60)} as entry from seqs", "seqs"),
+    "purged_fasta": _with(
+        f"select doc_id, {_entry('upper(sequence)', 80)} as entry from seqs where not regexp_matches(upper(sequence), '[-N]')",
+        "seqs",
+    ),
+    "fasta_round_trip": _with("select concat('D', cast(doc_id as varchar)) as id, description, sequence from seqs", "seqs"),
+    "combined_fasta": _with(
+        f"""select concat('D', cast(s.doc_id as varchar)) as id, {_entry('sequence', 80)} as entry
+from seqs s join matches m on m.doc_id = s.doc_id""",
+        "matches",
+    ),
+    "serotype_matches": _with(
+        "select doc_id, serotype, cast(count(*) over (partition by doc_id) as int) as n_serotypes from matches", "matches"
+    ),
+    "all_serotypes_union": _with("select doc_id, serotype, body from matches", "matches"),
+    "search_ids": _with("select retstart, rank, id from listed", "listed"),
+    "pages_before_cutoff": _with("select retstart, n_ids from used_pages", "used_pages"),
+    "first_success": _with("select id, attempt, body from fetched", "fetched"),
+    "fetch_outcomes": _with("select id, outcome from judged where serotype = 'DENV1'", "judged"),
+    "curate": _with(_STATS.format(weight="1", source="judged"), "judged"),
+    "curate_kept": _with(_KEPT, "judged"),
+    "curate_search": _with(
+        _STATS.format(
+            weight="n_listed",
+            source="""(select r.serotype, s.n_listed, coalesce(j.outcome, 'errors') as outcome
+  from sought s cross join rules r left join judged j on j.id = s.id and j.serotype = r.serotype)""",
+        ),
+        "sought",
+        "judged",
+    ),
+    "curate_search_kept": _with(_KEPT + " and id in (select id from sought)", "sought", "judged"),
+    "csv_cases": _with("select case_id, ano, fec_txt, sexo, edad, dept from cases", "cases"),
+    "geojson_regions": """select n_name as "DPTO_CNMBR",
+  concat('{"type":"Point","coordinates":[', cast(n_nationkey as varchar), ',', cast(n_regionkey as varchar), ']}') as geometry
+from nation""",
+    "kept_partitions": _with(_KEPT, "judged"),
+    "map_partitions": _with(_fill("year_table", "name, year", "partition by year"), "year_table"),
+}

@@ -1,0 +1,324 @@
+"""The registered queries: each runs library operators over whole stand-in tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from checks import standins
+from seqwatch.functions.sequences import PURGED_WIDTH, SEROTYPE_PHRASES
+from seqwatch.operators import cases as case_ops
+from seqwatch.operators import fetches, profile, regions as region_ops, sequences
+from seqwatch.plans import curation, surveillance
+from seqwatch.session import scratch_path
+from seqwatch.sinks.fasta import fasta_text, write_combined, write_fasta
+from seqwatch.sinks.tables import write_kept, write_region_years
+from seqwatch.sources.cases import read_cases
+from seqwatch.sources.fasta import read_fasta
+from seqwatch.sources.regions import read_regions
+from seqwatch.sources.search import count_ids, explode_ids
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+# Years of the order dates, with empty years at the end.
+YEARS = (1994, 2002)
+ONE_YEAR = 1996
+
+
+# Cases and regions
+
+
+def annual_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return case_ops.annual_cases(standins.cases(spark, sf_dir), "ano")
+
+
+def cases_by_sex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return case_ops.cases_by_sex(standins.cases(spark, sf_dir), "ano", "sexo")
+
+
+def cases_by_age_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return case_ops.cases_by_age_group(standins.cases(spark, sf_dir), "ano", "edad")
+
+
+def case_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three tables of the job in one: they share one pass over the cases."""
+    tables = surveillance.case_tables(standins.cases(spark, sf_dir), "ano", "sexo", "edad")
+    parts = {"annual": tables.annual, "sex": tables.by_sex, "age_group": tables.by_age_group}
+    keys = {"annual": F.lit(None).cast("string"), "sex": F.col("sexo"), "age_group": F.col("age_group")}
+    return sequences.union_collections(
+        *[part.select(F.lit(name).alias("kind"), "ano", keys[name].alias("key"), "casos") for name, part in parts.items()]
+    )
+
+
+def cases_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return case_ops.cases_by_region(standins.cases(spark, sf_dir), "dept")
+
+
+def cases_by_region_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return case_ops.cases_by_region(standins.cases(spark, sf_dir), "dept", normalise_first=False)
+
+
+def region_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = case_ops.cases_by_region(standins.cases(spark, sf_dir), "dept")
+    named = region_ops.normalise_column(standins.regions(spark, sf_dir), "name")
+    return region_ops.join_counts(named, counts, "name", "dept")
+
+
+def region_map_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = case_ops.cases_by_region(standins.cases(spark, sf_dir), "dept", normalise_first=False)
+    named = region_ops.normalise_column(standins.regions(spark, sf_dir), "name")
+    return region_ops.join_counts(named, counts, "name", "dept")
+
+
+def map_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surveillance.region_map(standins.cases(spark, sf_dir), standins.regions(spark, sf_dir), "dept", "name")
+
+
+def region_year_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surveillance.region_year_map(
+        standins.cases(spark, sf_dir), standins.regions(spark, sf_dir), *YEARS, "dept", "name", "fec_not"
+    )
+
+
+def region_year_map_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surveillance.region_year_map(
+        standins.cases(spark, sf_dir), standins.regions(spark, sf_dir), *YEARS, "dept", "name", "fec_txt"
+    )
+
+
+def one_year_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surveillance.one_year_map(
+        standins.cases(spark, sf_dir), standins.regions(spark, sf_dir), ONE_YEAR, "dept", "name", "fec_not"
+    )
+
+
+def region_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return region_ops.unmatched_names(standins.cases(spark, sf_dir), standins.regions(spark, sf_dir), "dept", "name")
+
+
+def year_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return case_ops.year_levels(standins.cases(spark, sf_dir), "ano")
+
+
+def distinct_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region names as spelled, in key order."""
+    return case_ops.key_order(case_ops.distinct_values(standins.cases(spark, sf_dir), "dept"), "dept")
+
+
+def blank_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return case_ops.blanks_to_null(standins.cases(spark, sf_dir).select("case_id", "ano", "fec_txt", "sexo", "edad", "dept"))
+
+
+def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dated = standins.cases(spark, sf_dir).select("case_id", "fec_txt", F.col("fec_txt").alias("parsed"))
+    dated = case_ops.with_notification_year(dated, "parsed")
+    return dated.withColumn("parsed", F.date_format("parsed", "yyyy-MM-dd"))
+
+
+def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiled = profile.column_profile(standins.table(spark, sf_dir, "lineitem"))
+    return profiled.withColumn("mean", F.round("mean", 6))
+
+
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.preview(standins.cases(spark, sf_dir).select("case_id", "ano", "sexo", "edad", "dept"), ["case_id"])
+
+
+def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.structure(standins.table(spark, sf_dir, "orders"), ["o_orderkey"])
+
+
+# Sequences
+
+
+def ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.with_ambiguity(standins.seqs(spark, sf_dir)).select("doc_id", "n_ambiguous", "ambiguous_fraction")
+
+
+def filter_ambiguous_0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.filter_ambiguous(standins.seqs(spark, sf_dir)).drop("letters")
+
+
+def filter_ambiguous_5pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.filter_ambiguous(standins.seqs(spark, sf_dir), 0.05).drop("letters")
+
+
+def ambiguity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.ambiguity_stats(standins.seqs(spark, sf_dir), 0.05)
+
+
+def dna_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain letters of the documents as a DNA reader takes them."""
+    return sequences.to_dna(standins.seqs(spark, sf_dir).select("doc_id", "letters"), "letters")
+
+
+def purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.purge(standins.seqs(spark, sf_dir)).drop("letters")
+
+
+def purge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.purge_stats(standins.seqs(spark, sf_dir))
+
+
+def fasta_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fasta_text(standins.seqs(spark, sf_dir)).select("doc_id", "entry")
+
+
+def purged_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = curation.purge_records(standins.seqs(spark, sf_dir)).kept
+    return fasta_text(kept, PURGED_WIDTH).select("doc_id", "entry")
+
+
+def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "fasta")
+    write_fasta(standins.seqs(spark, sf_dir), path)
+    return read_fasta(spark, path).select("id", "description", "sequence")
+
+
+def combined_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write one set per serotype, merge the sets into one text, read it back."""
+    folder = scratch_path(spark, "sets")
+    paths = [f"{folder}/{label}" for label in SEROTYPE_PHRASES]
+    for label, path in zip(SEROTYPE_PHRASES, paths):
+        write_fasta(sequences.keep_serotype(standins.seqs(spark, sf_dir), label, text="description"), path, PURGED_WIDTH)
+    output = scratch_path(spark, "combined")
+    write_combined(read_fasta(spark, paths), output, paths)
+    return read_fasta(spark, output).select("id", "entry")
+
+
+def serotype_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.match_serotypes(standins.documents(spark, sf_dir)).select("doc_id", "serotype", "n_serotypes")
+
+
+def all_serotypes_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sets of the serotypes, each made by itself, as one collection."""
+    sets = [sequences.keep_serotype(standins.documents(spark, sf_dir), label) for label in SEROTYPE_PHRASES]
+    return sequences.union_collections(*sets).select("doc_id", "serotype", "body")
+
+
+# Searching and fetching
+
+
+def search_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explode_ids(standins.search_responses(spark, sf_dir))
+
+
+def pages_before_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = standins.search_responses(spark, sf_dir)
+    pages = responses.select("retstart", count_ids(F.col("body")).alias("n_ids"))
+    return fetches.pages_before_cutoff(pages)
+
+
+def first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetches.first_success(standins.fetch_log(spark, sf_dir))
+
+
+def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fetched = fetches.first_success(standins.fetch_log(spark, sf_dir))
+    return sequences.classify(fetched, "DENV1").select("id", "outcome")
+
+
+def curate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.curate(standins.fetch_log(spark, sf_dir)).stats
+
+
+def curate_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.curate(standins.fetch_log(spark, sf_dir)).kept
+
+
+def curate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.curate_search(standins.search_responses(spark, sf_dir), standins.fetch_log(spark, sf_dir)).stats
+
+
+def curate_search_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.curate_search(standins.search_responses(spark, sf_dir), standins.fetch_log(spark, sf_dir)).kept
+
+
+# Files written and read back
+
+
+def csv_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "cases")
+    written = standins.cases(spark, sf_dir).select("case_id", "ano", "fec_txt", "sexo", "edad", "dept")
+    written.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    columns = {"case_id": "bigint", "ano": "int", "fec_txt": "string", "sexo": "string", "edad": "double", "dept": "string"}
+    return read_cases(spark, path, columns)
+
+
+def geojson_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "regions")
+    nation = standins.table(spark, sf_dir, "nation")
+    feature = F.to_json(
+        F.struct(
+            F.lit("Feature").alias("type"),
+            F.struct(F.col("n_name").alias("DPTO_CNMBR"), "n_regionkey").alias("properties"),
+            F.struct(F.lit("Point").alias("type"), F.array("n_nationkey", "n_regionkey").alias("coordinates")).alias("geometry"),
+        )
+    )
+    nation.select(feature).write.text(path)
+    return read_regions(spark, path, multi_line=False)
+
+
+def kept_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "kept")
+    write_kept(curation.curate(standins.fetch_log(spark, sf_dir)).kept, path)
+    return spark.read.parquet(path).select("id", F.col("serotype").cast("string").alias("serotype"), "body")
+
+
+def map_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "maps")
+    write_region_years(region_year_map(spark, sf_dir), path)
+    return spark.read.parquet(path).select("name", F.col("year").cast("int").alias("year"), "casos", "fill")
+
+
+QUERIES: dict[str, Query] = {
+    query.__name__: query
+    for query in (
+        region_year_map,
+        region_year_map_from_text,
+        annual_cases,
+        cases_by_sex,
+        cases_by_age_group,
+        case_tables,
+        cases_by_region,
+        cases_by_region_as_written,
+        region_map,
+        region_map_as_written,
+        map_fill,
+        one_year_map,
+        region_reconcile,
+        year_levels,
+        distinct_regions,
+        blank_to_null,
+        parsed_dates,
+        column_profile,
+        preview,
+        structure,
+        ambiguity,
+        filter_ambiguous_0,
+        filter_ambiguous_5pct,
+        ambiguity_stats,
+        dna_letters,
+        purge,
+        purge_stats,
+        fasta_entries,
+        purged_fasta,
+        fasta_round_trip,
+        combined_fasta,
+        serotype_matches,
+        all_serotypes_union,
+        search_ids,
+        pages_before_cutoff,
+        first_success,
+        fetch_outcomes,
+        curate,
+        curate_kept,
+        curate_search,
+        curate_search_kept,
+        csv_cases,
+        geojson_regions,
+        kept_partitions,
+        map_partitions,
+    )
+}

@@ -1,0 +1,83 @@
+"""Inputs of the registered queries, derived by Spark from the given tables (see FIXTURES.md)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from seqwatch.operators.fetches import number_attempts
+
+CASES = """
+select o.o_orderkey as case_id,
+  case when o.o_orderkey % 997 = 0 then null else cast(year(o.o_orderdate) as int) end as ano,
+  cast(o.o_orderdate as date) as fec_not,
+  case o.o_orderkey % 5
+    when 0 then substr(cast(o.o_orderdate as string), 1, 10)
+    when 1 then concat(substr(cast(o.o_orderdate as string), 1, 10), ' 00:00:00')
+    when 2 then concat(cast(year(o.o_orderdate) as string), '-', cast(month(o.o_orderdate) as string), '-', cast(day(o.o_orderdate) as string))
+    when 3 then '' else '31/12/1999' end as fec_txt,
+  case when o.o_orderkey % 11 = 0 then null when o.o_orderkey % 3 = 0 then 'F' when o.o_orderkey % 13 = 0 then '' else 'M' end as sexo,
+  case when o.o_orderkey % 17 = 0 then null else cast((o.o_custkey * 7 + o.o_orderkey) % 95 as double) end as edad,
+  case when o.o_orderkey % 101 = 0 then 'UNKNOWN' when o.o_orderkey % 103 = 0 then null
+    when o.o_orderkey % 4 = 0 then concat(chr(9), ' ', lower(n.n_name), ' ') else n.n_name end as dept
+from {orders} o join {customer} c on o.o_custkey = c.c_custkey join {nation} n on c.c_nationkey = n.n_nationkey
+where n.n_nationkey <> 3
+"""
+
+SEQS = """
+select doc_id,
+  concat('D', cast(doc_id as string), ' ',
+    case doc_id % 7 when 0 then 'Dengue virus 1 isolate' when 1 then 'Dengue virus type 2' when 2 then 'DENV-3' when 3 then 'DENV4'
+      when 4 then 'Orthoflavivirus denguei' when 5 then 'Zika virus' else 'DENV1' end,
+    case doc_id % 5 when 0 then ', complete genome' when 1 then ', complete cds' when 2 then ', partial cds'
+      when 3 then ', partial genome and complete cds' else ', genomic RNA' end) as description,
+  case when doc_id % 50 = 0 then '' when doc_id % 9 = 0 then lower(s) else s end as sequence,
+  letters
+from (select doc_id, letters, translate(letters, 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTNACGTACGR-') as s
+      from (select doc_id, regexp_replace(lower(text), '[^a-z]', '') as letters from {documents}))
+"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders play case reports; the customer's nation plays the region."""
+    return spark.sql(CASES, **{name: table(spark, sf_dir, name) for name in ("orders", "customer", "nation")})
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+
+
+def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document letters mapped onto nucleotides, with made headers."""
+    return spark.sql(SEQS, documents=table(spark, sf_dir, "documents"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sequence as the document a fetch returns: header line and body."""
+    return seqs(spark, sf_dir).select("doc_id", F.concat(F.lit(">"), "description", F.lit("\n"), "sequence").alias("body"))
+
+
+def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events play fetch tries: a user is an id, a signup a success, an error has no status."""
+    status = F.when(F.col("event_type") == "signup", 200).when(F.col("event_type") != "error", 503)
+    tries = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "ts", "event_id", status.alias("status"))
+    tries = number_attempts(tries, ["ts", "event_id"])
+    fetched = tries.join(documents(spark, sf_dir), F.col("id") == F.col("doc_id"))
+    return fetched.select(
+        F.col("id").cast("string").alias("id"),
+        "attempt",
+        "status",
+        F.when(F.col("status") == 200, F.col("body")).alias("body"),
+    )
+
+
+def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three events per page; errors are not listed, so a page of three errors is empty."""
+    page = (F.floor(F.col("event_id") / 3) * 100).cast("long").alias("retstart")
+    listed = F.when(F.col("event_type") != "error", F.struct("event_id", F.col("user_id").cast("string").alias("id")))
+    pages = table(spark, sf_dir, "events").groupBy(page).agg(F.sort_array(F.collect_list(listed)).alias("listed"))
+    result = F.struct(F.struct(F.col("listed.id").alias("idlist")).alias("esearchresult"))
+    return pages.select("retstart", F.to_json(result).alias("body"))
