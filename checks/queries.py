@@ -179,11 +179,10 @@ def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def combined_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write one set per serotype, merge the sets into one text, read it back."""
     folder = scratch_path(spark, "sets")
-    paths = [f"{folder}/{label}" for label in SEROTYPE_PHRASES]
-    for label, path in zip(SEROTYPE_PHRASES, paths):
-        write_fasta(sequences.keep_serotype(standins.seqs(spark, sf_dir), label, text="description"), path, PURGED_WIDTH)
+    records = sequences.match_serotypes(standins.seqs(spark, sf_dir), text="description")
+    write_fasta(records, folder, PURGED_WIDTH, partition_by=["serotype"])
     output = scratch_path(spark, "combined")
-    write_combined(read_fasta(spark, paths), output, paths)
+    write_combined(read_fasta(spark, folder), output, [folder])
     return read_fasta(spark, output).select("id", "entry")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, functions as F
 
@@ -50,9 +52,20 @@ def matches_rule(text: Column, phrases: Sequence[str]) -> Column:
     return is_complete(text) & contains_any(text, phrases)
 
 
-def matched_serotypes(text: Column, rules: Rules = SEROTYPE_PHRASES) -> Column:
-    """Array of the labels of every rule the document meets; one document may meet several."""
-    return F.array_compact(F.array(*[F.when(matches_rule(text, phrases), F.lit(label)) for label, phrases in rules.items()]))
+def serotype_flags(text: Column, rules: Rules = SEROTYPE_PHRASES) -> dict[str, Column]:
+    """One flag column per rule, named ``is_<label>``. One document may meet several rules."""
+    return {f"is_{label}": matches_rule(text, phrases) for label, phrases in rules.items()}
+
+
+def met_rules(rules: Rules = SEROTYPE_PHRASES) -> Column:
+    """Array of the labels whose flag column is true, with NULL in the other places."""
+    return F.array(*[F.when(F.col(f"is_{label}"), F.lit(label)) for label in rules])
+
+
+def count_met(rules: Rules = SEROTYPE_PHRASES) -> Column:
+    """How many of the flag columns are true."""
+    flags = [F.coalesce(F.col(f"is_{label}"), F.lit(False)).cast("int") for label in rules]
+    return reduce(add, flags)
 
 
 def outcome(body: Column, accepted: Column) -> Column:

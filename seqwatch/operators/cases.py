@@ -27,6 +27,16 @@ def with_notification_year(cases: DataFrame, date: str = "FEC_NOT", year: str =
     return cases.withColumns({date: parsed, year: year_of(parsed)})
 
 
+def notified_between(cases: DataFrame, date: str, first: int, last: int) -> DataFrame:
+    """The cases notified from the first to the last year, with the ``year``; cases without a date drop.
+
+    The limits are dates, not years, so that they can be tested on a stored date column's statistics.
+    """
+    dated = with_notification_year(cases, date)
+    start, end = F.make_date(F.lit(first), F.lit(1), F.lit(1)), F.make_date(F.lit(last), F.lit(12), F.lit(31))
+    return dated.where(F.col(date).between(start, end))
+
+
 def count_cases(cases: DataFrame, *keys) -> DataFrame:
     """Number of rows per key; a NULL key is a group of its own."""
     return cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("casos"))

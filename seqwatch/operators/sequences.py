@@ -12,11 +12,13 @@ from seqwatch.functions.sequences import (
     ambiguous_count,
     ambiguous_fraction,
     as_dna,
+    count_met,
     has_gap_or_undetermined,
-    matched_serotypes,
     matches_rule,
+    met_rules,
     non_dna_count,
     outcome,
+    serotype_flags,
 )
 
 
@@ -75,18 +77,14 @@ def keep_serotype(documents: DataFrame, label: str, rules: Rules = SEROTYPE_PHRA
 def match_serotypes(documents: DataFrame, rules: Rules = SEROTYPE_PHRASES, text: str = "body") -> DataFrame:
     """One row per document and serotype whose rule it meets, and how many it meets.
 
-    The rules are expressions on the row, so all serotypes take one pass and no join.
+    The rules are expressions on the row, so all serotypes take one pass and no join. A document that
+    meets none has nothing to explode; a filter would make Spark test the rules a second time.
     """
-    labelled = documents.withColumn("serotypes", matched_serotypes(F.col(text), rules))
-    # The outer form keeps Spark from testing the rules a second time in a filter of its own.
-    return (
-        labelled.select(
-            *documents.columns,
-            F.size("serotypes").alias("n_serotypes"),
-            F.explode_outer("serotypes").alias("serotype"),
-        )
-        .where(F.col("serotype").isNotNull())
-    )
+    flagged = documents.withColumns(serotype_flags(F.col(text), rules))
+    counted = flagged.withColumn("n_serotypes", count_met(rules))
+    labels = F.when(F.col("n_serotypes") > 0, met_rules(rules))
+    labelled = counted.select(*documents.columns, "n_serotypes", F.explode(labels).alias("serotype"))
+    return labelled.where(F.col("serotype").isNotNull())
 
 
 def classify(documents: DataFrame, label: str, rules: Rules = SEROTYPE_PHRASES, text: str = "body") -> DataFrame:

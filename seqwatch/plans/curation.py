@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seqwatch.functions.sequences import FILTERED_WIDTH, PURGED_WIDTH, SEROTYPE_PHRASES, Rules, matches_rule
-from seqwatch.operators.fetches import MAX_ATTEMPTS, first_success, pages_before_cutoff
+from seqwatch.functions.sequences import FILTERED_WIDTH, PURGED_WIDTH, SEROTYPE_PHRASES, Rules, count_met, met_rules, serotype_flags
+from seqwatch.operators.fetches import MAX_ATTEMPTS, STATUS_OK, first_success, pages_before_cutoff
 from seqwatch.operators.sequences import ambiguity_stats, filter_ambiguous, purge, purge_stats, to_dna
 from seqwatch.sinks.fasta import write_fasta
 from seqwatch.sources.fasta import read_fasta, read_fasta_folder
@@ -39,16 +37,10 @@ def curate(
     The rules are tested before the shuffle on ``id``: bodies no rule accepts stay where they are, and
     ``stats`` moves flags only.
     """
-    flags = {f"is_{label}": matches_rule(F.col("body"), phrases) for label, phrases in rules.items()}
+    flags = serotype_flags(F.col("body"), rules)
     judged = fetch_log.withColumns({**flags, "has_body": F.col("body").isNotNull()})
-    judged = judged.withColumn("body", F.when(_any(flags), F.col("body")))
-    fetched = first_success(judged, values=["body", "has_body", *flags], max_attempts=max_attempts)
-    if listings is None:
-        seen = fetched.withColumn("n_listed", F.lit(1).cast("long"))
-    else:
-        per_id = listings.groupBy("id").agg(F.count(F.lit(1)).alias("n_listed"))
-        seen = per_id.join(fetched, "id", "left")
-    return Collection(_kept(seen, rules), _curation_stats(seen, rules))
+    per_id = None if listings is None else listings.groupBy("id").agg(F.count(F.lit(1)).alias("n_listed"))
+    return Collection(_kept(judged, per_id, rules, max_attempts), _curation_stats(judged, per_id, rules, max_attempts))
 
 
 def curate_search(
@@ -84,16 +76,24 @@ def filter_fasta(
     return ambiguity_stats(records, max_ambiguous)
 
 
-def _any(flags) -> Column:
-    return reduce(or_, [F.coalesce(F.col(flag), F.lit(False)) for flag in flags])
-
+def _kept(judged: DataFrame, per_id: DataFrame | None, rules: Rules, max_attempts: int) -> DataFrame:
+    """The accepted documents. Which success is the first is settled per id, whatever a rule says of it."""
+    successes = judged.where((F.col("status") == STATUS_OK) & (F.col("attempt") <= max_attempts))
+    slim = successes.withColumn("body", F.when(count_met(rules) > 0, F.col("body")))
+    fetched = first_success(slim, ["body", *[f"is_{label}" for label in rules]], max_attempts=max_attempts)
+    if per_id is not None:
+        fetched = fetched.join(per_id, "id", "left_semi")
+    labelled = fetched.where("body is not null").select("id", F.explode(met_rules(rules)).alias("serotype"), "body")
+    return labelled.where(F.col("serotype").isNotNull())
 
-def _kept(seen: DataFrame, rules: Rules) -> DataFrame:
-    labels = F.array_compact(F.array(*[F.when(F.col(f"is_{label}"), F.lit(label)) for label in rules]))
-    return seen.where("body is not null").select("id", F.explode(labels).alias("serotype"), "body")
 
+def _curation_stats(judged: DataFrame, per_id: DataFrame | None, rules: Rules, max_attempts: int) -> DataFrame:
+    fetched = first_success(judged, ["has_body", *[f"is_{label}" for label in rules]], max_attempts=max_attempts)
+    if per_id is None:
+        seen = fetched.withColumn("n_listed", F.lit(1).cast("long"))
+    else:
+        seen = per_id.join(fetched, "id", "left")
 
-def _curation_stats(seen: DataFrame, rules: Rules) -> DataFrame:
     def listed(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n_listed"))), F.lit(0).cast("long"))
 

@@ -7,9 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from seqwatch.functions.cases import age_group
-from seqwatch.operators.cases import blanks_to_null, cases_by_region, count_cases, with_notification_year
-from seqwatch.functions.cases import SEX_LABELS, sex_label
+from seqwatch.functions.cases import SEX_LABELS, age_group, sex_label
+from seqwatch.operators.cases import blanks_to_null, cases_by_region, count_cases, notified_between
 from seqwatch.operators.regions import FIRST_YEAR, LAST_YEAR, join_counts, map_fill, normalise_column, region_years
 
 
@@ -67,7 +66,7 @@ def one_year_map(
     normalise_first: bool = True,
 ) -> DataFrame:
     """Every region with the cases notified in one year."""
-    of_year = with_notification_year(cases, date).where(F.col("year") == year)
+    of_year = notified_between(cases, date, year, year)
     return region_map(of_year, regions, region, name, normalise_first)
 
 
@@ -88,7 +87,7 @@ def region_year_map(
     (all by default): leave the geometry out and it is not repeated per year.
     """
     named = normalise_column(regions if carry is None else regions.select(*dict.fromkeys([name, *carry])), name)
-    in_range = with_notification_year(cases, date).where(F.col("year").between(first, last))
+    in_range = notified_between(cases, date, first, last)
     counts = cases_by_region(in_range, region, ["year"], normalise_first)
     table = join_counts(region_years(named, first, last), counts, name, region, ["year"])
     return map_fill(table, ["year"])

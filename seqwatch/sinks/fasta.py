@@ -23,11 +23,16 @@ def write_fasta(
     path: str,
     width: int = FILTERED_WIDTH,
     order_by: Sequence[str] = (),
+    partition_by: Sequence[str] = (),
     mode: str = "error",
 ) -> None:
-    """Write records as FASTA. Without ``order_by`` nothing is shuffled."""
+    """Write records as FASTA, with ``partition_by`` into one folder per value, in a single pass.
+
+    Without ``order_by`` nothing is shuffled.
+    """
     ordered = records.orderBy(*order_by) if order_by else records
-    fasta_text(ordered, width).select("entry").write.mode(mode).text(path)
+    text = fasta_text(ordered, width).select(*partition_by, "entry")
+    text.write.mode(mode).partitionBy(*partition_by).text(path)
 
 
 def write_combined(records: DataFrame, path: str, inputs: Sequence[str]) -> None:

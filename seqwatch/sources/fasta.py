@@ -18,10 +18,12 @@ def read_fasta(spark: SparkSession, path: str | list[str], glob: str | None = No
 
     By default files are cut at every line that starts with ``>`` while they are read, so one large
     file is read by many tasks and a task holds one record at a time. In this mode text in front of
-    a file's first header cannot be told from a record; ``files_with_preamble`` finds such files.
+    a file's first header cannot be told from a record, and a header that itself starts with ``>``
+    loses that sign; ``files_to_read_whole`` finds such files.
 
-    ``whole_files=True`` reads each file as one value: right for many small files, and it leaves out
-    what stands in front of the first header. ``position`` is then the record's number in its file.
+    ``whole_files=True`` reads each file as one value: right for many small files and for any layout;
+    what stands in front of the first header is left out. ``position`` is then the record's number in
+    its file.
     """
     if whole_files:
         return _read_whole(spark, path, glob)
@@ -41,17 +43,14 @@ def read_fasta_folder(spark: SparkSession, folder: str, whole_files: bool = Fals
     return records
 
 
-def files_with_preamble(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """Files whose text does not start with a header: read these with ``whole_files=True``."""
+def files_to_read_whole(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """Files that do not start with a header, or have one that starts with ``>`` after its marker.
+
+    In all others exactly one piece keeps a marker, the first. Read these with ``whole_files=True``.
+    """
     marked = F.startswith(F.col("value"), F.lit(">"))
-    return (
-        _read_chunks(spark, path, glob)
-        .where(F.col("block_start") == 0)
-        .groupBy("source_file")
-        .agg(F.bool_or(marked).alias("starts_with_header"))
-        .where(~F.col("starts_with_header"))
-        .select("source_file")
-    )
+    per_file = _read_chunks(spark, path, glob).groupBy("source_file").agg(F.count_if(marked).alias("n_marked"))
+    return per_file.where("n_marked <> 1").select("source_file")
 
 
 def _read_chunks(spark: SparkSession, path: str | list[str], glob: str | None) -> DataFrame:

@@ -1,0 +1,72 @@
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from seqwatch.functions import sequences as s
+
+
+PAGES = ["ACGTacgt", "ACGN", "AC-R", "acgn", "", None]
+
+
+def test_ambiguous_characters(values):
+    assert values(PAGES, "string", lambda v: s.ambiguous_count(v)) == [0, 1, 2, 1, 0, None]
+    assert values(PAGES, "string", lambda v: s.ambiguous_fraction(v)) == [0.0, 0.25, 0.5, 0.25, None, None]
+
+
+def test_gap_or_undetermined(values):
+    assert values(PAGES + ["ACGR"], "string", lambda v: s.has_gap_or_undetermined(v)) == [False, True, True, True, False, None, False]
+
+
+def test_dna_alphabet(values):
+    texts = ["acgu", "ACGTMRWSYKVHDBN-+.", "E*F 1", "", None]
+    assert values(texts, "string", lambda v: s.as_dna(v)) == ["ACG", "ACGTMRWSYKVHDBN-+.", "", "", None]
+    assert values(texts, "string", lambda v: s.non_dna_count(v)) == [1, 0, 5, 0, None]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(st.characters(codec="utf-8", exclude_categories=["Cs"]), max_size=40), min_size=1, max_size=40))
+def test_ambiguous_count_is_what_a_loop_counts(values, texts):
+    expected = [sum(letter not in set("ACGTacgt") for letter in text) for text in texts]
+    assert values(texts, "string", lambda v: s.ambiguous_count(v)) == expected
+
+
+@pytest.mark.parametrize("width", [1, 3, 60, 80])
+def test_wrapping(values, width):
+    texts = ["", "A", "ACG", "ACGT", "A" * 60, "C" * 61, "G" * 160, "T" * 240]
+    expected = ["\n".join(text[i : i + width] for i in range(0, len(text), width)) for text in texts]
+    assert values(texts, "string", lambda v: s.wrap(v, width)) == expected
+
+
+def test_entry_of_an_empty_sequence_is_its_header(values):
+    assert values(["", "ACGTA"], "string", lambda v: s.fasta_entry(F.lit("x y"), v, 2)) == [">x y", ">x y\nAC\nGT\nA"]
+
+
+DOCUMENTS = {
+    ">A Dengue virus 1, complete genome\nACGT": {"DENV1"},
+    ">A Dengue virus type 1, complete cds\nACGT": {"DENV1"},
+    ">A Dengue virus 1, partial cds, complete cds\nACGT": set(),
+    ">A dengue virus 1, complete genome\nACGT": set(),
+    ">A Dengue virus 1, Complete genome\nACGT": set(),
+    ">A DENV1, complete genome\nACGT": set(),
+    ">A DENV-1, complete genome\nACGT": {"DENV1"},
+    ">A DENV2 and DENV-3, complete genome": {"DENV2", "DENV3"},
+    ">A DENV4, genomic RNA": set(),
+    ">A Orthoflavivirus denguei, complete genome": {"DENV1", "DENV2", "DENV3", "DENV4"},
+    ">A Zika virus, complete genome\nACGT": set(),
+    ">A\nACGT DENV2 complete genome": {"DENV2"},
+    ">A complete genome, Dengue virus type 2\nACGT": {"DENV2"},
+    ">A Dengue virus type 12, complete genome": {"DENV1"},
+    ">A partially sequenced DENV4, complete genome": set(),
+    "": set(),
+}
+
+
+@pytest.mark.parametrize("label", list(s.SEROTYPE_PHRASES))
+def test_serotype_rules(values, label):
+    met = values(list(DOCUMENTS), "string", lambda v: s.matches_rule(v, s.SEROTYPE_PHRASES[label]))
+    assert met == [label in labels for labels in DOCUMENTS.values()]
+
+
+def test_outcome(values):
+    outcomes = values(list(DOCUMENTS)[:3] + [None], "string", lambda v: s.outcome(v, s.matches_rule(v, s.SEROTYPE_PHRASES["DENV1"])))
+    assert outcomes == ["included", "included", "excluded", "errors"]
