@@ -1,0 +1,72 @@
+"""One key with a third of all rows, and tasks that can only see their own share of it."""
+
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from seqwatch.operators.cases import cases_by_region
+from seqwatch.operators.fetches import first_success, number_attempts
+from seqwatch.plans.curation import curate
+
+ROWS = 60_000
+
+
+def hot(column):
+    """A third of the rows get one key, the others one of 500."""
+    return F.when(column % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (column % 500).cast("string")))
+
+
+def shuffled_rows(frame):
+    """Rows written by the shuffles of the executed plan."""
+    frame.collect()
+    total, todo = 0, [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.startswith(("ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage")):
+            todo.append(node.plan())
+        else:
+            if name == "Exchange":
+                total += node.metrics().apply("shuffleRecordsWritten").value()
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.length())]
+    return total
+
+
+def test_a_hot_region_sends_one_row_per_task(spark):
+    cases = spark.range(0, ROWS, 1, 6).select(hot(F.col("id")).alias("Departamento_ocurrencia"))
+    counts = cases_by_region(cases)
+    assert {row[0]: row.casos for row in counts.collect()}["HOT"] == ROWS // 3
+    assert shuffled_rows(counts) <= 6 * 501
+
+
+def test_a_hot_id_sends_five_tries_per_task(spark):
+    log = spark.range(0, ROWS, 1, 6).select(hot(F.col("id")).alias("id"), F.col("id").alias("ts"))
+    numbered = number_attempts(log, ["ts"])
+    kept = Counter(row.id for row in numbered.collect())
+    assert set(kept.values()) == {5}
+    assert shuffled_rows(numbered) <= 6 * 501 * 5
+
+
+def test_a_hot_id_in_a_numbered_log_sends_one_row_per_task(spark):
+    log = spark.range(0, ROWS, 1, 6).select(
+        hot(F.col("id")).alias("id"),
+        (F.col("id") + 1).cast("int").alias("attempt"),
+        F.when(F.col("id") > 2, 200).alias("status"),
+        F.lit(">x DENV2, complete genome").alias("body"),
+    )
+    first = first_success(log, max_attempts=10)
+    assert {row.id: row.attempt for row in first.collect()}["hot"] == 4
+    assert shuffled_rows(first) <= 6 * 501
+    stats = curate(log, max_attempts=10).stats
+    assert {row.serotype: row.included for row in stats.collect()} == {"DENV1": 0, "DENV2": 5, "DENV3": 0, "DENV4": 0}
+
+
+def test_a_hot_listing_is_counted_before_it_is_joined(spark):
+    log = spark.createDataFrame([("hot", 1, 200, "DENV2 complete genome")], "id string, attempt int, status int, body string")
+    listings = spark.range(0, ROWS, 1, 6).select(hot(F.col("id")).alias("id"))
+    stats = curate(log, {"DENV2": ("DENV2",)}, listings).stats
+    assert tuple(stats.first()) == ("DENV2", ROWS // 3, 0, ROWS - ROWS // 3)
+    assert shuffled_rows(stats) <= 6 * 501 + 1 + 10
