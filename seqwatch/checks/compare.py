@@ -1,4 +1,4 @@
-"""Run registered queries against their SQL: python -m checks.compare <sf_dir> [query ...]"""
+"""Run registered queries against their SQL: python -m seqwatch.checks.compare <sf_dir> [query ...]"""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pathlib import Path
 
 import duckdb
 
-from checks.oracle import ORACLE
-from checks.queries import QUERIES
+from seqwatch.checks.oracle import ORACLE
+from seqwatch.checks.queries import QUERIES
 from seqwatch.session import local_session
 
 # Spark type -> DuckDB type.

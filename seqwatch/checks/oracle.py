@@ -196,6 +196,19 @@ def _entry(sequence: str, width: int) -> str:
 
 _KEPT = "select id, serotype, body from judged where outcome = 'included'"
 
+_AMBIGUITY_STATS = _with(
+    f"""select count(*) as total, count(*) filter (share <= 0.05) as kept,
+  count(*) filter (share is null or share > 0.05) as dropped, count(*) filter (sequence = '') as n_empty
+from (select sequence, cast({_AMBIGUOUS} as double) / nullif(length(sequence), 0) as share from seqs)""",
+    "seqs",
+)
+
+_PURGE_STATS = _with(
+    """select count(*) as total, count(*) filter (not regexp_matches(upper(sequence), '[-N]')) as valid,
+  count(*) filter (regexp_matches(upper(sequence), '[-N]')) as removed from seqs""",
+    "seqs",
+)
+
 ORACLE: dict[str, str] = {
     "region_year_map": _with(_fill("year_table", "name, year", "partition by year"), "year_table"),
     "region_year_map_from_text": _with(_fill("text_year_table", "name, year", "partition by year"), "text_year_table"),
@@ -268,12 +281,7 @@ from (select distinct ano from cases where ano is not null)""",
 where cast({_AMBIGUOUS} as double) / nullif(length(sequence), 0) <= 0.05""",
         "seqs",
     ),
-    "ambiguity_stats": _with(
-        f"""select count(*) as total, count(*) filter (share <= 0.05) as kept,
-  count(*) filter (share is null or share > 0.05) as dropped, count(*) filter (sequence = '') as n_empty
-from (select sequence, cast({_AMBIGUOUS} as double) / nullif(length(sequence), 0) as share from seqs)""",
-        "seqs",
-    ),
+    "ambiguity_stats": _AMBIGUITY_STATS,
     "dna_letters": _with(
         """select doc_id, regexp_replace(upper(letters), '[^ACGTMRWSYKVHDBN]', '', 'g') as letters,
   cast(length(regexp_replace(upper(letters), '[ACGTMRWSYKVHDBN]', '', 'g')) as int) as n_non_dna from seqs""",
@@ -282,12 +290,8 @@ from (select sequence, cast({_AMBIGUOUS} as double) / nullif(length(sequence), 0
     "purge": _with(
         "select doc_id, description, sequence from seqs where not regexp_matches(upper(sequence), '[-N]')", "seqs"
     ),
-    "purge_stats": _with(
-        """select count(*) as total, count(*) filter (not regexp_matches(upper(sequence), '[-N]')) as valid,
-  count(*) filter (regexp_matches(upper(sequence), '[-N]')) as removed from seqs""",
-        "seqs",
-    ),
-    "fasta_entries": _with(f"select doc_id, {_entry('sequence', 60)} as entry from seqs", "seqs"),
+    "purge_stats": _PURGE_STATS,
+    "fasta_text": _with(f"select doc_id, {_entry('sequence', 60)} as entry from seqs", "seqs"),
     "purged_fasta": _with(
         f"select doc_id, {_entry('upper(sequence)', 80)} as entry from seqs where not regexp_matches(upper(sequence), '[-N]')",
         "seqs",
@@ -323,5 +327,18 @@ from seqs s join matches m on m.doc_id = s.doc_id""",
   concat('{"type":"Point","coordinates":[', cast(n_nationkey as varchar), ',', cast(n_regionkey as varchar), ']}') as geometry
 from nation""",
     "kept_partitions": _with(_KEPT, "judged"),
+    "curate_to_folder": _with(_STATS.format(weight="1", source="judged"), "judged"),
+    "purge_folder": _with(
+        """select concat('D', cast(doc_id as varchar)) as id, description, upper(sequence) as sequence from seqs
+where not regexp_matches(upper(sequence), '[-N]')""",
+        "seqs",
+    ),
+    "purge_folder_stats": _PURGE_STATS,
+    "filter_fasta": _with(
+        f"""select concat('D', cast(doc_id as varchar)) as id, description, sequence from seqs
+where cast({_AMBIGUOUS} as double) / nullif(length(sequence), 0) <= 0.05""",
+        "seqs",
+    ),
+    "filter_fasta_stats": _AMBIGUITY_STATS,
     "map_partitions": _with(_fill("year_table", "name, year", "partition by year"), "year_table"),
 }

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from checks import standins
+from seqwatch.checks import standins
 from seqwatch.functions.sequences import PURGED_WIDTH, SEROTYPE_PHRASES
 from seqwatch.operators import cases as case_ops
 from seqwatch.operators import fetches, profile, regions as region_ops, sequences
 from seqwatch.plans import curation, surveillance
 from seqwatch.session import scratch_path
-from seqwatch.sinks.fasta import fasta_text, write_combined, write_fasta
-from seqwatch.sinks.tables import write_kept, write_region_years
+from seqwatch.sinks import fasta as fasta_sink
+from seqwatch.sinks.tables import write_region_years
 from seqwatch.sources.cases import read_cases
 from seqwatch.sources.fasta import read_fasta
 from seqwatch.sources.regions import read_regions
@@ -161,18 +161,18 @@ def purge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.purge_stats(standins.seqs(spark, sf_dir))
 
 
-def fasta_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fasta_text(standins.seqs(spark, sf_dir)).select("doc_id", "entry")
+def fasta_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fasta_sink.fasta_text(standins.seqs(spark, sf_dir)).select("doc_id", "entry")
 
 
 def purged_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = curation.purge_records(standins.seqs(spark, sf_dir)).kept
-    return fasta_text(kept, PURGED_WIDTH).select("doc_id", "entry")
+    return fasta_sink.fasta_text(kept, PURGED_WIDTH).select("doc_id", "entry")
 
 
 def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "fasta")
-    write_fasta(standins.seqs(spark, sf_dir), path)
+    fasta_sink.write_fasta(standins.seqs(spark, sf_dir), path)
     return read_fasta(spark, path).select("id", "description", "sequence")
 
 
@@ -180,9 +180,9 @@ def combined_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write one set per serotype, merge the sets into one text, read it back."""
     folder = scratch_path(spark, "sets")
     records = sequences.match_serotypes(standins.seqs(spark, sf_dir), text="description")
-    write_fasta(records, folder, PURGED_WIDTH, partition_by=["serotype"])
+    fasta_sink.write_fasta(records, folder, PURGED_WIDTH, partition_by=["serotype"])
     output = scratch_path(spark, "combined")
-    write_combined(read_fasta(spark, folder), output, [folder])
+    fasta_sink.write_combined(read_fasta(spark, folder), output, [folder])
     return read_fasta(spark, output).select("id", "entry")
 
 
@@ -261,10 +261,43 @@ def geojson_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "kept")
-    write_kept(curation.curate(standins.fetch_log(spark, sf_dir)).kept, path)
+    curation.curate_to_folder(standins.fetch_log(spark, sf_dir), path)
     return spark.read.parquet(path).select("id", F.col("serotype").cast("string").alias("serotype"), "body")
 
 
+def curate_to_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts taken while the kept documents are written."""
+    return curation.curate_to_folder(standins.fetch_log(spark, sf_dir), scratch_path(spark, "kept"))
+
+
+def purge_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purge a folder of FASTA files and read the result."""
+    source, output = scratch_path(spark, "fasta"), scratch_path(spark, "purged")
+    fasta_sink.write_fasta(standins.seqs(spark, sf_dir), source)
+    curation.purge_folder(spark, source, output, glob="*.txt")
+    return read_fasta(spark, output).select("id", "description", "sequence")
+
+
+def purge_folder_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = scratch_path(spark, "fasta")
+    fasta_sink.write_fasta(standins.seqs(spark, sf_dir), source)
+    return curation.purge_folder(spark, source, scratch_path(spark, "purged"), glob="*.txt")
+
+
+def filter_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter FASTA files by their ambiguous characters and read the result."""
+    source, output = scratch_path(spark, "fasta"), scratch_path(spark, "filtered")
+    fasta_sink.write_fasta(standins.seqs(spark, sf_dir), source)
+    curation.filter_fasta(spark, source, output, 0.05)
+    return read_fasta(spark, output).select("id", "description", "sequence")
+
+
+def filter_fasta_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = scratch_path(spark, "fasta")
+    fasta_sink.write_fasta(standins.seqs(spark, sf_dir), source)
+    return curation.filter_fasta(spark, source, scratch_path(spark, "filtered"), 0.05)
+
+
 def map_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "maps")
     write_region_years(region_year_map(spark, sf_dir), path)
@@ -301,7 +334,7 @@ QUERIES: dict[str, Query] = {
         dna_letters,
         purge,
         purge_stats,
-        fasta_entries,
+        fasta_text,
         purged_fasta,
         fasta_round_trip,
         combined_fasta,
@@ -318,6 +351,11 @@ QUERIES: dict[str, Query] = {
         csv_cases,
         geojson_regions,
         kept_partitions,
+        curate_to_folder,
+        purge_folder,
+        purge_folder_stats,
+        filter_fasta,
+        filter_fasta_stats,
         map_partitions,
     )
 }

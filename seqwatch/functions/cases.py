@@ -44,8 +44,10 @@ def normalise_name(name: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """Leading year-month-day of a text as a date; NULL when there is none or it is not a real day."""
-    digits = F.replace(F.regexp_extract(text, _DATE_PREFIX, 1), F.lit(" "), F.lit(""))
-    return F.try_to_date(digits, "y-M-d")
+    digits = F.nullif(F.replace(F.regexp_extract(text, _DATE_PREFIX, 1), F.lit(" "), F.lit("")), F.lit(""))
+    # A cast wants four digits of the year, and unlike a date pattern throws nothing for a wrong day.
+    missing = F.lit(5) - F.instr(digits, "-")
+    return F.concat(F.repeat(F.lit("0"), missing), digits).try_cast("date")
 
 
 def year_of(date: Column) -> Column:

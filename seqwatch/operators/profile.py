@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from seqwatch.session import ensure_checkpoint_dir
 
@@ -35,7 +35,7 @@ def structure(table: DataFrame, order_by: Sequence[str] = (), n: int = PREVIEW_R
 
 def column_profile(
     table: DataFrame,
-    max_sorted_rows: int = 1_000_000,
+    max_sorted_rows: int = 10_000,
     buckets: int = 4096,
     max_rounds: int = 12,
 ) -> DataFrame:
@@ -50,15 +50,14 @@ def column_profile(
     of this function run when it is called; what each hands on is at most six ranges per column.
     """
     numbers = [field.name for field in table.schema if isinstance(field.dataType, NumericType)]
-    texts = [name for name in table.columns if name not in numbers]
-    kinds = dict(table.dtypes)
+    cleaned = _without_nan(table)
     if not numbers:
-        return _basics(table, numbers, texts, kinds)
+        return _basics(cleaned, numbers).drop("number")
 
     ensure_checkpoint_dir(table.sparkSession)
-    basics = _basics(table, numbers, texts, kinds).checkpoint()
-    values = table.select(*[_number(name).alias(name) for name in numbers])
-    values = values.unpivot([], list(numbers), "column", "value").where("value is not null")
+    basics = _basics(cleaned, numbers).checkpoint()
+    pairs = [item for number, name in enumerate(numbers) for item in (F.lit(number), F.col(f"`{name}`").cast("double"))]
+    values = cleaned.select(F.stack(F.lit(len(numbers)), *pairs).alias("number", "value")).where("value is not null")
 
     ranges = _whole_ranges(basics)
     for _ in range(max_rounds):
@@ -66,35 +65,33 @@ def column_profile(
             break
         ranges = _narrow(ranges, _histogram(values, ranges, _bucket(buckets))).checkpoint()
     picked = _narrow(ranges, _histogram(values, ranges, F.col("value")))
-    quartiles = picked.groupBy("column").agg(
-        *[_interpolated(name).alias(name) for name in QUARTILES],
-    )
-    return basics.drop(*QUARTILES).join(F.broadcast(quartiles), "column", "left").select(*basics.columns)
+    quartiles = picked.groupBy("number").agg(*[_interpolated(name).alias(name) for name in QUARTILES])
+    columns = [name for name in basics.columns if name != "number"]
+    # One row per column of the table on both sides.
+    return basics.drop(*QUARTILES).join(F.broadcast(quartiles), "number", "left").select(*columns)
 
 
-def _number(name: str) -> Column:
-    value = F.col(f"`{name}`").cast("double")
-    return F.when(~F.isnan(value), value)
+def _without_nan(table: DataFrame) -> DataFrame:
+    fractional = [field.name for field in table.schema if isinstance(field.dataType, (DoubleType, FloatType))]
+    return table.withColumns({name: F.when(~F.isnan(f"`{name}`"), F.col(f"`{name}`")) for name in fractional})
 
 
-def _basics(table: DataFrame, numbers: Sequence[str], texts: Sequence[str], kinds: dict[str, str]) -> DataFrame:
-    """Everything but the quartiles, in one pass over the table."""
-    present = [F.count(_number(c)).alias(f"{c}:n") for c in numbers] + [F.count(f"`{c}`").alias(f"{c}:n") for c in texts]
-    limits = [
-        measure(_number(c)).alias(f"{c}:{name}")
-        for c in numbers
-        for name, measure in (("min", F.min), ("mean", F.avg), ("max", F.max))
-    ]
+def _basics(table: DataFrame, numbers: Sequence[str]) -> DataFrame:
+    """Everything but the quartiles, in one pass over the table. Number columns are numbered."""
+    measures = {"min": F.min, "mean": F.avg, "max": F.max}
+    present = [F.count(f"`{c}`").alias(f"{c}:n") for c in table.columns]
+    limits = [measure(f"`{c}`").cast("double").alias(f"{c}:{name}") for c in numbers for name, measure in measures.items()]
     totals = table.agg(F.count(F.lit(1)).alias("n"), *present, *limits)
     absent = F.lit(None).cast("double")
 
-    def row(c: str) -> Column:
-        measured = {name: F.col(f"`{c}:{name}`") if c in numbers else absent for name in ("min", "mean", "max")}
+    def row(name: str, kind: str) -> Column:
+        measured = {m: F.col(f"`{name}:{m}`") if name in numbers else absent for m in measures}
         return F.struct(
-            F.lit(c).alias("column"),
-            F.lit(kinds[c]).alias("type"),
+            F.lit(numbers.index(name) if name in numbers else None).cast("int").alias("number"),
+            F.lit(name).alias("column"),
+            F.lit(kind).alias("type"),
             F.col("n"),
-            (F.col("n") - F.col(f"`{c}:n`")).alias("missing"),
+            (F.col("n") - F.col(f"`{name}:n`")).alias("missing"),
             measured["min"].alias("min"),
             absent.alias("q1"),
             absent.alias("median"),
@@ -103,7 +100,7 @@ def _basics(table: DataFrame, numbers: Sequence[str], texts: Sequence[str], kind
             measured["max"].alias("max"),
         )
 
-    return totals.select(F.inline(F.array(*[row(c) for c in table.columns])))
+    return totals.select(F.inline(F.array(*[row(name, kind) for name, kind in table.dtypes])))
 
 
 def _whole_ranges(basics: DataFrame) -> DataFrame:
@@ -125,7 +122,7 @@ def _whole_ranges(basics: DataFrame) -> DataFrame:
                 )
             )
     return columns.select(
-        "column",
+        "number",
         F.col("min").alias("low"),
         F.col("max").alias("high"),
         F.lit(0).cast("long").alias("n_below"),
@@ -151,23 +148,23 @@ def _histogram(values: DataFrame, ranges: DataFrame, part: Column) -> DataFrame:
 
     Ranges are at most six per column, whatever the data, so broadcasting them is safe.
     """
-    looked_at = F.broadcast(ranges.select("column", "low", "high").distinct())
+    looked_at = F.broadcast(ranges.select("number", "low", "high").distinct())
     return (
-        values.join(looked_at, "column")
+        values.join(looked_at, "number")
         .where("value between low and high")
-        .groupBy("column", "low", part.alias("part"))
+        .groupBy("number", "low", part.alias("part"))
         .agg(F.count(F.lit(1)).alias("n_part"), F.min("value").alias("part_low"), F.max("value").alias("part_high"))
     )
 
 
 def _narrow(ranges: DataFrame, parts: DataFrame) -> DataFrame:
     """Each sought rank with the part of its range that holds it."""
-    up_to = F.sum("n_part").over(Window.partitionBy("column", "low").orderBy("part"))
+    up_to = F.sum("n_part").over(Window.partitionBy("number", "low").orderBy("part"))
     counted = parts.withColumn("n_before", up_to - F.col("n_part"))
     below = F.col("n_below") + F.col("n_before")
     holds = (F.col("rank") > below) & (F.col("rank") <= below + F.col("n_part"))
-    return counted.join(F.broadcast(ranges), ["column", "low"]).where(holds).select(
-        "column",
+    return counted.join(F.broadcast(ranges), ["number", "low"]).where(holds).select(
+        "number",
         F.col("part_low").alias("low"),
         F.col("part_high").alias("high"),
         below.alias("n_below"),

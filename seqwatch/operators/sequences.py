@@ -34,15 +34,19 @@ def filter_ambiguous(records: DataFrame, max_ambiguous: float = 0.0, sequence: s
     return records.where(ambiguous_fraction(F.col(sequence)) <= max_ambiguous)
 
 
-def ambiguity_stats(records: DataFrame, max_ambiguous: float = 0.0, sequence: str = "sequence") -> DataFrame:
-    """How many records ``filter_ambiguous`` sees, keeps, drops, and finds empty."""
+def ambiguity_counts(max_ambiguous: float = 0.0, sequence: str = "sequence") -> list[Column]:
+    """Aggregates: how many records ``filter_ambiguous`` sees, keeps, drops, and finds empty."""
     kept = F.coalesce(ambiguous_fraction(F.col(sequence)) <= max_ambiguous, F.lit(False))
-    return records.agg(
+    return [
         F.count(F.lit(1)).alias("total"),
         F.count_if(kept).alias("kept"),
         F.count_if(~kept).alias("dropped"),
         F.count_if(F.col(sequence) == "").alias("n_empty"),
-    )
+    ]
+
+
+def ambiguity_stats(records: DataFrame, max_ambiguous: float = 0.0, sequence: str = "sequence") -> DataFrame:
+    return records.agg(*ambiguity_counts(max_ambiguous, sequence))
 
 
 def to_dna(records: DataFrame, sequence: str = "sequence") -> DataFrame:
@@ -60,13 +64,17 @@ def purge(records: DataFrame, sequence: str = "sequence") -> DataFrame:
     return records.where(_sound(sequence))
 
 
-def purge_stats(records: DataFrame, sequence: str = "sequence") -> DataFrame:
-    """How many records ``purge`` sees, keeps and removes."""
-    return records.agg(
+def purge_counts(sequence: str = "sequence") -> list[Column]:
+    """Aggregates: how many records ``purge`` sees, keeps and removes."""
+    return [
         F.count(F.lit(1)).alias("total"),
         F.count_if(_sound(sequence)).alias("valid"),
         F.count_if(~_sound(sequence)).alias("removed"),
-    )
+    ]
+
+
+def purge_stats(records: DataFrame, sequence: str = "sequence") -> DataFrame:
+    return records.agg(*purge_counts(sequence))
 
 
 def keep_serotype(documents: DataFrame, label: str, rules: Rules = SEROTYPE_PHRASES, text: str = "body") -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from seqwatch.functions.sequences import FILTERED_WIDTH, PURGED_WIDTH, SEROTYPE_PHRASES, Rules, count_met, met_rules, serotype_flags
 from seqwatch.operators.fetches import MAX_ATTEMPTS, STATUS_OK, first_success, pages_before_cutoff
-from seqwatch.operators.sequences import ambiguity_stats, filter_ambiguous, purge, purge_stats, to_dna
+from seqwatch.operators.sequences import ambiguity_counts, filter_ambiguous, purge, purge_counts, purge_stats, to_dna
 from seqwatch.sinks.fasta import write_fasta
-from seqwatch.sources.fasta import read_fasta, read_fasta_folder
+from seqwatch.sinks.tables import write_kept
+from seqwatch.sources.fasta import FASTA_GLOB, read_fasta, read_fasta_folder
 from seqwatch.sources.search import count_ids, explode_ids
 
 
@@ -37,10 +38,16 @@ def curate(
     The rules are tested before the shuffle on ``id``: bodies no rule accepts stay where they are, and
     ``stats`` moves flags only.
     """
-    flags = serotype_flags(F.col("body"), rules)
-    judged = fetch_log.withColumns({**flags, "has_body": F.col("body").isNotNull()})
-    per_id = None if listings is None else listings.groupBy("id").agg(F.count(F.lit(1)).alias("n_listed"))
-    return Collection(_kept(judged, per_id, rules, max_attempts), _curation_stats(judged, per_id, rules, max_attempts))
+    judged, per_id = _judged(fetch_log, rules), _per_id(listings)
+
+    successes = judged.where((F.col("status") == STATUS_OK) & (F.col("attempt") <= max_attempts))
+    documents = first_success(_slim(successes, rules), ["body", *_flags(rules)], max_attempts=max_attempts)
+    if per_id is not None:
+        documents = documents.join(per_id, "id", "left_semi")
+
+    flags = first_success(judged, ["has_body", *_flags(rules)], max_attempts=max_attempts)
+    totals = _seen(flags, per_id).agg(*_totals(rules))
+    return Collection(_labelled(documents, rules), _per_serotype(totals, rules))
 
 
 def curate_search(
@@ -54,55 +61,115 @@ def curate_search(
     return curate(fetch_log, rules, explode_ids(pages_before_cutoff(pages)), max_attempts)
 
 
+def curate_to_folder(
+    fetch_log: DataFrame,
+    path: str,
+    rules: Rules = SEROTYPE_PHRASES,
+    listings: DataFrame | None = None,
+    max_attempts: int = MAX_ATTEMPTS,
+) -> DataFrame:
+    """``curate``, with the kept documents written by serotype; returns the counts.
+
+    One pass over the log: the counts are taken on the way to the files.
+    """
+    judged = _judged(fetch_log, rules)
+    fetched = first_success(_slim(judged, rules), ["body", "has_body", *_flags(rules)], max_attempts=max_attempts)
+    seen = _seen(fetched, _per_id(listings))
+    counts = Observation()
+    write_kept(_labelled(seen.observe(counts, *_totals(rules)), rules), path)
+    return _per_serotype(_observed(fetch_log.sparkSession, counts), rules)
+
+
 def purge_records(records: DataFrame) -> Collection:
     """DNA records without gaps and undetermined bases, and how many there were."""
     dna = to_dna(records)
     return Collection(purge(dna), purge_stats(dna))
 
 
-def purge_folder(spark: SparkSession, folder: str, output: str, width: int = PURGED_WIDTH, whole_files: bool = False) -> DataFrame:
-    """Purge all FASTA files of a folder into ``output``; returns the counts."""
-    kept, stats = purge_records(read_fasta_folder(spark, folder, whole_files))
-    write_fasta(kept, output, width)
-    return stats
+def purge_folder(
+    spark: SparkSession,
+    folder: str,
+    output: str,
+    width: int = PURGED_WIDTH,
+    glob: str = FASTA_GLOB,
+    whole_files: bool = False,
+) -> DataFrame:
+    """Purge the FASTA files of a folder into ``output``; returns the counts. One pass, no shuffle."""
+    counts = Observation()
+    dna = to_dna(read_fasta_folder(spark, folder, glob, whole_files)).observe(counts, *purge_counts())
+    write_fasta(purge(dna), output, width)
+    return _observed(spark, counts)
 
 
 def filter_fasta(
-    spark: SparkSession, path: str, output: str, max_ambiguous: float = 0.0, width: int = FILTERED_WIDTH
+    spark: SparkSession,
+    path: str,
+    output: str,
+    max_ambiguous: float = 0.0,
+    width: int = FILTERED_WIDTH,
+    glob: str | None = None,
 ) -> DataFrame:
-    """Keep the records with few enough ambiguous characters; returns the counts. No shuffle."""
-    records = read_fasta(spark, path)
+    """Keep the records with few enough ambiguous characters; returns the counts. One pass, no shuffle."""
+    counts = Observation()
+    records = read_fasta(spark, path, glob).observe(counts, *ambiguity_counts(max_ambiguous))
     write_fasta(filter_ambiguous(records, max_ambiguous), output, width)
-    return ambiguity_stats(records, max_ambiguous)
+    return _observed(spark, counts)
 
 
-def _kept(judged: DataFrame, per_id: DataFrame | None, rules: Rules, max_attempts: int) -> DataFrame:
-    """The accepted documents. Which success is the first is settled per id, whatever a rule says of it."""
-    successes = judged.where((F.col("status") == STATUS_OK) & (F.col("attempt") <= max_attempts))
-    slim = successes.withColumn("body", F.when(count_met(rules) > 0, F.col("body")))
-    fetched = first_success(slim, ["body", *[f"is_{label}" for label in rules]], max_attempts=max_attempts)
-    if per_id is not None:
-        fetched = fetched.join(per_id, "id", "left_semi")
-    labelled = fetched.where("body is not null").select("id", F.explode(met_rules(rules)).alias("serotype"), "body")
-    return labelled.where(F.col("serotype").isNotNull())
+def _observed(spark: SparkSession, counts: Observation) -> DataFrame:
+    """The counts of a finished write as a table of one row.
 
+    They are taken in the tasks that write, so Spark adds each task once, retried or not.
+    """
+    found = counts.get
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{name} bigint" for name in found))
 
-def _curation_stats(judged: DataFrame, per_id: DataFrame | None, rules: Rules, max_attempts: int) -> DataFrame:
-    fetched = first_success(judged, ["has_body", *[f"is_{label}" for label in rules]], max_attempts=max_attempts)
+
+def _flags(rules: Rules) -> list[str]:
+    return [f"is_{label}" for label in rules]
+
+
+def _judged(fetch_log: DataFrame, rules: Rules) -> DataFrame:
+    flags = serotype_flags(F.col("body"), rules)
+    return fetch_log.withColumns({**flags, "has_body": F.col("body").isNotNull()})
+
+
+def _slim(judged: DataFrame, rules: Rules) -> DataFrame:
+    """Without the bodies that no rule accepts. Which success is the first does not depend on them."""
+    return judged.withColumn("body", F.when(count_met(rules) > 0, F.col("body")))
+
+
+def _per_id(listings: DataFrame | None) -> DataFrame | None:
+    return None if listings is None else listings.groupBy("id").agg(F.count(F.lit(1)).alias("n_listed"))
+
+
+def _seen(fetched: DataFrame, per_id: DataFrame | None) -> DataFrame:
+    """The ids that count, and how often."""
     if per_id is None:
-        seen = fetched.withColumn("n_listed", F.lit(1).cast("long"))
-    else:
-        seen = per_id.join(fetched, "id", "left")
+        return fetched.withColumn("n_listed", F.lit(1).cast("long"))
+    return per_id.join(fetched, "id", "left")
+
+
+def _labelled(fetched: DataFrame, rules: Rules) -> DataFrame:
+    accepted = fetched.where("body is not null")
+    return accepted.select("id", F.explode(met_rules(rules)).alias("serotype"), "body").where("serotype is not null")
+
+
+def _totals(rules: Rules) -> list[Column]:
+    """Listings without a body, with one, and accepted per serotype."""
 
     def listed(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n_listed"))), F.lit(0).cast("long"))
 
     has_body = F.coalesce(F.col("has_body"), F.lit(False))
-    totals = seen.agg(
+    return [
         listed(~has_body).alias("errors"),
         listed(has_body).alias("bodies"),
         *[listed(F.col(f"is_{label}")).alias(f"n_{label}") for label in rules],
-    )
+    ]
+
+
+def _per_serotype(totals: DataFrame, rules: Rules) -> DataFrame:
     rows = [
         F.struct(
             F.lit(label).alias("serotype"),

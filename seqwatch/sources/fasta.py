@@ -35,9 +35,9 @@ def read_fasta(spark: SparkSession, path: str | list[str], glob: str | None = No
     return _as_records(records.where(F.col("chunk").rlike(r"\S")))
 
 
-def read_fasta_folder(spark: SparkSession, folder: str, whole_files: bool = False) -> DataFrame:
-    """Records of every ``*.fasta`` file directly in a folder; an error when there are none."""
-    records = read_fasta(spark, folder, glob=FASTA_GLOB, whole_files=whole_files)
+def read_fasta_folder(spark: SparkSession, folder: str, glob: str = FASTA_GLOB, whole_files: bool = False) -> DataFrame:
+    """Records of every file directly in a folder whose name fits; an error when there are none."""
+    records = read_fasta(spark, folder, glob, whole_files)
     if records.isEmpty():
         raise FileNotFoundError(f"no FASTA records in {folder}")
     return records

@@ -46,6 +46,8 @@ def test_dates(values):
         "02/01/2010": None,
         "x2010-01-02": None,
         "20100-01-02": None,
+        "987-1-2": datetime.date(987, 1, 2),
+        "10-01-02": datetime.date(10, 1, 2),
         "2010-01": None,
         "": None,
         None: None,

@@ -71,7 +71,7 @@ def test_records_survive_splits(spark, tmp_path, split_bytes):
 def test_folder_takes_fasta_files_of_this_level_in_name_order(spark, tmp_path, whole_files):
     put(tmp_path / "sub", c__fasta=">C\nCC\n")
     folder = put(tmp_path, b__fasta=">B\nGG\n", a__fasta=">A\nAC\n", x__FASTA=">X\nTT\n", notes__txt=">N\nAA\n")
-    assert records(read_fasta_folder(spark, folder, whole_files)) == [("A", "A", "AC"), ("B", "B", "GG")]
+    assert records(read_fasta_folder(spark, folder, whole_files=whole_files)) == [("A", "A", "AC"), ("B", "B", "GG")]
 
 
 def test_folder_without_fasta_files_is_an_error(spark, tmp_path):
@@ -87,9 +87,9 @@ def joined_text(folder):
 def test_combined_text_keeps_lines_and_order(spark, tmp_path, whole_files):
     source = put(tmp_path / "in", b__fasta=">B two\r\nGG\r\nA\r\n>C\r\n", a__fasta=">A\nAC\nGGT\n")
     output = tmp_path / "out"
-    write_combined(read_fasta_folder(spark, source, whole_files), str(output), [source])
+    write_combined(read_fasta_folder(spark, source, whole_files=whole_files), str(output), [source])
     assert joined_text(output) == ">A\nAC\nGGT\n>B two\nGG\nA\n>C\n"
-    write_combined(read_fasta_folder(spark, source, whole_files), str(output), [source])
+    write_combined(read_fasta_folder(spark, source, whole_files=whole_files), str(output), [source])
     assert joined_text(output) == ">A\nAC\nGGT\n>B two\nGG\nA\n>C\n"
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from seqwatch.operators.fetches import first_success, number_attempts, pages_before_cutoff
-from seqwatch.plans.curation import curate, curate_search
+from seqwatch.plans.curation import curate, curate_search, curate_to_folder
 
 LOG = [
     ("first", 1, 200, "a"),
@@ -135,3 +135,25 @@ def test_curation_against_a_loop(spark):
         assert row.included == sum(label == row.serotype for _, label in accepted)
         assert row.errors == errors
         assert row.included + row.excluded + row.errors == len({row[0] for row in rows})
+
+
+def test_writing_counts_what_it_sees(spark, tmp_path):
+    stats = curate_to_folder(log(spark, DOCS), str(tmp_path / "kept"))
+    assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, curate(log(spark, DOCS)).stats.collect()))
+    kept = spark.read.parquet(str(tmp_path / "kept"))
+    assert sorted((row.id, row.serotype) for row in kept.collect()) == [
+        ("1", "DENV2"), ("2", "DENV1"), ("2", "DENV2"), ("2", "DENV3"), ("2", "DENV4"),
+    ]
+
+
+def test_writing_for_listings(spark, tmp_path):
+    listings = spark.createDataFrame([("1",), ("1",), ("missing",), ("3",)], "id string")
+    stats = curate_to_folder(log(spark, DOCS), str(tmp_path / "kept"), {"DENV2": ("DENV2",)}, listings)
+    assert [tuple(row) for row in stats.collect()] == [("DENV2", 2, 1, 1)]
+    assert [row.id for row in spark.read.parquet(str(tmp_path / "kept")).collect()] == ["1"]
+
+
+@pytest.mark.parametrize("rows", [[], [("a", 1, 503, None)]], ids=["empty log", "failures only"])
+def test_writing_nothing(spark, tmp_path, rows):
+    stats = curate_to_folder(log(spark, rows), str(tmp_path / "kept"))
+    assert {tuple(row)[1:] for row in stats.collect()} == {(0, 0, len(rows))}

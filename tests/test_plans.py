@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-from checks.queries import QUERIES
-from checks.standins import cases, regions, table
+from seqwatch.checks.queries import QUERIES
+from seqwatch.checks.standins import cases, regions, table
 from seqwatch.operators import cases as case_ops
 from seqwatch.operators import sequences
 from seqwatch.operators.fetches import first_success, number_attempts

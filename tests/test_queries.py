@@ -5,9 +5,9 @@ from pathlib import Path
 
 import pytest
 
-from checks.compare import connect, oracle_rows, spark_rows
-from checks.oracle import ORACLE
-from checks.queries import QUERIES
+from seqwatch.checks.compare import connect, oracle_rows, spark_rows
+from seqwatch.checks.oracle import ORACLE
+from seqwatch.checks.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
