@@ -298,7 +298,7 @@ where cast({_AMBIGUOUS} as double) / nullif(length(sequence), 0) <= 0.05""",
     ),
     "fasta_round_trip": _with("select concat('D', cast(doc_id as varchar)) as id, description, sequence from seqs", "seqs"),
     "combined_fasta": _with(
-        f"""select concat('D', cast(s.doc_id as varchar)) as id, {_entry('sequence', 80)} as entry
+        """select concat('D', cast(s.doc_id as varchar)) as id, s.description, s.sequence
 from seqs s join matches m on m.doc_id = s.doc_id""",
         "matches",
     ),

@@ -15,7 +15,7 @@ from seqwatch.session import scratch_path
 from seqwatch.sinks import fasta as fasta_sink
 from seqwatch.sinks.tables import write_region_years
 from seqwatch.sources.cases import read_cases
-from seqwatch.sources.fasta import read_fasta
+from seqwatch.sources.fasta import read_fasta, read_fasta_entries
 from seqwatch.sources.regions import read_regions
 from seqwatch.sources.search import count_ids, explode_ids
 
@@ -182,8 +182,8 @@ def combined_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = sequences.match_serotypes(standins.seqs(spark, sf_dir), text="description")
     fasta_sink.write_fasta(records, folder, PURGED_WIDTH, partition_by=["serotype"])
     output = scratch_path(spark, "combined")
-    fasta_sink.write_combined(read_fasta(spark, folder), output, [folder])
-    return read_fasta(spark, output).select("id", "entry")
+    fasta_sink.write_combined(read_fasta_entries(spark, folder), output, [folder])
+    return read_fasta(spark, output).select("id", "description", "sequence")
 
 
 def serotype_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

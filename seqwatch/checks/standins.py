@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqwatch.operators.fetches import number_attempts
+from seqwatch.operators.sequences import computed_once
 
 CASES = """
 select o.o_orderkey as case_id,
@@ -50,16 +51,6 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
 
 
-def _as_stored(frame: DataFrame, *columns: str) -> DataFrame:
-    """Let derived columns behave like stored ones.
-
-    Spark would otherwise repeat their expressions, slow text work here, in every filter above. What a
-    generator gives is not repeated; it neither shuffles nor leaves generated code.
-    """
-    others = [name for name in frame.columns if name not in columns]
-    return frame.select(*others, F.inline(F.array(F.struct(*columns))))
-
-
 def _spread(frame: DataFrame) -> DataFrame:
     """A small table of fewer splits than cores is dealt out to all of them; others stay as they are."""
     cores = frame.sparkSession.sparkContext.defaultParallelism
@@ -69,13 +60,13 @@ def _spread(frame: DataFrame) -> DataFrame:
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document letters mapped onto nucleotides, with made headers."""
     texts = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return _as_stored(spark.sql(SEQS, documents=texts), "description", "sequence", "letters")
+    return computed_once(spark.sql(SEQS, documents=texts), "description", "sequence", "letters")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sequence as the document a fetch returns: header line and body."""
     body = F.concat(F.lit(">"), "description", F.lit("\n"), "sequence").alias("body")
-    return _as_stored(seqs(spark, sf_dir).select("doc_id", body), "body")
+    return computed_once(seqs(spark, sf_dir).select("doc_id", body), "body")
 
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:

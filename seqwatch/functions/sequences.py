@@ -21,6 +21,10 @@ PARTIAL_PHRASE = "partial"
 
 # Fixed value: the letters of the DNA alphabet, upper case (bases, ambiguity codes, gap marks).
 DNA_ALPHABET = "ACGTMRWSYKVHDBN-+."
+_DNA_LETTERS = DNA_ALPHABET.replace("-", "")
+
+# Fixed value: white space, as \s has it.
+BLANKS = (" ", "\t", "\r", "\n", "\x0b", "\f")
 
 # Line widths of the two kinds of FASTA output.
 PURGED_WIDTH = 80
@@ -78,14 +82,20 @@ def has_gap_or_undetermined(sequence: Column) -> Column:
     return contains_any(sequence, ("-", "N", "n"))
 
 
-def as_dna(sequence: Column) -> Column:
-    """Upper case, with the characters outside the DNA alphabet left out, as a DNA reader yields it."""
-    return F.regexp_replace(F.upper(sequence), f"[^{DNA_ALPHABET.replace('-', '')}-]+", "")
+def without_blanks(text: Column) -> Column:
+    """The text without white space. Most sequences hold none, so that is looked at first."""
+    return F.when(contains_any(text, BLANKS), F.regexp_replace(text, r"\s+", "")).otherwise(text)
 
 
 def non_dna_count(sequence: Column) -> Column:
-    """Number of characters outside the DNA alphabet."""
-    return F.length(sequence) - F.length(as_dna(sequence))
+    """Number of characters outside the DNA alphabet; clean runs are removed in one step each."""
+    return F.length(F.regexp_replace(sequence, f"[{_DNA_LETTERS}{_DNA_LETTERS.lower()}-]+", ""))
+
+
+def as_dna(sequence: Column) -> Column:
+    """Upper case, with the characters outside the DNA alphabet left out, as a DNA reader yields it."""
+    upper = F.upper(sequence)
+    return F.when(non_dna_count(sequence) > 0, F.regexp_replace(upper, f"[^{_DNA_LETTERS}-]+", "")).otherwise(upper)
 
 
 def ambiguous_count(sequence: Column) -> Column:

@@ -22,6 +22,17 @@ from seqwatch.functions.sequences import (
 )
 
 
+def computed_once(frame: DataFrame, *columns: str) -> DataFrame:
+    """Let derived columns behave like stored ones.
+
+    Spark repeats a derived column's expression in every filter above it, once per mention. What a
+    generator gives is not repeated; this one gives one row per row, without a shuffle and inside
+    generated code.
+    """
+    others = [name for name in frame.columns if name not in columns]
+    return frame.select(*others, F.inline(F.array(F.struct(*columns))))
+
+
 def with_ambiguity(records: DataFrame, sequence: str = "sequence") -> DataFrame:
     """Add the number and the share of ambiguous characters."""
     return records.withColumns(
@@ -35,18 +46,18 @@ def filter_ambiguous(records: DataFrame, max_ambiguous: float = 0.0, sequence: s
 
 
 def ambiguity_counts(max_ambiguous: float = 0.0, sequence: str = "sequence") -> list[Column]:
-    """Aggregates: how many records ``filter_ambiguous`` sees, keeps, drops, and finds empty."""
-    kept = F.coalesce(ambiguous_fraction(F.col(sequence)) <= max_ambiguous, F.lit(False))
+    """Aggregates over records with their share: how many ``filter_ambiguous`` sees, keeps, drops, and finds empty."""
+    kept = F.count_if(F.col("ambiguous_fraction") <= max_ambiguous)
     return [
         F.count(F.lit(1)).alias("total"),
-        F.count_if(kept).alias("kept"),
-        F.count_if(~kept).alias("dropped"),
+        kept.alias("kept"),
+        (F.count(F.lit(1)) - kept).alias("dropped"),
         F.count_if(F.col(sequence) == "").alias("n_empty"),
     ]
 
 
 def ambiguity_stats(records: DataFrame, max_ambiguous: float = 0.0, sequence: str = "sequence") -> DataFrame:
-    return records.agg(*ambiguity_counts(max_ambiguous, sequence))
+    return with_ambiguity(records, sequence).agg(*ambiguity_counts(max_ambiguous, sequence))
 
 
 def to_dna(records: DataFrame, sequence: str = "sequence") -> DataFrame:
@@ -54,27 +65,27 @@ def to_dna(records: DataFrame, sequence: str = "sequence") -> DataFrame:
     return records.withColumns({"n_non_dna": non_dna_count(F.col(sequence)), sequence: as_dna(F.col(sequence))})
 
 
-def _sound(sequence: str) -> Column:
-    # A missing sequence is not a sound one; the test itself would give NULL.
-    return F.coalesce(~has_gap_or_undetermined(F.col(sequence)), F.lit(False))
+def with_soundness(records: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """Mark the records without a gap or an undetermined base. A missing sequence is not a sound one."""
+    return records.withColumn("sound", F.coalesce(~has_gap_or_undetermined(F.col(sequence)), F.lit(False)))
 
 
 def purge(records: DataFrame, sequence: str = "sequence") -> DataFrame:
     """Drop the records that hold a gap or an undetermined base."""
-    return records.where(_sound(sequence))
+    return with_soundness(records, sequence).where("sound").drop("sound")
 
 
-def purge_counts(sequence: str = "sequence") -> list[Column]:
-    """Aggregates: how many records ``purge`` sees, keeps and removes."""
+def purge_counts() -> list[Column]:
+    """Aggregates over marked records: how many ``purge`` sees, keeps and removes."""
     return [
         F.count(F.lit(1)).alias("total"),
-        F.count_if(_sound(sequence)).alias("valid"),
-        F.count_if(~_sound(sequence)).alias("removed"),
+        F.count_if("sound").alias("valid"),
+        (F.count(F.lit(1)) - F.count_if("sound")).alias("removed"),
     ]
 
 
 def purge_stats(records: DataFrame, sequence: str = "sequence") -> DataFrame:
-    return records.agg(*purge_counts(sequence))
+    return with_soundness(records, sequence).select("sound").agg(*purge_counts())
 
 
 def keep_serotype(documents: DataFrame, label: str, rules: Rules = SEROTYPE_PHRASES, text: str = "body") -> DataFrame:

@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from seqwatch.functions.sequences import FILTERED_WIDTH, PURGED_WIDTH, SEROTYPE_PHRASES, Rules, count_met, met_rules, serotype_flags
 from seqwatch.operators.fetches import MAX_ATTEMPTS, STATUS_OK, first_success, pages_before_cutoff
-from seqwatch.operators.sequences import ambiguity_counts, filter_ambiguous, purge, purge_counts, purge_stats, to_dna
+from seqwatch.operators.sequences import (
+    ambiguity_counts,
+    purge,
+    purge_counts,
+    purge_stats,
+    to_dna,
+    with_ambiguity,
+    with_soundness,
+)
 from seqwatch.sinks.fasta import write_fasta
 from seqwatch.sinks.tables import write_kept
 from seqwatch.sources.fasta import FASTA_GLOB, read_fasta, read_fasta_folder
@@ -81,9 +89,12 @@ def curate_to_folder(
 
 
 def purge_records(records: DataFrame) -> Collection:
-    """DNA records without gaps and undetermined bases, and how many there were."""
-    dna = to_dna(records)
-    return Collection(purge(dna), purge_stats(dna))
+    """DNA records without gaps and undetermined bases, and how many there were.
+
+    Reading a sequence as DNA neither adds nor removes gaps and undetermined bases, so only what
+    stays is read.
+    """
+    return Collection(to_dna(purge(records)), purge_stats(records))
 
 
 def purge_folder(
@@ -96,8 +107,8 @@ def purge_folder(
 ) -> DataFrame:
     """Purge the FASTA files of a folder into ``output``; returns the counts. One pass, no shuffle."""
     counts = Observation()
-    dna = to_dna(read_fasta_folder(spark, folder, glob, whole_files)).observe(counts, *purge_counts())
-    write_fasta(purge(dna), output, width)
+    marked = with_soundness(read_fasta_folder(spark, folder, glob, whole_files))
+    write_fasta(to_dna(marked.observe(counts, *purge_counts()).where("sound")), output, width)
     return _observed(spark, counts)
 
 
@@ -111,8 +122,8 @@ def filter_fasta(
 ) -> DataFrame:
     """Keep the records with few enough ambiguous characters; returns the counts. One pass, no shuffle."""
     counts = Observation()
-    records = read_fasta(spark, path, glob).observe(counts, *ambiguity_counts(max_ambiguous))
-    write_fasta(filter_ambiguous(records, max_ambiguous), output, width)
+    records = with_ambiguity(read_fasta(spark, path, glob)).observe(counts, *ambiguity_counts(max_ambiguous))
+    write_fasta(records.where(F.col("ambiguous_fraction") <= max_ambiguous), output, width)
     return _observed(spark, counts)
 
 

@@ -9,8 +9,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, functions as F
 
 from seqwatch.functions.sequences import FILTERED_WIDTH, fasta_entry
-
-FILE_ORDER = ("source_file", "block_start", "position")
+from seqwatch.sources.fasta import FILE_ORDER
 
 
 def fasta_text(records: DataFrame, width: int = FILTERED_WIDTH) -> DataFrame:
@@ -35,7 +34,7 @@ def write_fasta(
     text.write.mode(mode).partitionBy(*partition_by).text(path)
 
 
-def write_combined(records: DataFrame, path: str, inputs: Sequence[str], in_file_order: bool = True) -> None:
+def write_combined(entries: DataFrame, path: str, inputs: Sequence[str], in_file_order: bool = True) -> None:
     """Overwrite ``path`` with the text of all records as they stand, in file-name order.
 
     The order costs a shuffle of the whole text; without it every task writes what it reads. The
@@ -44,7 +43,7 @@ def write_combined(records: DataFrame, path: str, inputs: Sequence[str], in_file
     for source in inputs:
         if _overlap(path, source):
             raise ValueError(f"output {path} overlaps input {source}")
-    ordered = records.orderBy(*FILE_ORDER) if in_file_order else records
+    ordered = entries.orderBy(*FILE_ORDER) if in_file_order else entries
     ordered.select("entry").write.mode("overwrite").text(path)
 
 

@@ -1,17 +1,21 @@
 """FASTA text as a DataFrame of records.
 
 Columns: ``source_file``, ``block_start`` and ``position`` (together they order the records as they
-stand in the files), ``id`` (first word of the header), ``description`` (the header), ``sequence``
-(lines joined, blanks removed) and ``entry`` (the record's text as it stands). Unused columns cost
-nothing: Catalyst drops them.
+stand in the files), ``id`` (first word of the header), ``description`` (the header) and ``sequence``
+(lines joined, blanks removed); or, for merging, ``entry`` (the record's text as it stands).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from seqwatch.functions.sequences import without_blanks
+from seqwatch.operators.sequences import computed_once
 
 FASTA_GLOB = "*.fasta"
 
+FILE_ORDER = ("source_file", "block_start", "position")
+
 
 def read_fasta(spark: SparkSession, path: str | list[str], glob: str | None = None, whole_files: bool = False) -> DataFrame:
     """Records of FASTA files.
@@ -25,22 +29,46 @@ def read_fasta(spark: SparkSession, path: str | list[str], glob: str | None = No
     what stands in front of the first header is left out. ``position`` is then the record's number in
     its file.
     """
-    if whole_files:
-        return _read_whole(spark, path, glob)
-    chunks = _read_chunks(spark, path, glob)
-    # Only the first chunk of a file keeps its marker.
-    marked = F.startswith(F.col("value"), F.lit(">"))
-    text = F.when(marked, F.substr(F.col("value"), F.lit(2))).otherwise(F.col("value"))
-    records = chunks.select("source_file", "block_start", "position", text.alias("chunk"))
-    return _as_records(records.where(F.col("chunk").rlike(r"\S")))
+    pieces = _pieces(spark, path, glob, whole_files)
+    description = F.rtrim(F.substring_index("piece", "\n", 1), F.lit(" \t\r"))
+    lines = F.split("piece", "\n")
+    joined = F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "")
+    records = pieces.select(
+        *FILE_ORDER,
+        F.regexp_extract(description, r"^\s*(\S*)", 1).alias("id"),
+        description.alias("description"),
+        without_blanks(joined).alias("sequence"),
+    )
+    return computed_once(records, "id", "description", "sequence")
+
+
+def read_fasta_entries(
+    spark: SparkSession, path: str | list[str], glob: str | None = None, whole_files: bool = False
+) -> DataFrame:
+    """Records as they stand: each one's own lines with plain line ends, without the last one."""
+    piece = F.col("piece")
+    lines = F.when(piece.contains("\r"), F.replace(piece, F.lit("\r\n"), F.lit("\n"))).otherwise(piece)
+    # A record that another one follows has lost its line feed already and may still end in \r.
+    ended = lines.endswith("\n") | lines.endswith("\r")
+    entry = F.concat(F.lit(">"), F.when(ended, F.left(lines, F.length(lines) - 1)).otherwise(lines))
+    return _pieces(spark, path, glob, whole_files).select(*FILE_ORDER, entry.alias("entry"))
 
 
 def read_fasta_folder(spark: SparkSession, folder: str, glob: str = FASTA_GLOB, whole_files: bool = False) -> DataFrame:
     """Records of every file directly in a folder whose name fits; an error when there are none."""
-    records = read_fasta(spark, folder, glob, whole_files)
-    if records.isEmpty():
-        raise FileNotFoundError(f"no FASTA records in {folder}")
-    return records
+    _require_some(spark, folder, glob)
+    return read_fasta(spark, folder, glob, whole_files)
+
+
+def read_folder_entries(spark: SparkSession, folder: str, glob: str = FASTA_GLOB, whole_files: bool = False) -> DataFrame:
+    """``read_fasta_folder`` for merging: the records as they stand."""
+    _require_some(spark, folder, glob)
+    return read_fasta_entries(spark, folder, glob, whole_files)
+
+
+def _require_some(spark: SparkSession, folder: str, glob: str) -> None:
+    if spark.read.text(folder, pathGlobFilter=glob).isEmpty():
+        raise FileNotFoundError(f"no FASTA text in {folder}")
 
 
 def files_to_read_whole(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
@@ -63,35 +91,19 @@ def _read_chunks(spark: SparkSession, path: str | list[str], glob: str | None) -
     )
 
 
-def _read_whole(spark: SparkSession, path: str | list[str], glob: str | None) -> DataFrame:
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
-    pieces = files.select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.lit(0).cast("long").alias("block_start"),
-        F.posexplode(F.split("value", "(^|\n)>")).alias("piece", "chunk"),
-    )
-    # Piece 0 is what stands in front of the first header.
-    records = pieces.where("piece > 0").withColumn("position", F.col("piece").cast("long")).drop("piece")
-    return _as_records(records)
-
-
-def _as_records(records: DataFrame) -> DataFrame:
-    header = F.substring_index("chunk", "\n", 1)
-    body = F.substr(F.col("chunk"), F.length(header) + 2)
-    description = F.rtrim(header, F.lit(" \t\r"))
-    return records.select(
-        "source_file",
-        "block_start",
-        "position",
-        F.regexp_extract(description, r"^\s*(\S*)", 1).alias("id"),
-        description.alias("description"),
-        F.regexp_replace(body, r"\s+", "").alias("sequence"),
-        _entry(F.col("chunk")).alias("entry"),
-    )
-
-
-def _entry(chunk: Column) -> Column:
-    """The record's own lines with plain line ends and without the last one."""
-    lines = F.replace(chunk, F.lit("\r\n"), F.lit("\n"))
-    # A record that another one follows has lost its line feed already and may still end in \r.
-    return F.concat(F.lit(">"), F.regexp_replace(lines, r"[\r\n]\z", ""))
+def _pieces(spark: SparkSession, path: str | list[str], glob: str | None, whole_files: bool) -> DataFrame:
+    """The text of each record, without its marker, and where it stands."""
+    if whole_files:
+        files = spark.read.text(path, wholetext=True, pathGlobFilter=glob).select(
+            F.col("_metadata.file_path").alias("source_file"),
+            F.lit(0).cast("long").alias("block_start"),
+            F.posexplode(F.split("value", "(^|\n)>")).alias("number", "piece"),
+        )
+        # Number 0 is what stands in front of the first header.
+        return files.where("number > 0").withColumn("position", F.col("number").cast("long")).drop("number")
+    # Only the first piece of a file keeps its marker.
+    marked = F.startswith(F.col("value"), F.lit(">"))
+    text = F.when(marked, F.substr(F.col("value"), F.lit(2))).otherwise(F.col("value"))
+    # Blank lines in front of a file's first header make a piece too.
+    something = (F.substring_index("value", "\n", 1) != "") | F.col("value").rlike(r"\S")
+    return _read_chunks(spark, path, glob).where(something).select(*FILE_ORDER, text.alias("piece"))

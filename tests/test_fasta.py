@@ -1,8 +1,8 @@
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from seqwatch.sinks.fasta import FILE_ORDER, write_combined, write_fasta
-from seqwatch.sources.fasta import files_to_read_whole, read_fasta, read_fasta_folder
+from seqwatch.sinks.fasta import write_combined, write_fasta
+from seqwatch.sources.fasta import FILE_ORDER, files_to_read_whole, read_fasta, read_fasta_folder, read_folder_entries
 
 BOTH = pytest.mark.parametrize("whole_files", [False, True], ids=["split", "whole"])
 
@@ -87,9 +87,9 @@ def joined_text(folder):
 def test_combined_text_keeps_lines_and_order(spark, tmp_path, whole_files):
     source = put(tmp_path / "in", b__fasta=">B two\r\nGG\r\nA\r\n>C\r\n", a__fasta=">A\nAC\nGGT\n")
     output = tmp_path / "out"
-    write_combined(read_fasta_folder(spark, source, whole_files=whole_files), str(output), [source])
+    write_combined(read_folder_entries(spark, source, whole_files=whole_files), str(output), [source])
     assert joined_text(output) == ">A\nAC\nGGT\n>B two\nGG\nA\n>C\n"
-    write_combined(read_fasta_folder(spark, source, whole_files=whole_files), str(output), [source])
+    write_combined(read_folder_entries(spark, source, whole_files=whole_files), str(output), [source])
     assert joined_text(output) == ">A\nAC\nGGT\n>B two\nGG\nA\n>C\n"
 
 
@@ -97,12 +97,12 @@ def test_combined_text_keeps_lines_and_order(spark, tmp_path, whole_files):
 def test_combined_text_must_not_overlap_its_input(spark, tmp_path, output):
     source = put(tmp_path / "in", a__fasta=">A\nAC\n")
     with pytest.raises(ValueError, match="overlaps"):
-        write_combined(read_fasta_folder(spark, source), f"{tmp_path}/{output}", [f"file:{source}"])
+        write_combined(read_folder_entries(spark, source), f"{tmp_path}/{output}", [f"file:{source}"])
 
 
 def test_a_sibling_with_the_same_prefix_is_no_overlap(spark, tmp_path):
     source = put(tmp_path / "in", a__fasta=">A\nAC\n")
-    write_combined(read_fasta_folder(spark, source), str(tmp_path / "in2"), [source])
+    write_combined(read_folder_entries(spark, source), str(tmp_path / "in2"), [source])
     assert joined_text(tmp_path / "in2") == ">A\nAC\n"
 
 

@@ -10,7 +10,9 @@ from seqwatch.operators import cases as case_ops
 from seqwatch.operators import sequences
 from seqwatch.operators.fetches import first_success, number_attempts
 from seqwatch.plans.curation import curate
+from seqwatch.operators.sequences import to_dna
 from seqwatch.plans.surveillance import region_year_map
+from seqwatch.sources.fasta import read_fasta
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -116,3 +118,11 @@ def test_flags_stay_in_generated_code(spark, stored):
     for line in text.splitlines():
         if re.search(r"(Project|Generate|Filter) ", line):
             assert re.search(r"\*\(\d+\)", line), line
+
+
+def test_derived_text_is_computed_once(spark, tmp_path):
+    """However often a filter mentions a parsed sequence, the file's text is split once."""
+    (tmp_path / "a.fasta").write_text(">A\nACGT\n")
+    records = read_fasta(spark, str(tmp_path))
+    for frame in (to_dna(sequences.purge(records)), sequences.filter_ambiguous(records, 0.5)):
+        assert plan(frame).count("array_join(") == plan(records).count("array_join(")
