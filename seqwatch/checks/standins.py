@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from seqwatch.operators.derived import computed_once
 from seqwatch.operators.fetches import number_attempts
-from seqwatch.operators.sequences import computed_once
 
 CASES = """
 select o.o_orderkey as case_id,

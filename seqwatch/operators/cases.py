@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from seqwatch.functions.cases import SEX_LABELS, age_group, blank_to_null, normalise_name, parse_date, sex_label, year_of
+from seqwatch.operators.derived import computed_once
 
 
 def blanks_to_null(table: DataFrame) -> DataFrame:
@@ -22,9 +23,11 @@ def blanks_to_null(table: DataFrame) -> DataFrame:
 
 def with_notification_year(cases: DataFrame, date: str = "FEC_NOT", year: str = "year") -> DataFrame:
     """Replace the date text by the date and add its year. The year column of the list is another key."""
-    is_text = isinstance(cases.schema[date].dataType, StringType)
-    parsed = parse_date(F.col(date)) if is_text else F.col(date).cast("date")
-    return cases.withColumns({date: parsed, year: year_of(parsed)})
+    if isinstance(cases.schema[date].dataType, StringType):
+        dated = computed_once(cases.withColumn(date, parse_date(F.col(date))), date)
+    else:
+        dated = cases.withColumn(date, F.col(date).cast("date"))
+    return dated.select(*cases.columns, year_of(F.col(date)).alias(year))
 
 
 def notified_between(cases: DataFrame, date: str, first: int, last: int) -> DataFrame:

@@ -22,17 +22,6 @@ from seqwatch.functions.sequences import (
 )
 
 
-def computed_once(frame: DataFrame, *columns: str) -> DataFrame:
-    """Let derived columns behave like stored ones.
-
-    Spark repeats a derived column's expression in every filter above it, once per mention. What a
-    generator gives is not repeated; this one gives one row per row, without a shuffle and inside
-    generated code.
-    """
-    others = [name for name in frame.columns if name not in columns]
-    return frame.select(*others, F.inline(F.array(F.struct(*columns))))
-
-
 def with_ambiguity(records: DataFrame, sequence: str = "sequence") -> DataFrame:
     """Add the number and the share of ambiguous characters."""
     return records.withColumns(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqwatch.functions.sequences import without_blanks
-from seqwatch.operators.sequences import computed_once
+from seqwatch.operators.derived import computed_once
 
 FASTA_GLOB = "*.fasta"
 
