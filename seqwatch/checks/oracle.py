@@ -308,6 +308,9 @@ from seqs s join matches m on m.doc_id = s.doc_id""",
     "all_serotypes_union": _with("select doc_id, serotype, body from matches", "matches"),
     "search_ids": _with("select retstart, rank, id from listed", "listed"),
     "pages_before_cutoff": _with("select retstart, n_ids from used_pages", "used_pages"),
+    "search_cutoff": _with(
+        "select coalesce(min(retstart) filter (n_ids = 0), max(retstart) + 100) as cut from search_pages", "search_pages"
+    ),
     "first_success": _with("select id, attempt, body from fetched", "fetched"),
     "fetch_outcomes": _with("select id, outcome from judged where serotype = 'DENV1'", "judged"),
     "curate": _with(_STATS.format(weight="1", source="judged"), "judged"),

@@ -209,6 +209,11 @@ def pages_before_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetches.pages_before_cutoff(pages)
 
 
+def search_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = standins.search_responses(spark, sf_dir)
+    return fetches.search_cutoff(responses.select("retstart", count_ids(F.col("body")).alias("n_ids")))
+
+
 def first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetches.first_success(standins.fetch_log(spark, sf_dir))
 
@@ -342,6 +347,7 @@ QUERIES: dict[str, Query] = {
         all_serotypes_union,
         search_ids,
         pages_before_cutoff,
+        search_cutoff,
         first_success,
         fetch_outcomes,
         curate,

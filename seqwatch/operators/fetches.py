@@ -42,18 +42,18 @@ def first_success(
     )
 
 
-def pages_before_cutoff(
+def search_cutoff(
     pages: DataFrame,
     offset: str = "retstart",
     n_ids: str = "n_ids",
     step: int = PAGE_SIZE,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """The pages of a search up to, and without, the first that is empty, failed or was never landed.
+    """Where a search ends: the first offset with an empty or failed page, or with none landed.
 
-    ``by`` separates searches. Every page marks its own offset, the next one and the first as looked
-    for; the lowest offset at which no ids were found is the cut. That takes two small aggregations and
-    no window over the pages.
+    ``by`` separates searches; without it the result is one row, ``cut`` NULL when there are no pages.
+    Every page marks its own offset, the next one and the first as looked for; the lowest offset at
+    which no ids were found is the cut. That takes two small aggregations and no window over the pages.
     """
     found = F.coalesce(F.col(n_ids) > 0, F.lit(False))
     at = F.col(offset).cast("long")
@@ -63,8 +63,18 @@ def pages_before_cutoff(
         F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("found")),
     )
     looked_for = pages.select(*by, F.inline(marks)).groupBy(*by, "at").agg(F.bool_or("found").alias("found"))
-    cut = looked_for.where(~F.col("found"))
+    return looked_for.where(~F.col("found")).groupBy(*by).agg(F.min("at").alias("cut"))
+
+
+def pages_before_cutoff(
+    pages: DataFrame,
+    offset: str = "retstart",
+    n_ids: str = "n_ids",
+    step: int = PAGE_SIZE,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """The pages of a search, or of each search, in front of its ``search_cutoff``."""
+    cuts = search_cutoff(pages, offset, n_ids, step, by)
     if not by:
-        return pages.where(F.col(offset) < cut.agg(F.min("at")).scalar())
-    cuts = cut.groupBy(*by).agg(F.min("at").alias("cut"))
+        return pages.where(F.col(offset) < cuts.scalar())
     return pages.join(cuts, list(by)).where(F.col(offset) < F.col("cut")).select(*pages.columns)

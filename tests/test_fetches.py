@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from seqwatch.operators.fetches import first_success, number_attempts, pages_before_cutoff
+from seqwatch.operators.fetches import first_success, number_attempts, pages_before_cutoff, search_cutoff
 from seqwatch.plans.curation import curate, curate_search, curate_to_folder
 
 LOG = [
@@ -62,6 +62,7 @@ def test_pages_up_to_the_first_empty_one(spark, pages, used):
 def test_searches_are_cut_separately(spark):
     rows = [("x", 0, 2), ("x", 100, 0), ("x", 200, 1), ("y", 0, 1), ("y", 100, 4), ("z", 0, 0)]
     frame = spark.createDataFrame(rows, "term string, retstart int, n_ids int")
+    assert sorted(map(tuple, search_cutoff(frame, by=["term"]).collect())) == [("x", 100), ("y", 200), ("z", 0)]
     kept = pages_before_cutoff(frame, by=["term"])
     assert kept.columns == ["term", "retstart", "n_ids"]
     assert sorted(map(tuple, kept.collect())) == [("x", 0, 2), ("y", 0, 1), ("y", 100, 4)]
