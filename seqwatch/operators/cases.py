@@ -27,7 +27,8 @@ def with_notification_year(cases: DataFrame, date: str = "FEC_NOT", year: str =
         dated = computed_once(cases.withColumn(date, parse_date(F.col(date))), date)
     else:
         dated = cases.withColumn(date, F.col(date).cast("date"))
-    return dated.select(*cases.columns, year_of(F.col(date)).alias(year))
+    others = [name for name in cases.columns if name.lower() != year.lower()]
+    return dated.select(*others, year_of(F.col(date)).alias(year))
 
 
 def notified_between(cases: DataFrame, date: str, first: int, last: int) -> DataFrame:

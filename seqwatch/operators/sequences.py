@@ -54,14 +54,19 @@ def to_dna(records: DataFrame, sequence: str = "sequence") -> DataFrame:
     return records.withColumns({"n_non_dna": non_dna_count(F.col(sequence)), sequence: as_dna(F.col(sequence))})
 
 
+def _sound(sequence: str) -> Column:
+    # A missing sequence is not a sound one; the test itself would give NULL.
+    return F.coalesce(~has_gap_or_undetermined(F.col(sequence)), F.lit(False))
+
+
 def with_soundness(records: DataFrame, sequence: str = "sequence") -> DataFrame:
-    """Mark the records without a gap or an undetermined base. A missing sequence is not a sound one."""
-    return records.withColumn("sound", F.coalesce(~has_gap_or_undetermined(F.col(sequence)), F.lit(False)))
+    """Mark the records without a gap or an undetermined base as ``sound``."""
+    return records.withColumn("sound", _sound(sequence))
 
 
 def purge(records: DataFrame, sequence: str = "sequence") -> DataFrame:
     """Drop the records that hold a gap or an undetermined base."""
-    return with_soundness(records, sequence).where("sound").drop("sound")
+    return records.where(_sound(sequence))
 
 
 def purge_counts() -> list[Column]:

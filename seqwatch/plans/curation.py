@@ -105,7 +105,11 @@ def purge_folder(
     glob: str = FASTA_GLOB,
     whole_files: bool = False,
 ) -> DataFrame:
-    """Purge the FASTA files of a folder into ``output``; returns the counts. One pass, no shuffle."""
+    """Purge the FASTA files of a folder into ``output``; returns the counts. One pass, no shuffle.
+
+    Each part file holds the records of the blocks its task read. Where the order of the whole set
+    matters, write ``purge_records(...).kept`` with ``order_by=FILE_ORDER``.
+    """
     counts = Observation()
     marked = with_soundness(read_fasta_folder(spark, folder, glob, whole_files))
     write_fasta(to_dna(marked.observe(counts, *purge_counts()).where("sound")), output, width)

@@ -109,6 +109,11 @@ def test_stored_dates_give_the_same_map(cases, regions):
     assert rows(region_year_map(stored, regions, 2009, 2012)) == rows(region_year_map(cases, regions, 2009, 2012))
 
 
+def test_a_year_column_of_the_list_is_another_key(cases, regions):
+    listed = cases.withColumn("Year", F.lit(1999))
+    assert rows(region_year_map(listed, regions, 2009, 2012)) == rows(region_year_map(cases, regions, 2009, 2012))
+
+
 def test_null_keys_meet_on_request(spark):
     regions = spark.createDataFrame([("A",), (None,)], "DPTO_CNMBR string")
     counts = spark.createDataFrame([("A", 1), (None, 2)], "Departamento_ocurrencia string, casos bigint")

@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from seqwatch.plans.curation import purge_records
 from seqwatch.sinks.fasta import write_combined, write_fasta
 from seqwatch.sources.fasta import FILE_ORDER, files_to_read_whole, read_fasta, read_fasta_folder, read_folder_entries
 
@@ -136,3 +137,9 @@ def test_what_is_written_is_read(spark, tmp_path_factory, whole_files, entries):
     write_fasta(frame, path)
     back = read_fasta(spark, path, whole_files=whole_files).select("description", "sequence").collect()
     assert sorted(map(tuple, back)) == sorted(entries)
+
+
+def test_purged_records_in_file_order(spark, tmp_path):
+    source = put(tmp_path / "in", b__fasta=">C\nac\n>D\nAN\n", a__fasta=">A\nAC\n>B\nGG\n")
+    write_fasta(purge_records(read_fasta_folder(spark, source)).kept, str(tmp_path / "out"), 80, FILE_ORDER)
+    assert joined_text(tmp_path / "out") == ">A\nAC\n>B\nGG\n>C\nAC\n"
