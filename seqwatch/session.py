@@ -18,6 +18,8 @@ def local_session(cpus: int | str = "*", app: str = "seqwatch", **settings: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
+        # Noting the Python call site of every column function takes longer than the function.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
