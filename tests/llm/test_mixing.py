@@ -1,0 +1,107 @@
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from seqwatch.llm import mixing
+from seqwatch.llm.queries import op7_mixing
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def words(text):
+    return len((text or "").encode().split())
+
+
+def brute_targets(sizes, share=1.5):
+    """Reshare what is over, source by source, until none is above."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    budget, fixed = share * sum(sizes.values()), {}
+    while True:
+        open_ = [s for s in names if s not in fixed]
+        left, total = budget - sum(fixed.values()), sum(weight[s] for s in open_)
+        targets = {s: left * weight[s] / total for s in open_}
+        over = [s for s in open_ if targets[s] > 2 * sizes[s]]
+        if not over:
+            return fixed | targets
+        fixed |= {s: 2.0 * sizes[s] for s in over}
+
+
+def check(rows, texts):
+    """rows: (doc_id, size, source_size, target, taken, source); texts: (doc_id, text, source)."""
+    sizes = defaultdict(int)
+    for _, text, source in texts:
+        sizes[source] += words(text)
+    targets = brute_targets(sizes)
+    assert Counter((r.doc_id, r["size"], r.source) for r in rows) == Counter((i, words(t), s) for i, t, s in texts)
+    taken, largest = defaultdict(int), defaultdict(int)
+    for r in rows:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(targets[r.source])
+        assert r.taken <= 2 * r["size"] and (r["size"] == 0 or r.taken % r["size"] == 0)
+        taken[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r["size"])
+    for source, target in targets.items():
+        # All but the last open fraction meets the target exactly.
+        assert abs(taken[source] - target) <= largest[source] + 1
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    check(op7_mixing(spark, SF_DIR).collect(), [(d.doc_id, d.text, d.source) for d in docs])
+
+
+def test_odd_rows(make_docs, odd_rows):
+    check(mixing.mix(make_docs(odd_rows)).collect(), odd_rows)
+    assert mixing.mix(make_docs([])).collect() == []
+    empty = mixing.mix(make_docs([(1, "", "a"), (2, None, "b")])).collect()
+    assert [(r.taken, r.target) for r in empty] == [(0, 0.0)] * 2
+
+
+def test_reruns_and_partitions_agree(make_docs, odd_rows):
+    docs = make_docs(odd_rows)
+    runs = [sorted(map(repr, mixing.mix(d).collect())) for d in (docs, docs.repartition(5), docs.coalesce(1))]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_many_repeated_rows(make_docs):
+    rows = [(1, "one two three", "a")] * 5000 + [(i, "four five", "b") for i in range(2, 1000)]
+    check(mixing.mix(make_docs(rows, clashing=False)).collect(), rows)
+
+
+def test_rounding_keeps_the_expectation(spark):
+    """Over many seeds an item is rounded up as often as its fraction says, whatever its size."""
+    items = spark.range(12).select(
+        F.lit(0).alias("number"), F.xxhash64("id").alias("key"), F.col("id").alias("doc_id"), (F.col("id") % 4 + 1).alias("size"),
+        F.lit(0).cast("long").alias("content"), ((F.col("id") % 5 + 1) / 6).alias("p"),
+    ).toPandas()
+    up = Counter()
+    n = 3000
+    for seed in range(n):
+        out = mixing._settle(seed)(items)
+        total = (out["p"] * out["size"]).sum()
+        assert total == pytest.approx((items["p"] * items["size"]).sum())
+        assert ((out["p"] > 0) & (out["p"] < 1)).sum() <= 1
+        up.update(dict(zip(out["doc_id"], out["p"])))
+    for doc_id, p in zip(items["doc_id"], items["p"]):
+        assert up[doc_id] / n == pytest.approx(p, abs=0.05)
+
+
+def test_layers_of_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    items = spark.range(1000).select(
+        F.lit(0).alias("number"), F.xxhash64("id").alias("key"), F.col("id").alias("doc_id"), (F.col("id") % 9 + 1).alias("size"),
+        F.lit(0).cast("long").alias("content"), F.lit(0.3).alias("p"),
+    )
+    up = mixing.pivotal_rounding(items, 5).agg(F.sum("size")).first()[0]
+    assert abs(up - 0.3 * sum(i % 9 + 1 for i in range(1000))) <= 9
+
+
+def test_applied(make_docs, odd_rows):
+    docs = make_docs(odd_rows)
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns
+    times = Counter((r.doc_id, r.text) for r in out.collect())
+    rows = Counter((i, t) for i, t, _ in odd_rows)
+    assert all(n <= 2 * rows[k] for k, n in times.items())
+    assert mixing.apply_mix(make_docs([])).collect() == []

@@ -1,0 +1,82 @@
+import hashlib
+import random
+
+import pytest
+
+from seqwatch.checks.compare import connect, oracle_rows, spark_rows
+from seqwatch.llm import warc
+from seqwatch.llm.oracle import ORACLE
+from seqwatch.llm.queries import op5_warc
+from seqwatch.session import scratch_path
+
+SF_DIR = "/root/testdata/sf0.001"
+PAGES = "page_id bigint, url string, html string, archive string, offset int, position int, payload string"
+
+
+@pytest.fixture(scope="module")
+def odd_pages(spark):
+    big, other = "<p>" + "x" * 2000, "<p>\r\n\r\nWARC/1.1\r\n" + "é" * 600
+    rows = [
+        (1, "http://www.a.com:80/x?b=1#f", big), (2, "https://a.com/X?b=1", big), (3, None, big), (4, "ftp://b.a.com", other), (4, "ftp://b.a.com", other),
+        (4, "ftp://b.a.com", other), (5, "http://a.com/x?b=1", ""), (6, "http://a.com", None), (None, "x y\r\nz", big), (7, "", "short"), (8, "", "short"),
+    ]
+    return spark.createDataFrame([(*row, "clash", 1, 2, "clash") for row in rows], PAGES), rows
+
+
+def test_against_sql(spark):
+    with connect(SF_DIR) as duck:
+        assert spark_rows(op5_warc(spark, SF_DIR)) == oracle_rows(duck, ORACLE["op5_warc"])
+
+
+def test_odd_pages(spark, odd_pages):
+    frame, rows = odd_pages
+    out = warc.capture_histories(frame).collect()
+    assert len(out) == len(rows) and sorted(r.position for r in out) == list(range(len(rows)))
+    for i in (1, 2, 3, None):
+        found = [r for r in out if r.page_id == i][0]
+        assert found.payload_digest == hashlib.sha1(rows[0][2].encode()).hexdigest() and found.payload_bytes == 2003
+        assert (found.record_type, found.refers_to) == (("response", None) if i == 3 else ("revisit", 3))
+    again = sorted((r.record_type, r.refers_to or 0) for r in out if r.page_id == 4)
+    assert again == [("response", 0), ("revisit", 4), ("revisit", 4)]
+    assert {(r.payload_bytes, r.record_type) for r in out if r.page_id in (5, 6)} == {(0, "response")}
+    assert {r.record_type for r in out if r.page_id in (7, 8)} == {"response"}
+    keys = {r.page_id: r.url_key for r in out}
+    assert keys[1] == "com,a)/x?b=1" and keys[4] == "com,a,b)/" and keys[3] == ""
+    in_order = sorted(out, key=lambda r: r.position)
+    assert [r.url_key for r in in_order] == sorted(r.url_key for r in out)
+
+
+def test_empty_table(spark):
+    assert warc.capture_histories(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_archives_are_whole_and_standard(spark, odd_pages):
+    folder = scratch_path(spark, "warc-test")
+    warc.write_archives(odd_pages[0], folder, per_file=3)
+    found = warc.read_archives(spark, folder).collect()
+    assert len(found) == len(odd_pages[1]) and len({r.archive for r in found}) >= 4
+
+
+def test_damage_is_found():
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Date: x\r\nWARC-Payload-Digest: sha1:00\r\nX-Payload-Length: 1\r\nContent-Length: 6\r\n\r\n"
+    with pytest.raises(ValueError, match="damaged"):
+        list(warc.records((head + "H\r\n\r\na\r\n\r\n").encode()))
+
+
+@pytest.mark.parametrize("sizes", [[0], [5], [3, 0, 4], [1] * 7, [10, 1, 30, 2, 0, 9], [50] * 13])
+def test_loser_tree(sizes):
+    rng = random.Random(len(sizes))
+    keys, runs = [], []
+    for size in sizes:
+        runs.append(range(len(keys), len(keys) + size))
+        keys += sorted((rng.randrange(20), rng.random()) for _ in range(size))
+    assert [keys[i] for i in warc.loser_tree(runs, keys)] == sorted(keys)
+
+
+def test_ranges_follow_each_other(spark):
+    folder = scratch_path(spark, "warc-test")
+    warc.write_archives(spark.read.parquet(f"{SF_DIR}/pages.parquet").repartition(5), folder)
+    runs = warc.read_archives(spark, folder)
+    one = sorted(warc.merge_indexes(runs, per_range=40).collect(), key=lambda r: r.position)
+    assert [r.position for r in one] == list(range(runs.count()))
+    assert [(r.url_key, r.captured) for r in one] == sorted((r.url_key, r.captured) for r in one)
