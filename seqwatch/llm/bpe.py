@@ -214,7 +214,7 @@ def concatenate(codec: Codec, pieces: list[str], encoded: list[tuple]) -> np.nda
     begins = np.concatenate([[0], np.cumsum([len(piece) for piece in pieces])]).astype(int).tolist()
     sides = [
         (low, high, np.asarray(ids), np.asarray(starts) + low, np.asarray(ends) + low)
-        for low, high, (ids, starts, ends) in zip(begins, begins[1:], encoded, strict=True)
+        for low, high, (ids, starts, ends) in zip(begins[:-1], begins[1:], encoded, strict=True)
     ]
     while len(sides) > 1:
         pairs = zip(sides[::2], sides[1::2], strict=False)
