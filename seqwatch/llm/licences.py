@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from seqwatch.llm.common import store
 from seqwatch.llm.linear import Rows, fit, softmax
 
 # How licences are named and begun, by family.
@@ -154,10 +153,13 @@ def _may_have(model: Classifier, text: str | None) -> bool:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     """A classifier from the templates and a bounded sample of the corpus's paragraphs."""
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
-    hashed = lines.withColumn("h", F.xxhash64("line"))
+    lines = lines.withColumn("h", F.xxhash64("line"))
+    # About twice the sample by a bound on the hash, so that no task has to order more than that.
+    known = max(1, lines.agg(F.approx_count_distinct("h")).first()[0])
+    bound = min(2**63 - 1, int(2**64 * min(1.0, 2 * sample / known)) - 2**63)
+    lines = lines.where(F.col("h") <= bound).select("h", F.substring_index("line", " ", SAMPLE_WORDS).alias("line"))
     # A line that many documents share counts once; only so many words of it are taken along.
-    lines = hashed.select("h", F.substring_index("line", " ", SAMPLE_WORDS).alias("line")).orderBy("h", "line").limit(2 * sample)
-    taken = store(lines, "licence-lines").dropDuplicates(["h"]).orderBy("h").limit(sample)
+    taken = lines.dropDuplicates(["h"]).orderBy("h").limit(sample)
     # One bounded group: the sample. Its model is as small.
     model = taken.groupBy(F.lit(0).alias("one")).applyInPandas(_fit, "features array<string>, weights array<double>, temperature double, least double")
     row = model.first()
