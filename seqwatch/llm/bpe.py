@@ -12,6 +12,9 @@ of the joined sequence is a pair of one of the three. White space is always such
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,6 +25,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from seqwatch.llm.common import carried
+
 #: Texts of more code points are cut.
 LEAF = 65_536
 #: Half the first window, in code points.
@@ -29,7 +34,7 @@ WINDOW = 128
 #: How far a place of agreement within a word is from the ends of both encodings, so that both have seen any special token beside it.
 MARGIN = 32
 #: Words whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 #: Code points encoded at a time.
 AT_ONCE = 2_000_000
 
@@ -42,23 +47,34 @@ def encode(docs: DataFrame, tokenizer: str, leaf: int = LEAF, doc_id: str = "doc
     A null text counts as empty; an empty text has no ids. Special tokens written out in a text become their ids, as
     in the library. Null and repeated ids and repeated rows each keep their row. An empty table gives an
     empty result. Other columns are ignored. The file must be readable at the same path on every executor.
+    Texts are cut only for tokenizers that drop white space; others encode each text whole.
     """
+    return _encoded(docs, tokenizer, leaf, doc_id, text, "ids array<int>", _Ids())
+
+
+def _encoded(docs: DataFrame, tokenizer: str, leaf: int, doc_id: str, text: str, schema: str, kind) -> DataFrame:
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     key = narrow.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *[column.split()[0] for column in schema.split(", ")]]
     length = F.length("text")
-    short = narrow.where(length <= leaf).mapInArrow(_encode_rows(tokenizer), f"doc_id {key}, ids array<int>")
+    encode_rows = _encode_rows(tokenizer, kind, names)
+    if not Codec.of(tokenizer).by_word:
+        return narrow.mapInArrow(encode_rows, f"doc_id {key}, {schema}")
+    short = narrow.where(length <= leaf).mapInArrow(encode_rows, f"doc_id {key}, {schema}")
 
     # Pieces of one text meet again by its id, its hash and its length; equal rows meet as well and are told apart by their number.
-    marked = narrow.where(length > leaf).select("doc_id", F.xxhash64("text").alias("content"), length.alias("length"), "text")
-    pieces = marked.mapInPandas(_halve(leaf), f"doc_id {key}, content bigint, length int, piece int, text string")
+    marked = narrow.where(length > leaf).select(
+        carried(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("content"), length.alias("length"), "text"
+    )
+    pieces = marked.mapInPandas(_halve(leaf), "doc_id string, content bigint, length int, piece int, text string")
     encoded = pieces.repartition("content", "piece").mapInPandas(
         _encode_pieces(tokenizer),
-        f"doc_id {key}, content bigint, length int, piece int, text string, ids array<int>, starts array<int>, ends array<int>",
+        "doc_id string, content bigint, length int, piece int, text string, ids array<int>, starts array<int>, ends array<int>",
     )
     joined = encoded.groupBy("doc_id", "content", "length").applyInPandas(
-        _concatenate(tokenizer), f"doc_id {key}, ids array<int>"
+        _concatenate(tokenizer, kind, names), f"doc_id string, {schema}"
     )
-    return short.unionByName(joined)
+    return short.unionByName(joined.withColumn("doc_id", F.col("doc_id").cast(key)))
 
 
 def decode(ids, tokenizer: str):
@@ -72,15 +88,45 @@ def decode(ids, tokenizer: str):
     return decoded(ids)
 
 
-def digests(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids in decimal, joined by blanks), decoded_sha256 (of the decoded text)."""
-    encoded = encode(docs, tokenizer, doc_id=doc_id, text=text)
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), tokenizer), 256).alias("decoded_sha256"),
-    )
+def digests(docs: DataFrame, tokenizer: str, leaf: int = LEAF, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the ids in decimal, joined by blanks), decoded_sha256 (of the decoded text), as ``encode`` has the ids."""
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return _encoded(docs, tokenizer, leaf, doc_id, text, schema, _Digests())
+
+
+class _Ids:
+    """Rows of ids."""
+
+    def of_word(self, codec: Codec, ids: list[int]) -> tuple:
+        return tuple(ids)
+
+    def columns(self, codec: Codec, texts: list[list[tuple]]) -> list[pa.Array]:
+        sizes = [sum(map(len, words)) for words in texts]
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        values = np.fromiter((i for words in texts for word in words for i in word), dtype=np.int32, count=offsets[-1])
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
+
+
+class _Digests:
+    """Rows of counts and digests, from the parts that each word adds to the written ids and to the decoded text."""
+
+    def of_word(self, codec: Codec, ids: list[int]) -> tuple:
+        return (len(ids), " ".join(map(str, ids)), " ".join([codec.tokens[i] for i in ids]), ids) if ids else ()
+
+    def columns(self, codec: Codec, texts: list[list[tuple]]) -> list[pa.Array]:
+        rows = []
+        for words in texts:
+            if codec.plain:
+                decoded = " ".join([word[2] for word in words])
+            else:
+                decoded = codec.decode([i for word in words for i in word[3]])
+            rows.append((sum([word[0] for word in words]), _sha256(" ".join([word[1] for word in words])), _sha256(decoded)))
+        counts, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
+        return [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+
+
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
 class Codec:
@@ -94,11 +140,17 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[str, list[int]] = {}
+        with open(path, encoding="utf-8") as file:
+            layout = json.load(file)
+        #: Whether blanks only separate words: no token, special token or composed character then spans one.
+        self.by_word = layout["normalizer"] == WORD_NORMALIZER and layout["pre_tokenizer"] == WORD_PRE_TOKENIZER
+        self.model = self.tokenizer.model
         # Without a decoder the library sets blanks between tokens.
         self.plain = self.tokenizer.decoder is None
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(size)]
+        self.words: dict[type, dict[str, tuple]] = {}
+        self.letters: dict[str, list[int]] = {}
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -106,22 +158,36 @@ class Codec:
             cls._known[path] = cls(path)
         return cls._known[path]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts. No token, special token or composed character spans white space, so words are encoded one by one and remembered."""
+    def encode(self, texts: list[str], kind) -> list[list[tuple]]:
+        """What ``kind`` makes of each word, for whole texts; words without tokens are left out."""
+        if not self.by_word:
+            whole = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+            return [[kind.of_word(self, made.ids)] if made.ids else [] for made in whole]
         split = [text.translate(_TO_BLANK).split(" ") for text in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        known = self.words
-        new = list({word for words in split for word in words if word not in known})
-        for word, made in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[word] = made.ids
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for word in words:
-                ids += known[word]
-            out.append(ids)
-        return out
+        known = self.words.setdefault(type(kind), {})
+        if len(known) > REMEMBERED:
+            known.clear()
+            self.letters.clear()
+        new = {word for words in split for word in words if word not in known}
+        for word, ids in self._ids(new):
+            known[word] = kind.of_word(self, ids)
+        return [[made for word in words if (made := known[word])] for words in split]
+
+    def _ids(self, words: set[str]) -> Iterator[tuple[str, list[int]]]:
+        """Ids of words. A run of common letters and the marks after it are two pieces, which the model takes as they are."""
+        others = []
+        for word in words:
+            if found := SIMPLE.fullmatch(word):
+                yield word, self._piece(found[1].lower()) + (self._piece(found[2]) if found[2] else [])
+            else:
+                others.append(word)
+        for word, made in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False), strict=True):
+            yield word, made.ids
+
+    def _piece(self, piece: str) -> list[int]:
+        if piece not in self.letters:
+            self.letters[piece] = [token.id for token in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        return self.letters[piece]
 
     def encode_with_places(self, text: str, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, starts and ends of a piece's tokens; the piece begins at ``at``."""
@@ -136,10 +202,38 @@ class Codec:
         return self.tokenizer.decode(list(ids), skip_special_tokens=False)
 
 
-_TO_BLANK = {ord(blank): " " for blank in BLANKS}
+def _byte_letters() -> dict[int, str]:
+    """Byte-level pieces: bytes that are printable stand for themselves, the others for the letters from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [byte for byte in range(256) if byte not in printable]
+    return {byte: chr(byte) for byte in printable} | {byte: chr(0x100 + i) for i, byte in enumerate(others)}
 
 
-def _encode_rows(tokenizer: str):
+_TO_BLANK = {ord(blank): " " for blank in BLANKS}
+_BYTE_LETTERS = _byte_letters()
+#: Letters up to U+017F, which neither compose nor depend on their neighbours in lower case (but for U+0130), and marks.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([.,;:!?]*)")
+
+# How a tokenizer file says that it lower-cases, drops white space and cuts at letters, digits and marks.
+WORD_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+WORD_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _encode_rows(tokenizer: str, kind, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(tokenizer)
         for batch in batches:
@@ -148,11 +242,8 @@ def _encode_rows(tokenizer: str):
             for group in np.unique(groups):
                 rows = np.flatnonzero(groups == group)
                 part = batch.slice(rows[0], len(rows))
-                ids = codec.encode(part.column("text").to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                values = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=offsets[-1])
-                made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), made], names=["doc_id", "ids"])
+                made = kind.columns(codec, codec.encode(part.column("text").to_pylist(), kind))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], names=names)
 
     return run
 
@@ -172,7 +263,7 @@ def _halve(leaf: int):
                 pieces = halves(row.text, leaf)
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.Series([row.doc_id] * len(pieces), dtype=batch["doc_id"].dtype),
+                        "doc_id": [row.doc_id] * len(pieces),
                         "content": row.content,
                         "length": row.length,
                         "piece": range(len(pieces)),
@@ -196,14 +287,16 @@ def _encode_pieces(tokenizer: str):
     return run
 
 
-def _concatenate(tokenizer: str):
+def _concatenate(tokenizer: str, kind, names: list[str]):
     def run(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
+        codec = Codec.of(tokenizer)
         copies = int((pieces["piece"] == 0).sum())
         pieces = pieces.drop_duplicates("piece").sort_values("piece")
-        ids = concatenate(
-            Codec.of(tokenizer), pieces["text"].tolist(), list(zip(pieces["ids"], pieces["starts"], pieces["ends"], strict=True))
-        )
-        return pd.DataFrame({"doc_id": pd.Series([key[0]] * copies, dtype=pieces["doc_id"].dtype), "ids": [ids] * copies})
+        ids = concatenate(codec, pieces["text"].tolist(), list(zip(pieces["ids"], pieces["starts"], pieces["ends"], strict=True)))
+        word = kind.of_word(codec, ids.tolist())
+        made = [column.to_pylist() * copies for column in kind.columns(codec, [[word] if word else []])]
+        doc_id = pieces["doc_id"].iloc[:1].tolist() * copies
+        return pd.DataFrame(dict(zip(names, [doc_id, *made], strict=True)))
 
     return run
 

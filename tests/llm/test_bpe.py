@@ -73,6 +73,15 @@ def test_windows_stay_small_on_long_words(alphabet):
     ).ids
 
 
+def test_common_words_are_as_in_the_library(library):
+    """Every letter and mark that the short way takes, in words with marks after them."""
+    codec = bpe.Codec.of(tokenizer_path())
+    letters = [chr(i) for i in range(0x180) if bpe.SIMPLE.fullmatch(chr(i))]
+    assert "\u0130" not in letters and len(letters) > 200
+    words = [a + b + mark for a in letters for b, mark in (("", "."), ("St", ","), (a, "?!"), ("x", ""))]
+    assert dict(codec._ids(set(words))) == {w: library.encode(w, add_special_tokens=False).ids for w in words}
+
+
 def test_round_trip_of_ids(spark, make_docs):
     docs = make_docs([(1, "hello there", "a"), (2, None, "a")], clashing=False)
     out = bpe.encode(docs, tokenizer_path()).withColumn("back", bpe.decode(F.col("ids"), tokenizer_path())).orderBy("doc_id").collect()
@@ -85,4 +94,5 @@ def test_other_decoders(tmp_path):
 
     codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"))
     ids = codec.tokenizer.encode("hello there").ids
+    assert not codec.by_word and codec.encode(["hello there", ""], bpe._Ids()) == [[tuple(ids)], []]
     assert codec.decode(ids) == codec.tokenizer.decode(ids, skip_special_tokens=False)
