@@ -29,6 +29,19 @@ def unit(*parts: Column | int) -> Column:
     return (F.shiftrightunsigned(mixed, 12).cast("double") + 0.5) * (2.0**-52)
 
 
+def carried(column: Column) -> Column:
+    """An id on its way through pandas, which would make a column of long numbers with nulls one of doubles."""
+    return column.cast("string")
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, or one like it that the frame doesn't have."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, inside an expression."""
     return F.transform(F.array(value), body)[0]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqwatch.llm.blocks import map_units, pairs_within, to_units
-from seqwatch.llm.common import store
+from seqwatch.llm.common import carried, free_name, store
 from seqwatch.llm.graph import components
 
 WORDS = 3
@@ -60,10 +60,10 @@ def _place(docs: DataFrame, words: int, least: tuple[int, int], doc_id: str, tex
     """Every document with its component (joined, root), and the smallest id of each."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = count_shingles(narrow, words)
-    signed = narrow.withColumn("content", F.xxhash64("text")).mapInPandas(
-        _sign(words, least, counts), "doc_id bigint, content bigint, n int, class bigint, gr bigint, prefix array<bigint>, bitmap binary"
+    signed = narrow.select(carried(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInPandas(
+        _sign(words, least, counts), "doc_id string, content bigint, n int, class bigint, gr bigint, prefix array<bigint>, bitmap binary"
     )
-    signed = store(signed, "jaccard-signed")
+    signed = store(signed.withColumn("doc_id", F.col("doc_id").cast("long")), "jaccard-signed")
     rooted = components(link_classes(narrow, signed, words, least))
     rooted = store(rooted.select(F.col("node").alias("class"), "root"), "jaccard-rooted")
     placed = signed.select("doc_id", "content", "n", "class").join(rooted, "class", "left").select(
@@ -81,13 +81,14 @@ def keep_one_each(docs: DataFrame, words: int = WORDS, least: tuple[int, int] =
     Documents without words link with nothing, so all of them stay. In components without any id the smallest text hash decides.
     """
     has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    name = free_name(docs, "_kept_key")
     placed, _ = _place(docs, words, least, doc_id, text)
     best = placed.where("n > 0").groupBy("joined", "root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("best"))
     row_key = F.xxhash64(F.coalesce(F.col("best.doc_id").cast("string"), F.lit("")), F.col("best.doc_id").isNull(), F.col("best.content"))
-    kept = store(best.select(row_key.alias("_kept_key")).distinct(), "jaccard-kept")
+    kept = store(best.select(row_key.alias(name)).distinct(), "jaccard-kept")
     content_key = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(doc_id).isNull(), F.xxhash64(F.col(text)))
-    worded = docs.where(has_words).withColumn("_kept_key", content_key).dropDuplicates(["_kept_key"])
-    return worded.join(kept, "_kept_key", "left_semi").select(docs.columns).unionByName(docs.where(~has_words))
+    worded = docs.where(has_words).withColumn(name, content_key).dropDuplicates([name])
+    return worded.join(kept, name, "left_semi").drop(name).unionByName(docs.where(~has_words))
 
 
 # Sets
@@ -182,9 +183,11 @@ def _sign(words: int, least: tuple[int, int], counts: np.ndarray):
                 by_count = np.lexsort((shingles, counts[_counter(shingles)]))
                 prefix = shingles[by_count[: prefix_length(n, least)]]
                 rows.append((n, _digest(shingles), _digest(prefix, n), prefix.view(np.int64), parity_bitmap(shingles)))
-            columns = ["n", "class", "gr", "prefix", "bitmap"]
-            out = pd.DataFrame(rows, columns=columns).astype({"class": "Int64", "gr": "Int64"})
-            yield pd.concat([batch[["doc_id", "content"]].reset_index(drop=True), out], axis=1)
+            n, classes, groups, prefixes, bitmaps = zip(*rows, strict=True) if rows else ((),) * 5
+            # Long numbers with nulls among them must not become doubles on the way.
+            yield batch[["doc_id", "content"]].reset_index(drop=True).assign(
+                n=n, **{"class": pd.array(classes, dtype="Int64"), "gr": pd.array(groups, dtype="Int64")}, prefix=prefixes, bitmap=bitmaps
+            )
 
     return run
 

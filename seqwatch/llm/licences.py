@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from seqwatch.llm.common import carried
 from seqwatch.llm.linear import Rows, fit, softmax
 
 # How licences are named and begun, by family.
@@ -133,7 +134,10 @@ def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
             out.insert(0, "doc_id", batch["doc_id"].reset_index(drop=True))
             yield out
 
-    return narrow.mapInPandas(run, f"doc_id {kind}, n_paragraphs bigint, n_licensed bigint, licences string, probability double")
+    told = narrow.withColumn("doc_id", carried(F.col("doc_id"))).mapInPandas(
+        run, "doc_id string, n_paragraphs bigint, n_licensed bigint, licences string, probability double"
+    )
+    return told.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _document(model: Classifier, text: str | None) -> tuple:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seqwatch.llm.common import store, unit
+from seqwatch.llm.common import carried, free_name, store, unit
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -70,10 +70,11 @@ def apply_mix(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), _size(F.col(text)).alias("size"), key.alias("content")
     )
     settled = round_items(narrow, weights, share, max_copies, seed)
-    wanted = settled.select(F.col("content").alias("_mix_key"), (F.col("whole") * F.col("times") + F.col("more")).alias("_mix_copies"))
-    wanted = store(wanted.where("_mix_copies > 0"), "mixing-wanted")
-    once = docs.withColumn("_mix_key", key).dropDuplicates(["_mix_key"])
-    return _repeat(once.join(wanted, "_mix_key"), "_mix_copies", "_mix_turn").select(docs.columns)
+    names = [free_name(docs, name) for name in ("_mix_key", "_mix_copies", "_mix_turn")]
+    wanted = settled.select(F.col("content").alias(names[0]), (F.col("whole") * F.col("times") + F.col("more")).alias(names[1]))
+    wanted = store(wanted.where(F.col(names[1]) > 0), "mixing-wanted")
+    once = docs.withColumn(names[0], key).dropDuplicates([names[0]])
+    return _repeat(once.join(wanted, names[0]), names[1], names[2]).drop(*names)
 
 
 def _size(text: Column) -> Column:
@@ -83,8 +84,9 @@ def _size(text: Column) -> Column:
 def _repeat(rows: DataFrame, times: str, turn: str) -> DataFrame:
     """Each row ``times`` times, numbered from 1, some thousands at a time."""
     starts = F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"), F.lit(BLOCK).cast("long"))
-    rows = rows.withColumn("_start", F.explode(starts))
-    return rows.withColumn(turn, F.explode(F.sequence(F.col("_start"), F.least(F.col(times), F.col("_start") + BLOCK - 1)))).drop("_start")
+    start = free_name(rows, "_start")
+    rows = rows.withColumn(start, F.explode(starts))
+    return rows.withColumn(turn, F.explode(F.sequence(F.col(start), F.least(F.col(times), F.col(start) + BLOCK - 1)))).drop(start)
 
 
 def round_items(narrow: DataFrame, weights: tuple[int, ...], share: float, max_copies: int, seed: int) -> DataFrame:
@@ -106,9 +108,10 @@ def round_items(narrow: DataFrame, weights: tuple[int, ...], share: float, max_c
     open_ = open_.withColumns({"whole": whole.cast("long"), "certain": certain.cast("long"), "p": p})
     open_ = store(open_.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size", "content")), "mixing-open")
 
-    rounded = pivotal_rounding(open_.select("number", "key", "doc_id", "size", "content", "p"), seed)
-    up = rounded.select(*[F.col(c).alias(f"up_{c}") for c in ("number", "doc_id", "size", "content")])
-    keys = [F.col(c).eqNullSafe(F.col(f"up_{c}")) for c in ("number", "doc_id", "size", "content")]
+    open_ = open_.withColumn("name", carried(F.col("doc_id")))
+    rounded = pivotal_rounding(open_.select("number", "key", "name", "size", "content", "p"), seed)
+    up = rounded.select(*[F.col(c).alias(f"up_{c}") for c in ("number", "name", "size", "content")])
+    keys = [F.col(c).eqNullSafe(F.col(f"up_{c}")) for c in ("number", "name", "size", "content")]
     more = F.col("certain") + F.when(F.col("up_number").isNotNull(), 1).otherwise(0)
     settled = open_.join(up, keys, "left").withColumn("more", more)
     return settled.select("doc_id", "source", "size", "content", "times", "source_size", "target", "whole", "more")
@@ -142,7 +145,7 @@ def source_targets(items: DataFrame, weights: tuple[int, ...], share: float, max
 
 
 def pivotal_rounding(items: DataFrame, seed: int = SEED) -> DataFrame:
-    """Those of the items (number, key, doc_id, size, content, p) that are rounded up."""
+    """Those of the items (number, key, name, size, content, p) that are rounded up."""
     open_ = items.where("p > 0")
     # Layer by layer the blocks become fewer; a source's own number of items decides how many it needs.
     counted = store(open_.groupBy("number").agg(F.count(F.lit(1)).alias("n")), "mixing-counts")
@@ -167,7 +170,7 @@ def _settle(seed: int):
     """Rounds a block until one fraction at most is open."""
 
     def settle(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["key", "doc_id", "size", "content"], kind="stable").reset_index(drop=True)
+        block = block.sort_values(["key", "name", "size", "content"], kind="stable").reset_index(drop=True)
         chance = _uniform(block["key"].to_numpy(), seed)
         p, size = block["p"].to_numpy().tolist(), block["size"].to_numpy().tolist()
         held = 0

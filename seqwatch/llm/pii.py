@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seqwatch.llm.common import store
+from seqwatch.llm.common import free_name, store
 
 # The base patterns. Possessive quantifiers and the look at what is before a match (or its being
 # where the last one ended) find the same matches in linear time, without recursion.
@@ -46,12 +46,12 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spans = all_spans(rows, scanned)
     joined = scanned.select("doc_id", "key").join(spans, "key", "left")
     base = F.filter("spans", lambda s: s["place"] < len(PATTERNS))
-    counts = {
-        f"n_{kind}": F.coalesce(F.size(F.filter("spans", lambda s, place=i: s["place"] == place)), F.lit(0)).cast("long")
-        for i, kind in enumerate(KINDS)
-    }
-    for name, column in counts.items():
-        counts[name] = F.when(F.col("spans").isNull(), F.lit(0).cast("long")).otherwise(column)
+
+    def count(place: int) -> Column:
+        found = F.size(F.filter("spans", lambda s: s["place"] == place))
+        return F.when(F.col("spans").isNull(), 0).otherwise(found).cast("long")
+
+    counts = {f"n_{kind}": count(place) for place, kind in enumerate(KINDS)}
     return joined.select(
         "doc_id", *[counts[f"n_{kind}"].alias(f"n_{kind}") for kind in PATTERNS],
         F.sha2(F.coalesce(_written(base), F.lit("")), 256).alias("base_sha256"),
@@ -64,17 +64,17 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
 
     Texts without any keep as they are, null ones too; ``length``, if there is such a column, follows the new text.
     """
-    names = docs.columns
+    names, key, found = docs.columns, free_name(docs, "_pii_key"), free_name(docs, "_pii_spans")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    spans = all_spans(rows, scan(rows)).withColumnsRenamed({"key": "_pii_key", "spans": "_pii_spans"})
+    spans = all_spans(rows, scan(rows)).withColumnsRenamed({"key": key, "spans": found})
     # Every base kind has an @ or a digit, so other texts need not be moved.
     may_have = F.coalesce(F.col(text).rlike("[@0-9]"), F.lit(False))
-    touched = docs.where(may_have).withColumn("_pii_key", F.md5(text)).join(spans, "_pii_key", "left")
-    touched = touched.withColumn(text, F.when(F.col("_pii_spans").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col("_pii_spans"))))
+    touched = docs.where(may_have).withColumn(key, F.md5(text)).join(spans, key, "left")
+    touched = touched.withColumn(text, F.when(F.col(found).isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col(found))))
     if length in names:
         kind = docs.schema[length].dataType
-        touched = touched.withColumn(length, F.when(F.col("_pii_spans").isNull(), F.col(length)).otherwise(F.length(text).cast(kind)))
-    return touched.select(names).unionByName(docs.where(~may_have))
+        touched = touched.withColumn(length, F.when(F.col(found).isNull(), F.col(length)).otherwise(F.length(text).cast(kind)))
+    return touched.drop(key, found).select(*[F.col(f"`{name}`") for name in names]).unionByName(docs.where(~may_have))
 
 
 def replaced(text: Column, spans: Column) -> Column:

@@ -37,8 +37,9 @@ def top_products(
     cosine that is still of use. Over 1 the bucket is skipped; when low, candidates that are too short are left out; when
     high, those whose largest coordinates differ too much from the query's. The rest are multiplied out.
     """
+    # A null id is the largest number until the end, where ``known`` tells it from one.
     rows = vectors.select(
-        F.col(vec_id).cast("long").alias("vec_id"), F.coalesce(queries, F.lit(False)).alias("query"),
+        F.coalesce(F.col(vec_id).cast("long"), F.lit(LARGEST)).alias("vec_id"), F.col(vec_id).isNotNull().alias("known"), F.coalesce(queries, F.lit(False)).alias("query"),
         F.col(embedding).isNotNull().alias("given"), F.transform(embedding, lambda x: x.cast("double") * scale).alias("raw"),
     )
     usable = F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -52,7 +53,7 @@ def top_products(
     sizes = rows.groupBy("dim", "class").agg(F.count(F.lit(1)).alias("n"))  # as many rows as classes of length
     blocks = sizes.select("dim", "class", F.ceil(F.col("n") / CANDIDATES).alias("blocks"))
     candidates = rows.join(blocks, ["dim", "class"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    asked = rows.where(F.col("query") & F.col("vec_id").isNotNull())
+    asked = rows.where("query and known")
     asked_sizes = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
     asked = asked.join(asked_sizes, "dim").withColumn("part", F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts")).cast("int"))
 
@@ -61,12 +62,13 @@ def top_products(
     right = asked.drop("class").join(blocks, "dim")
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     keys = ["dim", "class", "block", "part"]
-    left = left.select(*keys, "row", "vec_id", "vector")
+    left = left.select(*keys, "row", "vec_id", "known", "vector")
     # Both sides come from one table; names of their own keep them apart.
     right = right.select(*[F.col(name).alias(f"q_{name}") for name in (*keys, "row", "vec_id", "vector")])
     found = left.groupBy(*keys).cogroup(right.groupBy(*[f"q_{name}" for name in keys])).applyInPandas(
-        _search(k), "query_row bigint, query_id bigint, row bigint, vec_id bigint, score bigint"
+        _search(k), "query_row bigint, query_id bigint, row bigint, vec_id bigint, known boolean, score bigint"
     )
+    found = found.withColumn("vec_id", F.expr("if(known, vec_id, null)"))
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -79,13 +81,12 @@ def _floor(x: Column) -> Column:
 
 def _search(k: int):
     def search(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({name: pd.Series(dtype="int64") for name in ("query_row", "query_id", "row", "vec_id", "score")})
+        empty = pd.DataFrame({name: pd.Series(dtype="int64") for name in ("query_row", "query_id", "row", "vec_id", "known", "score")})
         if candidates.empty or queries.empty:
             return empty
         query, q = queries["q_row"].to_numpy(), np.stack(queries["q_vector"].to_numpy()).astype(float)
         x = np.stack(candidates["vector"].to_numpy()).astype(float)
-        # A null id comes last among equals.
-        ids = candidates["vec_id"].astype("Int64").fillna(LARGEST).astype("int64").to_numpy()
+        ids = candidates["vec_id"].to_numpy()
         score, at = best_products(q, query, x, ids, candidates["row"].to_numpy(), k)
         filled = at >= 0
         which, column = np.nonzero(filled)
@@ -95,7 +96,8 @@ def _search(k: int):
                 "query_row": query[which],
                 "query_id": queries["q_vec_id"].to_numpy()[which],
                 "row": candidates["row"].to_numpy()[found],
-                "vec_id": candidates["vec_id"].astype("Int64").to_numpy()[found],
+                "vec_id": ids[found],
+                "known": candidates["known"].to_numpy()[found],
                 "score": score[which, column],
             }
         )

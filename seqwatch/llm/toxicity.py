@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seqwatch.llm.common import store
+from seqwatch.llm.common import carried, store
 from seqwatch.llm.linear import Rows, fit, softmax
 
 #: Labelled documents that the chain is fitted on, at most: those of the smallest id hashes.
@@ -84,8 +84,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: s
             out.insert(0, "doc_id", batch["doc_id"].reset_index(drop=True))
             yield out.assign(toxic=p[:, chain.categories.index("toxic")] >= chain.threshold)
 
-    schema = ", ".join([f"doc_id {kind}", *[f"p_{c} double" for c in chain.categories], "toxic boolean"])
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, schema)
+    schema = ", ".join(["doc_id string", *[f"p_{c} double" for c in chain.categories], "toxic boolean"])
+    texts = docs.select(carried(F.col(doc_id)).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return texts.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from seqwatch.llm.common import store
+from seqwatch.llm.common import carried, store
 from seqwatch.session import scratch_path
 
 #: Payloads of fewer bytes are always kept in full.
@@ -131,8 +131,9 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for row in rows:
                 row["archive"] = path.rsplit("/", 1)[-1]
             names = [column.split()[0] for column in CAPTURE.split(", ")]
-            frame = pd.DataFrame(rows, columns=names)
-            yield frame.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64", "offset": "int64"})
+            kinds = {"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64", "offset": "Int64"}
+            # Long numbers with nulls among them must not become doubles on the way.
+            yield pd.DataFrame({name: pd.array([row[name] for row in rows], dtype=kinds.get(name, "object")) for name in names})
 
 
 def records(archive: bytes) -> Iterator[dict]:
@@ -170,7 +171,11 @@ def merge_indexes(runs: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
     runs = store(runs, "warc-runs")
     n_ranges = max(1, -(-runs.count() // per_range))
     dealt = runs.repartitionByRange(n_ranges, *ORDER).sortWithinPartitions("archive", "place")
-    merged = store(dealt.mapInPandas(_merge_range, f"{CAPTURE}, place bigint").withColumn("range", F.spark_partition_id()), "warc-merged")
+    ids = ("page_id", "refers_to")
+    dealt = dealt.withColumns({name: F.coalesce(carried(F.col(name)), F.lit("")) for name in ids})
+    merged = dealt.mapInPandas(_merge_range, f"{CAPTURE}, place bigint".replace("page_id bigint", "page_id string").replace("refers_to bigint", "refers_to string"))
+    merged = merged.withColumns({name: F.when(F.col(name) != "", F.col(name)).cast("long") for name in ids})
+    merged = store(merged.withColumn("range", F.spark_partition_id()), "warc-merged")
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = merged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # one row per range
     starts = starts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -193,8 +198,9 @@ def _merge_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(batches), ignore_index=True)
     if rows.empty:
         return
-    sortable = rows[ORDER].astype(object).where(rows[ORDER].notna(), None)
-    keys = [tuple((value is not None, value) for value in row) for row in sortable.itertuples(index=False, name=None)]
+    sortable = rows[ORDER].assign(page_id=[int(x) if x else -1 for x in rows["page_id"].fillna("")], known=rows["page_id"] != "")
+    sortable = sortable[["url_key", "captured", "known", "page_id", "archive", "offset"]]
+    keys = list(sortable.itertuples(index=False, name=None))
     begins = [0, *[i for i in range(1, len(rows)) if rows["archive"].iat[i] != rows["archive"].iat[i - 1]], len(rows)]
     order = list(loser_tree([range(a, b) for a, b in zip(begins, begins[1:], strict=False)], keys))
     merged = rows.iloc[order].reset_index(drop=True)

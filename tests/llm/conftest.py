@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from seqwatch.llm.common import ship_package
 
 #: Columns beside the documents' own, with names that operators use inside.
-CLASHING = ("size", "shard", "row", "part", "n", "class", "key", "spans", "content", "times", "turn", "root", "ids", "copies", "list", "_kept_key")
+CLASHING = ("size", "shard", "row", "part", "n", "class", "key", "spans", "content", "times", "turn", "root", "ids", "copies", "list", "_kept_key", "_mix_key", "_pii_key", "_start")
 
 
 @pytest.fixture(autouse=True)

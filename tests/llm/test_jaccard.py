@@ -1,0 +1,155 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seqwatch.checks.compare import connect, oracle_rows, spark_rows
+from seqwatch.llm import jaccard
+from seqwatch.llm.graph import components
+from seqwatch.llm.oracle import ORACLE
+from seqwatch.llm.queries import op9_jaccard
+
+from .conftest import prose
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def shingles(text, words):
+    found = (text or "").encode().lower().split()
+    return {tuple(found[i : i + words]) for i in range(len(found) - words + 1)} if len(found) >= words else ({tuple(found)} if found else set())
+
+
+def brute(rows, words=3, least=(90, 100)):
+    sets = [shingles(text, words) for _, text, *_ in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and least[1] * shared >= least[0] * (len(sets[i]) + len(sets[j]) - shared):
+                root[find(i)] = find(j)
+    ids = {}
+    for i, (doc_id, *_) in enumerate(rows):
+        ids.setdefault(find(i), []).append(doc_id)
+    return sets, [min((x for x in ids[find(i)] if x is not None), default=None) for i in range(len(rows))]
+
+
+def expected(rows, *args):
+    sets, smallest = brute(rows, *args)
+    return sorted(repr((r[0], len(s), c)) for r, s, c in zip(rows, sets, smallest))
+
+
+def test_whole_table_against_sql(spark):
+    with connect(SF_DIR) as duck:
+        assert spark_rows(op9_jaccard(spark, SF_DIR)) == oracle_rows(duck, ORACLE["op9_jaccard"])
+
+
+def test_odd_rows(make_docs, odd_rows):
+    out = jaccard.similar_documents(make_docs(odd_rows)).collect()
+    assert sorted(repr(tuple(r)) for r in out) == expected(odd_rows)
+    assert jaccard.similar_documents(make_docs([])).collect() == []
+    assert [tuple(r) for r in jaccard.similar_documents(make_docs([(1, None, None)])).collect()] == [(1, 0, 1)]
+
+
+def variants(seed, n, base, edits):
+    """Copies of a text with some words changed."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        found = base.split()
+        for _ in range(rng.randrange(edits + 1)):
+            found[rng.randrange(len(found))] = f"v{rng.randrange(10**6)}"
+        out.append(" ".join(found))
+    return out
+
+
+@pytest.mark.parametrize("words, least, block", [(3, (90, 100), 512), (5, (80, 100), 512), (3, (90, 100), 8), (2, (1, 2), 16)])
+def test_families_of_copies_against_brute_force(make_docs, monkeypatch, words, least, block):
+    """Near copies around the limit, groups larger than a block, shared passages, equal texts under one id."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(words * block)
+    passage = prose(99, 60)
+    texts = [prose(1000 + i, rng.randrange(20, 200)) for i in range(60)]
+    texts += [prose(2000 + i, rng.randrange(20, 60)) + " " + passage for i in range(40)]
+    for family in range(4):
+        texts += variants(family, 45, prose(family, 40 + 60 * family), 5)
+    texts += texts[:10] + [t.upper() for t in texts[100:110]] + variants(9, 30, passage, 3)
+    # Chains: each differs a little from the one before.
+    chain = prose(5, 150).split()
+    for i in range(30):
+        chain[rng.randrange(len(chain))] = f"c{i}"
+        texts.append(" ".join(chain))
+    rows = [(i * 7 % 1009, t, "a") for i, t in enumerate(texts)]
+    out = jaccard.similar_documents(make_docs(rows, clashing=False), words, least).collect()
+    assert sorted(repr(tuple(r)) for r in out) == expected(rows, words, least)
+
+
+def test_groups_of_equal_prefixes(make_docs):
+    """Sets that differ only in their commonest shingles share prefix and size, and still link only if they are alike."""
+    common = [f"common{i}" for i in range(8)]
+    rows = []
+    for i in range(200):
+        rows.append((1000 + i, " ".join(common * 3) + f" filler{i}", "a"))
+    rare = " ".join(f"rare{i}" for i in range(25))
+    for i in range(8):
+        rows.append((i, rare + " " + " ".join(common[j] for j in range(8) if j != i), "a"))
+    out = jaccard.similar_documents(make_docs(rows, clashing=False)).collect()
+    assert sorted(repr(tuple(r)) for r in out) == expected(rows)
+
+
+def test_one_of_each_component_is_kept(make_docs, odd_rows):
+    docs = make_docs(odd_rows)
+    kept = jaccard.keep_one_each(docs)
+    assert kept.columns == docs.columns
+    out = sorted(repr((r.doc_id, r.text)) for r in kept.collect())
+    sets, smallest = brute(odd_rows)
+    wanted = {repr((i, t)) for (i, t, _), s, c in zip(odd_rows, sets, smallest) if s and i == c}
+    assert out == sorted([*wanted, *[repr((i, t)) for (i, t, _), s in zip(odd_rows, sets) if not s]])
+
+
+def test_bitmaps_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, rng.integers(0, 90)).astype(np.uint64)]))
+        if len(b):
+            apart = jaccard._differences([jaccard.parity_bitmap(a)], [jaccard.parity_bitmap(b)])[0]
+            assert apart <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "random", "none", "pairs"])
+def test_components(spark, shape):
+    rng = random.Random(1)
+    edges = {
+        "path": [(i, i + 1) for i in range(300)], "star": [(0, i) for i in range(1, 300)], "none": [(5, 5)], "pairs": [(2 * i, 2 * i + 1) for i in range(50)],
+        "random": [(rng.randrange(400), rng.randrange(400)) for _ in range(180)],
+    }[shape]
+    out = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        return x if root[x] == x else find(root[x])
+
+    for a, b in edges:
+        if a != b:
+            root[find(a)] = find(b)
+    assert set(out) == set(root)
+    assert all((out[a] == out[b]) == (find(a) == find(b)) for a in root for b in list(root)[:20])
+
+
+def test_only_marked_texts_are_shingled_again(spark, make_docs):
+    docs = make_docs([(i, prose(i, 50), "a") for i in range(50)] + [(99, prose(1, 50) + " end", "a")], clashing=False)
+    assert [r.component_id for r in jaccard.similar_documents(docs).where(F.col("doc_id") == 99).collect()] == [1]
+
+
+def test_long_ids_keep_every_digit_beside_nulls(make_docs):
+    rows = [(2**62 + 1, prose(1, 30), "a"), (2**62 + 3, prose(1, 30), "a"), (None, prose(2, 30), "a"), (4, None, "a")]
+    out = {(r.doc_id, r.component_id) for r in jaccard.similar_documents(make_docs(rows)).collect()}
+    assert out == {(2**62 + 1, 2**62 + 1), (2**62 + 3, 2**62 + 1), (None, None), (4, 4)}

@@ -72,7 +72,7 @@ def test_many_repeated_rows(make_docs):
 def test_rounding_keeps_the_expectation(spark):
     """Over many seeds an item is rounded up as often as its fraction says, whatever its size."""
     items = spark.range(12).select(
-        F.lit(0).alias("number"), F.xxhash64("id").alias("key"), F.col("id").alias("doc_id"), (F.col("id") % 4 + 1).alias("size"),
+        F.lit(0).alias("number"), F.xxhash64("id").alias("key"), F.col("id").cast("string").alias("name"), (F.col("id") % 4 + 1).alias("size"),
         F.lit(0).cast("long").alias("content"), ((F.col("id") % 5 + 1) / 6).alias("p"),
     ).toPandas()
     up = Counter()
@@ -82,15 +82,15 @@ def test_rounding_keeps_the_expectation(spark):
         total = (out["p"] * out["size"]).sum()
         assert total == pytest.approx((items["p"] * items["size"]).sum())
         assert ((out["p"] > 0) & (out["p"] < 1)).sum() <= 1
-        up.update(dict(zip(out["doc_id"], out["p"])))
-    for doc_id, p in zip(items["doc_id"], items["p"]):
-        assert up[doc_id] / n == pytest.approx(p, abs=0.05)
+        up.update(dict(zip(out["name"], out["p"])))
+    for name, p in zip(items["name"], items["p"]):
+        assert up[name] / n == pytest.approx(p, abs=0.05)
 
 
 def test_layers_of_the_tree(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 8)
     items = spark.range(1000).select(
-        F.lit(0).alias("number"), F.xxhash64("id").alias("key"), F.col("id").alias("doc_id"), (F.col("id") % 9 + 1).alias("size"),
+        F.lit(0).alias("number"), F.xxhash64("id").alias("key"), F.col("id").cast("string").alias("name"), (F.col("id") % 9 + 1).alias("size"),
         F.lit(0).cast("long").alias("content"), F.lit(0.3).alias("p"),
     )
     up = mixing.pivotal_rounding(items, 5).agg(F.sum("size")).first()[0]
