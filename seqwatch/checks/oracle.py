@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# Views over the given tables; see FIXTURES.md.
+# Views over the given tables; see FIXTURES.md. The phrases in ``rules`` and ``matches``.
 VIEWS = {
     "cases": """
 select o.o_orderkey as case_id,
@@ -181,6 +181,7 @@ select serotype, cast(sum(case when outcome = 'included' then {weight} else 0 en
   cast(sum(case when outcome = 'errors' then {weight} else 0 end) as bigint) as errors
 from {source} group by serotype"""
 
+# The age bands and the sex labels.
 _AGE = """case when edad <= 5 then '0-5 years' when edad <= 17 then '6-17 years' when edad <= 60 then '18-60 years'
   else '60+ years' end"""
 
@@ -209,6 +210,16 @@ _PURGE_STATS = _with(
     "seqs",
 )
 
+_LAYOUTS = _with(
+    """select regexp_extract(header, '^[ ]*([^ ]*)', 1) as id, header as description, sequence
+from (select concat(case when doc_id % 3 = 0 then '>' else '' end, description) as header, sequence from seqs
+  union all select '' as header, '' as sequence from seqs)""",
+    "seqs",
+)
+
+_REGION_GEOMETRY = """(select upper(trim(n_name)) as name,
+  concat('{"type":"Point","coordinates":[', cast(n_nationkey as varchar), ',', cast(n_regionkey as varchar), ']}') as geometry from nation)"""
+
 ORACLE: dict[str, str] = {
     "region_year_map": _with(_fill("year_table", "name, year", "partition by year"), "year_table"),
     "region_year_map_from_text": _with(_fill("text_year_table", "name, year", "partition by year"), "text_year_table"),
@@ -259,7 +270,8 @@ from (select distinct ano from cases where ano is not null)""",
     ),
     "distinct_regions": _with("select distinct dept from cases", "cases"),
     "blank_to_null": _with(
-        "select case_id, ano, nullif(fec_txt, '') as fec_txt, nullif(sexo, '') as sexo, edad, nullif(dept, '') as dept from cases",
+        """select case_id, ano, fec_not, nullif(fec_txt, '') as fec_txt, nullif(sexo, '') as sexo, edad, nullif(dept, '') as dept
+from cases""",
         "cases",
     ),
     "parsed_dates": _with(
@@ -306,12 +318,41 @@ from seqs s join matches m on m.doc_id = s.doc_id""",
         "select doc_id, serotype, cast(count(*) over (partition by doc_id) as int) as n_serotypes from matches", "matches"
     ),
     "all_serotypes_union": _with("select doc_id, serotype, body from matches", "matches"),
+    "one_serotype": _with("select doc_id, serotype, body from matches where serotype = 'DENV2'", "matches"),
+    "document_records": _with(
+        """select doc_id, cast(1 as int) as number, concat('D', cast(doc_id as varchar)) as id, description, sequence from seqs""",
+        "seqs",
+    ),
+    "purge_by_serotype": _with(
+        """select m.serotype, concat('D', cast(s.doc_id as varchar)) as id, s.description, upper(s.sequence) as sequence
+from seqs s join matches m on m.doc_id = s.doc_id where not regexp_matches(upper(s.sequence), '[-N]')""",
+        "matches",
+    ),
+    "purge_stats_by_serotype": _with(
+        """select r.serotype, count(s.doc_id) as total,
+  count(s.doc_id) filter (not regexp_matches(upper(s.sequence), '[-N]')) as valid,
+  count(s.doc_id) filter (regexp_matches(upper(s.sequence), '[-N]')) as removed
+from rules r left join matches m on m.serotype = r.serotype left join seqs s on s.doc_id = m.doc_id group by r.serotype""",
+        "matches",
+    ),
     "search_ids": _with("select retstart, rank, id from listed", "listed"),
     "pages_before_cutoff": _with("select retstart, n_ids from used_pages", "used_pages"),
     "search_cutoff": _with(
         "select coalesce(min(retstart) filter (n_ids = 0), max(retstart) + 100) as cut from search_pages", "search_pages"
     ),
+    "fetch_log": _with("select id, attempt, status, body from fetch_log", "fetch_log"),
+    "numbered_attempts": """
+select * from (select user_id as id, event_id,
+    cast(row_number() over (partition by user_id order by ts, event_id) as int) as attempt,
+    case event_type when 'signup' then 200 when 'error' then null else 503 end as status from events) where attempt <= 5""",
     "first_success": _with("select id, attempt, body from fetched", "fetched"),
+    "first_success_two_tries": _with(
+        """select ids.id, f.attempt, f.body
+from (select distinct id from fetch_log) ids left join (
+  select id, attempt, body from fetch_log where status = 200 and attempt <= 2
+  qualify row_number() over (partition by id order by attempt) = 1) f on f.id = ids.id""",
+        "fetch_log",
+    ),
     "fetch_outcomes": _with("select id, outcome from judged where serotype = 'DENV1'", "judged"),
     "curate": _with(_STATS.format(weight="1", source="judged"), "judged"),
     "curate_kept": _with(_KEPT, "judged"),
@@ -325,10 +366,24 @@ from seqs s join matches m on m.doc_id = s.doc_id""",
         "judged",
     ),
     "curate_search_kept": _with(_KEPT + " and id in (select id from sought)", "sought", "judged"),
+    "curate_search_to_folder_kept": _with(_KEPT + " and id in (select id from sought)", "sought", "judged"),
     "csv_cases": _with("select case_id, ano, fec_txt, sexo, edad, dept from cases", "cases"),
     "geojson_regions": """select n_name as "DPTO_CNMBR",
   concat('{"type":"Point","coordinates":[', cast(n_nationkey as varchar), ',', cast(n_regionkey as varchar), ']}') as geometry
 from nation""",
+    "region_map_from_files": _with(
+        f"""select t.name as "DPTO_CNMBR", g.geometry, t.casos, t.fill
+from ({_fill("region_table", "name", "")}) t join {_REGION_GEOMETRY} g on g.name = t.name""",
+        "region_table",
+    ),
+    "region_year_map_from_files": _with(
+        f"""select t.name as "DPTO_CNMBR", g.geometry, t.year, t.casos, t.fill
+from ({_fill("text_year_table", "name, year", "partition by year")}) t join {_REGION_GEOMETRY} g on g.name = t.name""",
+        "text_year_table",
+    ),
+    "fasta_layouts": _LAYOUTS,
+    "fasta_layouts_whole": _LAYOUTS,
+    "folder_children": _with("select concat('D', cast(doc_id as varchar)) as id, description, sequence from seqs", "seqs"),
     "kept_partitions": _with(_KEPT, "judged"),
     "curate_to_folder": _with(_STATS.format(weight="1", source="judged"), "judged"),
     "purge_folder": _with(
@@ -345,3 +400,6 @@ where cast({_AMBIGUOUS} as double) / nullif(length(sequence), 0) <= 0.05""",
     "filter_fasta_stats": _AMBIGUITY_STATS,
     "map_partitions": _with(_fill("year_table", "name, year", "partition by year"), "year_table"),
 }
+# The same tables by way of files, and the same counts on the way to them.
+ORACLE["case_tables_from_files"] = ORACLE["case_tables"]
+ORACLE["curate_search_to_folder"] = ORACLE["curate_search"]

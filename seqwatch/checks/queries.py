@@ -15,7 +15,7 @@ from seqwatch.session import scratch_path
 from seqwatch.sinks import fasta as fasta_sink
 from seqwatch.sinks.tables import write_region_years
 from seqwatch.sources.cases import read_cases
-from seqwatch.sources.fasta import read_fasta, read_fasta_entries
+from seqwatch.sources.fasta import read_fasta, read_fasta_entries, read_fasta_folder, records_of_documents
 from seqwatch.sources.regions import read_regions
 from seqwatch.sources.search import count_ids, explode_ids
 
@@ -43,7 +43,10 @@ def cases_by_age_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def case_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three tables of the job in one: they share one pass over the cases."""
-    tables = surveillance.case_tables(standins.cases(spark, sf_dir), "ano", "sexo", "edad")
+    return _one_table(surveillance.case_tables(standins.cases(spark, sf_dir), "ano", "sexo", "edad"))
+
+
+def _one_table(tables: surveillance.CaseTables) -> DataFrame:
     parts = {"annual": tables.annual, "sex": tables.by_sex, "age_group": tables.by_age_group}
     keys = {"annual": F.lit(None).cast("string"), "sex": F.col("sexo"), "age_group": F.col("age_group")}
     return sequences.union_collections(
@@ -107,7 +110,7 @@ def distinct_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blank_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return case_ops.blanks_to_null(standins.cases(spark, sf_dir).select("case_id", "ano", "fec_txt", "sexo", "edad", "dept"))
+    return case_ops.blanks_to_null(standins.cases(spark, sf_dir))
 
 
 def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +185,8 @@ def combined_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = sequences.match_serotypes(standins.seqs(spark, sf_dir), text="description")
     fasta_sink.write_fasta(records, folder, PURGED_WIDTH, partition_by=["serotype"])
     output = scratch_path(spark, "combined")
-    fasta_sink.write_combined(read_fasta_entries(spark, folder), output, [folder])
+    sets = [f"{folder}/serotype={label}" for label in SEROTYPE_PHRASES]
+    fasta_sink.write_combined(read_fasta_entries(spark, sets), output, [folder])
     return read_fasta(spark, output).select("id", "description", "sequence")
 
 
@@ -191,9 +195,12 @@ def serotype_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_serotypes_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sets of the serotypes, each made by itself, as one collection."""
-    sets = [sequences.keep_serotype(standins.documents(spark, sf_dir), label) for label in SEROTYPE_PHRASES]
-    return sequences.union_collections(*sets).select("doc_id", "serotype", "body")
+    """The sets of all serotypes as one collection, from one pass over the documents."""
+    return sequences.match_serotypes(standins.documents(spark, sf_dir)).select("doc_id", "serotype", "body")
+
+
+def one_serotype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.keep_serotype(standins.documents(spark, sf_dir), "DENV2").select("doc_id", "serotype", "body")
 
 
 # Searching and fetching
@@ -214,10 +221,25 @@ def search_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetches.search_cutoff(responses.select("retstart", count_ids(F.col("body")).alias("n_ids")))
 
 
+def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every try of every request."""
+    return standins.fetch_log(spark, sf_dir)
+
+
+def numbered_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tries that the retry limit allows."""
+    numbered = fetches.number_attempts(standins.tries(spark, sf_dir), ["ts", "event_id"])
+    return numbered.select("id", "event_id", "attempt", "status")
+
+
 def first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetches.first_success(standins.fetch_log(spark, sf_dir))
 
 
+def first_success_two_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetches.first_success(standins.fetch_log(spark, sf_dir), max_attempts=2)
+
+
 def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetched = fetches.first_success(standins.fetch_log(spark, sf_dir))
     return sequences.classify(fetched, "DENV1").select("id", "outcome")
@@ -239,6 +261,45 @@ def curate_search_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.curate_search(standins.search_responses(spark, sf_dir), standins.fetch_log(spark, sf_dir)).kept
 
 
+def curate_search_to_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts taken while the kept documents of a search are written."""
+    log, responses = standins.fetch_log(spark, sf_dir), standins.search_responses(spark, sf_dir)
+    return curation.curate_search_to_folder(responses, log, scratch_path(spark, "kept"))
+
+
+def curate_search_to_folder_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written for a search, read back."""
+    path = scratch_path(spark, "kept")
+    log, responses = standins.fetch_log(spark, sf_dir), standins.search_responses(spark, sf_dir)
+    curation.curate_search_to_folder(responses, log, path)
+    return spark.read.parquet(path).select("id", F.col("serotype").cast("string").alias("serotype"), "body")
+
+
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records in the documents."""
+    return records_of_documents(standins.documents(spark, sf_dir))
+
+
+def _purge_by_serotype(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    kept = sequences.match_serotypes(standins.documents(spark, sf_dir)).select("doc_id", "serotype", "body")
+    return curation.purge_by_serotype(kept, path)
+
+
+def purge_by_serotype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept documents, cut into records, purged, written by serotype and read back."""
+    path = scratch_path(spark, "purged")
+    _purge_by_serotype(spark, sf_dir, path)
+    sets = [f"{path}/serotype={label}" for label in SEROTYPE_PHRASES]
+    records = read_fasta(spark, sets)
+    serotype = F.regexp_extract("source_file", "serotype=([^/]*)/", 1)
+    return records.select(serotype.alias("serotype"), "id", "description", "sequence")
+
+
+def purge_stats_by_serotype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts taken on the way."""
+    return _purge_by_serotype(spark, sf_dir, scratch_path(spark, "purged"))
+
+
 # Files written and read back
 
 
@@ -264,6 +325,74 @@ def geojson_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_regions(spark, path, multi_line=False)
 
 
+def _case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases written as CSV and read again."""
+    path = scratch_path(spark, "cases")
+    written = standins.cases(spark, sf_dir).select("ano", "sexo", "edad", "fec_txt", "dept")
+    written.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_cases(spark, path, {"ano": "int", "sexo": "string", "edad": "double", "fec_txt": "string", "dept": "string"})
+
+
+def _region_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions written as one feature collection, as boundaries come, and read again."""
+    path = scratch_path(spark, "regions")
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.concat(F.lit(" "), F.lower("n_name")).alias("DPTO_CNMBR")).alias("properties"),
+        F.struct(F.lit("Point").alias("type"), F.array("n_nationkey", "n_regionkey").alias("coordinates")).alias("geometry"),
+    )
+    # One row per region of the map.
+    features = standins.table(spark, sf_dir, "nation").agg(F.collect_list(feature).alias("features"))
+    features.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features"))).write.text(path)
+    return read_regions(spark, path)
+
+
+def case_tables_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one_table(surveillance.case_tables(_case_files(spark, sf_dir), "ano", "sexo", "edad"))
+
+
+def region_map_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surveillance.region_map(_case_files(spark, sf_dir), _region_file(spark, sf_dir), "dept")
+
+
+def region_year_map_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surveillance.region_year_map(
+        _case_files(spark, sf_dir), _region_file(spark, sf_dir), *YEARS, "dept", date="fec_txt"
+    )
+
+
+def fasta_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with text in front of their first header, doubled markers and empty records, cut while they are read."""
+    return read_fasta(spark, _layouts(spark, sf_dir)).select("id", "description", "sequence")
+
+
+def fasta_layouts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files, each read whole."""
+    return read_fasta(spark, _layouts(spark, sf_dir), whole_files=True).select("id", "description", "sequence")
+
+
+def _layouts(spark: SparkSession, sf_dir: str, n_files: int = 16) -> list[str]:
+    """Folders of one file each, with a note on top, and an empty record after every other one."""
+    marker = F.when(F.col("doc_id") % 3 == 0, ">").otherwise("")
+    entry = F.concat_ws("\n", F.concat(F.lit(">"), marker, "description"), "sequence", F.lit(">"))
+    texts = standins.seqs(spark, sf_dir).select("doc_id", entry.alias("value"), F.pmod("doc_id", F.lit(n_files)).alias("file"))
+    note = F.lit("; a note > and\nanother").alias("value")
+    notes = spark.range(n_files).select(F.lit(-1).cast("long").alias("doc_id"), note, F.col("id").alias("file"))
+    folder = scratch_path(spark, "fasta")
+    dealt = texts.unionByName(notes).repartition(n_files, "file").sortWithinPartitions("file", "doc_id")
+    dealt.select("file", "value").write.partitionBy("file").text(folder)
+    return [f"{folder}/file={i}" for i in range(n_files)]
+
+
+def folder_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTA at the top of a folder and in subfolders named like partitions: only the top is read."""
+    folder = scratch_path(spark, "fasta")
+    records = sequences.match_serotypes(standins.seqs(spark, sf_dir), text="description")
+    fasta_sink.write_fasta(records, folder, PURGED_WIDTH, partition_by=["serotype"])
+    fasta_sink.write_fasta(standins.seqs(spark, sf_dir), folder, mode="append")
+    return read_fasta_folder(spark, folder).select("id", "description", "sequence")
+
+
 def kept_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "kept")
     curation.curate_to_folder(standins.fetch_log(spark, sf_dir), path)
@@ -279,14 +408,14 @@ def purge_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purge a folder of FASTA files and read the result."""
     source, output = scratch_path(spark, "fasta"), scratch_path(spark, "purged")
     fasta_sink.write_fasta(standins.seqs(spark, sf_dir), source)
-    curation.purge_folder(spark, source, output, glob="*.txt")
+    curation.purge_folder(spark, source, output, glob="part-*")
     return read_fasta(spark, output).select("id", "description", "sequence")
 
 
 def purge_folder_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = scratch_path(spark, "fasta")
     fasta_sink.write_fasta(standins.seqs(spark, sf_dir), source)
-    return curation.purge_folder(spark, source, scratch_path(spark, "purged"), glob="*.txt")
+    return curation.purge_folder(spark, source, scratch_path(spark, "purged"), glob="part-*")
 
 
 def filter_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,16 +474,31 @@ QUERIES: dict[str, Query] = {
         combined_fasta,
         serotype_matches,
         all_serotypes_union,
+        one_serotype,
+        document_records,
+        purge_by_serotype,
+        purge_stats_by_serotype,
         search_ids,
         pages_before_cutoff,
         search_cutoff,
+        fetch_log,
+        numbered_attempts,
         first_success,
+        first_success_two_tries,
         fetch_outcomes,
         curate,
         curate_kept,
         curate_search,
         curate_search_kept,
+        curate_search_to_folder,
+        curate_search_to_folder_kept,
         csv_cases,
+        case_tables_from_files,
+        region_map_from_files,
+        region_year_map_from_files,
+        fasta_layouts,
+        fasta_layouts_whole,
+        folder_children,
         geojson_regions,
         kept_partitions,
         curate_to_folder,

@@ -51,15 +51,9 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
 
 
-def _spread(frame: DataFrame) -> DataFrame:
-    """A small table of fewer splits than cores is dealt out to all of them; others stay as they are."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
-
-
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document letters mapped onto nucleotides, with made headers."""
-    texts = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     return computed_once(spark.sql(SEQS, documents=texts), "description", "sequence", "letters")
 
 
@@ -69,12 +63,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return computed_once(seqs(spark, sf_dir).select("doc_id", body), "body")
 
 
-def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events play fetch tries: a user is an id, a signup a success, an error has no status."""
     status = F.when(F.col("event_type") == "signup", 200).when(F.col("event_type") != "error", 503)
-    tries = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "ts", "event_id", status.alias("status"))
-    tries = number_attempts(tries, ["ts", "event_id"])
-    fetched = tries.join(documents(spark, sf_dir), F.col("id") == F.col("doc_id"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "ts", "event_id", status.alias("status"))
+
+
+def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every try, numbered, with the document where it succeeded."""
+    numbered = number_attempts(tries(spark, sf_dir), ["ts", "event_id"], keep=None)
+    fetched = numbered.join(documents(spark, sf_dir), F.col("id") == F.col("doc_id"))
     return fetched.select(
         F.col("id").cast("string").alias("id"),
         "attempt",

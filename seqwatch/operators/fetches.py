@@ -12,14 +12,15 @@ PAGE_SIZE = 100
 STATUS_OK = 200
 
 
-def number_attempts(log: DataFrame, order_by: Sequence[str], key: str = "id", keep: int = MAX_ATTEMPTS) -> DataFrame:
-    """Number the tries of each request in time order and keep those the retry limit allows.
+def number_attempts(log: DataFrame, order_by: Sequence[str], key: str = "id", keep: int | None = MAX_ATTEMPTS) -> DataFrame:
+    """Number the tries of each request in time order and keep those the retry limit allows, or all without a limit.
 
     Spark applies the limit in every task before the shuffle, so a request with very many rows moves
     no more than ``keep`` of them per task.
     """
     in_order = Window.partitionBy(key).orderBy(*order_by)
-    return log.withColumn("attempt", F.row_number().over(in_order)).where(F.col("attempt") <= keep)
+    numbered = log.withColumn("attempt", F.row_number().over(in_order))
+    return numbered if keep is None else numbered.where(F.col("attempt") <= keep)
 
 
 def first_success(
@@ -32,14 +33,20 @@ def first_success(
 ) -> DataFrame:
     """Per request the values of its first successful try; NULL when none of the allowed tries succeeded.
 
-    ``key`` and ``attempt`` identify a row of the log. Aggregated in every task before the shuffle;
-    columns of ``values`` that are not used later are not moved.
+    ``key`` and ``attempt`` identify a row of the log. The winning try of each request is found from
+    these two and the status, aggregated in every task before the shuffle. Then the rows of successes meet the
+    winners in a hash join: documents are moved once, and neither sorted nor aggregated.
     """
-    success = F.when((F.col(status) == STATUS_OK) & (F.col(attempt) <= max_attempts), F.col(attempt))
-    return log.groupBy(key).agg(
-        F.min(success).alias(attempt),
-        *[F.min_by(value, success).alias(value) for value in values],
-    )
+    succeeded = (F.col(status) == STATUS_OK) & (F.col(attempt) <= max_attempts)
+    winners = log.groupBy(key).agg(F.min(F.when(succeeded, F.col(attempt))).alias(attempt))
+    if not values:
+        return winners
+    rows = log.where(succeeded).select(key, attempt, *values)
+    found = rows.join(winners.hint("shuffle_hash"), [key, attempt])
+    kinds = {field.name: field.dataType for field in log.schema}
+    without = winners.where(F.col(attempt).isNull())
+    missing = without.select(key, attempt, *[F.lit(None).cast(kinds[value]).alias(value) for value in values])
+    return found.select(key, attempt, *values).unionByName(missing)
 
 
 def search_cutoff(

@@ -1,4 +1,4 @@
-"""First look at a table: preview, structure, and an exact per-column profile."""
+"""First look at a table: preview, structure, and a per-column profile."""
 
 from __future__ import annotations
 
@@ -33,21 +33,17 @@ def structure(table: DataFrame, order_by: Sequence[str] = (), n: int = PREVIEW_R
     return lists.select(F.inline(F.array(*rows)))
 
 
-def column_profile(
-    table: DataFrame,
-    max_sorted_rows: int = 10_000,
-    buckets: int = 4096,
-    max_rounds: int = 12,
-) -> DataFrame:
+def column_profile(table: DataFrame) -> DataFrame:
     """Rows, missing values, minimum, quartiles, mean and maximum of every column.
 
-    Quartiles are exact and interpolated between the two neighbouring values. Columns that are not
-    numbers have rows and missing values only. NaN counts as missing.
+    Quartiles are interpolated between the two neighbouring values; numbers are taken as doubles, so
+    whole numbers beyond 2^53 are rounded. Columns that are not numbers have rows and missing values
+    only. NaN counts as missing.
 
-    The built-in exact percentile gathers a column's distinct values in one task. Here a column is cut
-    into value ranges, the rows of each range are counted in all tasks, and only the range that holds
-    the wanted rank is looked at again, until it holds at most ``max_sorted_rows`` rows. So the jobs
-    of this function run when it is called; what each hands on is at most six ranges per column.
+    The built-in exact percentile gathers a column's distinct values in one task. Here the distinct
+    values of all columns, with their counts, are sorted together into ranges, one task each. The
+    ranges' totals say in which of them a wanted rank lies, and only these, six per column at most, are counted
+    through. Two jobs, whatever the values: the ranges are kept at checkpoints, taken when the function is called.
     """
     numbers = [field.name for field in table.schema if isinstance(field.dataType, NumericType)]
     cleaned = _without_nan(table)
@@ -56,21 +52,23 @@ def column_profile(
 
     ensure_checkpoint_dir(table.sparkSession)
     basics = _basics(cleaned, numbers).checkpoint()
-    pairs = [item for number, name in enumerate(numbers) for item in (F.lit(number), F.col(f"`{name}`").cast("double"))]
-    values = cleaned.select(F.stack(F.lit(len(numbers)), *pairs).alias("number", "value")).where("value is not null")
-
-    ranges = _whole_ranges(basics)
-    for _ in range(max_rounds):
-        if (ranges.where("low < high").agg(F.max("n_within")).first()[0] or 0) <= max_sorted_rows:
-            break
-        ranges = _narrow(ranges, _histogram(values, ranges, _bucket(buckets))).checkpoint()
-    picked = _narrow(ranges, _histogram(values, ranges, F.col("value")))
+    ranges = value_ranges(cleaned, numbers)
+    picked = _at_ranks(ranges, _wanted_ranks(basics))
     quartiles = picked.groupBy("number").agg(*[_interpolated(name).alias(name) for name in QUARTILES])
     columns = [name for name in basics.columns if name != "number"]
     # One row per column of the table on both sides.
     return basics.drop(*QUARTILES).join(F.broadcast(quartiles), "number", "left").select(*columns)
 
 
+def value_ranges(table: DataFrame, numbers: Sequence[str]) -> DataFrame:
+    """The distinct values of the number columns, how often each occurs, and the range of the common order it is in."""
+    pairs = [item for number, name in enumerate(numbers) for item in (F.lit(number), F.col(f"`{name}`").cast("double"))]
+    values = table.select(F.stack(F.lit(len(numbers)), *pairs).alias("number", "value")).where("value is not null")
+    # Counted first: a frequent value is one row from here on, and ranges of distinct values are even. Kept, as ranges are chosen from a sample.
+    counted = values.groupBy("number", "value").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    return counted.repartitionByRange("number", "value").withColumn("range", F.spark_partition_id()).checkpoint()
+
+
 def _without_nan(table: DataFrame) -> DataFrame:
     fractional = [field.name for field in table.schema if isinstance(field.dataType, (DoubleType, FloatType))]
     return table.withColumns({name: F.when(~F.isnan(f"`{name}`"), F.col(f"`{name}`")) for name in fractional})
@@ -103,12 +101,9 @@ def _basics(table: DataFrame, numbers: Sequence[str]) -> DataFrame:
     return totals.select(F.inline(F.array(*[row(name, kind) for name, kind in table.dtypes])))
 
 
-def _whole_ranges(basics: DataFrame) -> DataFrame:
-    """Per number column and quartile the two neighbouring ranks, each sought in the whole column.
-
-    ``rank`` counts from 1 in sorted order; ``n_below`` rows lie below the range ``low``..``high``.
-    """
-    columns = basics.withColumn("n_within", F.col("n") - F.col("missing")).where("min is not null")
+def _wanted_ranks(basics: DataFrame) -> DataFrame:
+    """Per number column and quartile the two neighbouring ranks, counted from 1 in sorted order."""
+    columns = basics.withColumn("n_within", F.col("n") - F.col("missing")).where("n_within > 0")
     wanted = []
     for name, share in QUARTILES.items():
         place = (F.col("n_within") - 1) * F.lit(share)
@@ -121,64 +116,27 @@ def _whole_ranges(basics: DataFrame) -> DataFrame:
                     (place - F.floor(place)).alias("weight"),
                 )
             )
-    return columns.select(
-        "number",
-        F.col("min").alias("low"),
-        F.col("max").alias("high"),
-        F.lit(0).cast("long").alias("n_below"),
-        "n_within",
-        F.inline(F.array(*wanted)),
-    )
-
-
-def _bucket(buckets: int) -> Column:
-    """Number of a value's part of its range, never falling as the value rises.
-
-    Both ends have a part of their own, so the inner range shrinks in every round.
-    """
-    share = F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low"))
-    inner = F.least(F.greatest(F.floor(share * (buckets - 2)), F.lit(0)), F.lit(buckets - 3)) + 1
-    return (
-        F.when(F.col("value") <= F.col("low"), 0).when(F.col("value") >= F.col("high"), buckets - 1).otherwise(inner)
-    )
+    return columns.select("number", F.inline(F.array(*wanted)))
 
 
-def _histogram(values: DataFrame, ranges: DataFrame, part: Column) -> DataFrame:
-    """Rows per part of each range, with the lowest and highest value in the part.
-
-    Ranges are at most six per column, whatever the data, so broadcasting them is safe.
-    """
-    looked_at = F.broadcast(ranges.select("number", "low", "high").distinct())
-    return (
-        values.join(looked_at, "number")
-        .where("value between low and high")
-        .groupBy("number", "low", part.alias("part"))
-        .agg(F.count(F.lit(1)).alias("n_part"), F.min("value").alias("part_low"), F.max("value").alias("part_high"))
-    )
-
-
-def _narrow(ranges: DataFrame, parts: DataFrame) -> DataFrame:
-    """Each sought rank with the part of its range that holds it."""
-    up_to = F.sum("n_part").over(Window.partitionBy("number", "low").orderBy("part"))
-    counted = parts.withColumn("n_before", up_to - F.col("n_part"))
-    below = F.col("n_below") + F.col("n_before")
-    holds = (F.col("rank") > below) & (F.col("rank") <= below + F.col("n_part"))
-    return counted.join(F.broadcast(ranges), ["number", "low"]).where(holds).select(
-        "number",
-        F.col("part_low").alias("low"),
-        F.col("part_high").alias("high"),
-        below.alias("n_below"),
-        F.col("n_part").alias("n_within"),
-        "quartile",
-        "side",
-        "rank",
-        "weight",
-    )
+def _at_ranks(ranges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The value at each rank. Ranks are six per column, so broadcasting them is safe."""
+    totals = ranges.groupBy("number", "range").agg(F.sum("n").alias("n_range"))
+    up_to = F.sum("n_range").over(Window.partitionBy("number").orderBy("range"))
+    totals = totals.withColumn("n_before", up_to - F.col("n_range")).withColumn("n_to", up_to)
+    holds = F.col("rank").between(F.col("n_before") + 1, F.col("n_to"))
+    sought = totals.join(F.broadcast(ranks), "number").where(holds).drop("n_range", "n_to")
+    # A few ranges per column are gone through; no other row is moved.
+    places = F.broadcast(sought.select("number", "range", "n_before").distinct())
+    counted_to = F.sum("n").over(Window.partitionBy("number", "range").orderBy("value"))
+    counted = ranges.join(places, ["number", "range"]).withColumn("n_to", F.col("n_before") + counted_to).drop("n_before")
+    found = counted.join(F.broadcast(sought), ["number", "range"])
+    return found.where(F.col("rank").between(F.col("n_to") - F.col("n") + 1, F.col("n_to")))
 
 
 def _interpolated(quartile: str) -> Column:
     def at(side: str) -> Column:
-        return F.max(F.when((F.col("quartile") == quartile) & (F.col("side") == side), F.col("low")))
+        return F.max(F.when((F.col("quartile") == quartile) & (F.col("side") == side), F.col("value")))
 
     weight = F.max(F.when(F.col("quartile") == quartile, F.col("weight")))
     between = at("left") + (at("right") - at("left")) * weight

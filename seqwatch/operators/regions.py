@@ -1,7 +1,7 @@
 """Joins of case counts to regions and the values of a choropleth.
 
-No join carries a broadcast hint: counts are one row per region name, and adaptive execution
-broadcasts them when their measured size is below the session's limit and shuffles them otherwise.
+Counts are one row per region name and carry no broadcast hint: adaptive execution broadcasts them when
+their measured size is below the session's limit and shuffles them otherwise.
 """
 
 from __future__ import annotations
@@ -58,11 +58,12 @@ def unmatched_names(cases: DataFrame, regions: DataFrame, region: str = "Departa
     )
 
 
-def map_fill(table: DataFrame, by: Sequence[str] = (), value: str = "casos") -> DataFrame:
+def map_fill(table: DataFrame, by: Sequence[str] = (), value: str = "casos", few_maps: bool = False) -> DataFrame:
     """Place of each count between the lowest and the highest of its map (0 to 1), NULL without a count.
 
     The limits are one aggregated row per map, fetched as a scalar or joined on ``by``; no window
-    gathers the map's rows, with their geometries, in one task.
+    gathers the map's rows, with their geometries, in one task. ``few_maps`` says that the caller bounds the number of
+    maps; the limits are then broadcast and the rows stay where they are.
     """
     limits = F.min(value).alias("low"), F.max(value).alias("high")
     if not by:
@@ -72,7 +73,7 @@ def map_fill(table: DataFrame, by: Sequence[str] = (), value: str = "casos") ->
     condition = F.lit(True)
     for key in by:
         condition = condition & F.col(f"t.{key}").eqNullSafe(F.col(f"m.{key}"))
-    joined = table.alias("t").join(per_map, condition, "left").select("t.*", "m.limits")
+    joined = table.alias("t").join(F.broadcast(per_map) if few_maps else per_map, condition, "left").select("t.*", "m.limits")
     return _filled(joined, table.columns, value)
 
 

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from seqwatch.functions.sequences import FILTERED_WIDTH, PURGED_WIDTH, SEROTYPE_PHRASES, Rules, count_met, met_rules, serotype_flags
-from seqwatch.operators.fetches import MAX_ATTEMPTS, STATUS_OK, first_success, pages_before_cutoff
+from seqwatch.operators.fetches import MAX_ATTEMPTS, first_success, pages_before_cutoff
 from seqwatch.operators.sequences import (
     ambiguity_counts,
     purge,
@@ -17,10 +17,11 @@ from seqwatch.operators.sequences import (
     with_ambiguity,
     with_soundness,
 )
+from seqwatch.session import ensure_checkpoint_dir
 from seqwatch.sinks.fasta import write_fasta
 from seqwatch.sinks.tables import write_kept
-from seqwatch.sources.fasta import FASTA_GLOB, read_fasta, read_fasta_folder
-from seqwatch.sources.search import count_ids, explode_ids
+from seqwatch.sources.fasta import FASTA_GLOB, read_fasta, read_fasta_folder, records_of_documents
+from seqwatch.sources.search import listed_pages
 
 
 class Collection(NamedTuple):
@@ -48,8 +49,7 @@ def curate(
     """
     judged, per_id = _judged(fetch_log, rules), _per_id(listings)
 
-    successes = judged.where((F.col("status") == STATUS_OK) & (F.col("attempt") <= max_attempts))
-    documents = first_success(_slim(successes, rules), ["body", *_flags(rules)], max_attempts=max_attempts)
+    documents = first_success(_slim(judged, rules), ["body", *_flags(rules)], max_attempts=max_attempts)
     if per_id is not None:
         documents = documents.join(per_id, "id", "left_semi")
 
@@ -65,8 +65,29 @@ def curate_search(
     max_attempts: int = MAX_ATTEMPTS,
 ) -> Collection:
     """``curate`` for the ids of a landed search: pages (``retstart``, ``body``) up to the first empty one."""
-    pages = responses.withColumn("n_ids", count_ids(F.col("body")))
-    return curate(fetch_log, rules, explode_ids(pages_before_cutoff(pages)), max_attempts)
+    return curate(fetch_log, rules, search_listings(responses), max_attempts)
+
+
+def search_listings(responses: DataFrame) -> DataFrame:
+    """The ids that a landed search lists up to its first empty page, each as often as it is listed.
+
+    Where a search ends and what it lists are both taken from the parsed pages. These are kept at a checkpoint when the
+    function is called, so that the responses are read and parsed once.
+    """
+    ensure_checkpoint_dir(responses.sparkSession)
+    pages = listed_pages(responses).checkpoint().withColumn("n_ids", F.coalesce(F.array_size("ids"), F.lit(0)))
+    return pages_before_cutoff(pages).select("retstart", F.explode("ids").alias("id"))
+
+
+def curate_search_to_folder(
+    responses: DataFrame,
+    fetch_log: DataFrame,
+    path: str,
+    rules: Rules = SEROTYPE_PHRASES,
+    max_attempts: int = MAX_ATTEMPTS,
+) -> DataFrame:
+    """``curate_to_folder`` for the ids of a landed search."""
+    return curate_to_folder(fetch_log, path, rules, search_listings(responses), max_attempts)
 
 
 def curate_to_folder(
@@ -76,9 +97,9 @@ def curate_to_folder(
     listings: DataFrame | None = None,
     max_attempts: int = MAX_ATTEMPTS,
 ) -> DataFrame:
-    """``curate``, with the kept documents written by serotype; returns the counts.
+    """``curate``, with the kept documents written by serotype; returns the counts, taken on the way to the files.
 
-    One pass over the log: the counts are taken on the way to the files.
+    The log is read for its winning tries, without the bodies, and once with them.
     """
     judged = _judged(fetch_log, rules)
     fetched = first_success(_slim(judged, rules), ["body", "has_body", *_flags(rules)], max_attempts=max_attempts)
@@ -97,6 +118,35 @@ def purge_records(records: DataFrame) -> Collection:
     return Collection(to_dna(purge(records)), purge_stats(records))
 
 
+def purge_by_serotype(
+    kept: DataFrame, path: str, rules: Rules = SEROTYPE_PHRASES, width: int = PURGED_WIDTH, text: str = "body"
+) -> DataFrame:
+    """Purge kept documents (``serotype``, ``body``) and write them as FASTA, one folder per serotype; returns the counts per serotype.
+
+    All serotypes in one pass, without a shuffle: documents are cut into records, marked, counted and
+    written where they are read. Serotypes that are not in ``rules`` are written but not counted.
+    """
+    counts = Observation()
+    marked = with_soundness(records_of_documents(kept, text))
+    wanted = []
+    for label in rules:
+        of_label = F.col("serotype") == label
+        wanted += [F.count_if(of_label).alias(f"total_{label}"), F.count_if(of_label & F.col("sound")).alias(f"valid_{label}")]
+    records = to_dna(marked.observe(counts, *wanted).where("sound"))
+    write_fasta(records, path, width, partition_by=["serotype"])
+    totals = _observed(kept.sparkSession, counts)
+    rows = [
+        F.struct(
+            F.lit(label).alias("serotype"),
+            F.col(f"total_{label}").alias("total"),
+            F.col(f"valid_{label}").alias("valid"),
+            (F.col(f"total_{label}") - F.col(f"valid_{label}")).alias("removed"),
+        )
+        for label in rules
+    ]
+    return totals.select(F.inline(F.array(*rows)))
+
+
 def purge_folder(
     spark: SparkSession,
     folder: str,
@@ -105,7 +155,7 @@ def purge_folder(
     glob: str = FASTA_GLOB,
     whole_files: bool = False,
 ) -> DataFrame:
-    """Purge the FASTA files of a folder into ``output``; returns the counts. One pass, no shuffle.
+    """Purge the FASTA files of a folder into ``output``; returns the counts. No shuffle.
 
     Each part file holds the records of the blocks its task read. Where the order of the whole set
     matters, write ``purge_records(...).kept`` with ``order_by=FILE_ORDER``.
@@ -123,10 +173,12 @@ def filter_fasta(
     max_ambiguous: float = 0.0,
     width: int = FILTERED_WIDTH,
     glob: str | None = None,
+    whole_files: bool = False,
 ) -> DataFrame:
-    """Keep the records with few enough ambiguous characters; returns the counts. One pass, no shuffle."""
+    """Keep the records with few enough ambiguous characters; returns the counts. No shuffle."""
     counts = Observation()
-    records = with_ambiguity(read_fasta(spark, path, glob)).observe(counts, *ambiguity_counts(max_ambiguous))
+    found = read_fasta(spark, path, glob, whole_files)
+    records = with_ambiguity(found).observe(counts, *ambiguity_counts(max_ambiguous))
     write_fasta(records.where(F.col("ambiguous_fraction") <= max_ambiguous), output, width)
     return _observed(spark, counts)
 

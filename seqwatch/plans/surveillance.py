@@ -13,7 +13,7 @@ from seqwatch.operators.regions import FIRST_YEAR, LAST_YEAR, join_counts, map_f
 
 
 class CaseTables(NamedTuple):
-    """The yearly tables, and the persisted counts they are summed from (unpersist when done)."""
+    """The yearly tables, and the counts they are summed from."""
 
     annual: DataFrame
     by_sex: DataFrame
@@ -26,10 +26,11 @@ def case_tables(
 ) -> CaseTables:
     """Cases per year, per year and sex, per year and age band, from one pass over the cases.
 
-    The cases are counted once by all three keys; each table is a sum over these few rows.
+    The cases are counted by all three keys; each table is a sum over these few rows. Used together, the tables
+    share that count; to write them one by one, store or persist ``counts`` first.
     """
     band = age_group(F.col(age), unknown_label).alias("age_group")
-    counts = count_cases(blanks_to_null(cases), year, sex, band).persist()
+    counts = count_cases(blanks_to_null(cases), year, sex, band)
 
     def summed(table: DataFrame, *keys: str) -> DataFrame:
         return table.groupBy(*keys).agg(F.sum("casos").alias("casos"))
@@ -90,4 +91,4 @@ def region_year_map(
     in_range = notified_between(cases, date, first, last)
     counts = cases_by_region(in_range, region, ["year"], normalise_first)
     table = join_counts(region_years(named, first, last), counts, name, region, ["year"])
-    return map_fill(table, ["year"])
+    return map_fill(table, ["year"], few_maps=True)  # as many as years asked for

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Sequence
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqwatch.functions.sequences import FILTERED_WIDTH, fasta_entry
 from seqwatch.sources.fasta import FILE_ORDER
@@ -34,23 +34,29 @@ def write_fasta(
     text.write.mode(mode).partitionBy(*partition_by).text(path)
 
 
-def write_combined(entries: DataFrame, path: str, inputs: Sequence[str], in_file_order: bool = True) -> None:
+def write_combined(entries: DataFrame, path: str, inputs: Sequence[str] = (), in_file_order: bool = True) -> None:
     """Overwrite ``path`` with the text of all records as they stand, in file-name order.
 
     The order costs a shuffle of the whole text; without it every task writes what it reads. The
-    output must not lie in or above an input, where the next run would read it again or lose it.
+    output must not lie in or above an input, where the next run would read it again or lose it: neither
+    the ``inputs`` named nor the folders of the files that the entries come from.
     """
-    for source in inputs:
-        if _overlap(path, source):
+    output = qualified(entries.sparkSession, path)
+    for source in {*inputs, *(posixpath.dirname(file) for file in entries.inputFiles())}:
+        if _overlap(output, qualified(entries.sparkSession, source)):
             raise ValueError(f"output {path} overlaps input {source}")
     ordered = entries.orderBy(*FILE_ORDER) if in_file_order else entries
     ordered.select("entry").write.mode("overwrite").text(path)
 
 
-def _overlap(one: str, other: str) -> bool:
-    first, second = _normal(one), _normal(other)
-    return first == second or first.startswith(second + "/") or second.startswith(first + "/")
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as its file system sees it: with scheme and working folder, without detours."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = urlsplit(system.makeQualified(place).toString())
+    return f"{parts.scheme}://{parts.netloc}{posixpath.normpath('/' + unquote(parts.path).lstrip('/'))}"
 
 
-def _normal(path: str) -> str:
-    return posixpath.normpath("/" + urlsplit(path).path.lstrip("/")).rstrip("/")
+def _overlap(one: str, other: str) -> bool:
+    first, second = one.rstrip("/") + "/", other.rstrip("/") + "/"
+    return first.startswith(second) or second.startswith(first)

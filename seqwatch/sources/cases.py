@@ -29,7 +29,7 @@ def read_cases(
 
     Columns are taken by header name, whatever their order and however many others there are; files
     whose header differs from the first one's are refused. Text stays text, blanks included; a number
-    that cannot be read is NULL. ``multi_line`` allows line breaks inside quotes, at the price that a
+    that cannot be read, or is not whole where a whole one is wanted, is NULL. ``multi_line`` allows line breaks inside quotes, at the price that a
     file is read by one task.
     """
     lines = spark.read.csv(
@@ -46,6 +46,7 @@ def read_cases(
 def _typed(name: str, kind: str):
     column = F.col(f"`{name}`")
     if kind == "int":
-        # "2010.0" and "2e3" are whole numbers too.
-        column = column.try_cast("double")
+        # "2010.0" and "2e3" are whole numbers too, 2010.7 is none.
+        number = column.try_cast("double")
+        column = F.when(number == F.floor(number), number)
     return column.try_cast(kind).alias(name)

@@ -7,34 +7,50 @@ stand in the files), ``id`` (first word of the header), ``description`` (the hea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seqwatch.functions.sequences import without_blanks
 from seqwatch.operators.derived import computed_once
 
-FASTA_GLOB = "*.fasta"
+# Files by their ending, and the parts that this library writes.
+FASTA_GLOB = "{*.fasta,part-*}"
 
 FILE_ORDER = ("source_file", "block_start", "position")
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], glob: str | None = None, whole_files: bool = False) -> DataFrame:
-    """Records of FASTA files.
+    """Records of FASTA files. What stands in front of a file's first header is left out.
 
     By default files are cut at every line that starts with ``>`` while they are read, so one large
-    file is read by many tasks and a task holds one record at a time. In this mode text in front of
-    a file's first header cannot be told from a record, and a header that itself starts with ``>``
-    loses that sign; ``files_to_read_whole`` finds such files.
+    file is read by many tasks and a task holds one record at a time. Which piece is a file's first is
+    found by a narrow aggregate, one row per file, so the text is gone through twice.
+
+    ``whole_files=True`` reads each file as one value, once: right for many small files. ``position`` is
+    then the record's number in its file.
+    """
+    return to_records(_pieces(spark, path, glob, whole_files), FILE_ORDER)
 
-    ``whole_files=True`` reads each file as one value: right for many small files and for any layout;
-    what stands in front of the first header is left out. ``position`` is then the record's number in
-    its file.
+
+def records_of_documents(documents: DataFrame, text: str = "body") -> DataFrame:
+    """The records in a column of FASTA documents, with the documents' other columns and their ``number`` in it.
+
+    A document without a header, or NULL, has no records. Each document is cut in its own row: nothing moves.
     """
-    pieces = _pieces(spark, path, glob, whole_files)
+    others = [name for name in documents.columns if name not in (text, "number", "id", "description", "sequence")]
+    pieces = documents.select(*[f"`{name}`" for name in others], _cut(F.col(text)).alias("number", "piece")).where("number > 0")
+    return to_records(pieces, [*others, "number"])
+
+
+def to_records(pieces: DataFrame, others: Sequence[str]) -> DataFrame:
+    """The id, description and sequence of each ``piece``, a record without its marker."""
     description = F.rtrim(F.substring_index("piece", "\n", 1), F.lit(" \t\r"))
     lines = F.split("piece", "\n")
     joined = F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "")
     records = pieces.select(
-        *FILE_ORDER,
+        *[f"`{name}`" for name in others],
         F.regexp_extract(description, r"^\s*(\S*)", 1).alias("id"),
         description.alias("description"),
         without_blanks(joined).alias("sequence"),
@@ -56,29 +72,28 @@ def read_fasta_entries(
 
 def read_fasta_folder(spark: SparkSession, folder: str, glob: str = FASTA_GLOB, whole_files: bool = False) -> DataFrame:
     """Records of every file directly in a folder whose name fits; an error when there are none."""
-    _require_some(spark, folder, glob)
-    return read_fasta(spark, folder, glob, whole_files)
+    return read_fasta(spark, children(spark, folder, glob), whole_files=whole_files)
 
 
 def read_folder_entries(spark: SparkSession, folder: str, glob: str = FASTA_GLOB, whole_files: bool = False) -> DataFrame:
     """``read_fasta_folder`` for merging: the records as they stand."""
-    _require_some(spark, folder, glob)
-    return read_fasta_entries(spark, folder, glob, whole_files)
-
-
-def _require_some(spark: SparkSession, folder: str, glob: str) -> None:
-    if spark.read.text(folder, pathGlobFilter=glob).isEmpty():
-        raise FileNotFoundError(f"no FASTA text in {folder}")
+    return read_fasta_entries(spark, children(spark, folder, glob), whole_files=whole_files)
 
 
-def files_to_read_whole(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """Files that do not start with a header, or have one that starts with ``>`` after its marker.
+def children(spark: SparkSession, folder: str, glob: str) -> str:
+    """A path that stands for the files directly in the folder.
 
-    In all others exactly one piece keeps a marker, the first. Read these with ``whole_files=True``.
+    The files are named by a pattern, not found by way of the folder, so subfolders like ``k=v`` are neither read
+    nor taken for partitions. Only the listing decides whether there are any; a file may be empty.
     """
-    marked = F.startswith(F.col("value"), F.lit(">"))
-    per_file = _read_chunks(spark, path, glob).groupBy("source_file").agg(F.count_if(marked).alias("n_marked"))
-    return per_file.where("n_marked <> 1").select("source_file")
+    pattern = f"{folder.rstrip('/')}/{glob}"
+    try:
+        spark.read.text(pattern)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no FASTA files {pattern}") from None
+    return pattern
 
 
 def _read_chunks(spark: SparkSession, path: str | list[str], glob: str | None) -> DataFrame:
@@ -91,19 +106,25 @@ def _read_chunks(spark: SparkSession, path: str | list[str], glob: str | None) -
     )
 
 
+def _cut(text: Column) -> Column:
+    """The text cut at its headers; piece 0 is what stands in front of the first one."""
+    return F.posexplode(F.split(text, "(^|\n)>"))
+
+
 def _pieces(spark: SparkSession, path: str | list[str], glob: str | None, whole_files: bool) -> DataFrame:
     """The text of each record, without its marker, and where it stands."""
     if whole_files:
         files = spark.read.text(path, wholetext=True, pathGlobFilter=glob).select(
             F.col("_metadata.file_path").alias("source_file"),
             F.lit(0).cast("long").alias("block_start"),
-            F.posexplode(F.split("value", "(^|\n)>")).alias("number", "piece"),
+            _cut(F.col("value")).alias("number", "piece"),
         )
-        # Number 0 is what stands in front of the first header.
         return files.where("number > 0").withColumn("position", F.col("number").cast("long")).drop("number")
-    # Only the first piece of a file keeps its marker.
-    marked = F.startswith(F.col("value"), F.lit(">"))
-    text = F.when(marked, F.substr(F.col("value"), F.lit(2))).otherwise(F.col("value"))
-    # Blank lines in front of a file's first header make a piece too.
-    something = (F.substring_index("value", "\n", 1) != "") | F.col("value").rlike(r"\S")
-    return _read_chunks(spark, path, glob).where(something).select(*FILE_ORDER, text.alias("piece"))
+    chunks = _read_chunks(spark, path, glob)
+    # One row per file that the driver has listed to plan the read, so these are few enough to broadcast.
+    first = chunks.where("block_start = 0").groupBy("source_file").agg(F.min("position").alias("position"))
+    first = first.withColumn("is_first", F.lit(True))
+    pieces = chunks.join(F.broadcast(first), ["source_file", "position"], "left")
+    # A file's first piece keeps its marker, or has none and is no record. In others a marker belongs to the header.
+    text = F.when(F.col("is_first"), F.substr(F.col("value"), F.lit(2))).otherwise(F.col("value"))
+    return pieces.where("is_first is null or startswith(value, '>')").select(*FILE_ORDER, text.alias("piece"))

@@ -18,6 +18,11 @@ def count_ids(body: Column) -> Column:
     return F.coalesce(F.array_size(listed_ids(body)), F.lit(0))
 
 
+def listed_pages(responses: DataFrame, offset: str = "retstart", body: str = "body") -> DataFrame:
+    """The offset and the ids of each response."""
+    return responses.select(offset, listed_ids(F.col(body)).alias("ids"))
+
+
 def explode_ids(responses: DataFrame, body: str = "body") -> DataFrame:
     """One row per listed id, with its ``rank`` in the response, next to the other columns."""
     others = [name for name in responses.columns if name != body]

@@ -61,7 +61,6 @@ def test_job_tables_equal_the_single_operators(cases):
     assert rows(tables.annual) == rows(ops.annual_cases(cleaned))
     assert rows(tables.by_sex) == rows(ops.cases_by_sex(cleaned))
     assert rows(tables.by_age_group) == rows(ops.cases_by_age_group(cleaned))
-    tables.counts.unpersist()
 
 
 def test_both_orders_of_normalising(cases):

@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 
 from seqwatch.plans.curation import purge_records
 from seqwatch.sinks.fasta import write_combined, write_fasta
-from seqwatch.sources.fasta import FILE_ORDER, files_to_read_whole, read_fasta, read_fasta_folder, read_folder_entries
+from seqwatch.sources.fasta import FILE_ORDER, read_fasta, read_fasta_folder, read_folder_entries, records_of_documents
 
 BOTH = pytest.mark.parametrize("whole_files", [False, True], ids=["split", "whole"])
 
@@ -37,18 +37,46 @@ def records(frame):
         "blank before the id": ("> A b\nAC\n", [("A", " A b", "AC")]),
         "accents": (">ñ á\nACGT\n", [("ñ", "ñ á", "ACGT")]),
         "lower case": (">A\nacgn\n", [("A", "A", "acgn")]),
+        "preamble": ("; a comment\nx > y\n>A\nAC\n", [("A", "A", "AC")]),
+        "preamble and doubled marker": ("a comment\n>C\nCC\n>>D\nTT\n", [("C", "C", "CC"), (">D", ">D", "TT")]),
+        "doubled marker first": (">>A\nAC\n>B\nGG\n", [(">A", ">A", "AC"), ("B", "B", "GG")]),
+        "empty record in the middle": (">a\nAC\n>\n>b\nGG\n", [("a", "a", "AC"), ("", "", ""), ("b", "b", "GG")]),
+        "preamble only": ("nothing here\n", []),
+        "empty": ("", []),
     }.values(),
 )
 def test_layouts(spark, tmp_path, whole_files, text, expected):
     assert records(read_fasta(spark, put(tmp_path, a__fasta=text), whole_files=whole_files)) == expected
 
 
-def test_files_only_the_whole_reader_takes(spark, tmp_path):
-    folder = put(tmp_path, a__fasta="a comment\n>A\nAC\n", b__fasta=">B\nGG\n", c__fasta=">C\nCC\n>>D\nTT\n")
-    whole = records(read_fasta(spark, folder, whole_files=True))
-    assert whole == [("A", "A", "AC"), ("B", "B", "GG"), ("C", "C", "CC"), (">D", ">D", "TT")]
-    found = [row.source_file.rsplit("/", 1)[1] for row in files_to_read_whole(spark, folder).collect()]
-    assert sorted(found) == ["a.fasta", "c.fasta"]
+@BOTH
+def test_many_files_of_all_layouts(spark, tmp_path, whole_files):
+    """Several files share a task; each one's first piece is its own."""
+    texts = ["a comment\n>A\nAC\n", ">B\nGG\n", ">C\nCC\n>>D\nTT\n", "", "\n\n>E\nAA\n", "note\nmore\n>>F\n"]
+    folder = put(tmp_path, **{f"f{i:02d}__fasta": texts[i % 6] for i in range(24)})
+    one_round = [("A", "A", "AC"), ("B", "B", "GG"), ("C", "C", "CC"), (">D", ">D", "TT"), ("E", "E", "AA"), (">F", ">F", "")]
+    assert records(read_fasta(spark, folder, whole_files=whole_files)) == one_round * 4
+
+
+def test_preamble_survives_splits(spark, tmp_path):
+    """A long text before the first header spans blocks and is no record in any of them."""
+    text = "".join(f"note {i}\n" for i in range(200)) + "".join(f">r{i}\nACGT\n" for i in range(100))
+    folder = put(tmp_path, a__fasta=text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert records(read_fasta(spark, folder)) == [(f"r{i}", f"r{i}", "ACGT") for i in range(100)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_records_of_documents(spark):
+    rows = [(1, ">A one\nAC\nGT\n>B\n"), (2, "no header"), (3, None), (4, "x\n>C\nA"), (5, "")]
+    found = records_of_documents(spark.createDataFrame(rows, "doc int, body string"))
+    assert found.columns == ["doc", "number", "id", "description", "sequence"]
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "A", "A one", "ACGT"), (1, 2, "B", "B", ""), (4, 1, "C", "C", "A")]
 
 
 @pytest.mark.parametrize("split_bytes", [64, 97, 1000])
@@ -75,9 +103,24 @@ def test_folder_takes_fasta_files_of_this_level_in_name_order(spark, tmp_path, w
     assert records(read_fasta_folder(spark, folder, whole_files=whole_files)) == [("A", "A", "AC"), ("B", "B", "GG")]
 
 
-def test_folder_without_fasta_files_is_an_error(spark, tmp_path):
+@BOTH
+def test_folders_like_partitions_are_left_alone(spark, tmp_path, whole_files):
+    put(tmp_path / "k=v", x__fasta=">X\nTT\n")
+    folder = put(tmp_path, a__fasta=">A\nAC\n")
+    assert records(read_fasta_folder(spark, folder, whole_files=whole_files)) == [("A", "A", "AC")]
+    with pytest.raises(FileNotFoundError):
+        read_fasta_folder(spark, put(tmp_path / "other" / "k=v", x__fasta=">X\nTT\n").removesuffix("/k=v"), whole_files=whole_files)
+
+
+@BOTH
+def test_folder_without_fasta_files_is_an_error(spark, tmp_path, whole_files):
     with pytest.raises(FileNotFoundError):
-        read_fasta_folder(spark, put(tmp_path, x__FASTA=">X\nTT\n"))
+        read_fasta_folder(spark, put(tmp_path, x__FASTA=">X\nTT\n"), whole_files=whole_files)
+
+
+@BOTH
+def test_folder_with_an_empty_file_is_none(spark, tmp_path, whole_files):
+    assert records(read_fasta_folder(spark, put(tmp_path, a__fasta=""), whole_files=whole_files)) == []
 
 
 def joined_text(folder):
@@ -101,6 +144,19 @@ def test_combined_text_must_not_overlap_its_input(spark, tmp_path, output):
         write_combined(read_folder_entries(spark, source), f"{tmp_path}/{output}", [f"file:{source}"])
 
 
+@pytest.mark.parametrize("named", [True, False])
+def test_paths_are_compared_as_their_file_system_sees_them(spark, tmp_path, monkeypatch, named):
+    """Relative paths are below the folder that the session works in."""
+    import os
+
+    inside = os.path.relpath(put(tmp_path / "in", a__fasta=">A\nAC\n"))
+    for output in (os.path.dirname(inside), inside, f"{inside}/out", f"{inside}/../in"):
+        entries = read_folder_entries(spark, inside)
+        with pytest.raises(ValueError, match="overlaps"):
+            write_combined(entries, output, [inside] if named else [])
+    assert (tmp_path / "in" / "a.fasta").read_text() == ">A\nAC\n"
+
+
 def test_a_sibling_with_the_same_prefix_is_no_overlap(spark, tmp_path):
     source = put(tmp_path / "in", a__fasta=">A\nAC\n")
     write_combined(read_folder_entries(spark, source), str(tmp_path / "in2"), [source])

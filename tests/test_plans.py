@@ -3,13 +3,14 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqwatch.checks.queries import QUERIES
 from seqwatch.checks.standins import cases, regions, table
 from seqwatch.operators import cases as case_ops
 from seqwatch.operators import sequences
 from seqwatch.operators.fetches import first_success, number_attempts
-from seqwatch.plans.curation import curate
+from seqwatch.plans.curation import curate, search_listings
 from seqwatch.operators.sequences import to_dna
 from seqwatch.plans.surveillance import region_year_map
 from seqwatch.sources.fasta import read_fasta
@@ -102,6 +103,48 @@ def test_kept_documents_come_from_successes_only(spark, stored):
     assert "EqualTo(status,200)" in text and "LessThanOrEqual(attempt,5)" in text
 
 
+def test_bodies_are_neither_sorted_nor_aggregated(spark, stored):
+    """The winning tries are known before a body moves, and then it moves once."""
+    log = spark.read.parquet(f"{stored}/log")
+    for frame in (first_success(log), curate(log).kept):
+        text = plan(frame)
+        assert "SortAggregate" not in text and not re.search(r"min_by\(body", text)
+        for line in text.splitlines():
+            if re.search(r"(Sort|Aggregate)\W", line):
+                assert "body" not in line, line
+
+
+def test_a_search_is_read_and_parsed_once(spark, tmp_path):
+    spark.createDataFrame([(0, '{"esearchresult":{"idlist":["1"]}}')], "retstart int, body string").write.parquet(str(tmp_path / "r"))
+    text = final_plan(search_listings(spark.read.parquet(str(tmp_path / "r"))))
+    assert "FileScan" not in text and "from_json" not in text, text
+
+
+def test_all_serotypes_take_one_scan(spark, stored):
+    text = plan(sequences.match_serotypes(spark.read.parquet(f"{stored}/log")))
+    assert len(re.findall("FileScan", text)) == 1
+
+
+def test_case_tables_share_one_count(spark, stored):
+    from seqwatch.checks.queries import _one_table
+    from seqwatch.plans.surveillance import case_tables
+
+    text = final_plan(_one_table(case_tables(spark.read.parquet(f"{stored}/cases"), "ano", "sexo", "edad")))
+    assert "InMemoryTableScan" not in text
+
+
+def test_yearly_limits_are_broadcast(spark, stored):
+    areas = regions(spark, SF_DIR).withColumn("geometry", F.concat(F.lit("geometry of "), "name"))
+    frame = region_year_map(spark.read.parquet(f"{stored}/cases"), areas, 1994, 1996, "dept", "name", "fec_not")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(frame)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in text
+    assert not re.search(r"hashpartitioning\(year#\d+, \d+\)", text.split("BroadcastExchange")[0]), text
+
+
 def test_unused_values_are_not_moved(spark, stored):
     text = plan(first_success(spark.read.parquet(f"{stored}/log")).select("id", "attempt"))
     assert "body" not in text

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from seqwatch.operators import profile
 from seqwatch.operators.profile import column_profile, preview, structure
 
 
@@ -43,11 +44,10 @@ def columns(rng, n):
     }
 
 
-@pytest.mark.parametrize(("max_sorted_rows", "buckets"), [(1_000_000, 4096), (10, 8), (0, 64)])
-def test_against_numpy(spark, max_sorted_rows, buckets):
+def test_against_numpy(spark):
     data = columns(random.Random(3), 501)
     frame = spark.createDataFrame(list(zip(*data.values())), ", ".join(f"{name} double" for name in data)).repartition(4)
-    profiled = {row["column"]: row for row in column_profile(frame, max_sorted_rows, buckets).collect()}
+    profiled = {row["column"]: row for row in column_profile(frame).collect()}
     assert list(profiled) == list(data)
     for name, values in data.items():
         for measure, value in expected(values).items():
@@ -59,16 +59,51 @@ def test_against_numpy(spark, max_sorted_rows, buckets):
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8, 9])
 def test_small_numbers_of_rows(spark, n):
     values = [float(v) for v in random.Random(n).sample(range(100), n)]
-    row = column_profile(spark.createDataFrame([(v,) for v in values], "v double"), 0, 8).first()
+    row = column_profile(spark.createDataFrame([(v,) for v in values], "v double")).first()
     assert [row.q1, row.median, row.q3] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])))
 
 
 def test_infinities(spark):
     values = [float("-inf"), 1.0, 2.0, 3.0, float("inf")]
-    row = column_profile(spark.createDataFrame([(v,) for v in values], "v double"), 0, 8).first()
+    row = column_profile(spark.createDataFrame([(v,) for v in values], "v double")).first()
     assert [row.min, row.q1, row.median, row.q3, row.max] == [float("-inf"), 1.0, 2.0, 3.0, float("inf")]
 
 
+def test_wide_ranging_values_take_as_many_jobs_as_others(spark):
+    """Log-uniform values over 600 powers of ten: no range is larger than its share, and the jobs are those of narrow values."""
+
+    def jobs(frame):
+        before = len(tracker.getJobIdsForGroup("profile"))
+        spark.sparkContext.setJobGroup("profile", "profile")
+        row = column_profile(frame).first()
+        spark.sparkContext.setJobGroup("other", "other")
+        return row, len(tracker.getJobIdsForGroup("profile")) - before
+
+    tracker = spark.sparkContext.statusTracker()
+    rng = random.Random(9)
+    wide = [10.0 ** rng.uniform(-300, 300) for _ in range(40_000)]
+    frames = [spark.createDataFrame([(v,) for v in values], "v double") for values in (wide, [float(i % 100) for i in range(40_000)])]
+    row, n_wide = jobs(frames[0])
+    assert [row.q1, row.median, row.q3] == pytest.approx(list(np.quantile(wide, [0.25, 0.5, 0.75])), rel=1e-9)
+    assert abs(n_wide - jobs(frames[1])[1]) <= 2
+    # At this size adaptive execution would put all ranges together.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in profile.value_ranges(frames[0], ["v"]).groupBy("range").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 0.4 * len(wide)
+
+
+def test_a_frequent_value_is_one_row(spark):
+    frame = spark.range(10_000).selectExpr("case when id % 3 = 0 then 7D else cast(id as double) end as v")
+    ranges = profile.value_ranges(frame, ["v"])
+    assert [row.n for row in ranges.where("value = 7").collect()] == [3335]
+    values = [7.0 if i % 3 == 0 else float(i) for i in range(10_000)]
+    row = column_profile(frame).first()
+    assert [row.q1, row.median, row.q3] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])))
+
+
 def test_other_types(spark):
     frame = spark.createDataFrame([(1, "x", True), (None, "", None), (4, None, None)], "n int, `a b` string, flag boolean")
     rows = {row["column"]: row for row in column_profile(frame).collect()}

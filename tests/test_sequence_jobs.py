@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 
 from seqwatch.functions.sequences import SEROTYPE_PHRASES
 from seqwatch.operators import sequences as ops
-from seqwatch.plans.curation import curate, filter_fasta, purge_folder, purge_records
+from seqwatch.plans.curation import curate, filter_fasta, purge_by_serotype, purge_folder, purge_records
 from seqwatch.sinks.tables import write_kept
-from seqwatch.sources.fasta import read_fasta
+from seqwatch.sources.fasta import read_fasta, records_of_documents
 
 TEXTS = ["ACGTacgt", "ACGN", "AC-R", "acgn", "", "ACGR", "AC-G", "acu"]
 
@@ -73,6 +73,39 @@ def test_filter_fasta(spark, tmp_path):
     assert text == ">A one\n" + "acgt" * 15 + "\n" + "acgt" * 5 + "\n>D\n" + "A" * 19 + "R\n"
 
 
+@pytest.mark.parametrize("whole_files", [False, True])
+def test_notes_in_front_are_not_counted(spark, tmp_path, whole_files):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fasta").write_text("; comment\n>a\nACGT\n>\n>b\nAN\n")
+    assert tuple(purge_folder(spark, str(tmp_path / "in"), str(tmp_path / "p"), whole_files=whole_files).first()) == (3, 2, 1)
+    stats = filter_fasta(spark, str(tmp_path / "in"), str(tmp_path / "f"), whole_files=whole_files)
+    assert tuple(stats.first()) == (3, 1, 2, 1)
+
+
+def test_empty_input_is_the_same_for_both_jobs(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fasta").write_text("")
+    assert tuple(purge_folder(spark, str(tmp_path / "in"), str(tmp_path / "p")).first()) == (0, 0, 0)
+    assert tuple(filter_fasta(spark, str(tmp_path / "in"), str(tmp_path / "f")).first()) == (0, 0, 0, 0)
+
+
+def test_the_output_of_a_purge_can_be_purged(spark, tmp_path):
+    fasta(tmp_path / "in", "a.fasta", [("A one", "acgt"), ("B", "ACNT")])
+    purge_folder(spark, str(tmp_path / "in"), str(tmp_path / "one"))
+    assert tuple(purge_folder(spark, str(tmp_path / "one"), str(tmp_path / "two")).first()) == (1, 1, 0)
+
+
+def test_purge_by_serotype(spark, tmp_path):
+    kept = spark.createDataFrame(
+        [("1", "DENV1", ">1 a\nACGT\n>1b\nANN\n"), ("2", "DENV2", "note\n>2\nAC\nGT"), ("3", "DENV2", ">3\nA-"), ("4", "DENV2", None)],
+        "id string, serotype string, body string",
+    )
+    stats = purge_by_serotype(kept, str(tmp_path / "out"))
+    assert sorted(map(tuple, stats.collect())) == [("DENV1", 2, 1, 1), ("DENV2", 2, 1, 1), ("DENV3", 0, 0, 0), ("DENV4", 0, 0, 0)]
+    back = read_fasta(spark, [str(tmp_path / "out" / f"serotype={s}") for s in ("DENV1", "DENV2")])
+    assert sorted((row.description, row.sequence) for row in back.collect()) == [("1 a", "ACGT"), ("2", "ACGT")]
+
+
 def test_one_pass_over_the_rules_equals_one_set_per_serotype(spark):
     docs = spark.createDataFrame(
         [(1, "DENV2 complete genome"), (2, "Orthoflavivirus denguei complete cds"), (3, "DENV4 partial"), (4, None)],
@@ -97,8 +130,7 @@ def test_kept_documents_by_serotype_can_be_purged_in_turn(spark, tmp_path):
     write_kept(kept, str(tmp_path / "kept"))
     back = spark.read.parquet(str(tmp_path / "kept")).where("serotype = 'DENV2'")
     assert sorted(row.id for row in back.collect()) == ["1", "2"]
-    back.select("body").write.text(str(tmp_path / "text"))
-    kept, stats = purge_records(read_fasta(spark, str(tmp_path / "text")))
+    kept, stats = purge_records(records_of_documents(back))
     assert [row.sequence for row in kept.collect()] == ["ACGTAC"]
     assert tuple(stats.first()) == (2, 1, 1)
     assert back.agg(F.count_if(F.col("body").isNull())).first()[0] == 0

@@ -1,6 +1,6 @@
 import pytest
 
-from seqwatch.session import ensure_checkpoint_dir, scratch_path, shared_folder
+from seqwatch.session import ensure_checkpoint_dir, remove_scratch, scratch_path, shared_folder
 
 
 def test_the_folder_of_the_session_is_used(spark):
@@ -11,6 +11,16 @@ def test_the_folder_of_the_session_is_used(spark):
     assert shared_folder(spark) in spark.sparkContext.getCheckpointDir()
 
 
+def test_scratch_is_removed_on_demand(spark, tmp_path):
+    remove_scratch(spark)
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert remove_scratch(spark) == 1 and remove_scratch(spark) == 0
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 class FakeCluster:
     """A session on a cluster that names no shared folder."""
 
