@@ -215,8 +215,8 @@ def disclosing_terms(rows: DataFrame, texts: DataFrame, base: DataFrame) -> Data
     about = pairs.groupBy("entity").agg(F.sum("joint").alias("entity_n"))
     candidates = store(pairs.where(F.col("texts") >= SUPPORT), "pii-candidates")
     counts = store(term_counts(rows), "pii-terms")
-    total = counts.agg(F.coalesce(F.sum("term_n"), F.lit(0)).alias("total"))  # one row
-    judged = candidates.join(store(about, "pii-entities"), "entity").join(counts, "term").crossJoin(F.broadcast(total))
+    total = counts.agg(F.coalesce(F.sum("term_n"), F.lit(0))).scalar()
+    judged = candidates.join(store(about, "pii-entities"), "entity").join(counts, "term").withColumn("total", total)
     pmi = F.log(F.col("joint") * F.col("total") / (F.col("term_n") * F.col("entity_n")))
     content = F.log(F.col("total") / F.col("entity_n"))
     judged = judged.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0)).where(F.col("disclosure") >= GENERALISE)
