@@ -28,12 +28,14 @@ WORDS = 3
 #: Least similarity, as a fraction.
 LEAST = (90, 100)
 #: Counters of shingles: two to this power.
-COUNTERS = 20
+COUNTERS = 21
 #: Rows of a list that are compared at once.
 BLOCK = 512
-#: Bits that mark the documents whose sets are needed again: two to this power. More documents than bits only mean that more are read.
-MARKS = 23
+#: Bits that mark the shingles that are shared, or the documents whose sets are needed again: two to this power. With more
+#: of them than bits the marks tell less, and more is moved or read; results do not depend on them.
+MARKS = 25
 
+_COUNT_KINDS = (np.int8, np.int16, np.int32, np.int64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,19 +139,20 @@ def count_shingles(docs: DataFrame, words: int) -> np.ndarray:
                     np.add.at(total, _counter(shingle_hashes(word_hashes(text), words)), 1)
         parts = total.reshape(-1, 1 << slice_bits)
         used = np.flatnonzero(parts.any(axis=1))
-        small = parts if total.max() >= 2**31 else parts.astype(np.int32)
+        # Few bytes as long as the numbers are small; the length tells which.
+        small = parts.astype(next(kind for kind in _COUNT_KINDS if total.max() <= np.iinfo(kind).max))
         yield pd.DataFrame({"part": used, "counts": [small[i].tobytes() for i in used]})
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << slice_bits, dtype=np.int64)
         for counts in part["counts"]:
-            total += np.frombuffer(counts, dtype=np.int32 if len(counts) == 4 << slice_bits else np.int64)
+            total += np.frombuffer(counts, dtype=f"i{len(counts) >> slice_bits}")
         return pd.DataFrame({"part": part["part"].iloc[:1], "counts": [total.tobytes()]})
 
     schema = "part int, counts binary"
     summed = docs.select("text").mapInPandas(count, schema).groupBy("part").applyInPandas(add, schema)
     total = np.zeros((1 << COUNTERS - slice_bits, 1 << slice_bits), dtype=np.int64)
-    for row in summed.collect():  # 2^20 numbers, whatever the corpus
+    for row in summed.collect():  # 2^21 numbers, whatever the corpus
         total[row.part] = np.frombuffer(row.counts, dtype=np.int64)
     return total.reshape(-1)
 
@@ -159,11 +162,11 @@ def prefix_length(n: int, least: tuple[int, int]) -> int:
 
 
 def parity_bitmap(shingles: np.ndarray) -> bytes:
-    """A bit per shingle slot, as many as the set has members (a power of two): whether an odd number of them falls there.
+    """A bit per slot, 256 or about half as many as the set has members (a power of two): whether an odd number of them falls there.
 
     Sets that differ in d shingles have bitmaps that differ in d bits at most.
     """
-    bits = max(64, 1 << int(len(shingles)).bit_length())
+    bits = max(256, 1 << (len(shingles) // 4).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -209,38 +212,45 @@ def link_classes(docs: DataFrame, signed: DataFrame, words: int, least: tuple[in
         "jaccard-classes",
     )
     groups = classes.groupBy("gr", "n").agg(
-        F.count(F.lit(1)).alias("classes"), F.sum("copies").alias("copies"), F.min("class").alias("class"),
-        F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix"),
-    )
+        F.count(F.lit(1)).alias("classes"), F.max("copies").alias("copies"), F.min("class").alias("class"), F.first("prefix").alias("prefix")
+    )
     groups = store(groups.withColumn("many", F.col("classes") > 1), "jaccard-groups")
 
     # A unit is a group, or, in the list of a group of several classes, one of its classes; told apart by ``many``.
-    shingles = groups.select(F.posexplode("prefix").alias("place", "list"), F.col("class").alias("unit_id"), "gr", "n", "many")
-    inner = classes.join(groups.where("many").select("gr"), "gr", "left_semi")
-    inner = inner.select(F.lit(0).alias("place"), F.xxhash64("gr").alias("list"), F.col("class").alias("unit_id"), "gr", "n", F.lit(False).alias("many"))
-    postings = shingles.unionByName(inner)
-    lists = postings.groupBy("list").agg(F.count(F.lit(1)).alias("list_size")).where("list_size > 1")
-    listed = postings.join(store(lists, "jaccard-lists"), "list")
-    # What a unit brings besides: its bitmap, if it is one class, and its copies.
-    about = classes.select(F.col("class").alias("unit_id"), "copies", "bitmap")
-    listed = store(listed.join(about, "unit_id").withColumn("bitmap", F.when(~F.col("many"), F.col("bitmap"))), "jaccard-listed")
-
-    leader = F.struct("copies", "unit_id", "many", "n", "place", "bitmap", "gr")
+    # Most shingles turn out to be in one prefix only. They are sorted out by their hashes alone, as far as a bitmap of
+    # the shared ones tells, before anything else of an entry is moved.
+    inner = classes.join(groups.where("many").select("gr"), "gr", "left_semi").select(
+        F.xxhash64("gr").alias("list"), F.col("class").alias("unit_id"), "n", F.lit(0).alias("place"), F.lit(False).alias("many"), "copies"
+    )
+    shared = groups.select(F.explode("prefix").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("list_size"))
+    shared = store(shared.where("list_size > 1").select("list"), "jaccard-shared")
+    entries = groups.select(F.col("class").alias("unit_id"), "n", "many", "copies", "prefix").mapInPandas(
+        _enter(marks(shared, F.col("list"))), "list bigint, unit_id bigint, n int, place int, many boolean, copies bigint"
+    )
+    listed = store(entries.join(shared, "list", "left_semi").unionByName(inner), "jaccard-listed")
+
+    # The unit of the most copies leads its list.
+    leader = F.struct("copies", "unit_id", "many", "n", "place")
     leaders = store(listed.groupBy("list").agg(F.max(leader).alias("leader")), "jaccard-leaders")
     led = listed.join(leaders, "list").where("unit_id <> leader.unit_id or many <> leader.many")
     led = led.where(_sizes_fit(F.col("n"), F.col("leader.n"), least) & _places_fit(F.col("n"), F.col("place"), F.col("leader.n"), F.col("leader.place"), least))
-    first = led.select(
-        F.col("unit_id").alias("a"), F.col("many").alias("many_a"), F.col("leader.unit_id").alias("b"), F.col("leader.many").alias("many_b"),
-        "n", F.col("leader.n").alias("n_b"), "bitmap", F.col("leader.bitmap").alias("bitmap_b"),
-    )
-    first = store(first.mapInPandas(_filter_bitmaps(least), PAIR).distinct(), "jaccard-first")
+    led = led.select(
+        F.col("unit_id").alias("a"), F.col("many").alias("many_a"), "n", F.col("leader.unit_id").alias("b"), F.col("leader.many").alias("many_b"),
+        F.col("leader.n").alias("n_b"),
+    ).distinct()
+    maps = classes.select(F.col("class").alias("unit_id"), "bitmap")
+    for end in ("a", "b"):
+        led = led.join(maps.select(F.col("unit_id").alias(end), F.col("bitmap").alias(f"bitmap_{end}")), end)
+        led = led.withColumn(f"bitmap_{end}", F.when(~F.col(f"many_{end}"), F.col(f"bitmap_{end}")))
+    first = store(led.mapInPandas(_filter_bitmaps(least), PAIR).distinct(), "jaccard-first")
     links = verify(docs, classes, groups, first, words, least)
 
     # Where one comparison has not joined a list, every pair of it that is still apart is looked at.
     roots = components(links).select(F.col("node").alias("unit_id"), "root")
-    apart = listed.select("list", "unit_id", "many", "n", "place", "bitmap").join(store(roots, "jaccard-roots"), "unit_id", "left")
-    apart = apart.withColumn("root", F.when(~F.col("many"), F.coalesce("root", "unit_id")))
-    # Roots are names of their own; a unit without links is its own.
+    # Roots are names of their own; a class without links is its own.
+    known = maps.join(roots, "unit_id", "left").withColumn("root", F.coalesce("root", "unit_id"))
+    apart = listed.join(store(known, "jaccard-known"), "unit_id")
+    apart = apart.withColumns({name: F.when(~F.col("many"), F.col(name)) for name in ("root", "bitmap")})
     several = apart.groupBy("list").agg(
         F.count(F.lit(1)).alias("list_size"), F.min("root").alias("low_root"), F.max("root").alias("high_root"), F.max("many").alias("any_many")
     )
@@ -251,6 +261,40 @@ def link_classes(docs: DataFrame, signed: DataFrame, words: int, least: tuple[in
     return links.unionByName(verify(docs, classes, groups, second, words, least))
 
 
+def marks(frame: DataFrame, hashed: Column) -> np.ndarray:
+    """A bitmap of fixed size with a bit for each hash, at its last ``MARKS`` bits."""
+    # The bitmap functions count from 1, in parts of 32,768 bits.
+    number = hashed.bitwiseAND(F.lit((1 << MARKS) - 1)) + 1
+    marked = frame.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    out = np.zeros(((1 << MARKS) // 32768, 4096), dtype=np.uint8)
+    for row in marked.collect():  # 2^25 bits, whatever the corpus
+        out[row.part - 1] = np.frombuffer(row.bits, dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def _marked(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    at = hashed & ((1 << MARKS) - 1)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _enter(bits: np.ndarray):
+    """The list entries of the groups' prefixes, but for those that the bitmap shows to be alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lengths = batch["prefix"].map(len).to_numpy()
+            if not len(batch):
+                continue
+            shingles = np.concatenate(batch["prefix"].to_list())
+            row = np.repeat(np.arange(len(batch)), lengths)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            kept = np.flatnonzero(_marked(bits, shingles))
+            about = batch[["unit_id", "n", "many", "copies"]].iloc[row[kept]].reset_index(drop=True)
+            yield about.assign(list=shingles[kept], place=place[kept].astype(np.int32))[["list", "unit_id", "n", "place", "many", "copies"]]
+
+    return run
+
+
 PAIR = "a bigint, many_a boolean, b bigint, many_b boolean"
 
 
@@ -301,7 +345,7 @@ def _ordered(a, many_a, b, many_b) -> pd.DataFrame:
 def _filter_bitmaps(least: tuple[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            apart = _differences(batch["bitmap"].tolist(), batch["bitmap_b"].tolist())
+            apart = _differences(batch["bitmap_a"].tolist(), batch["bitmap_b"].tolist())
             kept = batch[apart <= most_differences(batch["n"].to_numpy(), batch["n_b"].to_numpy(), least)]
             yield _ordered(*(kept[c].to_numpy() for c in ("a", "many_a", "b", "many_b"))).drop_duplicates()
 
@@ -376,21 +420,13 @@ def _class_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: in
     """
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = store(classes.select("class", "doc_id").join(ends, "class"), "jaccard-wanted")
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARKS))
-    # The bitmap functions count from 1, in parts of 32,768 bits.
-    number = mark + 1
-    marked = wanted.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
-    marks = np.zeros(((1 << MARKS) // 32768, 4096), dtype=np.uint8)
-    for row in marked.collect():  # 2^23 bits, whatever the corpus
-        marks[row.part - 1] = np.frombuffer(row.bits, dtype=np.uint8)
-    bits = marks.reshape(-1)
+    mark = F.xxhash64("doc_id")
+    bits = marks(wanted, mark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = batch["mark"].to_numpy()
-            kept = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
             rows = []
-            for text in batch["text"].to_numpy()[kept.astype(bool)]:
+            for text in batch["text"].to_numpy()[_marked(bits, batch["mark"].to_numpy())]:
                 shingles = shingle_set(text, words)
                 if len(shingles):
                     rows.append((_digest(shingles), shingles.tobytes()))

@@ -65,7 +65,7 @@ TRICKY = [
     "a@b.c", "a@b", "a@b.c%d@e.f", "x.y+z@mail.example.com.", "é a@b.cé", "1.2.3.4.5.6.7.8", "256.1.1.1 1.2.3.4", "000255.1.1.0000001 1.1.1.300", "1.2.3",
     "4111 1111 1111 1111", "4111-1111-1111-1111 5500", "4111111111111111 1", "4111  1111 1111 1111", "+1 (555) 555-2485", "+1", "+12", "+1 2 3 4 5 6 7 8) x",
     "+12345678901234567", "++1 234 567 89", "a@b.c,d@e.f;+1 234 567 8900 10.0.0.1 4111 1111 1111 1111", "👍 a@b.co 你好 +49 30 1234567", "1" * 40 + "." + "2" * 30,
-    "a" * 50_000, "a" * 20_000 + "@" + "b" * 20_000, "a@" + "b." * 20_000 + "c", "1" * 50_000, "1 " * 30_000, "+" + "1(" * 20_000, "1.1.1." * 20_000, "@" * 3000, "",
+    "a" * 6000, "a" * 4000 + "@" + "b" * 4000, "a@" + "b." * 20_000 + "c", "1" * 6000, "1 " * 30_000, "+" + "1(" * 20_000, "1.1.1." * 3000, "@" * 3000, "",
 ]
 
 
