@@ -208,7 +208,13 @@ def _fit(frame: pd.DataFrame) -> pd.DataFrame:
     loss = [-np.log(np.maximum(softmax(scores / t)[np.arange(held.sum()), labels[held]], 1e-12)).mean() for t in temperatures]
     temperature = float(temperatures[int(np.argmin(loss))])
     p = softmax(scores / temperature)
-    unknown = p[labels[held] == len(FAMILIES) - 1, :-1].max(axis=1)
+    # A false alarm is what the templates confirm as well.
+    alarms = [
+        row[:-1].max() if confirmed(FAMILIES[int(row[:-1].argmax())], grams) else 0.0
+        for row, (grams, label) in zip(p, [x for x, out in zip(examples, held, strict=True) if out], strict=True)
+        if label == len(FAMILIES) - 1
+    ]
+    unknown = np.array(alarms)
     least = max(0.5, float(np.quantile(unknown, 1 - FALSE_ALARMS))) if len(unknown) else 0.5
     return pd.DataFrame(
         {"features": [list(features)], "weights": [weights.reshape(-1).tolist()], "temperature": [temperature], "least": [min(least, 0.99)]}
