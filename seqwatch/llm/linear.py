@@ -34,17 +34,22 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit(rows: Rows, target: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> np.ndarray:
     """Weights (features, dense columns and a last row of biases; a column per class) for a one-hot ``target``.
 
-    Nesterov's accelerated gradient with a ridge penalty; the step follows the largest curvature.
+    Nesterov's accelerated gradient with a ridge penalty; the step follows the largest curvature. Features
+    are scaled by how often they occur, so that rare ones are learnt as fast as common ones and not shrunk more.
     """
-    n, k = target.shape
+    k = target.shape[1]
     width = rows.n_features + rows.dense.shape[1]
     weight = weight / weight.sum()
+    share = np.bincount(rows.flat, weight[rows.row], rows.n_features)
+    scale = np.ones((width + 1, 1))
+    scale[: rows.n_features, 0] = 1 / np.sqrt(np.maximum(share, weight.max()))
 
     def forward(w: np.ndarray) -> np.ndarray:
+        w = w * scale
         return rows.dot(w[:-1]) + w[-1]
 
     def backward(rest: np.ndarray) -> np.ndarray:
-        return np.concatenate([rows.gathered(rest), rest.sum(axis=0, keepdims=True)])
+        return np.concatenate([rows.gathered(rest), rest.sum(axis=0, keepdims=True)]) * scale
 
     probe = np.ones((width + 1, 1))
     for _ in range(12):
@@ -60,4 +65,4 @@ def fit(rows: Rows, target: np.ndarray, weight: np.ndarray, penalty: float = 1e-
         moved = ahead - step * slope
         ahead = moved + i / (i + 3) * (moved - w)
         w = moved
-    return w
+    return w * scale

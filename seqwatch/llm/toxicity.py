@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -21,12 +23,14 @@ from seqwatch.llm.linear import Rows, fit, softmax
 #: Labelled documents that the chain is fitted on, at most: those of the smallest id hashes.
 SAMPLE = 12_000
 FOLDS = 3
-#: Lengths of the word beginnings.
-BEGINNINGS = (4, 5, 6)
-#: A term is a feature if it was in so many labelled documents and its odds differ by so many standard errors.
-LEAST_DOCUMENTS, LEAST_SCORE = 5, 4.0
+#: Lengths of the beginnings of longer words, which inflected forms share.
+BEGINNINGS = (4, 5, 6, 7)
+#: A term is a feature if it was in so many labelled documents and its counts are so unlikely by chance (as standard errors).
+LEAST_DOCUMENTS, LEAST_SCORE = 3, 4.0
 #: A toxic document with so many different marker words is severe; a marker word is this much likelier in toxic documents.
 SEVERE_MARKERS, MARKER_RATIO = 3, 20.0
+#: A clean document told wrong weighs as much as so many toxic ones.
+CLEAN_WEIGHT = 5
 CHAIN = ("low_quality", "toxic", "severe")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -52,7 +56,7 @@ class Chain:
         hits = [self.features[word] for word in self.words & words]
         for n, known in self.beginnings.items():
             if known:
-                hits += [self.features[start + "*"] for start in known & {word[:n] for word in words if len(word) >= n}]
+                hits += [self.features[start + "*"] for start in known & {word[:n] for word in words if len(word) > n}]
         return hits
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
@@ -149,7 +153,7 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = []
         for text in batch["text"]:
             words = set(WORD.findall(text.lower()))
-            terms.append(sorted(words | {word[:n] + "*" for n in BEGINNINGS for word in words if len(word) >= n}))
+            terms.append(sorted(words | {word[:n] + "*" for n in BEGINNINGS for word in words if len(word) > n}))
         yield batch.drop(columns="text").assign(terms=terms)
 
 
@@ -163,16 +167,20 @@ def choose_features(taught: DataFrame) -> tuple[dict[str, int], list[str]]:
     counted = counted.where(F.col("n") >= LEAST_DOCUMENTS)
 
     def score(category: str) -> Column:
-        """The log odds ratio over its standard error."""
-        yes, all_yes = F.col(category), float(totals[category])
-        no, all_no = F.col("n") - yes, float(totals.n - totals[category])
-        odds = F.log((yes + 0.5) / (all_yes - yes + 0.5)) - F.log((no + 0.5) / (all_no - no + 0.5))
-        return odds / F.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
+        """The root of the likelihood ratio of the term's counts with and without the category."""
+        yes, n, all_yes, all_n = F.col(category), F.col("n"), float(totals[category]), float(totals.n)
+        cells = (
+            (yes, n * all_yes / all_n),
+            (n - yes, n * (all_n - all_yes) / all_n),
+            (all_yes - yes, (all_n - n) * all_yes / all_n),
+            (all_n - n - all_yes + yes, (all_n - n) * (all_n - all_yes) / all_n),
+        )
+        return F.sqrt(F.greatest(2 * reduce(add, [F.when(seen > 0, seen * F.log(seen / due)).otherwise(0.0) for seen, due in cells]), F.lit(0.0)))
 
     chosen = [c for c in ("low_quality", "toxic") if 0 < totals[c] < totals.n]
     if not chosen:
         return {}, []
-    best = F.greatest(*[F.abs(score(c)) for c in chosen], F.lit(0.0))
+    best = F.greatest(*[score(c) for c in chosen], F.lit(0.0))
     likelier = (F.col("toxic") + 0.5) / (float(totals.toxic) + 1) / ((F.col("n") - F.col("toxic") + 0.5) / (float(totals.n - totals.toxic) + 1))
     found = counted.where(best >= LEAST_SCORE).select("term", (likelier >= MARKER_RATIO).alias("marker")).orderBy("term").collect()
     return {row.term: i for i, row in enumerate(found)}, [row.term for row in found if row.marker and not row.term.endswith("*")]
@@ -206,13 +214,13 @@ def _fit_category(rows: DataFrame, category: str, features: dict[str, int]) -> D
 
 
 def best_threshold(judged: pd.DataFrame) -> float:
-    """The probability from which the most out-of-fold documents are told right, in the middle of its gap; over 1 if there is nothing to tell."""
+    """The probability from which most out-of-fold documents are told right, in the middle of its gap; over 1 if there is nothing to tell."""
     if judged.empty or judged["toxic"].nunique() < 2:
         return 2.0
     judged = judged.sort_values("p")
     p, y = judged["p"].to_numpy(), judged["toxic"].to_numpy()
     # Everything from i on is called toxic.
-    right = np.concatenate([[0], np.cumsum(y == 0)]) + y.sum() - np.concatenate([[0], np.cumsum(y == 1)])
+    right = CLEAN_WEIGHT * np.concatenate([[0], np.cumsum(y == 0)]) + y.sum() - np.concatenate([[0], np.cumsum(y == 1)])
     cuts = np.concatenate([[0.0], (p[1:] + p[:-1]) / 2, [1.0]])
     distinct = np.concatenate([[True], p[1:] > p[:-1], [True]])
     best = np.flatnonzero(distinct & (right == right[distinct].max()))
