@@ -38,8 +38,8 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
     Spans are kind:start:end in code points, the end exclusive, by kind (email, ip, card, phone, term) and start. ``base_sha256``
-    is over those of the first four kinds. A null or empty text has none. Null and repeated ids are rows of their own; equal texts have equal spans and
-    count once in the estimates. An empty table gives an empty result. Other columns are ignored.
+    is over those of the first four kinds. A null or empty text has none. Null and repeated ids are rows of their own; equal texts have equal spans, and
+    what stands near an entity counts once in them. An empty table gives an empty result. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     scanned = scan(rows)
@@ -180,7 +180,7 @@ def all_spans(rows: DataFrame, scanned: DataFrame) -> DataFrame:
 
 
 def contexts(texts: DataFrame, base: DataFrame) -> DataFrame:
-    """key, entity, term, start, end: the terms on either side of each entity. A word cut by the context's end counts as it stands there not at all."""
+    """key, entity, term, start, end: the terms on either side of each entity, without words that the context's end cuts."""
     entity = F.concat_ws(":", F.col("place").cast("string"), F.when(F.col("place") == 0, F.lower("value")).otherwise(F.regexp_replace("value", "[^0-9.]", "")))
     near = base.withColumn("entity", entity).join(texts.select("key", "text"), "key")
     size = F.length("text")
@@ -227,6 +227,6 @@ def disclosing_terms(rows: DataFrame, texts: DataFrame, base: DataFrame) -> Data
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """term, term_n: how often each term is in different texts of the corpus."""
+    """term, term_n: how often each term is in the corpus, copies of texts included."""
     words = rows.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("term_n"))

@@ -117,7 +117,6 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """The captures of every archive, sorted within it: run, place and the columns of CAPTURE. Payloads are held against their digests."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(folder)
     captures = files.select("path", "content").mapInPandas(_parse_files, CAPTURE)
-    # What the digest of a page's payload was archived for first is its response, however often the row came.
     keyed = captures.withColumn("url_key", url_key(F.col("url")))
     runs = store(keyed, "warc-captures")
     order = Window.partitionBy("archive").orderBy(*ORDER)
