@@ -38,8 +38,8 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
     Spans are kind:start:end in code points, the end exclusive, by kind (email, ip, card, phone, term) and start. ``base_sha256``
-    is over those of the first four kinds. A null or empty text has none. Null and repeated ids are rows of their own; equal texts have equal spans, and
-    what stands near an entity counts once in them. An empty table gives an empty result. Other columns are ignored.
+    is over those of the first four kinds. A null or empty text has none. Null and repeated ids are rows of their own; equal texts have equal spans.
+    An empty table gives an empty result. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     scanned = scan(rows)
@@ -163,7 +163,9 @@ def luhn(digits: Column) -> Column:
 
 def all_spans(rows: DataFrame, scanned: DataFrame) -> DataFrame:
     """key, spans: for each text with personal data its base spans and those of disclosing terms, in order."""
-    texts = store(scanned.where("text is not null").dropDuplicates(["key"]).drop("doc_id"), "pii-texts")
+    copies = F.count(F.lit(1)).alias("copies")
+    texts = scanned.where("text is not null").groupBy("key").agg(copies, *[F.first(name).alias(name) for name in ("text", *PATTERNS)])
+    texts = store(texts, "pii-texts")
     base = store(base_spans(texts), "pii-base")
     terms = disclosing_terms(rows, texts, base)
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("place") + 1)
@@ -180,9 +182,12 @@ def all_spans(rows: DataFrame, scanned: DataFrame) -> DataFrame:
 
 
 def contexts(texts: DataFrame, base: DataFrame) -> DataFrame:
-    """key, entity, term, start, end: the terms on either side of each entity, without words that the context's end cuts."""
+    """key, copies, entity, term, start, end: the terms on either side of each entity, without words that the context's end cuts.
+
+    A term that stands near an entity's value twice is there once.
+    """
     entity = F.concat_ws(":", F.col("place").cast("string"), F.when(F.col("place") == 0, F.lower("value")).otherwise(F.regexp_replace("value", "[^0-9.]", "")))
-    near = base.withColumn("entity", entity).join(texts.select("key", "text"), "key")
+    near = base.withColumn("entity", entity).join(texts.select("key", "copies", "text"), "key")
     size = F.length("text")
     left_from, right_to = F.greatest(F.col("start") - CONTEXT, F.lit(0)), F.least(F.col("end") + CONTEXT, size)
     sides = F.array(
@@ -191,7 +196,7 @@ def contexts(texts: DataFrame, base: DataFrame) -> DataFrame:
         F.struct(F.col("end").alias("from"), F.substring("text", (F.col("end") + 1).cast("int"), (right_to - F.col("end")).cast("int")).alias("part"),
                  F.lit(False).alias("cut_first"), (right_to < size).alias("cut_last")),
     )
-    sides = near.select("key", "entity", F.explode(sides).alias("s")).select("key", "entity", "s.*")
+    sides = near.select("key", "copies", "entity", F.explode(sides).alias("s")).select("key", "copies", "entity", "s.*")
     words, gaps = F.regexp_extract_all("part", F.lit(TERM), F.lit(0)), F.split("part", TERM, -1)
     # A context has few words, so that their places can be added up in it.
     ends = F.transform(
@@ -199,17 +204,18 @@ def contexts(texts: DataFrame, base: DataFrame) -> DataFrame:
         lambda i: F.aggregate(F.slice(F.zip_with(gaps, words, lambda g, w: F.length(g) + F.coalesce(F.length(w), F.lit(0))), F.lit(1), i), F.lit(0), lambda a, b: a + b),
     )
     placed = sides.withColumn("words", words).where(F.size("words") > 0)
-    placed = placed.select("key", "entity", "from", F.length("part").alias("n"), "cut_first", "cut_last", F.explode(F.arrays_zip(F.col("words").alias("w"), ends.alias("e"))).alias("t"))
+    placed = placed.select("key", "copies", "entity", "from", F.length("part").alias("n"), "cut_first", "cut_last", F.explode(F.arrays_zip(F.col("words").alias("w"), ends.alias("e"))).alias("t"))
     placed = placed.withColumn("end", F.col("from") + F.col("t.e")).withColumn("start", F.col("end") - F.length("t.w"))
     whole = ~(F.col("cut_first") & (F.col("start") == F.col("from"))) & ~(F.col("cut_last") & (F.col("t.e") == F.col("n")))
-    return placed.where(whole).select("key", "entity", F.lower("t.w").alias("term"), "start", "end")
+    return placed.where(whole).select("key", "copies", "entity", F.lower("t.w").alias("term"), "start", "end").distinct()
 
 
 def disclosing_terms(rows: DataFrame, texts: DataFrame, base: DataFrame) -> DataFrame:
     """key, place, start, end, token: the terms near an entity whose disclosure is over a threshold."""
     near = store(contexts(texts, base), "pii-contexts")
-    # Different texts first, so that neither a copied text nor a hot entity counts or gathers more than its different texts.
-    pairs = near.groupBy("entity", "term", "key").agg(F.count(F.lit(1)).alias("n"))
+    # Different texts first, so that a hot entity gathers no more than these. They are the support; all other counts are over
+    # the corpus as it is, copies included.
+    pairs = near.groupBy("entity", "term", "key").agg((F.count(F.lit(1)) * F.first("copies")).alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("joint"))
     pairs = store(pairs, "pii-pairs")
     about = pairs.groupBy("entity").agg(F.sum("joint").alias("entity_n"))
@@ -228,5 +234,5 @@ def disclosing_terms(rows: DataFrame, texts: DataFrame, base: DataFrame) -> Data
 
 def term_counts(rows: DataFrame) -> DataFrame:
     """term, term_n: how often each term is in the corpus, copies of texts included."""
-    words = rows.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
+    words = rows.select(F.explode(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("word")).select(F.lower("word").alias("term"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("term_n"))

@@ -127,6 +127,27 @@ def test_disclosing_terms_against_brute_force(make_docs):
     assert out[500].spans == out[0].spans
 
 
+@pytest.mark.parametrize("copies", [1, 1000])
+def test_copies_do_not_hide_disclosing_terms(make_docs, copies):
+    """A codename in three different texts only; copies of these say no less about it than the texts alone."""
+    texts = [f"{first} goes by Codename at ann@x.org these days" for first in ("someone", "nobody", "anybody")]
+    rows = [(i, texts[i % 3], "a") for i in range(3 * copies)]
+    rows += [(10_000 + i, "these days someone goes nowhere " + "filler " * 200, "a") for i in range(200)]
+    out = {r.doc_id: r for r in pii.find_personal_data(make_docs(rows, clashing=False)).collect()}
+    for i in range(3 * copies):
+        text = texts[i % 3]
+        terms = {text[int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in out[i].spans.split(",")) if k == "term"}
+        assert "codename" in terms
+
+
+def test_a_term_between_two_values_counts_once(make_docs):
+    """A place near two mentions of the same entity."""
+    rows = [(i, f"ann@x.org Codename ann@x.org {w}", "a") for i, w in enumerate(("someone", "nobody", "anybody"))]
+    spans = pii.scan(make_docs(rows).select("doc_id", "text")).withColumn("copies", F.lit(1))
+    near = pii.contexts(spans, pii.base_spans(spans)).where("term = 'codename'").collect()
+    assert len(near) == 3
+
+
 def test_sanitised(make_docs):
     rows = entity_docs() + [(300, "call +1 234 567 8900 or 10.0.0.1", "a"), (301, None, "a"), (302, "", "a"), (303, "plain 12", "a")]
     docs = make_docs(rows)
