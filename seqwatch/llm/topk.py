@@ -165,7 +165,8 @@ def _keep(live, local, unit_q, unit_x, norms, longest, focus) -> np.ndarray:
         low, high = np.where(centre <= -t, -1.0 - 1e-9, low), np.where(centre >= t, 1.0 + 1e-9, high)
         values = unit_x[:, f].T
         mask &= (values >= low[:, None]) & (values <= high[:, None])
-    return mask
+    # Any direction is still of use to a query whose k-th best score is negative or not yet there.
+    return mask | (need <= 0)[:, None]
 
 
 def _norm(x: np.ndarray) -> np.ndarray:

@@ -68,6 +68,22 @@ def test_pruning_loses_nothing(spread):
             assert at[i].tolist() == order.tolist() and score[i].tolist() == products[i, order].tolist()
 
 
+def test_queries_away_from_a_cone_keep_their_best():
+    """Nearly all vectors point one way, so a median query prunes by coordinates; a few queries point the other way."""
+    rng = np.random.default_rng(7)
+    x = np.array([1.0, 0, 0, 0, 0, 0]) + 0.1 * rng.standard_normal((4000, 6))
+    x = np.floor(x / np.linalg.norm(x, axis=1)[:, None] * 1000)
+    x[:5] *= -1
+    ids = np.arange(4000)
+    score, at = topk.best_products(x[:40], ids[:40], x, ids, ids, 20)
+    products = x[:40] @ x.T
+    products[np.arange(40), np.arange(40)] = -np.inf
+    assert (np.sort(products[:5], axis=1)[:, -20] < 0).all()
+    for i in range(40):
+        order = np.lexsort((ids, -products[i]))[:20]
+        assert at[i].tolist() == order.tolist() and score[i].tolist() == products[i, order].tolist()
+
+
 def test_buckets_are_skipped(monkeypatch):
     """Where lengths differ, most products are never taken."""
     taken = []
