@@ -1,14 +1,17 @@
-"""Licence scans: a trained paragraph classifier with an unknown class, and templates that confirm it.
+"""Licence scans: a trained classifier of passages with an unknown class, and templates and names that confirm it.
 
-Paragraphs (lines) go through a softmax regression over their word n-grams. It is trained on the templates, in
-damaged copies among words of the corpus, and on other paragraphs as the unknown class; a temperature and a
-least probability are then set on a part held out. What it calls a licence counts if enough of the n-grams of
-one of that family's templates are there.
+Passages are looked for in the words of the whole text, whatever its lines: those that hold enough of the n-grams of a
+template, and those that name a licence. Each goes through a softmax regression over its word n-grams and counts if the
+family that it confirms is likely enough. The regression is trained on the templates, in damaged copies among words of
+the corpus, on names in several wordings, and on other paragraphs as the unknown class; a temperature and a
+least probability are then set on a part held out.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -45,6 +48,37 @@ TEMPLATES = {
     ],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+#: Names of licences, of which some notices have no more: patterns over lower case, in which a blank is whatever is between two words.
+FULL_NAMES = {
+    "apache": ["apache (?:software )?licen[cs]ed?"],
+    "bsd": ["bsd (?:(?:[234]|two|three|four) clause )?licen[cs]ed?", "(?:[234]|two|three|four) clause bsd", "bsd (?:[234]|two|three|four) clause"],
+    "cc0": ["cc0 1(?: 0)?", "creative commons zero"],
+    "gpl": ["gnu general public licen[cs]e", "gnu gpl"],
+    "lgpl": ["(?:gnu )?(?:lesser|library) general public licen[cs]e", "gnu lgpl"],
+    "mit": ["(?:mit|expat) licen[cs]ed?"],
+    "mpl": ["mozilla public licen[cs]e"],
+    "cc": ["creative commons attribution(?: (?:non(?: )?commercial|share(?: )?alike|no(?: )?deriv(?:ative)?s?))*"],
+}
+#: Short names count where a version follows them or a licence is spoken of before them; those of ``LED_NAMES`` only in the second case.
+SHORT_NAMES = {"gpl": ["gpl"], "lgpl": ["lgpl"], "mpl": ["mpl"], "cc": ["cc by(?: (?:nc|sa|nd))*"]}
+LED_NAMES = {"apache": ["apache 2(?: 0)?"], "bsd": ["bsd"], "cc0": ["cc0"], "mit": ["mit"]}
+VERSION = "(?:(?: version| v)? v?[0-9]|v[0-9])(?: [0-9](?![0-9]))?"
+LEAD = (
+    "(?:(?:licen[cs]ed|released|distributed|available|published|provided) under (?:(?:the|a|an|either|terms|of) )*"
+    r"|licen[cs]e(?: identifier)?[^a-z0-9\n]{0,4}[:=][^a-z0-9]{0,20})"
+)
+#: How names are worded for the classifier.
+WORDINGS = ("", "Licensed under", "Released under the", "Distributed under the terms of the", "License:", "SPDX-License-Identifier:")
+VERSIONS = ("", "1.0", "version 2.0", "3.0", "4.0", "v2", "v3")
+NAMED = {
+    "apache": ["Apache License", "Apache Software License", "Apache 2.0"], "bsd": ["BSD License", "BSD 3-Clause License", "3-Clause BSD"],
+    "cc0": ["CC0", "CC0 1.0", "Creative Commons Zero"], "cc-by": ["CC BY", "Creative Commons Attribution"],
+    "cc-by-nc": ["CC BY-NC", "Creative Commons Attribution-NonCommercial", "Creative Commons Attribution Non-Commercial"],
+    "cc-by-sa": ["CC BY-SA", "Creative Commons Attribution-ShareAlike", "Creative Commons Attribution Share-Alike"],
+    "gpl": ["GNU General Public License", "GNU GPL", "GPL", "GPLv2", "GPLv3"],
+    "lgpl": ["GNU Lesser General Public License", "GNU LGPL", "LGPL", "LGPLv2", "LGPLv3"],
+    "mit": ["MIT License", "MIT-licensed", "MIT"], "mpl": ["Mozilla Public License", "MPL", "MPLv2"],
+}
 UNKNOWN = "unknown"
 FAMILIES = [*TEMPLATES, UNKNOWN]
 #: Paragraphs of the corpus that teach the unknown class, at most: those of the smallest hashes. As many words go into them each, at most.
@@ -68,17 +102,12 @@ class Classifier:
     least: float
     anchors: frozenset = field(default_factory=lambda: anchors())
 
-    def judge(self, paragraphs: list[str]) -> list[tuple[str, float]]:
-        """Family and probability of each paragraph; a family that no template confirms is unknown."""
-        grams = [n_grams(words(p)) for p in paragraphs]
-        rows = Rows([[self.features[g] for g in x if g in self.features] for x in grams], len(self.features))
+    def judge(self, passages: list[tuple[str, list[str]]]) -> list[float | None]:
+        """The probability of each passage's confirmed family, given with its words; None where it is not likely enough."""
+        rows = Rows([[self.features[g] for g in n_grams(found) if g in self.features] for _, found in passages], len(self.features))
         p = softmax((rows.dot(self.weights[:-1]) + self.weights[-1]) / self.temperature)
-        out = []
-        for found, row in zip(grams, p, strict=True):
-            best = int(row[:-1].argmax())
-            sure = row[best] >= self.least and row[best] > row[-1] and confirmed(FAMILIES[best], found)
-            out.append((FAMILIES[best], float(row[best])) if sure else (UNKNOWN, float(row[-1])))
-        return out
+        told = [(float(row[FAMILIES.index(family)]), float(row[-1])) for (family, _), row in zip(passages, p, strict=True)]
+        return [likely if likely >= self.least and likely > unknown else None for likely, unknown in told]
 
 
 def words(paragraph: str) -> list[str]:
@@ -116,11 +145,97 @@ def anchors() -> frozenset:
     return frozenset(out)
 
 
+def _pattern(name: str) -> re.Pattern:
+    return re.compile(f"(?<![a-z0-9])(?:{name})(?![a-z0-9])".replace(" ", "[^a-z0-9]{1,20}"))
+
+
+_PATTERNS = [
+    (family, _pattern(name + ending))
+    for names, endings in ((FULL_NAMES, [f"(?:{VERSION})?"]), (SHORT_NAMES, [VERSION]))
+    for family, each in names.items() for name in each for ending in endings
+] + [
+    (family, _pattern(f"{LEAD}{name}(?:{VERSION})?")) for names in (SHORT_NAMES, LED_NAMES) for family, each in names.items() for name in each
+]
+#: A text with a name has one of these, or "cc" and "by".
+_KEYS = ("licen", "gpl", "mpl", "cc0", "bsd", "creative")
+_CC = _pattern("cc by")
+_CC_PARTS = {"": "cc-by", "nc": "cc-by-nc", "sa": "cc-by-sa"}
+
+
+def _cc_family(name: str) -> str | None:
+    """The family of a Creative Commons name by its conditions; None for those without one here."""
+    conditions = {"nc": r"(?<![a-z])nc(?![a-z])|commercial", "sa": r"(?<![a-z])sa(?![a-z])|alike", "nd": r"(?<![a-z])nd(?![a-z])|deriv"}
+    return _CC_PARTS.get("".join(short for short, pattern in conditions.items() if re.search(pattern, name)))
+
+
+_GRAM_OF: dict[tuple[str, ...], list[tuple[int, str]]] = defaultdict(list)
+_ALL = [(family, grams) for family, templates in _LONG.items() for grams in templates]
+for _i, (_, _grams) in enumerate(_ALL):
+    for _gram in _grams:
+        _GRAM_OF[tuple(_gram.split())].append((_i, _gram))
+_FIRST = {gram[0] for gram in _GRAM_OF}
+
+
+def _of_templates(found: list[str], line: list[int]) -> list[tuple[float, int, str, int, int]]:
+    """share, matched n-grams, family, first and last word: where enough of a template is within twice its length, or within a line."""
+    hits: dict[int, list[tuple[int, str]]] = defaultdict(list)
+    for i in range(len(found) - N_GRAMS + 1):
+        if found[i] in _FIRST:
+            for template, gram in _GRAM_OF.get(tuple(found[i : i + N_GRAMS]), ()):
+                hits[template].append((i, gram))
+    out = []
+    for template, placed in hits.items():
+        family, wanted = _ALL[template]
+        if len({gram for _, gram in placed}) < CONFIRM * len(wanted):
+            continue
+        for fits in (lambda a, b, most=2 * (len(wanted) + N_GRAMS - 1): b + N_GRAMS - a <= most, lambda a, b: line[a] == line[b + N_GRAMS - 1]):
+            have: Counter = Counter()
+            first = 0
+            for place, gram in placed:
+                have[gram] += 1
+                while first < len(placed) and placed[first][0] < place and (not fits(placed[first][0], place) or have[placed[first][1]] > 1):
+                    have[placed[first][1]] -= 1
+                    have += Counter()  # without zeros
+                    first += 1
+                if len(have) >= CONFIRM * len(wanted):
+                    out.append((len(have) / len(wanted), len(have), family, placed[first][0], place + N_GRAMS - 1))
+    return out
+
+
+def passages(lowered: str) -> list[tuple[str, list[str], set[int]]]:
+    """family, words and lines of what confirms a licence in a text in lower case.
+
+    Names come first, longer ones before shorter. A template counts where no other family has any of its words; where
+    several do, the one of which the larger share is there.
+    """
+    placed = [(m.start(), m[0]) for m in WORD.finditer(lowered)]
+    starts, found = [at for at, _ in placed], [word for _, word in placed]
+    ends = [m.start() for m in re.finditer("\n", lowered)]
+    line = [bisect_left(ends, at) for at in starts]
+    owner: list[str | None] = [None] * len(found)
+    names = []
+    for family, pattern in _PATTERNS:
+        for m in pattern.finditer(lowered):
+            names.append((bisect_left(starts, m.start()), bisect_right(starts, m.end() - 1) - 1, _cc_family(m[0]) or UNKNOWN if family == "cc" else family))
+    out = []
+    for first, last, family in sorted(names, key=lambda n: (n[0] - n[1], n)):
+        if not any(owner[first : last + 1]):
+            owner[first : last + 1] = [family] * (last + 1 - first)
+            out.append((family, first, last))
+    taken = [False] * len(found)
+    for _, _, family, first, last in sorted(_of_templates(found, line), key=lambda t: (-t[0], -t[1], t[4] - t[3], t)):
+        if not any(taken[first : last + 1]) and set(owner[first : last + 1]) <= {None, family}:
+            owner[first : last + 1], taken[first : last + 1] = [family] * (last + 1 - first), [True] * (last + 1 - first)
+            out.append((family, first, last))
+    return [(family, found[first : last + 1], set(line[first : last + 1])) for family, first, last in out if family != UNKNOWN]
+
+
 def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, n_licensed, licences, probability.
 
-    Paragraphs are the lines that are not blank. ``n_licensed`` counts those of a licence, ``licences`` names their families in order, comma-joined,
-    empty without any; ``probability`` is the least of their probabilities (null without any). A null or empty text has no paragraphs. Null and
+    Paragraphs are the lines that are not blank. ``n_licensed`` counts those with words of a licence's passage, which may go over several;
+    ``licences`` names all families in order, comma-joined, empty without any; ``probability`` is the least of the passages' probabilities
+    (null without any). A name of a licence counts, whatever is said of it. A null or empty text has no paragraphs. Null and
     repeated ids are rows of their own. An empty table gives an empty result. Other columns are ignored.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -141,17 +256,22 @@ def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 
 def _document(model: Classifier, text: str | None) -> tuple:
-    lines = [line for line in (text or "").split("\n") if line and not line.isspace()]
-    # Paragraphs without any anchor can't be confirmed; what is left goes through the classifier.
-    likely = [line for line in lines if not model.anchors.isdisjoint(words(line))] if _may_have(model, text) else []
-    judged = [x for x in model.judge(likely) if x[0] != UNKNOWN] if likely else []
-    families = sorted({family for family, _ in judged})
-    return len(lines), len(judged), ",".join(families), min((p for _, p in judged), default=None)
+    n_lines = sum(1 for line in (text or "").split("\n") if line and not line.isspace())
+    # Texts without any anchor or key of a name can't be confirmed; what is found goes through the classifier.
+    lowered = (text or "").lower()
+    found = passages(lowered) if _may_have(model, lowered) else []
+    told = model.judge([(family, x) for family, x, _ in found]) if found else []
+    judged = [(family, lines, p) for (family, _, lines), p in zip(found, told, strict=True) if p is not None]
+    families = sorted({family for family, _, _ in judged})
+    licensed = set().union(*[lines for _, lines, _ in judged])
+    return n_lines, len(licensed), ",".join(families), min((p for *_, p in judged), default=None)
 
 
-def _may_have(model: Classifier, text: str | None) -> bool:
-    lowered = (text or "").lower()
-    return any(anchor in lowered for anchor in model.anchors)
+def _may_have(model: Classifier, lowered: str) -> bool:
+    return any(key in lowered for key in (*_KEYS, *model.anchors)) or "cc" in lowered and bool(_CC.search(lowered)) or bool(_LED.search(lowered))
+
+
+_LED = _pattern(LEAD + "(?:apache|mit)")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
@@ -178,7 +298,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
 def _fit(frame: pd.DataFrame) -> pd.DataFrame:
     rng = np.random.default_rng(SEED)
     others = [words(line) for line in sorted(frame["line"])]
-    others = [x for x in others if x and not any(confirmed(family, n_grams(x)) for family in TEMPLATES)]
+    others = [x for x in others if x and not passages(" ".join(x))]
     pool = [w for x in others for w in x] or ["word"]
     examples: list[tuple[set[str], int]] = []
     vocabulary: set[str] = set()
@@ -192,7 +312,14 @@ def _fit(frame: pd.DataFrame) -> pd.DataFrame:
                 after = [pool[i] for i in rng.integers(0, len(pool), rng.integers(0, 12))]
                 examples.append((n_grams(before + kept + after), label))
                 # The same words in no order are no licence.
-                examples.append((n_grams([whole[i] for i in rng.permutation(len(whole))][: rng.integers(1, len(whole) + 1)]), len(FAMILIES) - 1))
+                mixed = [whole[i] for i in rng.permutation(len(whole))][: rng.integers(1, len(whole) + 1)]
+                if not passages(" ".join(mixed)):
+                    examples.append((n_grams(mixed), len(FAMILIES) - 1))
+        for name in NAMED[family]:
+            for _ in range(COPIES):
+                whole = words(" ".join((str(rng.choice(WORDINGS)), name, str(rng.choice(VERSIONS)))))
+                vocabulary |= n_grams(whole)
+                examples.append((n_grams(whole), label))
     examples += [(n_grams(x), len(FAMILIES) - 1) for x in others]
     features = {term: i for i, term in enumerate(sorted(vocabulary))}
     labels = np.array([label for _, label in examples])

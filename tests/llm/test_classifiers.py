@@ -122,6 +122,31 @@ def test_whole_table(spark):
     assert {r.doc_id: r.licences for r in rows} == {i: ",".join(sorted(f for f, words in named.items() if words in t)) for i, t in docs.items()}
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:",
+    "lgpl": "you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation",
+    "gpl": "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation",
+    "mpl": " * This Source Code Form is subject to the terms of the Mozilla\n * Public License, v. 2.0.",
+}
+WORDINGS = {
+    "Licensed under the MIT License.": "mit", "Licensed under CC BY-SA 3.0.": "cc-by-sa", "Distributed under the terms of the BSD license": "bsd",
+    "SPDX-License-Identifier: MIT": "mit", "released under the GNU GPL, version 2": "gpl", "licensed under GPLv3": "gpl", "under the LGPL 2.1": "lgpl",
+    "Licensed under the MIT License or the Apache License, Version 2.0": "apache,mit", "available under Apache 2.0": "apache",
+    "a Creative Commons Attribution-ShareAlike 3.0 licence": "cc-by-sa", "CC BY-NC-SA 4.0": "", "Apache 2.0 serves the pages": "", "er kam mit und blieb": "",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "",
+}
+
+
+def test_wrapped_licences_and_other_wordings(make_docs):
+    texts = [(f"{prose(i, 20)}\n{t}\n{prose(i + 50, 20)}", family) for i, (family, t) in enumerate(WRAPPED.items())]
+    texts += [(f"{prose(i, 20)}\n{t}\n{prose(i + 50, 20)}", families) for i, (t, families) in enumerate(WORDINGS.items(), 10)]
+    texts.append((WRAPPED["mit"] + "\n" + WRAPPED["bsd"], "bsd,mit"))
+    out = {r.doc_id: r for r in licences.scan_licences(make_docs([(i, t, "a") for i, (t, _) in enumerate(texts)])).collect()}
+    assert {i: out[i].licences for i in out} == {i: families for i, (_, families) in enumerate(texts)}
+    assert [out[i].n_licensed for i in range(len(WRAPPED))] == [2, 2, 2, 3, 2]
+
+
 def test_licences_of_odd_rows(make_docs, odd_rows):
     rows = odd_rows + [(50, "\n\n \nReleased under the MIT License.\r\n", "a")] * 2
     out = licences.scan_licences(make_docs(rows)).collect()
