@@ -58,14 +58,40 @@ def similar_documents(
     )
 
 
-def _place(docs: DataFrame, words: int, least: tuple[int, int], doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Every document with its component (joined, root), and the smallest id of each."""
+def link_documents(
+    docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST, doc_id: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """The whole join, as two tables: doc_id, n_shingles, class_id, n_links for every document, and a, b for every two classes that link.
+
+    A class has the documents of equal sets, which all link with each other; two documents of different classes link if and only
+    if their classes do, and each such pair has one row, a < b. ``n_links`` counts the other documents that link. Documents without words have no class
+    and no links. Else as ``similar_documents``.
+    """
+    narrow, signed = _signed(docs, words, least, doc_id, text)
+    links = link_classes(narrow, signed, words, least, every=True)
+    sizes = store(signed.where("n > 0").groupBy("class").agg(F.count(F.lit(1)).alias("copies")), "jaccard-sizes")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes.select(F.col("class").alias("b"), "copies"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("copies").alias("others"))
+    counted = sizes.join(others, "class", "left").select("class", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    documents = signed.join(store(counted, "jaccard-counted"), "class", "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+    return documents, links
+
+
+def _signed(docs: DataFrame, words: int, least: tuple[int, int], doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The documents' ids and texts, and their sets' sizes, classes, groups and prefixes."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = count_shingles(narrow, words)
     signed = narrow.select(carried(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInPandas(
         _sign(words, least, counts), "doc_id string, content bigint, n int, class bigint, gr bigint, prefix array<bigint>, bitmap binary"
     )
-    signed = store(signed.withColumn("doc_id", F.col("doc_id").cast("long")), "jaccard-signed")
+    return narrow, store(signed.withColumn("doc_id", F.col("doc_id").cast("long")), "jaccard-signed")
+
+
+def _place(docs: DataFrame, words: int, least: tuple[int, int], doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Every document with its component (joined, root), and the smallest id of each."""
+    narrow, signed = _signed(docs, words, least, doc_id, text)
     rooted = components(link_classes(narrow, signed, words, least))
     rooted = store(rooted.select(F.col("node").alias("class"), "root"), "jaccard-rooted")
     placed = signed.select("doc_id", "content", "n", "class").join(rooted, "class", "left").select(
@@ -202,8 +228,8 @@ def _digest(shingles: np.ndarray, seed: int = 0) -> int:
 # Links
 
 
-def link_classes(docs: DataFrame, signed: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """a, b: links that connect all classes whose documents link."""
+def link_classes(docs: DataFrame, signed: DataFrame, words: int, least: tuple[int, int], every: bool = False) -> DataFrame:
+    """a, b: links that connect all classes whose documents link; with ``every``, all links between classes."""
     sets = signed.where("n > 0")
     classes = store(
         sets.groupBy("class", "gr", "n").agg(
@@ -229,6 +255,15 @@ def link_classes(docs: DataFrame, signed: DataFrame, words: int, least: tuple[in
     )
     listed = store(entries.join(shared, "list", "left_semi").unionByName(inner), "jaccard-listed")
 
+    if every:
+        maps = classes.select(F.col("class").alias("unit_id"), "bitmap", F.col("class").alias("root"))
+        apart = listed.join(store(maps, "jaccard-known"), "unit_id").withColumns({x: F.when(~F.col("many"), F.col(x)) for x in ("root", "bitmap")})
+        several = store(listed.groupBy("list").agg(F.count(F.lit(1)).alias("list_size")), "jaccard-apart")
+        # A group of several classes in a list of its own has its classes there; elsewhere it stands for all of them.
+        units = to_units(apart.withColumn("row", F.xxhash64("unit_id", "many")), several, "list", "row", BLOCK)
+        pairs = store(map_units(units.drop("row"), "list", _pairs_apart(least), PAIR).distinct(), "jaccard-second")
+        return verify(docs, classes, groups, pairs, words, least)
+
     # The unit of the most copies leads its list.
     leader = F.struct("copies", "unit_id", "many", "n", "place")
     leaders = store(listed.groupBy("list").agg(F.max(leader).alias("leader")), "jaccard-leaders")

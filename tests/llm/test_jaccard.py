@@ -153,3 +153,22 @@ def test_long_ids_keep_every_digit_beside_nulls(make_docs):
     rows = [(2**62 + 1, prose(1, 30), "a"), (2**62 + 3, prose(1, 30), "a"), (None, prose(2, 30), "a"), (4, None, "a")]
     out = {(r.doc_id, r.component_id) for r in jaccard.similar_documents(make_docs(rows)).collect()}
     assert out == {(2**62 + 1, 2**62 + 1), (2**62 + 3, 2**62 + 1), (None, None), (4, 4)}
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_every_link_is_given(make_docs, odd_rows, monkeypatch, block):
+    """All links of dense families, not only those that connect them."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    texts = [t for family in range(2) for t in variants(family, 30, prose(family, 60 + 90 * family), 4)]
+    rows = [(1000 + i, t, "a") for i, t in enumerate(texts + texts[:5])] + odd_rows
+    sets = [shingles(t, 3) for _, t, _ in rows]
+    linked = [
+        {j for j, y in enumerate(sets) if i != j and x and y and 100 * len(x & y) >= 90 * len(x | y)} for i, x in enumerate(sets)
+    ]
+    documents, links = jaccard.link_documents(make_docs(rows))
+    out = documents.collect()
+    assert sorted(repr((r.doc_id, r.n_shingles, r.n_links)) for r in out) == sorted(repr((r[0], len(x), len(n))) for r, x, n in zip(rows, sets, linked))
+    of = {r.doc_id: r.class_id for r in out}
+    wanted = {tuple(sorted((of[rows[i][0]], of[rows[j][0]]))) for i, n in enumerate(linked) for j in n if rows[i][0] and rows[j][0] and sets[i] != sets[j]}
+    pairs = [(r.a, r.b) for r in links.collect()]
+    assert len(pairs) == len(set(pairs)) and wanted == set(pairs) and len(wanted) > 40
