@@ -3,7 +3,7 @@
 A protected entity is a value that the patterns find. A term near it discloses it as far as meeting the term
 makes the entity likelier: PMI(term; entity) over the entity's own information content, both
 estimated from counts over the whole corpus. 1 means that the term is met near this entity only. Terms over the first threshold
-are generalised, those over the second removed; they are the same wherever they stand near that entity.
+are generalised, those over the second removed, wherever they stand in a text that has the entity.
 
 DataFrame functions only.
 """
@@ -23,13 +23,15 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*PATTERNS, "term"]
-#: Code points looked at on either side of an entity.
+#: Code points on either side of an entity in which terms are counted as near.
 CONTEXT = 120
 #: Different texts that an entity, and a term near it, must be met in: fewer are no estimate.
 SUPPORT = 3
 #: Disclosure from which terms are generalised, and from which they are removed.
 GENERALISE, REMOVE = 0.8, 0.95
-TERM = r"\p{L}{4,}+"
+TERM = r"[\p{L}\p{M}\p{N}]++"
+#: Words that are no terms of an entity near which they are always written so: mostly function words, which no count tells from names.
+SMALL = r"^\p{Ll}{1,3}$"
 
 SPAN = "struct<place:int,start:bigint,end:bigint,kind:string,token:string>"
 
@@ -181,13 +183,17 @@ def all_spans(rows: DataFrame, scanned: DataFrame) -> DataFrame:
     return store(gathered.select("key", apart.alias("spans")), "pii-spans")
 
 
+def _entity() -> Column:
+    value = F.when(F.col("place") == 0, F.lower("value")).otherwise(F.regexp_replace("value", "[^0-9.]", ""))
+    return F.concat_ws(":", F.col("place").cast("string"), value)
+
+
 def contexts(texts: DataFrame, base: DataFrame) -> DataFrame:
-    """key, copies, entity, term, start, end: the terms on either side of each entity, without words that the context's end cuts.
+    """key, copies, entity, term, named, start, end: the terms on either side of each entity, without words that the context's end cuts.
 
     A term that stands near an entity's value twice is there once.
     """
-    entity = F.concat_ws(":", F.col("place").cast("string"), F.when(F.col("place") == 0, F.lower("value")).otherwise(F.regexp_replace("value", "[^0-9.]", "")))
-    near = base.withColumn("entity", entity).join(texts.select("key", "copies", "text"), "key")
+    near = base.withColumn("entity", _entity()).join(texts.select("key", "copies", "text"), "key")
     size = F.length("text")
     left_from, right_to = F.greatest(F.col("start") - CONTEXT, F.lit(0)), F.least(F.col("end") + CONTEXT, size)
     sides = F.array(
@@ -207,19 +213,29 @@ def contexts(texts: DataFrame, base: DataFrame) -> DataFrame:
     placed = placed.select("key", "copies", "entity", "from", F.length("part").alias("n"), "cut_first", "cut_last", F.explode(F.arrays_zip(F.col("words").alias("w"), ends.alias("e"))).alias("t"))
     placed = placed.withColumn("end", F.col("from") + F.col("t.e")).withColumn("start", F.col("end") - F.length("t.w"))
     whole = ~(F.col("cut_first") & (F.col("start") == F.col("from"))) & ~(F.col("cut_last") & (F.col("t.e") == F.col("n")))
-    return placed.where(whole).select("key", "copies", "entity", F.lower("t.w").alias("term"), "start", "end").distinct()
+    return placed.where(whole).select("key", "copies", "entity", F.lower("t.w").alias("term"), (~F.rlike("t.w", F.lit(SMALL))).alias("named"), "start", "end").distinct()
+
+
+def places(texts: DataFrame) -> DataFrame:
+    """key, term, start, end: all terms of different texts."""
+    gaps = F.transform(F.split("text", TERM, -1), lambda g: F.length(g))
+    words = texts.select("key", F.posexplode(F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("word"))).alias("n", "m"))
+    words = words.select("key", "n", "m.gap", "m.word").where("word is not null")
+    before = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    words = words.withColumn("end", F.sum(F.col("gap") + F.length("word")).over(before))
+    return words.select("key", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
 
 
 def disclosing_terms(rows: DataFrame, texts: DataFrame, base: DataFrame) -> DataFrame:
-    """key, place, start, end, token: the terms near an entity whose disclosure is over a threshold."""
+    """key, place, start, end, token: the terms whose disclosure of an entity of their text is over a threshold."""
     near = store(contexts(texts, base), "pii-contexts")
     # Different texts first, so that a hot entity gathers no more than these. They are the support; all other counts are over
     # the corpus as it is, copies included.
-    pairs = near.groupBy("entity", "term", "key").agg((F.count(F.lit(1)) * F.first("copies")).alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("joint"))
+    pairs = near.groupBy("entity", "term", "key").agg((F.count(F.lit(1)) * F.first("copies")).alias("n"), F.max("named").alias("named"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("joint"), F.max("named").alias("named"))
     pairs = store(pairs, "pii-pairs")
     about = pairs.groupBy("entity").agg(F.sum("joint").alias("entity_n"))
-    candidates = store(pairs.where(F.col("texts") >= SUPPORT), "pii-candidates")
+    candidates = store(pairs.where((F.col("texts") >= SUPPORT) & F.col("named")), "pii-candidates")
     counts = store(term_counts(rows), "pii-terms")
     total = counts.agg(F.coalesce(F.sum("term_n"), F.lit(0))).scalar()
     judged = candidates.join(store(about, "pii-entities"), "entity").join(counts, "term").withColumn("total", total)
@@ -227,7 +243,11 @@ def disclosing_terms(rows: DataFrame, texts: DataFrame, base: DataFrame) -> Data
     content = F.log(F.col("total") / F.col("entity_n"))
     judged = judged.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0)).where(F.col("disclosure") >= GENERALISE)
     judged = store(judged.select("entity", "term", "disclosure"), "pii-disclosing")
-    told = near.join(judged, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    # Terms are looked up before entities are, so that a hot entity's texts never meet all of its terms.
+    held = base.select("key", _entity().alias("entity")).distinct().join(judged.select("entity").distinct(), "entity", "left_semi")
+    held = store(held, "pii-held")
+    placed = places(texts.select("key", "text").join(held.select("key").distinct(), "key", "left_semi")).join(judged, "term")
+    told = placed.join(held, ["key", "entity"], "left_semi").groupBy("key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     token = F.when(F.col("disclosure") >= REMOVE, "").otherwise("[TERM]")
     return told.select("key", F.lit(len(PATTERNS)).alias("place"), "start", "end", token.alias("token"))
 

@@ -140,6 +140,17 @@ def test_copies_do_not_hide_disclosing_terms(make_docs, copies):
         assert "codename" in terms
 
 
+def test_terms_far_away_and_short_ones(make_docs):
+    """A name, a short name and a code, in the whole of every text that has the address."""
+    near = [f"{first} goes by Codename or Li or 李 or K7 at q@x.org" for first in ("someone", "nobody", "anybody")]
+    rows = [(i, t, "a") for i, t in enumerate([*near, "q@x.org " + "filler " * 60 + "Codename, li, 李 and K7"])]
+    rows += [(100 + i, "someone goes at nowhere or by " + "filler " * 200, "a") for i in range(200)]
+    out = {r.doc_id: r for r in pii.find_personal_data(make_docs(rows, clashing=False)).collect()}
+    for i, text, _ in rows[:4]:
+        terms = {text[int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in out[i].spans.split(",")) if k == "term"}
+        assert terms == {"codename", "li", "李", "k7"}
+
+
 def test_a_term_between_two_values_counts_once(make_docs):
     """A place near two mentions of the same entity."""
     rows = [(i, f"ann@x.org Codename ann@x.org {w}", "a") for i, w in enumerate(("someone", "nobody", "anybody"))]
