@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqwatch.llm import bpe, embedding_dedup, jaccard, licences, mixing, pii, sharding, topk, toxicity, warc
+from seqwatch.llm import bpe, embedding_dedup, jaccard, licences, mixing, pii, sharding, topk, toxicity, warc, whitening
 from seqwatch.llm.common import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +64,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_licences, op2_toxicity, op3_sharding, op4_embedding_dedup, op5_warc, op6_pii, op7_mixing, op8_topk, op9_jaccard, op10_bpe,
+        op11_whitening,
     )
 }
