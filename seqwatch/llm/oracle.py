@@ -84,4 +84,46 @@ ORACLE: dict[str, str] = {
         select origin as doc_id, n::bigint as n_shingles, min(met) as component_id
         from reached join sized on sized.doc_id = origin group by origin, n
     """,
+    "op12_divergence": """
+        with read as (
+            select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text, row_number() over () as r
+            from documents
+        ),
+        worded as (
+            select r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from read
+        ),
+        kept as (select lang, term from worded group by lang, term having count(distinct r) >= 30),
+        sizes as (select lang, count(*) as v from kept group by lang),
+        groups as (select distinct lang, source from read),
+        counted as (select lang, source, term, count(*) as c from worded semi join kept using (lang, term) group by all),
+        totals as (
+            select lang, source, coalesce(n, 0) as n, coalesce(v, 0) as v from groups
+            left join (select lang, source, sum(c) as n from counted group by all) using (lang, source) left join sizes using (lang)
+        ),
+        every as (
+            select lang, source, term, coalesce(c, 0) as c,
+                (1 + (1000000000::hugeint * (coalesce(c, 0) + 5)) // (n + 5 * v))::bigint as p
+            from totals join kept using (lang) left join counted using (lang, source, term)
+        ),
+        whole as (select lang, sum(n) as n, any_value(v) as v from totals group by lang),
+        quoted as (
+            select lang, term, (1 + (1000000000::hugeint * (sum(c) + 5)) // (any_value(n) + 5 * any_value(v)))::bigint as q
+            from every join whole using (lang) group by lang, term
+        ),
+        apart as (
+            select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+            from every a join every b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+        ),
+        found as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+            from groups a join groups b on a.lang = b.lang and a.source <> b.source
+            left join apart on apart.lang = a.lang and apart.source = a.source and apart.item = b.source
+            union all
+            select lang, source, 'term', term, p - q from every join quoted using (lang, term) where c > 0 and p > q
+        )
+        select lang, source, part, item, value, rank::integer as rank from (
+            select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from found
+        ) where part = 'pair' or rank <= 50
+    """,
 }
