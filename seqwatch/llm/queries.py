@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqwatch.llm import bpe, divergence, embedding_dedup, jaccard, licences, mixing, pii, sharding, topk, toxicity, warc, whitening
+from seqwatch.llm import bpe, divergence, embedding_dedup, jaccard, language_id, licences, mixing, pii, sharding, topk, toxicity, warc, whitening
 from seqwatch.llm.common import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,10 +72,14 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         op1_licences, op2_toxicity, op3_sharding, op4_embedding_dedup, op5_warc, op6_pii, op7_mixing, op8_topk, op9_jaccard, op10_bpe,
-        op11_whitening, op12_divergence,
+        op11_whitening, op12_divergence, op13_language_id,
     )
 }
