@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+
+
+def _filled_years() -> str:
+    low, high = "min(casos) over (partition by year)", "max(casos) over (partition by year)"
+    return f"""select name, year, casos, case when casos is null then null when {high} = {low} then 0.5
+  else cast(casos - {low} as double) / cast({high} - {low} as double) end as fill from year_table"""
+
+
 # Views over the given tables; see FIXTURES.md. The phrases in ``rules`` and ``matches``.
 VIEWS = {
     "cases": """
@@ -23,6 +31,108 @@ where n.n_nationkey <> 3""",
     "dated": """
 select *, try_cast(regexp_extract(fec_txt, '^ *([0-9]{1,4}-[0-9]{1,2}-[0-9]{1,2})', 1) as date) as parsed from cases""",
     "areas": "select upper(trim(n_name)) as name from nation",
+    "parcels": """
+select c_custkey, c_nationkey, c_custkey % 4 as system, c_custkey % 5 as shape,
+  case c_custkey % 4 when 0 then 0.015625::double else 32::double end as u,
+  case c_custkey % 4 when 0 then -75 + (c_custkey % 1024)::double / 1024
+    when 3 then (400000 + 64 * (c_custkey % 3000))::double else (900000 + 64 * (c_custkey % 3000))::double end as x,
+  case c_custkey % 4 when 0 then 4 + (c_custkey % 512)::double / 1024
+    when 3 then (450000 + 64 * (c_custkey % 2000))::double else (950000 + 64 * (c_custkey % 2000))::double end as y,
+  case c_custkey % 4 when 0 then 4326 when 1 then 3116 when 2 then 21897 else 32618 end as epsg
+from customer""",
+    # polygon, ring, place and units of every corner; shape 4 has none, and every 97th customer no geometry.
+    "corners": """
+select p.c_custkey, p.c_nationkey, p.system, s.polygon, s.ring, s.place, p.x + s.dx * p.u as x, p.y + s.dy * p.u as y
+from parcels p join (values
+ (0,1,1,1,0,0),(0,1,1,2,4,0),(0,1,1,3,4,4),(0,1,1,4,0,4),(0,1,1,5,0,0),(0,1,2,1,1,1),(0,1,2,2,1,2),(0,1,2,3,2,2),(0,1,2,4,2,1),(0,1,2,5,1,1),
+ (1,1,1,1,0,0),(1,1,1,2,2,0),(1,1,1,3,2,2),(1,1,1,4,0,2),(1,1,1,5,0,0),(1,2,1,1,3,0),(1,2,1,2,5,0),(1,2,1,3,3,3),(1,2,1,4,3,0),
+ (2,1,1,1,0,0),(2,1,1,2,3,0),(2,1,1,3,0,2),(2,1,1,4,0,0),
+ (3,1,1,1,0,0),(3,1,1,2,1,0),(3,1,1,3,1,1),(3,1,1,4,0,1),(3,1,1,5,0,0)) as s(shape, polygon, ring, place, dx, dy)
+on s.shape = p.shape where p.c_custkey % 97 <> 0""",
+    # The systems' parameters, then each step of the way to WGS 84.
+    "zones": """
+select *, a / (1 + n) * (1 + n * n / 4 + n ** 4 / 64) * k as radius from (
+  select *, f / (2 - f) as n, f * (2 - f) as e2 from (
+    select system, a, 1 / fi as f, radians(lat0) as lat0, radians(lon0) as lon0, k, fe, fn, dx, dy, dz from (values
+     (1, 6378137.0::double, 298.257222101::double, 4.596200416666666::double, -74.07750791666666::double, 1::double, 1e6, 1e6, 0::double, 0::double, 0::double),
+     (2, 6378388.0, 297.0, 4.599047222222222, -74.08091666666667, 1, 1e6, 1e6, 307, 304, -318),
+     (3, 6378137.0, 298.257223563, 0.0, -75.0, 0.9996, 5e5, 0.0, 0, 0, 0)) as t(system, a, fi, lat0, lon0, k, fe, fn, dx, dy, dz)))""",
+    "origins": """
+select *, fn - radius * (chi + (n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180) * sin(2 * chi)
+    + (13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440) * sin(4 * chi)
+    + (61 * n ** 3 / 240 - 103 * n ** 4 / 140) * sin(6 * chi) + 49561 * n ** 4 / 161280 * sin(8 * chi)) as north
+from (select *, atan(sinh(asinh(tan(lat0)) - sqrt(e2) * atanh(sqrt(e2) * sin(lat0)))) as chi from zones)""",
+    "spheres": """
+select c_custkey, c_nationkey, polygon, ring, place, z.* exclude (system),
+  xi - (n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96 - n ** 4 / 360) * sin(2 * xi) * cosh(2 * eta)
+    - (n ** 2 / 48 + n ** 3 / 15 - 437 * n ** 4 / 1440) * sin(4 * xi) * cosh(4 * eta)
+    - (17 * n ** 3 / 480 - 37 * n ** 4 / 840) * sin(6 * xi) * cosh(6 * eta) - 4397 * n ** 4 / 161280 * sin(8 * xi) * cosh(8 * eta) as xs,
+  eta - (n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96 - n ** 4 / 360) * cos(2 * xi) * sinh(2 * eta)
+    - (n ** 2 / 48 + n ** 3 / 15 - 437 * n ** 4 / 1440) * cos(4 * xi) * sinh(4 * eta)
+    - (17 * n ** 3 / 480 - 37 * n ** 4 / 840) * cos(6 * xi) * sinh(6 * eta) - 4397 * n ** 4 / 161280 * cos(8 * xi) * sinh(8 * eta) as es
+from (select c.* exclude (system), o.*, (c.y - o.north) / o.radius as xi, (c.x - o.fe) / o.radius as eta
+      from corners c join origins o on o.system = c.system) z""",
+    "datums": """
+select *, lon0 + atan2(sinh(es), cos(xs)) as lon, chis + (2 * n - 2 * n ** 2 / 3 - 2 * n ** 3 + 116 * n ** 4 / 45) * sin(2 * chis)
+    + (7 * n ** 2 / 3 - 8 * n ** 3 / 5 - 227 * n ** 4 / 45) * sin(4 * chis) + (56 * n ** 3 / 15 - 136 * n ** 4 / 35) * sin(6 * chis)
+    + 4279 * n ** 4 / 630 * sin(8 * chis) as lat
+from (select *, asin(sin(xs) / cosh(es)) as chis from spheres)""",
+    "geocentric": """
+select *, v * cos(lat) * cos(lon) + dx as gx, v * cos(lat) * sin(lon) + dy as gy, v * (1 - e2) * sin(lat) + dz as gz
+from (select *, a / sqrt(1 - e2 * sin(lat) ** 2) as v from datums)""",
+    "degrees": """
+select c_custkey, c_nationkey, polygon, ring, place, x as lon, y as lat from corners where system = 0
+union all
+select c_custkey, c_nationkey, polygon, ring, place, degrees(atan2(gy, gx)),
+  degrees(atan2(gz + 0.0067394967422764341 * b * sin(t) ** 3, sqrt(gx ** 2 + gy ** 2) - 0.0066943799901413165 * 6378137 * cos(t) ** 3))
+from (select *, atan2(gz * 6378137, sqrt(gx ** 2 + gy ** 2) * b) as t from (select *, 6378137 * (1 - 1 / 298.257223563::double) as b from geocentric))""",
+    "lengthened": """
+select *, radians(lon) * 6378137 as px, 6378137 * (1 - e * e) / 2 * (s / (1 - e * e * s * s) + atanh(e * s) / e) as py
+from (select *, sin(radians(lat)) as s, sqrt(0.0066943799901413165::double) as e from degrees)""",
+    "sized": """
+select c_custkey, polygon, ring, abs(sum(px * ny - nx * py)) / 2 as area from (
+  select *, lead(px) over w as nx, lead(py) over w as ny from (
+    select c_custkey, polygon, ring, place, px - first_value(px) over w as px, py - first_value(py) over w as py from lengthened
+    window w as (partition by c_custkey, polygon, ring order by place))
+  window w as (partition by c_custkey, polygon, ring order by place))
+group by all""",
+    "stops": """
+select i, 116 * y - 16 as l, 500 * (x - y) as a, 200 * (y - z) as b from (
+  select i, case when x > 0.008856451679035631 then cbrt(x) else x / 0.12841854934601665 + 4 / 29::double end as x, case when y > 0.008856451679035631 then cbrt(y) else y / 0.12841854934601665 + 4 / 29::double end as y,
+    case when z > 0.008856451679035631 then cbrt(z) else z / 0.12841854934601665 + 4 / 29::double end as z from (
+    select i, (0.4124564 * r + 0.3575761 * g + 0.1804375 * b) / 0.95047 as x, 0.2126729 * r + 0.7151522 * g + 0.0721750 * b as y,
+      (0.0193339 * r + 0.1191920 * g + 0.9503041 * b) / 1.08883 as z from (
+      select i, case when r <= 0.04045 then r / 12.92 else ((r + 0.055) / 1.055) ** 2.4 end as r,
+        case when g <= 0.04045 then g / 12.92 else ((g + 0.055) / 1.055) ** 2.4 end as g,
+        case when b <= 0.04045 then b / 12.92 else ((b + 0.055) / 1.055) ** 2.4 end as b
+      from (select i, r / 255::double as r, g / 255::double as g, b / 255::double as b from (values
+        (0, 252, 218, 202), (1, 244, 148, 137), (2, 234, 51, 47), (3, 230, 13, 12), (4, 124, 0, 12)) as t(i, r, g, b)))))""",
+    "mixed": """
+select f.name, f.year, f.casos, lo.l + (f.place - f.i) * (hi.l - lo.l) as l, lo.a + (f.place - f.i) * (hi.a - lo.a) as a,
+  lo.b + (f.place - f.i) * (hi.b - lo.b) as b
+from (select *, least(floor(place), 3)::int as i from (select *, fill * 4 as place from (FILLED))) f
+left join stops lo on lo.i = f.i left join stops hi on hi.i = f.i + 1""".replace("FILLED", _filled_years()),
+    "linear": """
+select name, year, casos, 3.2404542 * x - 1.5371385 * y - 0.4985314 * z as r, -0.9692660 * x + 1.8760108 * y + 0.0415560 * z as g,
+  0.0556434 * x - 0.2040259 * y + 1.0572252 * z as b from (
+  select name, year, casos, 0.95047 * case when x > 6 / 29::double then x ** 3 else 0.12841854934601665 * (x - 4 / 29::double) end as x,
+    case when y > 6 / 29::double then y ** 3 else 0.12841854934601665 * (y - 4 / 29::double) end as y,
+    1.08883 * case when z > 6 / 29::double then z ** 3 else 0.12841854934601665 * (z - 4 / 29::double) end as z
+  from (select name, year, casos, (l + 16) / 116 + a / 500 as x, (l + 16) / 116 as y, (l + 16) / 116 - b / 200 as z from mixed))""",
+    "coloured": """
+select name, year, casos, case when casos is null then '#CCCCCC' else '#' || upper(lpad(to_hex(r), 2, '0') || lpad(to_hex(g), 2, '0') || lpad(to_hex(b), 2, '0')) end as colour
+from (select name, year, casos, floor(r * 255 + 0.5)::bigint as r, floor(g * 255 + 0.5)::bigint as g, floor(b * 255 + 0.5)::bigint as b from (
+  select name, year, casos, case when r <= 0.0031308 then 12.92 * r else 1.055 * r ** (1 / 2.4) - 0.055 end as r,
+    case when g <= 0.0031308 then 12.92 * g else 1.055 * g ** (1 / 2.4) - 0.055 end as g,
+    case when b <= 0.0031308 then 12.92 * b else 1.055 * b ** (1 / 2.4) - 0.055 end as b
+  from (select name, year, casos, least(greatest(r, 0), 1) as r, least(greatest(g, 0), 1) as g, least(greatest(b, 0), 1) as b from linear)))""",
+    # The whole map is ten degrees wide and high, with half a degree on each side.
+    "outlines": """
+select upper(trim(n_name)) as name, string_agg(px || ' ' || py, 'L' order by place) as points from (
+  select n_name, place, round(8000 + (-79 + 2 * (n_nationkey % 5) + dx + 79.5) * cos(radians(1)) * unit)::bigint::varchar as px,
+    round(6000 + (6.5 - (-4 + 2 * (n_nationkey // 5) + dy)) * unit)::bigint::varchar as py
+  from nation cross join (values (1, 0, 0), (2, 2, 0), (3, 2, 2), (4, 0, 2), (5, 0, 0)) as c(place, dx, dy)
+  cross join (select least(74000 / (11 * cos(radians(1))), 68000 / 11::double) as unit) where n_nationkey not in (7, 20)) group by 1""",
     "seqs": """
 select doc_id,
   concat('D', cast(doc_id as string), ' ',
@@ -101,6 +211,17 @@ _USES = {
     "region_counts": ["named"],
     "region_table": ["areas", "region_counts"],
     "year_table": ["areas", "named"],
+    "corners": ["parcels"],
+    "origins": ["zones"],
+    "spheres": ["corners", "origins"],
+    "datums": ["spheres"],
+    "geocentric": ["datums"],
+    "degrees": ["geocentric"],
+    "lengthened": ["degrees"],
+    "sized": ["lengthened"],
+    "mixed": ["year_table", "stops"],
+    "linear": ["mixed"],
+    "coloured": ["linear"],
     "text_year_table": ["areas", "dated"],
 }
 
@@ -223,6 +344,34 @@ _REGION_GEOMETRY = """(select upper(trim(n_name)) as name,
 ORACLE: dict[str, str] = {
     "region_year_map": _with(_fill("year_table", "name, year", "partition by year"), "year_table"),
     "region_year_map_from_text": _with(_fill("text_year_table", "name, year", "partition by year"), "text_year_table"),
+    "region_geometry": _with(
+        """select c_custkey, epsg, case when drawn then [1, 2, 1, 1, 0][shape + 1] end::integer as n_polygons,
+  case when drawn then [2, 2, 1, 1, 0][shape + 1] end::integer as n_rings, case when drawn then [10, 9, 4, 5, 0][shape + 1] end::integer as n_points,
+  case when drawn then [15, 7, 3, 1, 0][shape + 1] * u * u end as area,
+  case when drawn and shape < 4 then x end as xmin, case when drawn and shape < 4 then y end as ymin,
+  case when drawn and shape < 4 then x + [4, 5, 3, 1, 0][shape + 1] * u end as xmax,
+  case when drawn and shape < 4 then y + [4, 3, 2, 1, 0][shape + 1] * u end as ymax
+from (select *, c_custkey % 97 <> 0 as drawn from parcels)""",
+        "parcels",
+    ),
+    "region_wgs84": _with(
+        """select p.c_custkey, case when p.c_custkey % 97 = 0 then p.epsg else 4326 end::integer as epsg, xmin, ymin, xmax, ymax,
+  case when p.c_custkey % 97 <> 0 then coalesce(round(area, 2), 0) end as area
+from parcels p left join (select c_custkey, round(min(lon), 7) as xmin, round(min(lat), 7) as ymin, round(max(lon), 7) as xmax, round(max(lat), 7) as ymax
+  from degrees group by 1) d on d.c_custkey = p.c_custkey
+left join (select c_custkey, sum(case when ring = 1 then area else -area end) as area from sized group by 1) s on s.c_custkey = p.c_custkey""",
+        "sized",
+    ),
+    "map_extents": _with(
+        """select p.c_nationkey::integer as c_nationkey, round(min(lon), 7) as xmin, round(min(lat), 7) as ymin, round(max(lon), 7) as xmax, round(max(lat), 7) as ymax
+from parcels p left join degrees d on d.c_custkey = p.c_custkey group by 1""",
+        "degrees",
+    ),
+    "map_files": _with(
+        """select 'Dengue_Map_' || c.year || '.svg' as file, c.name, coalesce(c.casos::varchar, 'no cases') as casos, c.colour, 'M' || o.points || 'Z' as data
+from coloured c join outlines o on o.name = c.name""",
+        "coloured", "outlines",
+    ),
     "annual_cases": _with("select ano, count(*) as casos from cases group by ano", "cases"),
     "cases_by_sex": _with(
         f"select ano, sexo, {_SEX} as label, count(*) as casos from cases where sexo in ('M', 'F') group by ano, sexo", "cases"

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seqwatch.checks import standins
 from seqwatch.functions.sequences import PURGED_WIDTH, SEROTYPE_PHRASES
 from seqwatch.operators import cases as case_ops
-from seqwatch.operators import fetches, profile, regions as region_ops, sequences
-from seqwatch.plans import curation, surveillance
+from seqwatch.operators import fetches, geometry, profile, regions as region_ops, sequences
+from seqwatch.plans import curation, maps, surveillance
 from seqwatch.session import scratch_path
 from seqwatch.sinks import fasta as fasta_sink
 from seqwatch.sinks.tables import write_region_years
@@ -132,6 +132,45 @@ def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.structure(standins.table(spark, sf_dir, "orders"), ["o_orderkey"])
 
 
+# Geometry and drawings
+
+
+def region_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries in several reference systems, read and measured in their own."""
+    shapes = geometry.with_polygons(standins.parcels(spark, sf_dir))
+    return geometry.measured(shapes).drop("geometry", "polygons", "c_nationkey")
+
+
+def region_wgs84(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corners of the same boundaries in degrees, and their areas in square metres."""
+    shapes = geometry.to_wgs84(geometry.with_polygons(standins.parcels(spark, sf_dir)))
+    found = geometry.measured(shapes, geographic=True)
+    corners = [F.round(name, 7).alias(name) for name in ("xmin", "ymin", "xmax", "ymax")]
+    return found.select("c_custkey", "epsg", *corners, F.round("area", 2).alias("area"))
+
+
+def map_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corners of each nation's map."""
+    shapes = geometry.to_wgs84(geometry.with_polygons(standins.parcels(spark, sf_dir)))
+    found = geometry.map_extent(shapes, ["c_nationkey"])
+    return found.select("c_nationkey", *[F.round(name, 7).alias(name) for name in ("xmin", "ymin", "xmax", "ymax")])
+
+
+def map_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawing per year, written by one job; the regions in the files, read back."""
+    path = scratch_path(spark, "drawings")
+    maps.draw_region_years(standins.cases(spark, sf_dir), standins.boundaries(spark, sf_dir), path, *YEARS, "dept", "name", "fec_not")
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value").where("value like '<path fill-rule%'")
+
+    def part(pattern: str) -> Column:
+        return F.regexp_extract("value", pattern, 1)
+
+    return lines.select(
+        "file", part("<title>([^<:]*)").alias("name"), part("<title>[^<:]*: ([^<]*)").alias("casos"), part('fill="(#[^"]*)"').alias("colour"),
+        part(' d="([^"]*)"').alias("data"),
+    )
+
+
 # Sequences
 
 
@@ -461,6 +500,10 @@ QUERIES: dict[str, Query] = {
         column_profile,
         preview,
         structure,
+        region_geometry,
+        region_wgs84,
+        map_extents,
+        map_files,
         ambiguity,
         filter_ambiguous_0,
         filter_ambiguous_5pct,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seqwatch.operators.derived import computed_once
 from seqwatch.operators.fetches import number_attempts
+from seqwatch.session import scratch_path
+from seqwatch.sources.regions import read_regions
 
 CASES = """
 select o.o_orderkey as case_id,
@@ -37,6 +39,26 @@ from (select doc_id, letters, translate(letters, 'abcdefghijklmnopqrstuvwxyz', '
       from (select doc_id, regexp_replace(lower(text), '[^a-z]', '') as letters from {documents}))
 """
 
+# A parcel per customer, in one of four reference systems, of one of five shapes; see the SQL's views ``parcels`` and ``corners``.
+PARCELS = """
+select c_custkey, c_nationkey, c_custkey % 4 as system, c_custkey % 5 as shape,
+  case c_custkey % 4 when 0 then cast(0.015625 as double) else cast(32 as double) end as u,
+  case c_custkey % 4 when 0 then cast(-75 + c_custkey % 1024 / 1024 as double)
+    when 3 then cast(400000 + 64 * (c_custkey % 3000) as double) else cast(900000 + 64 * (c_custkey % 3000) as double) end as x,
+  case c_custkey % 4 when 0 then cast(4 + c_custkey % 512 / 1024 as double)
+    when 3 then cast(450000 + 64 * (c_custkey % 2000) as double) else cast(950000 + 64 * (c_custkey % 2000) as double) end as y
+from {customer}
+"""
+# How the systems are named, and the rings of the shapes in units.
+SYSTEM_NAMES = (None, "EPSG:3116", "urn:ogc:def:crs:EPSG::21897", "urn:ogc:def:crs:EPSG:9.1:32618")
+SHAPES = (
+    ("Polygon", [[((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)), ((1, 1), (1, 2), (2, 2), (2, 1), (1, 1))]]),
+    ("MultiPolygon", [[((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))], [((3, 0), (5, 0), (3, 3), (3, 0))]]),
+    ("Polygon", [[((0, 0), (3, 0), (0, 2), (0, 0))]]),
+    ("GeometryCollection", [[((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]]),
+    ("Point", []),
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -88,3 +110,47 @@ def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "events").groupBy(page).agg(F.sort_array(F.collect_list(listed)).alias("listed"))
     result = F.struct(F.struct(F.col("listed.id").alias("idlist")).alias("esearchresult"))
     return pages.select("retstart", F.to_json(result).alias("body"))
+
+
+def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of customers as lines of GeoJSON, written and read again."""
+    rows = spark.sql(PARCELS, customer=table(spark, sf_dir, "customer"))
+
+    def text(*parts) -> Column:
+        return F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
+
+    def listed(items) -> Column:
+        return text("[", F.concat_ws(",", *items), "]")
+
+    def ring(corners, height: str) -> Column:
+        return listed([text("[", F.col("x") + dx * F.col("u"), ",", F.col("y") + dy * F.col("u"), f"{height}]") for dx, dy in corners])
+
+    written = F.lit(None).cast("string")
+    for number, (kind, polygons) in enumerate(SHAPES):
+        # The triangles have heights, which are not kept.
+        drawn = [listed([ring(corners, ",12.5" if number == 2 else "") for corners in polygon]) for polygon in polygons]
+        if kind == "Point":
+            shape = text('{"type":"Point","coordinates":[', F.col("x"), ",", F.col("y"), "]}")
+        elif kind == "GeometryCollection":
+            shape = text('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]},{"type":"Polygon","coordinates":', drawn[0], "}]}")
+        else:
+            shape = text(f'{{"type":"{kind}","coordinates":', listed(drawn) if kind == "MultiPolygon" else drawn[0], "}")
+        written = F.when(F.col("shape") == number, shape).otherwise(written)
+    written = F.when(F.col("c_custkey") % 97 == 0, "null").otherwise(written)
+    named = F.lit("")
+    for number, name in enumerate(SYSTEM_NAMES):
+        if name:
+            named = F.when(F.col("system") == number, f',"crs":{{"type":"name","properties":{{"name":"{name}"}}}}').otherwise(named)
+    feature = text('{"type":"Feature","properties":{"c_custkey":', F.col("c_custkey"), ',"c_nationkey":', F.col("c_nationkey"), '},"geometry":', written, named, "}")
+    path = scratch_path(spark, "parcels")
+    rows.select(feature).write.text(path)
+    return read_regions(spark, path, {"c_custkey": "bigint", "c_nationkey": "int"}, multi_line=False, with_epsg=True)
+
+
+def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature per nation: a square of two degrees, on a grid of five by five; two of the nations have none."""
+    key, corners = F.col("n_nationkey"), ((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))
+    points = F.array(*[F.array((-79 + 2 * (key % 5) + dx).cast("double"), (-4 + 2 * F.floor(key / 5) + dy).cast("double")) for dx, dy in corners])
+    shape = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates")))
+    geometry = F.when(~key.isin(7, 20), shape).alias("geometry")
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), geometry, F.lit(4326).alias("epsg"))
