@@ -11,6 +11,9 @@ MAX_ATTEMPTS = 5
 PAGE_SIZE = 100
 STATUS_OK = 200
 
+#: Bits that hold a try's number.
+_ATTEMPT_BITS = 14
+
 
 def number_attempts(log: DataFrame, order_by: Sequence[str], key: str = "id", keep: int | None = MAX_ATTEMPTS) -> DataFrame:
     """Number the tries of each request in time order and keep those the retry limit allows, or all without a limit.
@@ -33,20 +36,35 @@ def first_success(
 ) -> DataFrame:
     """Per request the values of its first successful try; NULL when none of the allowed tries succeeded.
 
-    ``key`` and ``attempt`` identify a row of the log. The winning try of each request is found from
-    these two and the status, aggregated in every task before the shuffle. Then the rows of successes meet the
-    winners in a hash join: documents are moved once, and neither sorted nor aggregated.
+    Rows without a key are no requests and are left out. A try that the log holds several times counts once: of rows that differ, the one with the smallest hash of its values is taken.
+    The winning try of each request is found from key, attempt, status and that hash, aggregated in every task before the
+    shuffle. Then the rows of successes meet the winners in a hash join: documents are moved once, and only those that
+    are logged more than once are aggregated.
     """
-    succeeded = (F.col(status) == STATUS_OK) & (F.col(attempt) <= max_attempts)
-    winners = log.groupBy(key).agg(F.min(F.when(succeeded, F.col(attempt))).alias(attempt))
+    if not 0 < max_attempts < 1 << _ATTEMPT_BITS:
+        raise ValueError(f"max_attempts is from 1 to {(1 << _ATTEMPT_BITS) - 1}")
+    succeeded = F.coalesce((F.col(status) == STATUS_OK) & (F.col(attempt) <= max_attempts) & (F.col(attempt) >= 0), F.lit(False))
+    log = log.where(F.col(key).isNotNull())
     if not values:
-        return winners
-    rows = log.where(succeeded).select(key, attempt, *values)
-    found = rows.join(winners.hint("shuffle_hash"), [key, attempt])
+        return log.groupBy(key).agg(F.min(F.when(succeeded, F.col(attempt))).alias(attempt))
+    # The try and the beginning of the hash as one number, which is aggregated without sorting.
+    kept_bits = 62 - _ATTEMPT_BITS
+    hashed = F.shiftrightunsigned(F.xxhash64(*values), 64 - kept_bits)
+    rank = F.shiftleft(F.col(attempt).cast("long"), kept_bits).bitwiseOR(hashed)
+    tried = log.select(key, F.when(succeeded, rank).alias("_rank")).groupBy(key, "_rank").agg((F.count(F.lit(1)) > 1).alias("_again"))
+    best = F.min(F.shiftleft("_rank", 1).bitwiseOR(F.col("_again").cast("long"))).alias("_best")
+    winners = tried.groupBy(key).agg(best).select(
+        key, F.shiftright("_best", 1).alias("_rank"), F.col("_best").bitwiseAND(F.lit(1).cast("long")).alias("_again")
+    )
     kinds = {field.name: field.dataType for field in log.schema}
-    without = winners.where(F.col(attempt).isNull())
-    missing = without.select(key, attempt, *[F.lit(None).cast(kinds[value]).alias(value) for value in values])
-    return found.select(key, attempt, *values).unionByName(missing)
+    rows = log.where(succeeded).select(key, attempt, *values, rank.alias("_rank"))
+
+    def found(again: int) -> DataFrame:
+        return rows.join(winners.where(F.col("_again") == again).hint("shuffle_hash"), [key, "_rank"]).select(key, attempt, *values)
+
+    missing = winners.where(F.col("_rank").isNull())
+    missing = missing.select(key, *[F.lit(None).cast(kinds[name]).alias(name) for name in (attempt, *values)])
+    return found(0).unionByName(found(1).dropDuplicates([key])).unionByName(missing)
 
 
 def search_cutoff(

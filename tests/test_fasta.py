@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 
 from seqwatch.plans.curation import purge_records
 from seqwatch.sinks.fasta import write_combined, write_fasta
-from seqwatch.sources.fasta import FILE_ORDER, read_fasta, read_fasta_folder, read_folder_entries, records_of_documents
+from seqwatch.sources.fasta import FILE_ORDER, read_fasta, read_fasta_entries, read_fasta_folder, read_folder_entries, records_of_documents
 
 BOTH = pytest.mark.parametrize("whole_files", [False, True], ids=["split", "whole"])
 
@@ -199,3 +199,44 @@ def test_purged_records_in_file_order(spark, tmp_path):
     source = put(tmp_path / "in", b__fasta=">C\nac\n>D\nAN\n", a__fasta=">A\nAC\n>B\nGG\n")
     write_fasta(purge_records(read_fasta_folder(spark, source)).kept, str(tmp_path / "out"), 80, FILE_ORDER)
     assert joined_text(tmp_path / "out") == ">A\nAC\n>B\nGG\n>C\nAC\n"
+
+
+@pytest.mark.parametrize("whole", [False, True])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_line_ends(spark, tmp_path, end, whole):
+    text = end.join(["a note", ">a first", "ACGT", "AC", ">b", ">c", "GG", ""])
+    (tmp_path / "x.fasta").write_bytes(text.encode())
+    rows = read_fasta(spark, str(tmp_path / "x.fasta"), whole_files=whole)
+    ordered = [tuple(r) for r in rows.orderBy(*FILE_ORDER).select("id", "description", "sequence").collect()]
+    assert ordered == [("a", "a first", "ACGTAC"), ("b", "b", ""), ("c", "c", "GG")]
+    entries = read_fasta_entries(spark, str(tmp_path / "x.fasta"), whole_files=whole).orderBy(*FILE_ORDER).select("entry").collect()
+    assert [r.entry for r in entries] == [">a first\nACGT\nAC", ">b", ">c\nGG"]
+    documents = spark.createDataFrame([(1, text)], "i int, body string")
+    assert [r.id for r in records_of_documents(documents).orderBy("number").collect()] == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_mixed_line_ends(spark, tmp_path, whole):
+    (tmp_path / "x.fasta").write_bytes(b">a\rAC\r>b\nGT\n>c\r\nTT\r>d\rA")
+    rows = read_fasta(spark, str(tmp_path), whole_files=whole).orderBy(*FILE_ORDER).select("id", "sequence").collect()
+    assert [tuple(r) for r in rows] == [("a", "AC"), ("b", "GT"), ("c", "TT"), ("d", "A")]
+
+
+@pytest.mark.parametrize("name", ["run-[x]", "a{b,c}", "q?*", "back\\slash"])
+def test_names_are_no_patterns(spark, tmp_path, name):
+    folder = tmp_path / name
+    folder.mkdir()
+    (folder / "c[1].fasta").write_text(">one\nAC\n")
+    (folder / "d.fasta").write_text(">two\nGT\n")
+    assert {r.id for r in read_fasta_folder(spark, str(folder)).collect()} == {"one", "two"}
+    assert {r.id for r in read_fasta(spark, str(folder / "c[1].fasta")).collect()} == {"one"}
+    assert {r.id for r in read_fasta(spark, [str(folder / "c[1].fasta"), str(folder / "d.fasta")], whole_files=True).collect()} == {"one", "two"}
+    assert {r.id for r in read_fasta(spark, str(tmp_path) + "/*/*.fasta").collect()} == {"one", "two"}
+
+
+def test_more_files_than_are_broadcast(spark, tmp_path, monkeypatch):
+    for i in range(5):
+        (tmp_path / f"{i}.fasta").write_text(f"note\n>r{i}\nAC\n>s{i}\nGT\n")
+    expected = sorted(map(tuple, read_fasta(spark, str(tmp_path)).select("id", "sequence").collect()))
+    monkeypatch.setattr("seqwatch.sources.fasta.MOST_BROADCAST", 2)
+    assert sorted(map(tuple, read_fasta(spark, str(tmp_path)).select("id", "sequence").collect())) == expected and len(expected) == 10

@@ -26,6 +26,26 @@ def test_first_success(spark):
     assert rows == {"first": (1, "a"), "fifth": (5, "b"), "sixth": (None, None), "never": (None, None)}
 
 
+def test_a_try_that_is_logged_again_counts_once(spark):
+    rows = LOG + [("first", 1, 200, "a"), ("first", 1, 200, "a"), ("fifth", 5, 200, "other"), ("fifth", 5, 503, None), ("never", 1, None, None), ("none", 1, 200, None)]
+    rows += [("none", 1, 200, None), ("odd", None, 200, "x"), ("odd", -1, 200, "y"), (None, 1, 200, "z")]
+    found = first_success(log(spark, rows)).collect()
+    by_id = {row.id: (row.attempt, row.body) for row in found}
+    assert len(found) == len(by_id) == 6
+    assert by_id["first"] == (1, "a") and by_id["fifth"][0] == 5 and by_id["fifth"][1] in ("b", "other") and by_id["none"] == (1, None)
+    assert by_id["never"] == by_id["odd"] == (None, None)
+    again = {row.id: row.body for row in first_success(log(spark, rows[::-1]).repartition(3)).collect()}
+    assert again == {key: body for key, (_, body) in by_id.items()}
+    stats = {row.serotype: (row.included, row.excluded, row.errors) for row in curate(log(spark, rows)).stats.collect()}
+    # Two of the six ids have a document, which no rule accepts.
+    assert stats["DENV1"] == (0, 2, 4)
+
+
+def test_attempt_numbers_have_a_limit(spark):
+    with pytest.raises(ValueError):
+        first_success(log(spark), max_attempts=20_000)
+
+
 def test_attempt_limit(spark):
     rows = {row.id: row.body for row in first_success(log(spark), max_attempts=6).collect()}
     assert rows["sixth"] == "too late"
