@@ -552,3 +552,6 @@ where cast({_AMBIGUOUS} as double) / nullif(length(sequence), 0) <= 0.05""",
 # The same tables by way of files, and the same counts on the way to them.
 ORACLE["case_tables_from_files"] = ORACLE["case_tables"]
 ORACLE["curate_search_to_folder"] = ORACLE["curate_search"]
+ORACLE["fetched_documents"] = ORACLE["first_success_repeated"] = ORACLE["first_success"]
+ORACLE["fetch_and_curate"] = ORACLE["curate_search"]
+ORACLE["fasta_bare_returns"] = ORACLE["folder_children"]

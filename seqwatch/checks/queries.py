@@ -17,6 +17,7 @@ from seqwatch.sinks.tables import write_region_years
 from seqwatch.sources.cases import read_cases
 from seqwatch.sources.fasta import read_fasta, read_fasta_entries, read_fasta_folder, records_of_documents
 from seqwatch.sources.regions import read_regions
+from seqwatch.sources.remote import land_documents
 from seqwatch.sources.search import count_ids, explode_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -314,6 +315,24 @@ def curate_search_to_folder_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("id", F.col("serotype").cast("string").alias("serotype"), "body")
 
 
+def fetched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id of the log asked for again, with retries, from the replies that landed."""
+    ids = standins.fetch_log(spark, sf_dir).select("id")
+    log = land_documents(ids, scratch_path(spark, "documents"), **standins.landed_replies(spark, sf_dir))
+    return fetches.first_success(log)
+
+
+def fetch_and_curate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job on the same replies: search, fetch, judge."""
+    return curation.fetch_and_curate(spark, scratch_path(spark, "landed"), pages_per_task=16, **standins.landed_replies(spark, sf_dir)).stats
+
+
+def first_success_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that holds every third id's tries twice."""
+    log = standins.fetch_log(spark, sf_dir)
+    return fetches.first_success(log.unionByName(log.where("cast(id as bigint) % 3 = 0")))
+
+
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records in the documents."""
     return records_of_documents(standins.documents(spark, sf_dir))
@@ -410,17 +429,25 @@ def fasta_layouts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_fasta(spark, _layouts(spark, sf_dir), whole_files=True).select("id", "description", "sequence")
 
 
-def _layouts(spark: SparkSession, sf_dir: str, n_files: int = 16) -> list[str]:
-    """Folders of one file each, with a note on top, and an empty record after every other one."""
+def _layouts(spark: SparkSession, sf_dir: str, per_file: int = 1024) -> str:
+    """Folders of one file each, with a note on top, and an empty record after every other one. There are as many as the documents fill."""
     marker = F.when(F.col("doc_id") % 3 == 0, ">").otherwise("")
     entry = F.concat_ws("\n", F.concat(F.lit(">"), marker, "description"), "sequence", F.lit(">"))
-    texts = standins.seqs(spark, sf_dir).select("doc_id", entry.alias("value"), F.pmod("doc_id", F.lit(n_files)).alias("file"))
+    texts = standins.seqs(spark, sf_dir).select("doc_id", entry.alias("value"), F.floor(F.col("doc_id") / per_file).alias("file"))
     note = F.lit("; a note > and\nanother").alias("value")
-    notes = spark.range(n_files).select(F.lit(-1).cast("long").alias("doc_id"), note, F.col("id").alias("file"))
+    files = standins.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / per_file).alias("file")).distinct()
+    notes = files.select(F.lit(-1).cast("long").alias("doc_id"), note, "file")
     folder = scratch_path(spark, "fasta")
-    dealt = texts.unionByName(notes).repartition(n_files, "file").sortWithinPartitions("file", "doc_id")
+    dealt = texts.unionByName(notes).repartition("file").sortWithinPartitions("file", "doc_id")
     dealt.select("file", "value").write.partitionBy("file").text(folder)
-    return [f"{folder}/file={i}" for i in range(n_files)]
+    return f"{folder}/file=*"
+
+
+def fasta_bare_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose lines end in a bare carriage return, in a folder whose name looks like a pattern."""
+    folder = f"{scratch_path(spark, 'fasta')}-[x]"
+    fasta_sink.fasta_text(standins.seqs(spark, sf_dir)).select(F.replace("entry", F.lit("\n"), F.lit("\r"))).write.option("lineSep", "\r").text(folder)
+    return read_fasta_folder(spark, folder).select("id", "description", "sequence")
 
 
 def folder_children(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -528,6 +555,9 @@ QUERIES: dict[str, Query] = {
         numbered_attempts,
         first_success,
         first_success_two_tries,
+        first_success_repeated,
+        fetched_documents,
+        fetch_and_curate,
         fetch_outcomes,
         curate,
         curate_kept,
@@ -541,6 +571,7 @@ QUERIES: dict[str, Query] = {
         region_year_map_from_files,
         fasta_layouts,
         fasta_layouts_whole,
+        fasta_bare_returns,
         folder_children,
         geojson_regions,
         kept_partitions,

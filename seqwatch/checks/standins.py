@@ -8,6 +8,7 @@ from seqwatch.operators.derived import computed_once
 from seqwatch.operators.fetches import number_attempts
 from seqwatch.session import scratch_path
 from seqwatch.sources.regions import read_regions
+from seqwatch.sources.remote import land_replies
 
 CASES = """
 select o.o_orderkey as case_id,
@@ -154,3 +155,21 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates")))
     geometry = F.when(~key.isin(7, 20), shape).alias("geometry")
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), geometry, F.lit(4326).alias("epsg"))
+
+
+def landed_replies(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The tries of the fetch log and the search's pages, landed in a folder; returns what the transport has to know.
+
+    Every seventh page is answered at the third try only.
+    """
+    pages = search_responses(spark, sf_dir).select(F.lit("search").alias("kind"), F.col("retstart").cast("string").alias("key"), "retstart", "body")
+    third = F.col("retstart") / 100 % 7 == 3
+    refused = pages.where(third).select("kind", "key", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"), F.lit(503).alias("status"), F.lit(None).cast("string").alias("body"))
+    answered = pages.select("kind", "key", F.when(third, 3).otherwise(1).alias("attempt"), F.lit(200).alias("status"), "body")
+    log = fetch_log(spark, sf_dir).select(F.lit("fetch").alias("kind"), F.col("id").alias("key"), "attempt", "status", "body")
+    replies = log.unionByName(answered).unionByName(refused)
+    # About as many replies per file, whatever the size of the tables.
+    buckets = 1 + table(spark, sf_dir, "events").count() // 100
+    path = scratch_path(spark, "replies")
+    land_replies(replies, path, buckets)
+    return {"transport": "folder", "replies": path, "buckets": str(buckets), "pause": "0"}

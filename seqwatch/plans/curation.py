@@ -21,6 +21,7 @@ from seqwatch.session import ensure_checkpoint_dir
 from seqwatch.sinks.fasta import write_fasta
 from seqwatch.sinks.tables import write_kept
 from seqwatch.sources.fasta import FASTA_GLOB, read_fasta, read_fasta_folder, records_of_documents
+from seqwatch.sources.remote import land_documents, land_search
 from seqwatch.sources.search import listed_pages
 
 
@@ -68,6 +69,28 @@ def curate_search(
     return curate(fetch_log, rules, search_listings(responses), max_attempts)
 
 
+def fetch_and_curate(
+    spark: SparkSession,
+    folder: str,
+    rules: Rules = SEROTYPE_PHRASES,
+    max_attempts: int = MAX_ATTEMPTS,
+    tasks: int | None = None,
+    pages_per_task: int = 1,
+    **options: object,
+) -> Collection:
+    """Search, fetch and ``curate``: pages up to the first empty one, then their documents, with tries side by side in tasks.
+
+    ``options`` say how requests are answered: ``transport`` and its own settings, ``pause``. Pages and documents are landed below ``folder``;
+    a run over a folder where some have landed asks for the others only.
+    """
+    place = folder.rstrip("/")
+    asked = {"max_attempts": max_attempts, **options}
+    pages = land_search(spark, f"{place}/pages", pages_per_task=pages_per_task, **asked)
+    listings = search_listings(pages.select("retstart", "body"))
+    log = land_documents(listings, f"{place}/documents", tasks, **asked)
+    return curate(log, rules, listings, max_attempts)
+
+
 def search_listings(responses: DataFrame) -> DataFrame:
     """The ids that a landed search lists up to its first empty page, each as often as it is listed.
 
