@@ -552,6 +552,27 @@ where cast({_AMBIGUOUS} as double) / nullif(length(sequence), 0) <= 0.05""",
 # The same tables by way of files, and the same counts on the way to them.
 ORACLE["case_tables_from_files"] = ORACLE["case_tables"]
 ORACLE["curate_search_to_folder"] = ORACLE["curate_search"]
+ORACLE["search_progress"] = _with(
+    """select 'search ' || (p.retstart // 4000) as search, count(*) filter (p.n_ids > 0 and p.retstart < coalesce(c.cut, p.retstart + 1)) as pages,
+  coalesce(sum(listed) filter (p.retstart < coalesce(c.cut, p.retstart + 1)), 0)::bigint as listed,
+  coalesce(sum(listed - bodies) filter (p.retstart < coalesce(c.cut, p.retstart + 1)), 0)::bigint as errors,
+  coalesce(sum(bodies) filter (p.retstart < coalesce(c.cut, p.retstart + 1)), 0)::bigint as bodies,
+  coalesce(sum(n1) filter (p.retstart < coalesce(c.cut, p.retstart + 1)), 0)::bigint as "n_DENV1",
+  coalesce(sum(n2) filter (p.retstart < coalesce(c.cut, p.retstart + 1)), 0)::bigint as "n_DENV2",
+  coalesce(sum(n3) filter (p.retstart < coalesce(c.cut, p.retstart + 1)), 0)::bigint as "n_DENV3",
+  coalesce(sum(n4) filter (p.retstart < coalesce(c.cut, p.retstart + 1)), 0)::bigint as "n_DENV4",
+  any_value(c.cut) is not null as closed
+from search_pages p left join (
+  select l.retstart, count(*) as listed, count(f.body) as bodies, count(*) filter (n1) as n1, count(*) filter (n2) as n2,
+    count(*) filter (n3) as n3, count(*) filter (n4) as n4
+  from listed l left join (
+    select id, any_value(body) as body, bool_or(outcome = 'included' and serotype = 'DENV1') as n1, bool_or(outcome = 'included' and serotype = 'DENV2') as n2,
+      bool_or(outcome = 'included' and serotype = 'DENV3') as n3, bool_or(outcome = 'included' and serotype = 'DENV4') as n4 from judged group by id
+  ) f on f.id = l.id group by l.retstart) d on d.retstart = p.retstart
+left join (select retstart // 4000 as search, min(retstart) as cut from search_pages where n_ids = 0 group by 1) c on c.search = p.retstart // 4000
+group by p.retstart // 4000""",
+    "search_pages", "listed", "judged",
+)
 ORACLE["fetched_documents"] = ORACLE["first_success_repeated"] = ORACLE["first_success"]
 ORACLE["fetch_and_curate"] = ORACLE["curate_search"]
 ORACLE["fasta_bare_returns"] = ORACLE["folder_children"]

@@ -19,6 +19,7 @@ from seqwatch.sources.fasta import read_fasta, read_fasta_entries, read_fasta_fo
 from seqwatch.sources.regions import read_regions
 from seqwatch.sources.remote import land_documents
 from seqwatch.sources.search import count_ids, explode_ids
+from seqwatch.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -327,6 +328,23 @@ def fetch_and_curate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.fetch_and_curate(spark, scratch_path(spark, "landed"), pages_per_task=16, **standins.landed_replies(spark, sf_dir)).stats
 
 
+def search_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of searches from a stream of their pages, which lands in four files in an order of its own."""
+    source, output, state = (scratch_path(spark, name) for name in ("pages", "progress", "state"))
+    pages = standins.fetched_pages(spark, sf_dir).withColumn("_file", F.pmod(F.xxhash64("search", "retstart"), F.lit(4)))
+    pages.repartitionByRange(4, "_file").drop("_file").write.parquet(source)
+    before = spark.conf.get(progress.PROVIDER)
+    spark.conf.set(progress.PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(pages.drop("_file").schema).option("maxFilesPerTrigger", 1).parquet(source)
+        running = progress.search_progress(progress.page_counts(stream))
+        sink = running.writeStream.format("parquet").option("path", output).option("checkpointLocation", state)
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(progress.PROVIDER, before)
+    return progress.latest(spark.read.schema(running.schema).parquet(output))
+
+
 def first_success_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log that holds every third id's tries twice."""
     log = standins.fetch_log(spark, sf_dir)
@@ -558,6 +576,7 @@ QUERIES: dict[str, Query] = {
         first_success_repeated,
         fetched_documents,
         fetch_and_curate,
+        search_progress,
         fetch_outcomes,
         curate,
         curate_kept,

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seqwatch.operators.derived import computed_once
-from seqwatch.operators.fetches import number_attempts
+from seqwatch.operators.fetches import first_success, number_attempts
 from seqwatch.session import scratch_path
 from seqwatch.sources.regions import read_regions
 from seqwatch.sources.remote import land_replies
+from seqwatch.sources.search import explode_ids
 
 CASES = """
 select o.o_orderkey as case_id,
@@ -157,6 +158,17 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), geometry, F.lit(4326).alias("epsg"))
 
 
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their fetched documents, 40 to a search."""
+    pages = search_responses(spark, sf_dir)
+    fetched = first_success(fetch_log(spark, sf_dir))
+    listed = explode_ids(pages).join(fetched, "id", "left").groupBy("retstart").agg(F.collect_list(F.struct("id", "body")).alias("documents"))
+    all_pages = pages.select("retstart").join(listed, "retstart", "left")
+    documents = F.coalesce("documents", F.array().cast(listed.schema["documents"].dataType))
+    number = F.floor(F.col("retstart") / 4000)
+    return all_pages.select(F.concat(F.lit("search "), number.cast("string")).alias("search"), (F.col("retstart") % 4000).alias("retstart"), documents.alias("documents"))
+
+
 def landed_replies(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """The tries of the fetch log and the search's pages, landed in a folder; returns what the transport has to know.
 

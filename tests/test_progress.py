@@ -1,0 +1,79 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from seqwatch.plans.curation import curate
+from seqwatch.streaming import progress
+
+PAGE = "search string, retstart bigint, documents array<struct<id:string,body:string>>"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BODIES = [None, ">a Zika", ">b DENV2, complete genome", ">c Orthoflavivirus denguei complete cds"]
+
+
+@pytest.fixture
+def rocks(spark):
+    before = spark.conf.get(progress.PROVIDER)
+    spark.conf.set(progress.PROVIDER, ROCKS)
+    yield
+    spark.conf.set(progress.PROVIDER, before)
+
+
+def land(spark, folder, rows):
+    spark.createDataFrame(rows, PAGE).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def run(spark, folder):
+    """Everything that has landed, one file at a time; again with the same state in a later call."""
+    pages = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    out = progress.search_progress(progress.page_counts(pages)).writeStream.format("parquet").option("path", str(folder / "out"))
+    out = out.option("checkpointLocation", str(folder / "state")).outputMode("append").trigger(availableNow=True)
+    assert out.start().awaitTermination(300)
+    return spark.read.parquet(str(folder / "out"))
+
+
+def pages_of(seed, n):
+    rng = random.Random(seed)
+    rows = [("s", 100 * i, [(f"{i}-{k}", rng.choice(BODIES)) for k in range(rng.randrange(1, 4))]) for i in range(n)]
+    return rows + [("s", 100 * n, []), ("s", 100 * n + 100, [("after the end", BODIES[2])])]
+
+
+def expected(spark, rows):
+    """The batch's counts of the pages before the end."""
+    used = [d for _, at, docs in rows for d in docs if at < 100 * (len(rows) - 2)]
+    log = spark.createDataFrame([(i, 1, 200, b) for i, b in used], "id string, attempt int, status int, body string")
+    return {r.serotype: (r.included, r.errors, r.included + r.excluded) for r in curate(log).stats.collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_order_and_split_equal_the_batch(spark, rocks, tmp_path, seed):
+    rows = pages_of(seed, 9)
+    shuffled = random.Random(seed).sample(rows, len(rows))
+    half = len(rows) // 2
+    for part in (shuffled[:3], shuffled[3:half]):
+        land(spark, tmp_path / "in", part)
+    run(spark, tmp_path)
+    # The stream stopped and goes on from its checkpoint.
+    for part in (shuffled[half:-1], shuffled[-1:], rows[:2]):
+        land(spark, tmp_path / "in", part)
+    out = run(spark, tmp_path)
+    steps = out.orderBy("retstart").collect()
+    assert [r.retstart for r in steps] == [100 * i for i in range(10)] and [r.closed for r in steps] == [False] * 9 + [True]
+    assert [r.pages for r in steps] == [*range(1, 10), 9]
+    last = progress.latest(out).first()
+    found = {label: (last[f"n_{label}"], last.errors, last.bodies) for label in ("DENV1", "DENV2", "DENV3", "DENV4")}
+    assert found == expected(spark, rows)
+
+
+def test_open_searches_and_failed_pages(spark, rocks, tmp_path):
+    land(spark, tmp_path / "in", [("gap", 0, [("a", None)]), ("gap", 200, [("b", None)]), ("failed", 0, [("c", None)]), ("failed", 100, None), ("first", 0, [])])
+    land(spark, tmp_path / "in", [("first", 0, [("late", None)]), ("failed", 200, [("d", None)]), (None, 0, [("e", None)])])
+    rows = {r.search: (r.pages, r.listed, r.closed) for r in progress.latest(run(spark, tmp_path)).collect()}
+    assert rows == {"gap": (1, 1, False), "failed": (1, 1, True), "first": (0, 0, True), None: (1, 1, False)}
+
+
+def test_other_state_stores_are_refused(spark):
+    pages = spark.createDataFrame([], PAGE)
+    with pytest.raises(ValueError, match="RocksDB"):
+        progress.search_progress(progress.page_counts(pages))
+    assert progress.page_counts(pages).select(F.count("*")).first()[0] == 0
