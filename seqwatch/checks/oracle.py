@@ -576,3 +576,48 @@ group by p.retstart // 4000""",
 ORACLE["fetched_documents"] = ORACLE["first_success_repeated"] = ORACLE["first_success"]
 ORACLE["fetch_and_curate"] = ORACLE["curate_search"]
 ORACLE["fasta_bare_returns"] = ORACLE["folder_children"]
+ORACLE["rules_table"] = ORACLE["serotype_matches"]
+ORACLE["many_rules"] = _with(
+    """select t.doc_id, 'rule ' || r.doc_id as rule from (select doc_id, concat(description, ' ', letters) as body from seqs) t
+join (select doc_id, substr(letters, 1 + doc_id % 50, 14) as one, substr(letters, 120, 16) as other from seqs where length(letters) >= 200) r on contains(t.body, r.one) or contains(t.body, r.other)
+where regexp_matches(t.body, 'complete genome|complete cds') and not contains(t.body, 'partial')""",
+    "seqs",
+)
+ORACLE["row_numbers"] = _with("select case_id, row_number() over (order by case_id) - 1 as row from cases", "cases")
+ORACLE["first_appearance"] = _with(
+    """select dept, min(row) as first_row from (select nullif(dept, 'NA') as dept, row_number() over (order by case_id) - 1 as row from cases) group by dept""", "cases"
+)
+ORACLE["file_head"] = _with(
+    """select case_id, ano, nullif(sexo, '') as sexo, edad, dept, row_number() over (order by case_id) - 1 as row from cases order by case_id limit 6""", "cases"
+)
+ORACLE["sketched_profile"] = "\nunion all ".join(
+    f"""select '{c}' as "column", count(*) as n, count(*) - count({c}) as missing, min({c})::double as min, round(avg({c}), 4) as mean, max({c})::double as max,
+  true as q1_near, true as median_near, true as q3_near from lineitem"""
+    for c in ("l_quantity", "l_extendedprice", "l_discount", "l_orderkey")
+)
+ORACLE["nearest_names"] = """
+with words as (select doc_id, regexp_extract(text, '^([A-Za-zéèêàçôûîùñäöü]+ [A-Za-zéèêàçôûîùñäöü]+)', 1) as name from documents),
+texts as (select * from words where length(name) > 5),
+known as (select distinct name as nearest, strip_accents(upper(trim(name))) as folded from texts where doc_id % 2 = 0),
+spelled as (
+  select name from texts where doc_id % 2 = 1
+  union select case doc_id % 8 when 0 then substr(name, 1, 3) || substr(name, 5) when 2 then substr(name, 1, 2) || 'x' || substr(name, 4)
+    when 4 then ' ' || translate(name, 'éèê', 'eee') || '  ' end from texts where doc_id % 8 in (0, 2, 4)
+),
+wanted as (select name, strip_accents(upper(trim(name))) as folded from spelled where name not in (select nearest from known)),
+near as (
+  select w.name, k.nearest, levenshtein(w.folded, k.folded)::int as distance from wanted w join known k on levenshtein(w.folded, k.folded) <= 2
+)
+select w.name, n.nearest, n.distance from wanted w
+left join (select * from near qualify row_number() over (partition by name order by distance, encode(nearest)) = 1) n on n.name = w.name"""
+_AGED = "case when case_id % 31 = 7 then null else edad end"
+ORACLE["case_files_by_header"] = _with(
+    f"""select case_id, case when case_id % 4 = 2 then null else ano end as ano, {_AGED} as edad, dept,
+  case when case_id % 4 = 2 then null else nullif(sexo, '') end as sexo from cases""",
+    "cases",
+)
+ORACLE["case_files_rejected"] = _with(
+    """select 'value of edad' as cause, count(*) as n from cases where case_id % 31 = 7
+union all select 'number of fields', count(*) from cases where case_id % 50 = 0""",
+    "cases",
+)

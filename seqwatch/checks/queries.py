@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from seqwatch.checks import standins
 from seqwatch.functions.sequences import PURGED_WIDTH, SEROTYPE_PHRASES
 from seqwatch.operators import cases as case_ops
-from seqwatch.operators import fetches, geometry, profile, regions as region_ops, sequences
+from seqwatch.operators import fetches, geometry, names, order, profile, regions as region_ops, rules, sequences, sketches
 from seqwatch.plans import curation, maps, surveillance
 from seqwatch.session import scratch_path
 from seqwatch.sinks import fasta as fasta_sink
 from seqwatch.sinks.tables import write_region_years
-from seqwatch.sources.cases import read_cases
+from seqwatch.sources.cases import read_cases, read_cases_by_header
 from seqwatch.sources.fasta import read_fasta, read_fasta_entries, read_fasta_folder, records_of_documents
 from seqwatch.sources.regions import read_regions
 from seqwatch.sources.remote import land_documents
@@ -173,9 +173,103 @@ def map_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _ordered_case_files(spark: SparkSession, sf_dir: str) -> str:
+    """The cases in CSV files that are in the order of their numbers."""
+    path = scratch_path(spark, "cases")
+    written = standins.cases(spark, sf_dir).select("case_id", "ano", "sexo", "edad", "dept")
+    ordered = written.repartitionByRange(6, "case_id").sortWithinPartitions("case_id")
+    ordered.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
+
+
+_ORDERED_COLUMNS = {"case_id": "bigint", "ano": "int", "sexo": "string", "edad": "double", "dept": "string"}
+
+
+def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the files with its number."""
+    return order.with_row_numbers(read_cases(spark, _ordered_case_files(spark, sf_dir), _ORDERED_COLUMNS)).select("case_id", "row")
+
+
+def first_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions in the order in which the files name them first."""
+    return order.distinct_in_order(read_cases(spark, _ordered_case_files(spark, sf_dir), _ORDERED_COLUMNS), "dept")
+
+
+def file_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of the files."""
+    listed = spark.read.text(_ordered_case_files(spark, sf_dir)).inputFiles()
+    return order.first_rows(lambda files: read_cases(spark, list(files), _ORDERED_COLUMNS), listed, profile.PREVIEW_ROWS)
+
+
+def sketched_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile merged from sketches of single years, held against the exact shares of its quartiles."""
+    items = standins.table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
+    numbers = ["l_quantity", "l_extendedprice", "l_discount", "l_orderkey"]
+    path = scratch_path(spark, "sketches")
+    for odd in (0, 1):
+        parts = sketches.add_to_sketches(items.where(F.col("year") % 2 == odd).select("year", *numbers), path, ["year"])
+    found = sketches.sketched_profile(sketches.merge_sketches(parts))
+    values = items.select(F.stack(F.lit(len(numbers)), *[x for c in numbers for x in (F.lit(c), F.col(c).cast("double"))]).alias("column", "value"))
+    # One row per column.
+    shares = values.join(F.broadcast(found.select("column", *profile.QUARTILES)), "column").groupBy("column").agg(*[
+        F.struct(F.avg((F.col("value") < F.col(q)).cast("int")).alias("below"), F.avg((F.col("value") <= F.col(q)).cast("int")).alias("up_to")).alias(f"{q}_shares")
+        for q in profile.QUARTILES
+    ])
+    most = 3 * sketches.rank_error()
+    near = [((F.col(f"{q}_shares.below") <= share + most) & (F.col(f"{q}_shares.up_to") >= share - most)).alias(f"{q}_near") for q, share in profile.QUARTILES.items()]
+    return found.join(shares, "column").select("column", "n", "missing", "min", F.round("mean", 4).alias("mean"), "max", *near)
+
+
+def nearest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that the regions don't have, and the regions they are nearest to."""
+    return names.nearest_names(*standins.spelled_names(spark, sf_dir))
+
+
+def case_files_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly files whose headers differ, matched by name."""
+    return read_cases_by_header(spark, _yearly_files(spark, sf_dir), _YEARLY_COLUMNS).rows
+
+
+def case_files_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What couldn't be read of the same files."""
+    counts = read_cases_by_header(spark, _yearly_files(spark, sf_dir), _YEARLY_COLUMNS).rejected
+    return counts.groupBy("cause").agg(F.sum("n").alias("n"))
+
+
+_YEARLY_COLUMNS = {"case_id": "bigint", "ano": "int", "edad": "double", "dept": "string", "sexo": "string"}
+
+
+def _yearly_files(spark: SparkSession, sf_dir: str) -> str:
+    """The cases by the last digit of their number: some files with columns in another order, some without one, some with one more; some
+    lines are cut short, and some ages are words."""
+    path = scratch_path(spark, "yearly")
+    age = F.when(F.col("case_id") % 31 == 7, F.lit("old")).otherwise(F.col("edad").cast("string"))
+    cases = standins.cases(spark, sf_dir).select("case_id", "ano", age.alias("edad"), "dept", "sexo", F.lit("x, y").alias("extra"))
+    layouts = (["case_id", "ano", "edad", "dept", "sexo"], ["sexo", "dept", "case_id", "edad", "ano"], ["case_id", "edad", "dept"], ["extra", "ano", "case_id", "edad", "dept", "sexo"])
+    for number, layout in enumerate(layouts):
+        part = cases.where(F.col("case_id") % len(layouts) == number).select(*layout)
+        part.write.csv(f"{path}/layout-{number}", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    short = standins.cases(spark, sf_dir).where("case_id % 50 = 0").select(F.concat(F.col("case_id").cast("string"), F.lit(",1")).alias("case_id,ano,edad"))
+    # One column whose name is the header of three, with lines of two fields; another separator leaves the commas as they are.
+    short.write.csv(f"{path}/layout-9", header=True, sep=";")
+    return f"{path}/layout-*"
+
+
 # Sequences
 
 
+def rules_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The serotype rules as rows of a table."""
+    found = rules.match_rules(standins.documents(spark, sf_dir), rules.rules_table(spark))
+    return found.select("doc_id", "serotype", "n_serotypes")
+
+
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule per document, made of its letters, against all documents."""
+    texts = standins.seqs(spark, sf_dir).select("doc_id", F.concat("description", F.lit(" "), "letters").alias("body"))
+    return rules.match_rules(texts, standins.letter_rules(spark, sf_dir), label="rule").select("doc_id", "rule")
+
+
 def ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.with_ambiguity(standins.seqs(spark, sf_dir)).select("doc_id", "n_ambiguous", "ambiguous_fraction")
 
@@ -549,6 +643,15 @@ QUERIES: dict[str, Query] = {
         region_wgs84,
         map_extents,
         map_files,
+        row_numbers,
+        first_appearance,
+        file_head,
+        sketched_profile,
+        nearest_names,
+        case_files_by_header,
+        case_files_rejected,
+        rules_table,
+        many_rules,
         ambiguity,
         filter_ambiguous_0,
         filter_ambiguous_5pct,

@@ -158,6 +158,35 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), geometry, F.lit(4326).alias("epsg"))
 
 
+def spelled_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Names from the first words of documents: as odd ones spell them, and the known ones from even ones.
+
+    Some of the first are those of their neighbour with a letter left out, changed, or written without its accent and with blanks around.
+    """
+    words = F.regexp_extract("text", "^([A-Za-zéèêàçôûîùñäöü]+ [A-Za-zéèêàçôûîùñäöü]+)", 1)
+    texts = table(spark, sf_dir, "documents").select("doc_id", words.alias("name")).where("length(name) > 5")
+    odd = F.col("doc_id") % 2 == 1
+    changed = (
+        F.when(F.col("doc_id") % 8 == 0, F.concat(F.substr("name", F.lit(1), F.lit(3)), F.substr("name", F.lit(5))))
+        .when(F.col("doc_id") % 8 == 2, F.concat(F.substr("name", F.lit(1), F.lit(2)), F.lit("x"), F.substr("name", F.lit(4))))
+        .when(F.col("doc_id") % 8 == 4, F.concat(F.lit(" "), F.translate("name", "éèê", "eee"), F.lit("  ")))
+    )
+    known = texts.where(~odd)
+    return texts.where(odd).select("name").unionByName(known.select(changed.alias("name")).where("name is not null")), known.select("name")
+
+
+def letter_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule per document of some length: one of two pieces of its letters, a completeness phrase, and nothing partial."""
+    found = seqs(spark, sf_dir).where("length(letters) >= 200").select("doc_id", "letters")
+    label = F.concat(F.lit("rule "), F.col("doc_id").cast("string"))
+    pieces = F.concat(F.substr("letters", (1 + F.col("doc_id") % 50).cast("int"), F.lit(14)), F.lit("|"), F.substr("letters", F.lit(120), F.lit(16)))
+    clauses = F.array(
+        F.struct(pieces.alias("pattern"), F.lit(False).alias("negated")), F.struct(F.lit("complete genome|complete cds").alias("pattern"), F.lit(False).alias("negated")),
+        F.struct(F.lit("partial").alias("pattern"), F.lit(True).alias("negated")),
+    )
+    return found.select(label.alias("label"), F.inline(clauses))
+
+
 def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with their fetched documents, 40 to a search."""
     pages = search_responses(spark, sf_dir)

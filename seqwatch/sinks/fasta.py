@@ -9,6 +9,8 @@ from urllib.parse import unquote, urlsplit
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqwatch.functions.sequences import FILTERED_WIDTH, fasta_entry
+from seqwatch.operators.order import MOST_BROADCAST, block_offsets
+from seqwatch.sinks.line_files import located, write_line_files
 from seqwatch.sources.fasta import FILE_ORDER
 
 
@@ -37,18 +39,37 @@ def write_fasta(
 def write_combined(entries: DataFrame, path: str, inputs: Sequence[str] = (), in_file_order: bool = True) -> None:
     """Overwrite ``path`` with the text of all records as they stand, in file-name order.
 
-    The order costs a shuffle of the whole text; without it every task writes what it reads. The
-    output must not lie in or above an input, where the next run would read it again or lose it: neither
+    The text is not moved for that: the blocks of the files are counted, and every task writes each block it reads as the part of
+    its place. So ``entries`` are as ``read_fasta_entries`` gives them, at most filtered. On a file system that only Spark reaches the
+    order costs a sort of the whole text; without it every task writes what it reads. The output must not lie in or above an input, where the next run would read it again or lose it: neither
     the ``inputs`` named nor the folders of the files that the entries come from.
     """
     output = qualified(entries.sparkSession, path)
     for source in {*inputs, *(posixpath.dirname(file) for file in entries.inputFiles())}:
         if _overlap(output, qualified(entries.sparkSession, source)):
             raise ValueError(f"output {path} overlaps input {source}")
+    if in_file_order and _reachable(output):
+        placed = entries.select("source_file", "block_start", "entry").withColumn("_at", F.monotonically_increasing_id())
+        blocks = block_offsets(placed).select("source_file", "block_start", "_offset")
+        if entries.rdd.getNumPartitions() <= MOST_BROADCAST:
+            blocks = F.broadcast(blocks)
+        name = F.format_string("part-%018d", F.col("_offset"))
+        lines = placed.join(blocks, ["source_file", "block_start"]).select(name.alias("file"), "entry")
+        write_line_files(lines, output, mode="overwrite", line="entry", in_place=True)
+        return
     ordered = entries.orderBy(*FILE_ORDER) if in_file_order else entries
     ordered.select("entry").write.mode("overwrite").text(path)
 
 
+def _reachable(path: str) -> bool:
+    """Whether tasks can write there by themselves."""
+    try:
+        located(path)
+    except (ValueError, OSError, ImportError):
+        return False
+    return True
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path as its file system sees it: with scheme and working folder, without detours."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

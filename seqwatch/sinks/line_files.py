@@ -20,9 +20,13 @@ from pyspark.sql.types import StructType
 from seqwatch.session import ship_package
 
 
-def write_line_files(lines: DataFrame, path: str, order: Sequence[str] = (), mode: str = "error", file: str = "file", line: str = "line") -> None:
+def write_line_files(
+    lines: DataFrame, path: str, order: Sequence[str] = (), mode: str = "error", file: str = "file", line: str = "line", in_place: bool = False
+) -> None:
     """One file per name in ``file``, with the lines in the order of the columns ``order``.
 
+    With ``in_place`` nothing is moved: each file's lines are in one task already, one after the other in their order.
+
     A file is written by one task, line by line, so it may be longer than memory. ``mode``: "error" refuses a folder that has files,
     "append" one that has a file of the same name, "overwrite" removes what is there, in the moment the new files take their places.
     """
@@ -31,7 +35,8 @@ def write_line_files(lines: DataFrame, path: str, order: Sequence[str] = (), mod
         raise ValueError("mode is 'error', 'append' or 'overwrite'")
     ship_package(spark)
     spark.dataSource.register(LineFiles)
-    dealt = lines.repartition(file).sortWithinPartitions(file, *order).select(lines[file].alias("file"), lines[line].alias("line"))
+    dealt = lines if in_place else lines.repartition(file).sortWithinPartitions(file, *order)
+    dealt = dealt.select(lines[file].alias("file"), lines[line].alias("line"))
     writer = dealt.write.format(LineFiles.name()).option("path", path).option("strict", str(mode == "error").lower())
     writer.mode("overwrite" if mode == "overwrite" else "append").save()
 

@@ -110,3 +110,33 @@ def test_blanks_only_change_text_columns(spark):
     assert [tuple(row) for row in blanks_to_null(frame).collect()] == [(None, 0, " "), ("a", None, None)]
     assert blanks_to_null(frame).columns == ["a", "b", "c d"]
     assert frame.select(F.lit(1)).count() == 2
+
+
+def test_headers_that_differ_by_file(spark, tmp_path):
+    from seqwatch.sources.cases import read_cases_by_header
+
+    (tmp_path / "2007.csv").write_text("ANO,SEXO,EDAD,FEC_NOT,Departamento_ocurrencia\n2007,M,5,2007-01-02,\"x, y\"\n2007,F,old,,NA\n2007,M\n")
+    (tmp_path / "2008.csv").write_text("﻿Departamento_ocurrencia,EXTRA,ANO,SEXO\r\nCauca,1,2008.0,F\r\n,2,2008.5,M\r\n")
+    (tmp_path / "2009.csv").write_text("ANO,ANO,SEXO\n2009,1,M\n2009,1,M,4\n")
+    (tmp_path / "2010.csv").write_text("")
+    (tmp_path / "2011.csv").write_text("ANO,SEXO\n")
+    found = read_cases_by_header(spark, str(tmp_path))
+    rows = sorted(map(tuple, found.rows.collect()), key=repr)
+    assert rows == sorted([
+        (2007, "M", 5.0, "2007-01-02", "x, y"), (2007, "F", None, None, None), (2008, "F", None, None, "Cauca"), (None, "M", None, None, None), (2009, "M", None, None, None),
+    ], key=repr)
+    rejected = sorted((r.file.rsplit("/", 1)[-1], r.cause, r.n) for r in found.rejected.collect())
+    assert rejected == [
+        ("2007.csv", "number of fields", 1), ("2007.csv", "value of EDAD", 1), ("2008.csv", "value of ANO", 1), ("2009.csv", "number of fields", 1),
+    ]
+    headers = {r.file.rsplit("/", 1)[-1]: r.header for r in found.headers.collect()}
+    assert headers["2010.csv"] is None and headers["2011.csv"] == "ANO,SEXO" and len(headers) == 5
+    assert found.rows.columns == ["ANO", "SEXO", "EDAD", "FEC_NOT", "Departamento_ocurrencia"]
+
+
+def test_only_empty_files(spark, tmp_path):
+    from seqwatch.sources.cases import read_cases_by_header
+
+    (tmp_path / "a.csv").write_text("")
+    found = read_cases_by_header(spark, str(tmp_path))
+    assert found.rows.collect() == [] and found.rejected.collect() == [] and [n for n, _ in found.rows.dtypes][:2] == ["ANO", "SEXO"]
