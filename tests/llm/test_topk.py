@@ -93,3 +93,37 @@ def test_buckets_are_skipped(monkeypatch):
     x = np.floor(rng.standard_normal((20_000, 8)) * 100 * np.exp(1.5 * rng.standard_normal((20_000, 1))))
     topk.best_products(x[:20], np.arange(20), x, np.arange(20_000), np.arange(20_000), 10)
     assert sum(taken) < 0.3 * 20 * 20_000
+
+
+def test_random_directions_are_pruned_by_coordinates(monkeypatch):
+    """Of vectors of one length that point anywhere most products are never taken once scores have been found."""
+    taken = []
+    exact = topk.exact_products
+    monkeypatch.setattr(topk, "exact_products", lambda q, x: taken.append(len(q) * len(x)) or exact(q, x))
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((20_000, 64))
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1)[:, None])
+    ids = np.arange(len(x))
+    score, at = topk.best_products(x[:40], ids[:40], x, ids, ids, 20)
+    assert sum(taken) < 0.3 * 40 * 20_000
+    products = x[:40] @ x.T
+    products[ids[:40], ids[:40]] = -np.inf
+    assert (score == -np.sort(-products, axis=1)[:, :20]).all()
+
+
+def test_scores_of_earlier_rounds_are_gone_by():
+    """What can't reach the least useful score isn't given; what equals it is."""
+    x = np.array([[5.0, 0], [4, 0], [3, 0], [2, 0], [-9, 0]])
+    ids = np.arange(5)
+    score, at = topk.best_products(np.array([[1.0, 0]]), np.array([99]), x, ids, ids, 4, np.array([3]))
+    assert score[0].tolist()[:3] == [5, 4, 3] and at[0].tolist() == [0, 1, 2, -1]
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.5])
+def test_rounds_against_brute_force(spark, spread):
+    """Lengths that are all one, and lengths that vary so much that queries leave the rounds early."""
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.standard_normal(8) * np.exp(spread * rng.standard_normal())).round(3).tolist()) for i in range(400)]
+    frame = spark.createDataFrame([(i, v, 1, 1, 1, 1, 1) for i, v in rows], VECTORS)
+    out = topk.top_products(frame, F.col("vec_id") % 20 == 0, 5).collect()
+    assert sorted(repr(tuple(r)) for r in out) == brute(rows, 5)
