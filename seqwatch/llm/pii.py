@@ -2,7 +2,8 @@
 
 A protected entity is a value that the patterns find. A term near it discloses it as far as meeting the term
 makes the entity likelier: PMI(term; entity) over the entity's own information content, both
-estimated from counts over the whole corpus. 1 means that the term is met near this entity only. Terms over the first threshold
+estimated from counts over the whole corpus. How likely the entity is near the term is taken at the lower end of what the texts allow, so
+a term met near it once says less than one that is met near it again and again, and nowhere else. Terms over the first threshold
 are generalised, those over the second removed, wherever they stand in a text that has the entity.
 
 DataFrame functions only.
@@ -10,6 +11,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqwatch.llm.common import free_name, store
@@ -25,18 +28,32 @@ PATTERNS = {
 KINDS = [*PATTERNS, "term"]
 #: Code points on either side of an entity in which terms are counted as near.
 CONTEXT = 120
-#: Different texts that an entity, and a term near it, must be met in: fewer are no estimate.
-SUPPORT = 3
+#: Different texts in which a term must be met near an entity. In fewer it is judged only if it is written with a capital or a digit, as names and codes
+#: are: of the words that a single text has by chance these are few.
+SUPPORT = 2
+#: Standard errors between the share of a term's places that are near an entity and the lower end that is counted on.
+CONFIDENCE = 1.96
 #: Disclosure from which terms are generalised, and from which they are removed.
 GENERALISE, REMOVE = 0.8, 0.95
 TERM = r"[\p{L}\p{M}\p{N}]++"
 #: Words that are no terms of an entity near which they are always written so: mostly function words, which no count tells from names.
 SMALL = r"^\p{Ll}{1,3}$"
+MARKED = r"[\p{Lu}\p{Lt}\p{N}]"
 
 SPAN = "struct<place:int,start:bigint,end:bigint,kind:string,token:string>"
 
 
-def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+@dataclass(frozen=True)
+class Thresholds:
+    """When a term near an entity is judged, and from which disclosure on it is generalised or removed."""
+
+    support: int = SUPPORT
+    confidence: float = CONFIDENCE
+    generalise: float = GENERALISE
+    remove: float = REMOVE
+
+
+def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresholds: Thresholds = Thresholds()) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
     Spans are kind:start:end in code points, the end exclusive, by kind (email, ip, card, phone, term) and start. ``base_sha256``
@@ -45,7 +62,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     scanned = scan(rows)
-    spans = all_spans(rows, scanned)
+    spans = all_spans(rows, scanned, thresholds)
     joined = scanned.select("doc_id", "key").join(spans, "key", "left")
     base = F.filter("spans", lambda s: s["place"] < len(PATTERNS))
 
@@ -61,14 +78,16 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
 
 
-def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+def sanitise(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str = "n_chars", thresholds: Thresholds = Thresholds()
+) -> DataFrame:
     """The documents with personal data replaced by its kind in brackets, and terms that disclose it generalised or removed.
 
     Texts without any keep as they are, null ones too; ``length``, if there is such a column, follows the new text.
     """
     names, key, found = docs.columns, free_name(docs, "_pii_key"), free_name(docs, "_pii_spans")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    spans = all_spans(rows, scan(rows)).withColumnsRenamed({"key": key, "spans": found})
+    spans = all_spans(rows, scan(rows), thresholds).withColumnsRenamed({"key": key, "spans": found})
     # Every base kind has an @ or a digit, so other texts need not be moved.
     may_have = F.coalesce(F.col(text).rlike("[@0-9]"), F.lit(False))
     touched = docs.where(may_have).withColumn(key, F.md5(text)).join(spans, key, "left")
@@ -163,13 +182,13 @@ def luhn(digits: Column) -> Column:
 # Disclosure
 
 
-def all_spans(rows: DataFrame, scanned: DataFrame) -> DataFrame:
+def all_spans(rows: DataFrame, scanned: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """key, spans: for each text with personal data its base spans and those of disclosing terms, in order."""
     copies = F.count(F.lit(1)).alias("copies")
     texts = scanned.where("text is not null").groupBy("key").agg(copies, *[F.first(name).alias(name) for name in ("text", *PATTERNS)])
     texts = store(texts, "pii-texts")
     base = store(base_spans(texts), "pii-base")
-    terms = disclosing_terms(rows, texts, base)
+    terms = disclosing_terms(rows, texts, base, thresholds)
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("place") + 1)
     token = F.coalesce(F.col("token"), F.concat(F.lit("["), F.upper(kind), F.lit("]")))
     spans = base.withColumn("token", F.lit(None).cast("string")).unionByName(terms, allowMissingColumns=True)
@@ -189,7 +208,7 @@ def _entity() -> Column:
 
 
 def contexts(texts: DataFrame, base: DataFrame) -> DataFrame:
-    """key, copies, entity, term, named, start, end: the terms on either side of each entity, without words that the context's end cuts.
+    """key, copies, entity, term, named, marked, start, end: the terms on either side of each entity, without words that the context's end cuts.
 
     A term that stands near an entity's value twice is there once.
     """
@@ -213,7 +232,8 @@ def contexts(texts: DataFrame, base: DataFrame) -> DataFrame:
     placed = placed.select("key", "copies", "entity", "from", F.length("part").alias("n"), "cut_first", "cut_last", F.explode(F.arrays_zip(F.col("words").alias("w"), ends.alias("e"))).alias("t"))
     placed = placed.withColumn("end", F.col("from") + F.col("t.e")).withColumn("start", F.col("end") - F.length("t.w"))
     whole = ~(F.col("cut_first") & (F.col("start") == F.col("from"))) & ~(F.col("cut_last") & (F.col("t.e") == F.col("n")))
-    return placed.where(whole).select("key", "copies", "entity", F.lower("t.w").alias("term"), (~F.rlike("t.w", F.lit(SMALL))).alias("named"), "start", "end").distinct()
+    told = {"named": ~F.rlike("t.w", F.lit(SMALL)), "marked": F.rlike("t.w", F.lit(MARKED))}
+    return placed.where(whole).select("key", "copies", "entity", F.lower("t.w").alias("term"), *[c.alias(n) for n, c in told.items()], "start", "end").distinct()
 
 
 def places(texts: DataFrame) -> DataFrame:
@@ -226,32 +246,45 @@ def places(texts: DataFrame) -> DataFrame:
     return words.select("key", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end")
 
 
-def disclosing_terms(rows: DataFrame, texts: DataFrame, base: DataFrame) -> DataFrame:
+def disclosing_terms(rows: DataFrame, texts: DataFrame, base: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """key, place, start, end, token: the terms whose disclosure of an entity of their text is over a threshold."""
     near = store(contexts(texts, base), "pii-contexts")
-    # Different texts first, so that a hot entity gathers no more than these. They are the support; all other counts are over
-    # the corpus as it is, copies included.
-    pairs = near.groupBy("entity", "term", "key").agg((F.count(F.lit(1)) * F.first("copies")).alias("n"), F.max("named").alias("named"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("joint"), F.max("named").alias("named"))
+    # Different texts first, so that a hot entity gathers no more than these. They are the support, and what the entity's own information is
+    # taken from; a term's places near an entity and elsewhere are counted over the corpus as it is, copies included.
+    told = [F.max(name).alias(name) for name in ("named", "marked")]
+    pairs = near.groupBy("entity", "term", "key").agg(F.count(F.lit(1)).alias("once"), F.first("copies").alias("copies"), *told)
+    joint = F.sum(F.col("once") * F.col("copies")).alias("joint")
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), joint, F.sum("once").alias("once"), *told)
     pairs = store(pairs, "pii-pairs")
-    about = pairs.groupBy("entity").agg(F.sum("joint").alias("entity_n"))
-    candidates = store(pairs.where((F.col("texts") >= SUPPORT) & F.col("named")), "pii-candidates")
+    about = pairs.groupBy("entity").agg(F.sum("once").alias("entity_n"))
+    candidates = store(pairs.where(F.col("named") & ((F.col("texts") >= thresholds.support) | F.col("marked"))), "pii-candidates")
     counts = store(term_counts(rows), "pii-terms")
     total = counts.agg(F.coalesce(F.sum("term_n"), F.lit(0))).scalar()
     judged = candidates.join(store(about, "pii-entities"), "entity").join(counts, "term").withColumn("total", total)
-    pmi = F.log(F.col("joint") * F.col("total") / (F.col("term_n") * F.col("entity_n")))
     content = F.log(F.col("total") / F.col("entity_n"))
-    judged = judged.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0)).where(F.col("disclosure") >= GENERALISE)
+    pmi = content + F.log(least_share(F.col("joint") / F.col("term_n"), F.col("texts"), thresholds.confidence))
+    judged = judged.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(0.0)).where(F.col("disclosure") >= thresholds.generalise)
     judged = store(judged.select("entity", "term", "disclosure"), "pii-disclosing")
     # Terms are looked up before entities are, so that a hot entity's texts never meet all of its terms.
     held = base.select("key", _entity().alias("entity")).distinct().join(judged.select("entity").distinct(), "entity", "left_semi")
     held = store(held, "pii-held")
     placed = places(texts.select("key", "text").join(held.select("key").distinct(), "key", "left_semi")).join(judged, "term")
     told = placed.join(held, ["key", "entity"], "left_semi").groupBy("key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    token = F.when(F.col("disclosure") >= REMOVE, "").otherwise("[TERM]")
+    token = F.when(F.col("disclosure") >= thresholds.remove, "").otherwise("[TERM]")
     return told.select("key", F.lit(len(PATTERNS)).alias("place"), "start", "end", token.alias("token"))
 
 
+def least_share(share: Column, texts: Column, confidence: float) -> Column:
+    """The lower end of Wilson's interval for the share of a term's places near an entity.
+
+    Evidence is counted in different texts: those with the term near the entity, and in proportion those with it elsewhere. Copies add none.
+    """
+    share = F.least(share, F.lit(1.0))
+    n, z2 = texts / share, confidence * confidence
+    half = confidence * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))
+    return (share + z2 / (2 * n) - half) / (1 + z2 / n)
+
+
 def term_counts(rows: DataFrame) -> DataFrame:
     """term, term_n: how often each term is in the corpus, copies of texts included."""
     words = rows.select(F.explode(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("word")).select(F.lower("word").alias("term"))

@@ -102,22 +102,28 @@ def test_disclosing_terms_against_brute_force(make_docs):
     out = {r.doc_id: r for r in pii.find_personal_data(make_docs(rows)).collect()}
     letters = re.compile(r"[^\W\d_]{4,}")
     total = Counter(w.lower() for _, t, _ in rows for w in letters.findall(t))
-    near, texts = defaultdict(Counter), defaultdict(set)
-    for t in {t for _, t, _ in rows}:
+    near, texts, once = defaultdict(Counter), defaultdict(set), Counter()
+    copies = Counter(t for _, t, _ in rows)
+    for t in copies:
         for kind, a, b in base(t):
             for m in letters.finditer(t):
                 inside = m.start() < b and a < m.end()
                 if not inside:
-                    near[t[a:b]][m[0].lower()] += 1
+                    near[t[a:b]][m[0].lower()] += copies[t]
+                    once[t[a:b]] += 1
                     texts[t[a:b], m[0].lower()].add(t)
     import math
 
     n, flagged = sum(total.values()), set()
+    marked = {w.lower() for _, t, _ in rows for w in letters.findall(t) if w != w.lower()}
     for entity, terms in near.items():
-        own = sum(terms.values())
+        own = once[entity]
         for term, joint in terms.items():
-            if len(texts[entity, term]) >= pii.SUPPORT:
-                share = math.log(joint * n / (total[term] * own)) / math.log(n / own)
+            if len(texts[entity, term]) >= pii.SUPPORT or term in marked:
+                p, z2 = min(1, joint / total[term]), pii.CONFIDENCE**2
+                k = len(texts[entity, term]) / p
+                least = (p + z2 / (2 * k) - pii.CONFIDENCE * math.sqrt(p * (1 - p) / k + z2 / (4 * k * k))) / (1 + z2 / k)
+                share = math.log(least * n / own) / math.log(n / own)
                 if share >= pii.GENERALISE:
                     flagged.add(term)
     assert "codename" in flagged and "common" not in flagged and "words" not in flagged
@@ -140,6 +146,56 @@ def test_copies_do_not_hide_disclosing_terms(make_docs, copies):
         assert "codename" in terms
 
 
+def test_once_is_less_than_again_and_again(values_of_least):
+    """The fewer texts and the more places elsewhere, the less is counted on."""
+    once, twice, often, elsewhere = values_of_least([(1.0, 1), (1.0, 2), (1.0, 50), (0.5, 1)])
+    assert 0 < elsewhere < once < twice < often < 1 and once == pytest.approx(1 / (1 + pii.CONFIDENCE**2))
+
+
+@pytest.fixture
+def values_of_least(spark):
+    def run(pairs):
+        frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, share double, texts bigint")
+        least = pii.least_share(F.col("share"), F.col("texts"), pii.CONFIDENCE)
+        return [r.least for r in frame.select("i", least.alias("least")).orderBy("i").collect()]
+
+    return run
+
+
+def test_planted_names_and_codes(spark, make_docs):
+    """Beside every address of the given table a name and a code are put: how many are found, and how much else."""
+    docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    planted, rows = {}, []
+    for i, text in docs:
+        found = [x for x in base(text) if x[0] == "email"]
+        if found:
+            _, start, end = found[0]
+            name, code = f"Qu{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}xovic", f"ZX{i}-{i * 7 % 1000}"
+            text = f"{text[:start]} {name} {text[start:end]} {code} {text[end:]}"
+            planted[i] = {name.lower(), *code.lower().split("-")}
+        rows.append((i, text, "a"))
+    out = {r.doc_id: r for r in pii.find_personal_data(make_docs(rows, clashing=False)).collect()}
+    texts = {i: t for i, t, _ in rows}
+    told = {i: {texts[i][int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"} for i, r in out.items()}
+    wanted = {(i, w) for i, words in planted.items() for w in words if not w.isdigit()}
+    found = {(i, w) for i, words in told.items() for w in words}
+    assert len(planted) > 8 and len(wanted & found) >= 0.95 * len(wanted)
+    # What else is told is written like a name and stands in this text only; texts without a value keep all their words.
+    counts = Counter(w.lower() for t in {t for t in texts.values() if t} for w in set(re.findall(r"[^\W_]+", t)))
+    assert all(counts[w] <= 2 for i, w in found - wanted)
+    assert all(not told[i] for i, t in texts.items() if not base(t or ""))
+    assert sum(map(len, told.values())) > 0
+
+
+def test_thresholds_are_parameters(make_docs):
+    rows = entity_docs()
+    docs = make_docs(rows, clashing=False)
+    none = pii.find_personal_data(docs, thresholds=pii.Thresholds(generalise=1.1)).collect()
+    assert sum(r.n_term for r in none) == 0
+    more = pii.sanitise(docs, thresholds=pii.Thresholds(remove=0.8)).where("doc_id = 0").first().text
+    assert "[TERM]" not in more and "odename" not in more
+
+
 def test_terms_far_away_and_short_ones(make_docs):
     """A name, a short name and a code, in the whole of every text that has the address."""
     near = [f"{first} goes by Codename or Li or 李 or K7 at q@x.org" for first in ("someone", "nobody", "anybody")]
