@@ -147,6 +147,46 @@ def test_wrapped_licences_and_other_wordings(make_docs):
     assert [out[i].n_licensed for i in range(len(WRAPPED))] == [2, 2, 2, 3, 2]
 
 
+#: Wordings and mentions that the classifier isn't trained or calibrated with, and that no pattern has.
+GRANTS = (
+    "All of it is free under the {}, see below", "You can copy this under the {} if you like", "we publish our work under the terms of the {} as of today",
+    "this file is licensed under the {} and so is the rest", "code: {}, text: other terms",
+)
+SPOKEN = (
+    "the {} was drafted in 2004 by a committee", "a book on the history of the {}", "in the article the {} is discussed at length", "what is the {} anyway",
+    "the {} has been translated by volunteers", "the talk compared the {} with older ones", "who wrote the {} and when",
+)
+FULL = {"apache": "Apache License", "mit": "MIT License", "gpl": "GNU General Public License", "mpl": "Mozilla Public License", "bsd": "BSD License"}
+
+
+def scanned(make_docs, texts):
+    rows = [(i, f"{prose(i, 25)}\n{t}\n{prose(i + 500, 25)}", "a") for i, t in enumerate(texts)]
+    return {r.doc_id: r.licences for r in licences.scan_licences(make_docs(rows, clashing=False)).collect()}
+
+
+def test_unseen_wordings_and_mentions(make_docs):
+    """A licence that is granted is told from one that is only spoken of."""
+    granted = [(g.format(name), family) for g in GRANTS for family, name in FULL.items()]
+    spoken = [(m.format(name), "") for m in SPOKEN for name in FULL.values()]
+    cases = granted + spoken
+    out = scanned(make_docs, [t for t, _ in cases])
+    found = sum(out[i] == family for i, (_, family) in enumerate(granted))
+    alarms = sum(out[len(granted) + i] != "" for i in range(len(spoken)))
+    print("recall", found / len(granted), "false alarms", alarms / len(spoken))
+    assert found >= 0.7 * len(granted) and alarms <= 0.1 * len(spoken)
+    # Precision: hardly any is taken for another family.
+    assert sum(out[i] not in ("", family) for i, (_, family) in enumerate(granted)) <= 0.05 * len(granted)
+
+
+def test_the_classifier_decides(make_docs, monkeypatch):
+    """With a classifier that says the same of everything the result is another."""
+    texts = ["Released under the MIT License.", "the MIT License was drafted in 1988", "Licensed under the Apache License, Version 2.0."]
+    assert [scanned(make_docs, texts)[i] for i in range(3)] == ["mit", "", "apache"]
+    constant = licences.Classifier({}, np.zeros((1, len(licences.FAMILIES))), 1.0, 0.5)
+    monkeypatch.setattr(licences, "train", lambda docs, sample: constant)
+    assert [scanned(make_docs, texts)[i] for i in range(3)] != ["mit", "", "apache"]
+
+
 def test_licences_of_odd_rows(make_docs, odd_rows):
     rows = odd_rows + [(50, "\n\n \nReleased under the MIT License.\r\n", "a")] * 2
     out = licences.scan_licences(make_docs(rows)).collect()
@@ -161,3 +201,20 @@ def test_anchors_are_in_all_that_can_be_confirmed():
         for grams in templates:
             without = {g for g in grams if not licences.anchors().intersection(g.split())}
             assert len(without) < licences.CONFIRM * len(grams), family
+
+
+def test_words_of_names_are_in_all_names():
+    """So that no window with a name is passed over."""
+    for family, each in licences.NAMED.items():
+        for name in each:
+            assert licences._NAME_WORDS & set(licences.words(name)), (family, name)
+    assert all(licences._NAME_WORDS & set(licences.words(t)) for t in WORDINGS)
+
+
+def test_windows_cover_all_anchors():
+    text = " ".join("mit" if i % 37 in (0, 3) else f"w{i}" for i in range(500))
+    found = licences.Scanned(text)
+    windows = list(found.windows(frozenset({"mit"})))
+    for i, word in enumerate(found.found):
+        assert word != "mit" or any(a <= i < b for a, b in windows)
+    assert all(b - a <= 4 + 2 * licences.MARGIN for a, b in windows)
