@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from seqwatch.llm.common import carried
+from seqwatch.llm.common import hand_back
 
 #: Texts of more code points are cut.
 LEAF = 65_536
@@ -34,9 +34,9 @@ WINDOW = 128
 #: How far a place of agreement within a word is from the ends of both encodings, so that both have seen any special token beside it.
 MARGIN = 32
 #: Words whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Code points encoded at a time.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 
 BLANKS = " \t\n\r\x0b\x0c"
 
@@ -62,19 +62,16 @@ def _encoded(docs: DataFrame, tokenizer: str, leaf: int, doc_id: str, text: str,
         return narrow.mapInArrow(encode_rows, f"doc_id {key}, {schema}")
     short = narrow.where(length <= leaf).mapInArrow(encode_rows, f"doc_id {key}, {schema}")
 
-    # Pieces of one text meet again by its id, its hash and its length; equal rows meet as well and are told apart by their number.
-    marked = narrow.where(length > leaf).select(
-        carried(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("content"), length.alias("length"), "text"
+    # Equal long texts are encoded once. Pieces of a text meet again by its digest.
+    long = narrow.where(length > leaf).select("doc_id", F.sha2("text", 256).alias("content"), "text")
+    pieces = long.groupBy("content").agg(F.first("text").alias("text")).mapInPandas(_halve(leaf), "content string, piece int, text string")
+    # A number of its own keeps adaptive execution from making one task of pieces that are few but long.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    encoded = pieces.repartition(tasks, "content", "piece").mapInPandas(
+        _encode_pieces(tokenizer), "content string, piece int, text string, ids array<int>, starts array<int>, ends array<int>"
     )
-    pieces = marked.mapInPandas(_halve(leaf), "doc_id string, content bigint, length int, piece int, text string")
-    encoded = pieces.repartition("content", "piece").mapInPandas(
-        _encode_pieces(tokenizer),
-        "doc_id string, content bigint, length int, piece int, text string, ids array<int>, starts array<int>, ends array<int>",
-    )
-    joined = encoded.groupBy("doc_id", "content", "length").applyInPandas(
-        _concatenate(tokenizer, kind, names), f"doc_id string, {schema}"
-    )
-    return short.unionByName(joined.withColumn("doc_id", F.col("doc_id").cast(key)))
+    joined = encoded.groupBy("content").applyInPandas(_concatenate(tokenizer, kind, ["content", *names[1:]]), f"content string, {schema}")
+    return short.unionByName(long.select("doc_id", "content").join(joined, "content").select(*names))
 
 
 def decode(ids, tokenizer: str):
@@ -111,7 +108,10 @@ class _Digests:
     """Rows of counts and digests, from the parts that each word adds to the written ids and to the decoded text."""
 
     def of_word(self, codec: Codec, ids: list[int]) -> tuple:
-        return (len(ids), " ".join(map(str, ids)), " ".join([codec.tokens[i] for i in ids]), ids) if ids else ()
+        if not ids:
+            return ()
+        # The ids themselves are wanted only where a decoder puts them together.
+        return (len(ids), " ".join(map(str, ids)), " ".join([codec.tokens[i] for i in ids]), None if codec.plain else ids)
 
     def columns(self, codec: Codec, texts: list[list[tuple]]) -> list[pa.Array]:
         rows = []
@@ -150,7 +150,6 @@ class Codec:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(size)]
         self.words: dict[type, dict[str, tuple]] = {}
-        self.letters: dict[str, list[int]] = {}
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -167,7 +166,6 @@ class Codec:
         known = self.words.setdefault(type(kind), {})
         if len(known) > REMEMBERED:
             known.clear()
-            self.letters.clear()
         new = {word for words in split for word in words if word not in known}
         for word, ids in self._ids(new):
             known[word] = kind.of_word(self, ids)
@@ -185,9 +183,7 @@ class Codec:
             yield word, made.ids
 
     def _piece(self, piece: str) -> list[int]:
-        if piece not in self.letters:
-            self.letters[piece] = [token.id for token in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
-        return self.letters[piece]
+        return [token.id for token in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
 
     def encode_with_places(self, text: str, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, starts and ends of a piece's tokens; the piece begins at ``at``."""
@@ -244,6 +240,9 @@ def _encode_rows(tokenizer: str, kind, names: list[str]):
                 part = batch.slice(rows[0], len(rows))
                 made = kind.columns(codec, codec.encode(part.column("text").to_pylist(), kind))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], names=names)
+                del made
+            del batch
+            hand_back()
 
     return run
 
@@ -261,15 +260,7 @@ def _halve(leaf: int):
         for batch in batches:
             for row in batch.itertuples(index=False):
                 pieces = halves(row.text, leaf)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": [row.doc_id] * len(pieces),
-                        "content": row.content,
-                        "length": row.length,
-                        "piece": range(len(pieces)),
-                        "text": pieces,
-                    }
-                )
+                yield pd.DataFrame({"content": [row.content] * len(pieces), "piece": range(len(pieces)), "text": pieces})
 
     return run
 
@@ -290,13 +281,11 @@ def _encode_pieces(tokenizer: str):
 def _concatenate(tokenizer: str, kind, names: list[str]):
     def run(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
         codec = Codec.of(tokenizer)
-        copies = int((pieces["piece"] == 0).sum())
-        pieces = pieces.drop_duplicates("piece").sort_values("piece")
+        pieces = pieces.sort_values("piece")
         ids = concatenate(codec, pieces["text"].tolist(), list(zip(pieces["ids"], pieces["starts"], pieces["ends"], strict=True)))
         word = kind.of_word(codec, ids.tolist())
-        made = [column.to_pylist() * copies for column in kind.columns(codec, [[word] if word else []])]
-        doc_id = pieces["doc_id"].iloc[:1].tolist() * copies
-        return pd.DataFrame(dict(zip(names, [doc_id, *made], strict=True)))
+        made = [column.to_pylist() for column in kind.columns(codec, [[word] if word else []])]
+        return pd.DataFrame(dict(zip(names, [list(key), *made], strict=True)))
 
     return run
 

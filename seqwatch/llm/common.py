@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-import seqwatch
+from seqwatch import session
 from seqwatch.session import scratch_path
 
+#: Rows of long texts that a task works on at once.
+ROWS = 512
+
 
 def store(frame: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read again.
@@ -48,17 +53,42 @@ def let(value: Column, body) -> Column:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once per application: not every cluster has it installed."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    root = Path(seqwatch.__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp()) / "seqwatch_package.zip"
-    with zipfile.ZipFile(archive, "w") as packed:
-        for module in sorted(root.rglob("*.py")):
-            packed.write(module, module.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    _SHIPPED.add(context.applicationId)
-
-
-_SHIPPED: set[str] = set()
+    session.ship_package(spark)
+
+
+def in_slices(work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], rows: int = ROWS):
+    """``work`` on frames of few rows instead of whole batches, with the memory it has freed handed back after each batch.
+
+    A batch is cut by its number of rows, so its texts can be many times what a worker should hold copies and
+    parts of. Workers live on after their tasks, and what one task has left in their heaps would be there beside the next one's.
+    """
+
+    @functools.wraps(work)
+    def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for start in range(0, len(batch), rows):
+                    yield batch.iloc[start : start + rows].reset_index(drop=True)
+                del batch
+                hand_back()
+
+        yield from work(parts())
+        hand_back()
+
+    return sliced
+
+
+def hand_back() -> None:
+    """Give the system what this process has freed. Only the C library of Linux has a way to; elsewhere nothing happens."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim:
+        trim(0)
+
+
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None

@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqwatch.llm.blocks import map_units, pairs_within, to_units
-from seqwatch.llm.common import carried, free_name, store
+from seqwatch.llm.common import carried, free_name, hand_back, in_slices, store
 from seqwatch.llm.graph import components
 
 WORDS = 3
@@ -34,6 +35,10 @@ BLOCK = 512
 #: Bits that mark the shingles that are shared, or the documents whose sets are needed again: two to this power. With more
 #: of them than bits the marks tell less, and more is moved or read; results do not depend on them.
 MARKS = 25
+#: Shingles of the sets that a unit of pairs is verified with; a unit with more is dealt further.
+UNIT_SHINGLES = 1 << 19
+#: Parts that are added up at once.
+FAN_IN = 256
 
 _COUNT_KINDS = (np.int8, np.int16, np.int32, np.int64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -84,7 +89,7 @@ def _signed(docs: DataFrame, words: int, least: tuple[int, int], doc_id: str, te
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = count_shingles(narrow, words)
     signed = narrow.select(carried(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInPandas(
-        _sign(words, least, counts), "doc_id string, content bigint, n int, class bigint, gr bigint, prefix array<bigint>, bitmap binary"
+        in_slices(_sign(words, least, counts)), "doc_id string, content bigint, n int, class bigint, gr bigint, prefix array<bigint>, bitmap binary"
     )
     return narrow, store(signed.withColumn("doc_id", F.col("doc_id").cast("long")), "jaccard-signed")
 
@@ -173,10 +178,17 @@ def count_shingles(docs: DataFrame, words: int) -> np.ndarray:
         total = np.zeros(1 << slice_bits, dtype=np.int64)
         for counts in part["counts"]:
             total += np.frombuffer(counts, dtype=f"i{len(counts) >> slice_bits}")
-        return pd.DataFrame({"part": part["part"].iloc[:1], "counts": [total.tobytes()]})
+        return pd.DataFrame({"part": part["part"].iloc[:1], "counts": [total.tobytes()], "task": part["task"].iloc[:1]})
 
     schema = "part int, counts binary"
-    summed = docs.select("text").mapInPandas(count, schema).groupBy("part").applyInPandas(add, schema)
+    summed = docs.select("text").mapInPandas(in_slices(count), schema)
+    # No sum has more parts than the fan-in: tasks are numbered, and what is left is added up in rounds.
+    tasks = docs.rdd.getNumPartitions()
+    summed = summed.withColumn("task", F.spark_partition_id())
+    while tasks > FAN_IN:
+        summed = summed.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("part", "task").applyInPandas(add, f"{schema}, task int")
+        tasks = -(-tasks // FAN_IN)
+    summed = summed.groupBy("part").applyInPandas(add, f"{schema}, task int")
     total = np.zeros((1 << COUNTERS - slice_bits, 1 << slice_bits), dtype=np.int64)
     for row in summed.collect():  # 2^21 numbers, whatever the corpus
         total[row.part] = np.frombuffer(row.counts, dtype=np.int64)
@@ -231,15 +243,11 @@ def _digest(shingles: np.ndarray, seed: int = 0) -> int:
 def link_classes(docs: DataFrame, signed: DataFrame, words: int, least: tuple[int, int], every: bool = False) -> DataFrame:
     """a, b: links that connect all classes whose documents link; with ``every``, all links between classes."""
     sets = signed.where("n > 0")
-    classes = store(
-        sets.groupBy("class", "gr", "n").agg(
-            F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")
-        ),
-        "jaccard-classes",
-    )
-    groups = classes.groupBy("gr", "n").agg(
-        F.count(F.lit(1)).alias("classes"), F.max("copies").alias("copies"), F.min("class").alias("class"), F.first("prefix").alias("prefix")
-    )
+    of_class = [F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bitmap").alias("bitmap")]
+    classes = store(sets.groupBy("class", "gr", "n").agg(*of_class), "jaccard-classes")
+    groups = classes.groupBy("gr", "n").agg(F.count(F.lit(1)).alias("classes"), F.max("copies").alias("copies"), F.min("class").alias("class"))
+    # Prefixes are most of a row; they are moved once, to their groups.
+    groups = groups.join(sets.groupBy("gr").agg(F.first("prefix").alias("prefix")), "gr")
     groups = store(groups.withColumn("many", F.col("classes") > 1), "jaccard-groups")
 
     # A unit is a group, or, in the list of a group of several classes, one of its classes; told apart by ``many``.
@@ -261,7 +269,7 @@ def link_classes(docs: DataFrame, signed: DataFrame, words: int, least: tuple[in
         several = store(listed.groupBy("list").agg(F.count(F.lit(1)).alias("list_size")), "jaccard-apart")
         # A group of several classes in a list of its own has its classes there; elsewhere it stands for all of them.
         units = to_units(apart.withColumn("row", F.xxhash64("unit_id", "many")), several, "list", "row", BLOCK)
-        pairs = store(map_units(units.drop("row"), "list", _pairs_apart(least), PAIR).distinct(), "jaccard-second")
+        pairs = store(_one_unit_each(map_units(units.drop("row"), "list", _pairs_apart(least), UNIT_PAIR)), "jaccard-second")
         return verify(docs, classes, groups, pairs, words, least)
 
     # The unit of the most copies leads its list.
@@ -277,7 +285,13 @@ def link_classes(docs: DataFrame, signed: DataFrame, words: int, least: tuple[in
     for end in ("a", "b"):
         led = led.join(maps.select(F.col("unit_id").alias(end), F.col("bitmap").alias(f"bitmap_{end}")), end)
         led = led.withColumn(f"bitmap_{end}", F.when(~F.col(f"many_{end}"), F.col(f"bitmap_{end}")))
-    first = store(led.mapInPandas(_filter_bitmaps(least), PAIR).distinct(), "jaccard-first")
+    first = led.mapInPandas(in_slices(_filter_bitmaps(least), 2048), f"{PAIR}, leader bigint")
+    # A leader's pairs are verified together, in parts of about a block.
+    beside = F.xxhash64("a", "b", F.lit(3))
+    first = store(first.distinct(), "jaccard-first")
+    blocks = first.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    first = first.join(blocks, "leader").select("a", "many_a", "b", "many_b", F.xxhash64("leader", F.pmod(beside, "blocks")).alias("unit"))
+    first = store(_one_unit_each(first), "jaccard-first-units")
     links = verify(docs, classes, groups, first, words, least)
 
     # Where one comparison has not joined a list, every pair of it that is still apart is looked at.
@@ -291,8 +305,8 @@ def link_classes(docs: DataFrame, signed: DataFrame, words: int, least: tuple[in
     )
     several = store(several.where("any_many or low_root <> high_root").select("list", "list_size"), "jaccard-apart")
     units = to_units(apart.withColumn("row", F.xxhash64("unit_id", "many")), several, "list", "row", BLOCK)
-    second = map_units(units.drop("row"), "list", _pairs_apart(least), PAIR)
-    second = store(second.distinct().join(first, ["a", "many_a", "b", "many_b"], "left_anti"), "jaccard-second")
+    second = _one_unit_each(map_units(units.drop("row"), "list", _pairs_apart(least), UNIT_PAIR))
+    second = store(second.join(first, ["a", "many_a", "b", "many_b"], "left_anti"), "jaccard-second")
     return links.unionByName(verify(docs, classes, groups, second, words, least))
 
 
@@ -331,6 +345,12 @@ def _enter(bits: np.ndarray):
 
 
 PAIR = "a bigint, many_a boolean, b bigint, many_b boolean"
+UNIT_PAIR = f"{PAIR}, unit bigint"
+
+
+def _one_unit_each(pairs: DataFrame) -> DataFrame:
+    """Pairs that were met in several units, in one of them."""
+    return pairs.groupBy("a", "many_a", "b", "many_b").agg(F.min("unit").alias("unit"))
 
 
 def _needed(n_a: Column, n_b: Column, least: tuple[int, int]) -> Column:
@@ -382,7 +402,8 @@ def _filter_bitmaps(least: tuple[int, int]):
         for batch in batches:
             apart = _differences(batch["bitmap_a"].tolist(), batch["bitmap_b"].tolist())
             kept = batch[apart <= most_differences(batch["n"].to_numpy(), batch["n_b"].to_numpy(), least)]
-            yield _ordered(*(kept[c].to_numpy() for c in ("a", "many_a", "b", "many_b"))).drop_duplicates()
+            ordered = _ordered(*(kept[c].to_numpy() for c in ("a", "many_a", "b", "many_b")))
+            yield ordered.assign(leader=kept["b"].to_numpy()).drop_duplicates()
 
     return run
 
@@ -395,6 +416,9 @@ def _pairs_apart(least: tuple[int, int]):
         root = frame["root"].astype("Int64").fillna(0).to_numpy(dtype=np.int64)
         single = ~frame["many"].to_numpy(dtype=bool)
         n, place, maps = columns["n"].astype(np.int64), columns["place"].astype(np.int64), frame["bitmap"].tolist()
+        # A name for the unit that is the same in every frame.
+        keys = frame[["list", "low", "high"]].astype("int64").to_numpy().view(np.uint64)
+        named = _mixed(_mixed(keys[:, 0] + keys[:, 1] * _MIX) + keys[:, 2] * np.uint64(3)).view(np.int64)
         out = []
         for one, other in pairs_within(columns["unit"], columns["side"], columns["low"], columns["high"]):
             n_a, n_b = n[one], n[other]
@@ -408,30 +432,54 @@ def _pairs_apart(least: tuple[int, int]):
                 apart = _differences([maps[i] for i in one], [maps[i] for i in other])
                 fit = apart <= most_differences(n[one], n[other], least)
                 one, other = one[fit], other[fit]
-                out.append(_ordered(columns["unit_id"][one], ~single[one], columns["unit_id"][other], ~single[other]))
-        made = pd.concat(out, ignore_index=True).drop_duplicates() if out else pd.DataFrame(columns=["a", "many_a", "b", "many_b"])
-        return made.astype({"a": "int64", "b": "int64", "many_a": bool, "many_b": bool})
+                out.append(_ordered(columns["unit_id"][one], ~single[one], columns["unit_id"][other], ~single[other]).assign(unit=named[one]))
+        made = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["a", "many_a", "b", "many_b", "unit"])
+        return made.astype({"a": "int64", "b": "int64", "many_a": bool, "many_b": bool, "unit": "int64"})
 
     return work
 
 
 def verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, pairs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """a, b: the classes of the paired units that link, by their whole sets."""
+    """a, b: the classes of the paired units that link, by their whole sets. A set is shipped once to each unit it has pairs in."""
     expanded = store(_expand(classes, groups, pairs), "jaccard-pairs")
-    sets = store(_class_sets(docs, classes, expanded, words), "jaccard-sets")
-    sized = expanded.join(sets.select(F.col("class").alias("a"), F.col("members").alias("members_a")), "a")
-    sized = store(sized, "jaccard-sized").join(sets.select(F.col("class").alias("b"), F.col("members").alias("members_b")), "b")
+    ends = expanded.select("unit", F.col("a").alias("class")).unionByName(expanded.select("unit", F.col("b").alias("class"))).distinct()
+    large = ends.join(classes.select("class", "n"), "class").groupBy("unit").agg(F.ceil(F.sum("n") / UNIT_SHINGLES).cast("int").alias("parts"))
+    large = store(large.where("parts > 1"), "jaccard-large")
+    dealt = expanded.join(large, "unit", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = {name: F.pmod(F.xxhash64(end, F.lit(7)), F.col("parts")).cast("int") for name, end in (("low", "a"), ("high", "b"))}
+    dealt = store(dealt.withColumns(part).drop("parts"), "jaccard-dealt")
+    place = ["unit", "low", "high"]
+    members = dealt.select(*place, F.col("a").alias("class")).unionByName(dealt.select(*place, F.col("b").alias("class"))).distinct()
+    # Sets meet their units where they are made distinct, by class, and go on from there.
+    members = _class_sets(docs, classes, members.select("class"), words).join(store(members, "jaccard-members"), "class")
+    # In each unit the sets come before the pairs.
+    rows = members.select(*place, F.col("class").alias("a"), F.lit(None).cast("long").alias("b"), "members").unionByName(
+        dealt.select(*place, "a", "b", F.lit(None).cast("binary").alias("members"))
+    )
+    rows = rows.repartition(*place).sortWithinPartitions(*place, F.col("b").isNotNull())
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        unit = None
         for batch in batches:
-            linked = [_linked(a, b, least) for a, b in zip(batch["members_a"], batch["members_b"], strict=True)]
-            yield batch.loc[linked, ["a", "b"]]
-
-    return store(sized.select("a", "b", "members_a", "members_b").mapInPandas(compare, "a bigint, b bigint"), "jaccard-links")
-
-
-def _linked(one: bytes, other: bytes, least: tuple[int, int]) -> bool:
-    a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+            units = list(zip(*(batch.column(c).to_pylist() for c in place), strict=True))
+            ones, others, sets = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("members")
+            linked = []
+            for i, (one, other) in enumerate(zip(ones, others, strict=True)):
+                if units[i] != unit:
+                    held, unit = {}, units[i]
+                if other is None:
+                    held[one] = np.frombuffer(sets[i].as_py(), np.uint64)
+                elif _linked(held[one], held[other], least):
+                    linked.append((one, other))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in linked], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            del batch, sets
+            hand_back()
+
+    return store(rows.mapInArrow(compare, "a bigint, b bigint"), "jaccard-links")
+
+
+def _linked(a: np.ndarray, b: np.ndarray, least: tuple[int, int]) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return least[1] * shared >= least[0] * (len(a) + len(b) - shared)
 
@@ -444,17 +492,17 @@ def _expand(classes: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFram
         several = pairs.where(f"many_{end}").join(members.withColumnRenamed("unit_id", end), end)
         several = several.drop(end).withColumnRenamed("class", end)
         pairs = pairs.where(f"not many_{end}").unionByName(several)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "unit").where("a <> b")
+    return pairs.groupBy("a", "b").agg(F.min("unit").alias("unit"))
 
 
-def _class_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """class, members: the sets of the paired classes, made anew from one document each.
+def _class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """class, members: the sets of the wanted classes, made anew from one document each.
 
     The ids of these documents are marked in a bitmap of fixed size, so that the others' texts are
     neither shingled nor shuffled.
     """
-    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = store(classes.select("class", "doc_id").join(ends, "class"), "jaccard-wanted")
+    wanted = store(classes.select("class", "doc_id").join(wanted.distinct(), "class"), "jaccard-wanted")
     mark = F.xxhash64("doc_id")
     bits = marks(wanted, mark)
 
@@ -467,6 +515,6 @@ def _class_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: in
                     rows.append((_digest(shingles), shingles.tobytes()))
             yield pd.DataFrame(rows, columns=["class", "members"]).astype({"class": "int64"})
 
-    made = docs.select("text", mark.alias("mark")).mapInPandas(run, "class bigint, members binary")
+    made = docs.select("text", mark.alias("mark")).mapInPandas(in_slices(run), "class bigint, members binary")
     made = made.join(wanted.select("class"), "class", "left_semi")
     return made.dropDuplicates(["class"])

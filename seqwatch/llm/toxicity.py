@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seqwatch.llm.common import carried, store
+from seqwatch.llm.common import ROWS, carried, hand_back, in_slices, store
 from seqwatch.llm.linear import Rows, fit, softmax
 
 #: Labelled documents that the chain is fitted on, at most: those of the smallest id hashes.
@@ -61,6 +61,10 @@ class Chain:
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         """A row per text, a column per category."""
+        parts = [self._probabilities(texts[i : i + ROWS]) for i in range(0, len(texts), ROWS)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.weights)))
+
+    def _probabilities(self, texts: list[str | None]) -> np.ndarray:
         found = [self.found(text) if text else [] for text in texts]
         earlier = np.zeros((len(texts), 0))
         for weights in self.weights:
@@ -90,7 +94,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: s
 
     schema = ", ".join(["doc_id string", *[f"p_{c} double" for c in chain.categories], "toxic boolean"])
     texts = docs.select(carried(F.col(doc_id)).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return texts.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+    return texts.mapInPandas(in_slices(run), schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,7 +104,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id:
 
     @F.pandas_udf("boolean")
     def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series(chain.probabilities(texts.tolist())[:, at] >= chain.threshold)
+        p = chain.probabilities(texts.tolist())[:, at]
+        hand_back()
+        return pd.Series(p >= chain.threshold)
 
     return docs.where(~toxic(F.col(text).cast("string")))
 
@@ -114,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
     kind = docs.schema[doc_id].dataType.simpleString()
     taught = texts.join(F.broadcast(chosen), "doc_id").mapInPandas(
-        _terms, f"doc_id {kind}, low_quality int, toxic int, terms array<string>"
+        in_slices(_terms), f"doc_id {kind}, low_quality int, toxic int, terms array<string>"
     )
     taught = taught.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int"))
     taught = store(taught.withColumn("row", F.monotonically_increasing_id()), "toxicity-taught")
@@ -134,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
             yield out.assign(earlier=[[] for _ in ids])
 
     schema = "row bigint, fold int, low_quality int, toxic int, severe int, found array<int>, earlier array<double>"
-    rows = store(taught.mapInPandas(number, schema), "toxicity-rows")
+    rows = store(taught.mapInPandas(in_slices(number), schema), "toxicity-rows")
     weights, threshold = [], 2.0
     for category in CHAIN:
         fitted = store(_fit_category(rows, category, features), "toxicity-fitted")
@@ -207,6 +213,8 @@ def _fit_category(rows: DataFrame, category: str, features: dict[str, int]) -> D
         if fold == FOLDS:
             return pd.DataFrame({"row": [-1], "p": [0.0], "weights": [weights.reshape(-1)]})
         p = softmax(data.dot(weights[:-1]) + weights[-1])[:, 1]
+        del data
+        hand_back()
         return pd.DataFrame({"row": frame["row"][~learn], "p": p[~learn], "weights": None})
 
     models = rows.withColumn("model", F.explode(F.array(*[F.lit(i) for i in range(FOLDS + 1)])))
