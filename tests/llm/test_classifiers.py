@@ -161,6 +161,8 @@ FULL = {"apache": "Apache License", "mit": "MIT License", "gpl": "GNU General Pu
 
 def scanned(make_docs, texts):
     rows = [(i, f"{prose(i, 25)}\n{t}\n{prose(i + 500, 25)}", "a") for i, t in enumerate(texts)]
+    # Other texts, for the classifier to learn from.
+    rows += [(10_000 + i, prose(2000 + i, 40), "a") for i in range(100)]
     return {r.doc_id: r.licences for r in licences.scan_licences(make_docs(rows, clashing=False)).collect()}
 
 
