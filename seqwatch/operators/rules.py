@@ -1,35 +1,43 @@
 """Rules that are rows of a table: thousands of phrases looked for in one pass over each text.
 
 A rule is a label with clauses. A clause is a pattern, phrases between bars, of which one has to be in the text; a negated clause must have
-none in it. All phrases of all rules make one automaton, so a text is gone through once, whatever the number of rules.
+none in it. Clauses of one pattern are looked for once, and a rule is looked at only in texts that meet its rarest clause.
+
+The phrases of a small table make one automaton. A larger table stays a table: texts are gone through once for what a bitmap of fixed size
+takes for a phrase, and what was found meets the phrases, their patterns and the rules in joins.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seqwatch.functions.sequences import COMPLETE_PHRASES, PARTIAL_PHRASE, SEROTYPE_PHRASES, Rules
-from seqwatch.session import ship_package
+from seqwatch.session import scratch_path, ship_package
 
-#: Letters of the patterns of one automaton, at most; a larger table is dealt over several, which the text is gone through with one after the other.
+#: Letters of the patterns of one automaton, at most. Tables with more are joined; ``compile_rules`` deals them over several.
 MOST_LETTERS = 2_000_000
+#: Bits of the bitmap of the phrases, at least and at most: two to these powers. With more phrases it tells less, and more is moved; results do not depend on it.
+FEWEST_BITS, MOST_BITS = 20, 28
+#: Code points that are gone through at once. A longer text is one go.
+AT_ONCE = 1 << 20
 RULES = "label string, pattern string, negated boolean"
 
 
 @dataclass(frozen=True)
 class Clauses:
-    """Rules made ready: for each phrase the clauses it meets, for each clause its rule and whether it is negated, for each rule how many it needs."""
+    """Rules made ready: for each phrase the patterns it meets, for each pattern the rules that it leads, for each rule the patterns that must and must not be met."""
 
     labels: tuple[str, ...]
-    needed: tuple[int, ...]
-    rule_of: tuple[int, ...]
-    negated: tuple[bool, ...]
+    needed: tuple[frozenset[int], ...]
+    negated: tuple[frozenset[int], ...]
+    led: dict[int, tuple[int, ...]]
     phrases: tuple[tuple[str, tuple[int, ...]], ...]
     digest: str
 
@@ -39,8 +47,8 @@ class Clauses:
             if len(_AUTOMATA) > 8:
                 _AUTOMATA.clear()
             made = ahocorasick.Automaton()
-            for phrase, clauses in self.phrases:
-                made.add_word(phrase, clauses)
+            for phrase, patterns in self.phrases:
+                made.add_word(phrase, patterns)
             made.make_automaton()
             _AUTOMATA[self.digest] = made
         return _AUTOMATA[self.digest]
@@ -50,13 +58,10 @@ class Clauses:
         if text is None:
             return None
         found: set[int] = set()
-        for clauses in {id(c): c for _, c in self.automaton().iter(text)}.values():
-            found.update(clauses)
-        count: dict[int, int] = {}
-        for clause in found:
-            rule = self.rule_of[clause]
-            count[rule] = -1 if self.negated[clause] or count.get(rule) == -1 else count.get(rule, 0) + 1
-        return sorted(self.labels[rule] for rule, n in count.items() if n == self.needed[rule])
+        for patterns in {id(p): p for _, p in self.automaton().iter(text)}.values():
+            found.update(patterns)
+        rules = [rule for pattern in found for rule in self.led.get(pattern, ())]
+        return sorted(self.labels[rule] for rule in rules if self.needed[rule] <= found and self.negated[rule].isdisjoint(found))
 
 
 _AUTOMATA: dict[str, ahocorasick.Automaton] = {}
@@ -77,13 +82,16 @@ def match_rules(documents: DataFrame, rules: DataFrame, text: str = "body", labe
     regular expression are refused, not misread. Empty phrases, and rows without a label or phrases, are left out; a rule with negated clauses only is
     refused. A document without text meets none.
     """
-    parts = compile_rules(rules)
     ship_package(documents.sparkSession)
-    met = [_met_by(part)(F.col(text)) for part in parts]
+    rules = _stored(_cleaned(rules), "rules")
     number = f"n_{label}s"
-    found = documents.withColumn("_met", F.concat(*met) if met else F.array().cast("array<string>"))
-    labelled = found.withColumn(number, F.size("_met")).select(*documents.columns, number, F.explode("_met").alias(label))
-    return labelled
+    if (rules.agg(F.sum(F.length("pattern"))).first()[0] or 0) <= MOST_LETTERS:
+        met = [_met_by(part)(F.col(text)) for part in compile_rules(rules)]
+        found = documents.withColumn("_met", F.concat(*met) if met else F.array().cast("array<string>"))
+    else:
+        # Equal texts are one. A text without a rule, or none, has no row.
+        found = documents.withColumn("_text", _text_key(F.col(text))).join(_met_by_texts(documents, rules, text), "_text")
+    return found.withColumn(number, F.size("_met")).select(*documents.columns, number, F.explode("_met").alias(label))
 
 
 def _met_by(clauses: Clauses):
@@ -96,8 +104,7 @@ def _met_by(clauses: Clauses):
 
 def compile_rules(rules: DataFrame, most_letters: int = MOST_LETTERS) -> list[Clauses]:
     """The rules in parts of bounded size. A table of rules is read by the driver part by part, never as a whole."""
-    negated = F.coalesce("negated", F.lit(False)) if "negated" in rules.columns else F.lit(False)
-    rows = rules.select("label", "pattern", negated.alias("negated")).where("label is not null and pattern is not null")
+    rows = _cleaned(rules)
     parts: list[Clauses] = []
     held: list[tuple[str, str, bool]] = []
     letters = 0
@@ -113,32 +120,200 @@ def compile_rules(rules: DataFrame, most_letters: int = MOST_LETTERS) -> list[Cl
     return [part for part in parts if part.labels]
 
 
+def _cleaned(rules: DataFrame) -> DataFrame:
+    negated = F.coalesce("negated", F.lit(False)) if "negated" in rules.columns else F.lit(False)
+    return rules.select("label", "pattern", negated.alias("negated")).where("label is not null and pattern is not null").distinct()
+
+
 _MEANT_OTHERWISE = set("\\^$.*+?()[]{}")
 
 
+def _refuse_other_characters(label: str, pattern: str) -> None:
+    special = _MEANT_OTHERWISE & set(pattern)
+    if special:
+        raise ValueError(f"rule {label!r}: {''.join(sorted(special))!r} in a pattern is not supported, phrases between bars are")
+
+
+def _refuse_without_needed(label: str) -> None:
+    raise ValueError(f"rule {label!r} has nothing that must be in a text")
+
+
 def _compiled(rows: Sequence[tuple[str, str, bool]]) -> Clauses:
-    rule_of: list[int] = []
-    negations: list[bool] = []
-    numbers: dict[str, int] = {}
-    clauses_of: dict[str, list[int]] = {}
-    needed: dict[int, int] = {}
+    patterns: dict[str, int] = {}
+    of_phrase: dict[str, list[int]] = {}
+    sides: dict[str, tuple[set[int], set[int]]] = {}
     for label, pattern, negated in rows:
-        special = _MEANT_OTHERWISE & set(pattern)
-        if special:
-            raise ValueError(f"rule {label!r}: {''.join(sorted(special))!r} in a pattern is not supported, phrases between bars are")
+        _refuse_other_characters(label, pattern)
         phrases = {phrase for phrase in pattern.split("|") if phrase}
         if not phrases:
             continue
-        rule = numbers.setdefault(label, len(numbers))
-        needed[rule] = needed.get(rule, 0) + (not negated)
-        for phrase in phrases:
-            clauses_of.setdefault(phrase, []).append(len(rule_of))
-        rule_of.append(rule)
-        negations.append(negated)
-    empty = [label for label, rule in numbers.items() if not needed[rule]]
-    if empty:
-        raise ValueError(f"rule {empty[0]!r} has nothing that must be in a text")
-    made = tuple((phrase, tuple(clauses)) for phrase, clauses in clauses_of.items())
+        if pattern not in patterns:
+            patterns[pattern] = len(patterns)
+            for phrase in phrases:
+                of_phrase.setdefault(phrase, []).append(patterns[pattern])
+        sides.setdefault(label, (set(), set()))[bool(negated)].add(patterns[pattern])
+    rules_of = [0] * len(patterns)
+    for label, (needed, _) in sides.items():
+        if not needed:
+            _refuse_without_needed(label)
+        for pattern in needed:
+            rules_of[pattern] += 1
+    led: dict[int, list[int]] = {}
+    for rule, (needed, _) in enumerate(sides.values()):
+        led.setdefault(min(needed, key=lambda p: (rules_of[p], p)), []).append(rule)
+    made = tuple((phrase, tuple(numbers)) for phrase, numbers in of_phrase.items())
     digest = hashlib.sha256(repr(made).encode()).hexdigest()
-    return Clauses(tuple(numbers), tuple(needed[rule] for rule in numbers.values()), tuple(rule_of), tuple(negations), made, digest)
+    needed, negated = ([frozenset(side[k]) for side in sides.values()] for k in (0, 1))
+    return Clauses(tuple(sides), tuple(needed), tuple(negated), {pattern: tuple(rules) for pattern, rules in led.items()}, made, digest)
+
+
+# Large tables
+
+
+def _stored(frame: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def _text_key(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def _met_by_texts(documents: DataFrame, rules: DataFrame, text: str) -> DataFrame:
+    """_text, _met: the labels of the rules that each text meets, for texts that meet any."""
+    clauses, phrases = _numbered(rules)
+    scanned = documents.select(_text_key(F.col(text)).alias("_text"), F.col(text).alias("text")).where("text is not null")
+    hits = scanned.mapInPandas(_scan(*_bitmap(phrases)), "_text binary, phrase string")
+    met = _stored(hits.join(phrases, "phrase").select("_text", "number").distinct(), "rules-met")
+
+    # A rule's candidates are the texts that meet its needed clause which fewest texts meet; with one that none meets there are none.
+    texts = met.groupBy("number").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "number"))
+    lead = clauses.where(~F.col("negated")).join(texts, "number", "left").groupBy("label").agg(rarest.alias("lead")).where("lead.texts > 0")
+    sides = clauses.groupBy("label").agg(*[F.array_sort(F.collect_list(F.when(which, F.col("number")))).alias(name) for name, which in (("needed", ~F.col("negated")), ("excluded", F.col("negated")))])
+    ready = sides.join(lead, "label").select("label", F.col("lead.number").alias("number"), F.array_except("needed", F.array("lead.number")).alias("needed"), "excluded")
+    # Many rules have the other clauses in common; these are tested once for a text.
+    others = ["needed", "excluded"]
+    ready = _stored(ready, "rules-ready")
+    candidates = met.join(ready.select("number", *others).distinct(), "number").select("_text", *others).distinct()
+    all_met = met.groupBy("_text").agg(F.collect_list("number").alias("numbers"))
+    passed = candidates.join(all_met, "_text").where(
+        F.forall("needed", lambda n: F.array_contains("numbers", n)) & ~F.arrays_overlap("excluded", "numbers")
+    )
+    labelled = met.join(passed.select("_text", *others), "_text").join(ready, ["number", *others])
+    return labelled.groupBy("_text").agg(F.array_sort(F.collect_list("label")).alias("_met"))
+
+
+def _numbered(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """label, negated, number of each clause, and phrase, number of each pattern."""
+    special = F.regexp_replace("pattern", r"[^\\^$.*+?()\[\]{}]", "") != ""
+    for row in rules.where(special).limit(1).collect():
+        _refuse_other_characters(row.label, row.pattern)
+    clauses = rules.where(F.regexp_replace("pattern", r"\|", "") != "")
+    for row in clauses.groupBy("label").agg(F.bool_and("negated").alias("none")).where("none").limit(1).collect():
+        _refuse_without_needed(row.label)
+    patterns = _stored(clauses.select("pattern").distinct().withColumn("number", F.monotonically_increasing_id()), "rules-patterns")
+    phrases = patterns.select(F.explode(F.array_distinct(F.split("pattern", r"\|"))).alias("phrase"), "number").where("phrase <> ''")
+    clauses = clauses.join(patterns, "pattern").select("label", "negated", "number")
+    return _stored(clauses, "rules-clauses"), _stored(phrases, "rules-phrases")
+
+
+def _bitmap(phrases: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """A bitmap with two bits for each phrase and two for its beginning, and the phrases' lengths."""
+    about = phrases.agg(F.approx_count_distinct("phrase").alias("n"), F.collect_set(F.length("phrase")).alias("lengths")).first()
+    size = min(MOST_BITS, max(FEWEST_BITS, (64 * about.n).bit_length()))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 10_000):
+                codes, starts, ends = _codes(batch["phrase"].iloc[start : start + 10_000].tolist())
+                windows = _Windows(codes)
+                found = [windows.hashes(starts[ends - starts == n], n) for n in np.unique(ends - starts)]
+                found += [windows.hashes(starts[_begins(ends - starts) == n], n) for n in np.unique(_begins(ends - starts))]
+                yield pd.DataFrame({"bit": np.unique(np.concatenate([_bits(h, size) for h in found], axis=None))})
+
+    bit = F.col("bit") + 1
+    marked = phrases.select("phrase").mapInPandas(hashed, "bit bigint").groupBy(F.bitmap_bucket_number(bit).alias("part"))
+    out = np.zeros(((1 << size) // 32768, 4096), dtype=np.uint8)
+    for row in marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toLocalIterator():  # at most 2^28 bits
+        out[row.part - 1] = np.frombuffer(row.bits, dtype=np.uint8)
+    return out.reshape(-1), sorted(about.lengths)
+
+
+def _scan(bits: np.ndarray, lengths: list[int]):
+    """The different parts of each text that the bitmap takes for phrases."""
+    size = (len(bits) * 8).bit_length() - 1
+    by_begin: dict[int, list[int]] = {}
+    for length in lengths:
+        by_begin.setdefault(int(_begins(np.array([length]))[0]), []).append(length)
+
+    def taken(hashes: np.ndarray) -> np.ndarray:
+        return np.all([(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in _bits(hashes, size)], axis=0)
+
+    def found(texts: list[str]) -> set[tuple[int, str]]:
+        codes, starts, ends = _codes(texts)
+        text_of, windows = np.repeat(np.arange(len(texts)), ends - starts), _Windows(codes)
+        left = ends[text_of] - np.arange(len(codes))
+        out = set()
+        for begin, several in by_begin.items():
+            places = np.flatnonzero(left >= begin)
+            places = places[taken(windows.hashes(places, begin))]
+            for length in several:
+                at = places[left[places] >= length]
+                if length != begin:
+                    at = at[taken(windows.hashes(at, length))]
+                for number, first in zip(text_of[at].tolist(), (at - starts[text_of[at]]).tolist(), strict=True):
+                    out.add((number, texts[number][first : first + length]))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            groups = np.cumsum(batch["text"].str.len().to_numpy(dtype=np.int64)) // AT_ONCE
+            for group in np.unique(groups):
+                part = batch[groups == group]
+                keys = part["_text"].tolist()
+                rows = found(part["text"].tolist())
+                yield pd.DataFrame([(keys[number], phrase) for number, phrase in rows], columns=["_text", "phrase"])
+
+    return run
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of the texts one after the other, and where each text starts and ends."""
+    ends = np.cumsum([len(text) for text in texts], dtype=np.int64)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), starts, ends
+
+
+def _begins(lengths: np.ndarray) -> np.ndarray:
+    """The largest power of two that is no longer, so that there are few lengths of beginnings."""
+    return 1 << np.floor(np.log2(lengths)).astype(np.int64)
+
+
+class _Windows:
+    """Hashes of parts of a sequence of code points, all parts of a length at a time."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, codes: np.ndarray):
+        n = len(codes)
+        powers = np.cumprod(np.full(n, self.BASE, dtype=np.uint64))
+        # Odd numbers have an inverse, which takes a part's place out of its sum.
+        self.unshift = np.cumprod(np.full(n, pow(self.BASE, -1, 1 << 64), dtype=np.uint64))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * powers)])
+
+    def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
+        return _mixed((self.sums[at + length] - self.sums[at]) * self.unshift[at] + np.uint64(length))
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
 
+def _bits(hashes: np.ndarray, size: int) -> list[np.ndarray]:
+    """Two bits of a bitmap of two to the power of ``size``."""
+    mask = np.uint64((1 << size) - 1)
+    return [((hashes >> np.uint64(shift)) & mask).astype(np.int64) for shift in (0, 32)]

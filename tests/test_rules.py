@@ -86,3 +86,44 @@ def test_the_number_of_rules_costs_little():
             clauses.met(text)
         seconds[n] = time.perf_counter() - start
     assert seconds[10_000] < 10 * seconds[100] + 0.2
+
+
+def test_common_clauses_cost_little():
+    """A text that meets a clause of all rules is not held against each of them."""
+    rows = []
+    for i in range(10_000):
+        rows += [(f"r{i}", f"only {i} here", False), (f"r{i}", "complete genome|complete cds", False), (f"r{i}", "partial", True)]
+    clauses = rules._compiled(rows)
+    clauses.met("warm")
+    start = time.perf_counter()
+    for i in range(1_000):
+        assert clauses.met(f"only {i} here, complete cds") == [f"r{i}"]
+        assert clauses.met(f"only {i} here, complete cds, partial") == []
+    assert time.perf_counter() - start < 1
+
+
+@pytest.mark.parametrize("bits", [20, 15])
+def test_large_tables_are_joined(spark, monkeypatch, bits):
+    """Equal texts, texts without rules and null ones; a bitmap that takes much for a phrase changes nothing."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abé𝛼 ") for _ in range(n))
+    rows = []
+    for i in range(80):
+        rows += [(f"r{i}", "|".join(word(rng.randrange(1, 9)) for _ in range(3)), False), (f"r{i}", "a|b", False)]
+        if i % 3 == 0:
+            rows += [(f"r{i}", word(rng.randrange(3, 6)), True), (f"r{i}", "a|b", None)]
+    rows += [("", "ab", False), ("never", "zz", False), ("never", "a|b", False), ("none", "|", False), (None, "a", False), ("null", None, False)]
+    texts = [word(rng.randrange(0, 40)) for _ in range(150)]
+    texts += [None, "", *texts[:20], word(3000)]
+    small = met(spark, texts, rows)
+    compiled = []
+    monkeypatch.setattr(rules, "compile_rules", lambda *a: compiled.append(a))
+    monkeypatch.setattr(rules, "MOST_LETTERS", 50)
+    monkeypatch.setattr(rules, "FEWEST_BITS", bits)
+    monkeypatch.setattr(rules, "MOST_BITS", bits)
+    monkeypatch.setattr(rules, "AT_ONCE", 500)
+    assert met(spark, texts, rows) == small and len(small) > 100 and not compiled
+    with pytest.raises(ValueError, match="is not supported"):
+        met(spark, ["x"], [*rows, ("a", "a.b", False)])
+    with pytest.raises(ValueError, match="nothing that must be"):
+        met(spark, ["x"], [*rows, ("a", "x", True), ("a", "|", False)])
