@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from seqwatch.operators.fetches import MAX_ATTEMPTS, PAGE_SIZE, search_cutoff
 from seqwatch.session import ship_package
 from seqwatch.sources.search import count_ids
-from seqwatch.sources.transport import FETCH, PAUSE, SEARCH, request, transport_of
+from seqwatch.sources.transport import FETCH, PAUSE, SEARCH, bucket_column, place_of, request, transport_of
 
 PAGES = "retstart bigint, attempt int, status int, body string, error string"
 DOCUMENTS = "id string, attempt int, status int, body string, error string"
@@ -125,7 +125,8 @@ def fetch_documents(ids: DataFrame, tasks: int | None = None, **options: object)
     """id, attempt, status, body, error for every different id: the document, or why there is none.
 
     ``tasks`` bounds how many requests are under way at once, for servers that set a limit; without it, it is the session's shuffle
-    partitions. Every use of the result asks again; ``land_documents`` asks once.
+    partitions. Ids that are answered from one place are asked for one after the other. Every use of the result asks again; ``land_documents``
+    asks once.
     """
     ship_package(ids.sparkSession)
     settings = {name: str(value) for name, value in options.items()}
@@ -142,7 +143,10 @@ def fetch_documents(ids: DataFrame, tasks: int | None = None, **options: object)
             yield _rows(held)
 
     different = ids.select(F.col("id").cast("string").alias("id")).where("id is not null").distinct()
-    dealt = different.repartition(tasks, "id") if tasks else different
+    # A number of its own keeps adaptive execution from making one task of ids that are short but long to fetch.
+    tasks = tasks or int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = place_of(FETCH, F.col("id"), settings)
+    dealt = different.repartition(tasks, "id") if place is None else different.repartition(tasks, place).sortWithinPartitions(place)
     return dealt.mapInArrow(fetch, DOCUMENTS)
 
 
@@ -168,7 +172,7 @@ def land_documents(ids: DataFrame, path: str, tasks: int | None = None, again: b
 
 def land_replies(log: DataFrame, path: str, buckets: int) -> None:
     """Write a log (kind, key, attempt, status, body) as the folder that the transport "folder" reads."""
-    number = F.pmod(F.crc32(F.concat_ws(" ", "kind", "key").cast("binary")), F.lit(buckets)).cast("int")
+    number = bucket_column(F.col("kind"), F.col("key"), buckets)
     line = F.to_json(F.struct("kind", "key", "attempt", "status", "body"))
     lines = log.select(number.alias("bucket"), line.alias("value"))
     lines.repartition("bucket").write.partitionBy("bucket").text(path)

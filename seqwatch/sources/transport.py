@@ -17,6 +17,7 @@ from collections.abc import Callable, Mapping
 from typing import NamedTuple, Protocol
 
 from pyarrow import fs
+from pyspark.sql import Column, functions as F
 
 from seqwatch.operators.fetches import MAX_ATTEMPTS, STATUS_OK
 
@@ -90,7 +91,7 @@ class HttpTransport:
 class FolderTransport:
     """Replies in the folder ``replies``, as ``land_replies`` writes them in ``buckets``. A try of which none has landed has failed.
 
-    A request's replies are in one of many small files; the last few that were read are kept.
+    A request's replies are in one of many files; the last few that were read are kept.
     """
 
     KEPT = 8
@@ -127,6 +128,16 @@ def bucket_of(kind: str, key: str, buckets: int) -> int:
     return zlib.crc32(f"{kind} {key}".encode()) % buckets
 
 
+def bucket_column(kind: Column, key: Column, buckets: int) -> Column:
+    """``bucket_of`` for columns."""
+    return F.pmod(F.crc32(F.concat_ws(" ", kind, key).cast("binary")), F.lit(buckets)).cast("int")
+
+
+def place_of(kind: str, key: Column, options: Mapping[str, str]) -> Column | None:
+    """Where requests are answered from, for transports that answer many from one place."""
+    return bucket_column(F.lit(kind), key, int(options["buckets"])) if options.get("transport") == "folder" else None
+
+
 TRANSPORTS: dict[str, Callable[[Mapping[str, str]], Transport]] = {"http": HttpTransport, "folder": FolderTransport}
 
 

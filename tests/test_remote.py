@@ -142,3 +142,16 @@ def test_the_whole_job(spark, replies, tmp_path):
     expected, found = curate_search(responses, log), fetch_and_curate(spark, str(tmp_path / "job"), **replies)
     assert sorted(found.stats.collect()) == sorted(expected.stats.collect())
     assert sorted(found.kept.collect()) == sorted(expected.kept.collect()) and {r.serotype for r in found.kept.collect()} == {"DENV2"}
+
+
+def test_ids_of_one_place_are_asked_for_together(spark, tmp_path):
+    """Short ids are still dealt over the tasks, and none of them reads a file of replies twice."""
+    keys = [str(i) for i in range(400)]
+    land_replies(spark.createDataFrame([("fetch", key, 1, 200, f"body {key}") for key in keys], "kind string, key string, attempt int, status int, body string"), str(tmp_path / "r"), 16)
+    options = {"transport": "folder", "replies": str(tmp_path / "r"), "buckets": "16", "pause": "0"}
+    rows = fetch_documents(spark.createDataFrame([(key,) for key in keys * 2], "id string"), **options).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((row.id, row.body) for row in rows) == sorted((key, f"body {key}") for key in keys)
+    met = [(row.task, transports.bucket_of("fetch", row.id, 16)) for row in rows]
+    assert len({task for task, _ in met}) > 1
+    changes = [pair for i, pair in enumerate(met) if i == 0 or pair != met[i - 1]]
+    assert len(changes) == len({bucket for _, bucket in met}) == 16
