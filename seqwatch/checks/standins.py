@@ -210,7 +210,7 @@ def landed_replies(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     log = fetch_log(spark, sf_dir).select(F.lit("fetch").alias("kind"), F.col("id").alias("key"), "attempt", "status", "body")
     replies = log.unionByName(answered).unionByName(refused)
     # About as many replies per file, whatever the size of the tables.
-    buckets = 1 + table(spark, sf_dir, "events").count() // 100
+    buckets = 1 + table(spark, sf_dir, "events").count() // 1000
     path = scratch_path(spark, "replies")
     land_replies(replies, path, buckets)
     return {"transport": "folder", "replies": path, "buckets": str(buckets), "pause": "0"}
