@@ -33,7 +33,7 @@ LEAF = 65_536
 WINDOW = 128
 #: How far a place of agreement within a word is from the ends of both encodings, so that both have seen any special token beside it.
 MARGIN = 32
-#: Words whose ids a worker remembers; beyond it starts anew.
+#: Words whose ids a worker remembers; beyond it starts anew, but for those of the last so many that are met again.
 REMEMBERED = 120_000
 #: Code points encoded at a time.
 AT_ONCE = 500_000
@@ -111,7 +111,9 @@ class _Digests:
         if not ids:
             return ()
         # The ids themselves are wanted only where a decoder puts them together.
-        return (len(ids), " ".join(map(str, ids)), " ".join([codec.tokens[i] for i in ids]), None if codec.plain else ids)
+        if len(ids) == 1:
+            return (1, codec.numerals[ids[0]], codec.tokens[ids[0]], None if codec.plain else ids)
+        return (len(ids), " ".join([codec.numerals[i] for i in ids]), " ".join([codec.tokens[i] for i in ids]), None if codec.plain else ids)
 
     def columns(self, codec: Codec, texts: list[list[tuple]]) -> list[pa.Array]:
         rows = []
@@ -149,7 +151,9 @@ class Codec:
         self.plain = self.tokenizer.decoder is None
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(size)]
-        self.words: dict[type, dict[str, tuple]] = {}
+        self.numerals = [str(i) for i in range(size)]
+        #: What was made of words, since the last start anew and before it.
+        self.words: dict[type, tuple[dict[str, tuple], dict[str, tuple]]] = {}
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -162,12 +166,15 @@ class Codec:
         if not self.by_word:
             whole = self.tokenizer.encode_batch(texts, add_special_tokens=False)
             return [[kind.of_word(self, made.ids)] if made.ids else [] for made in whole]
-        split = [text.translate(_TO_BLANK).split(" ") for text in texts]
-        known = self.words.setdefault(type(kind), {})
+        split = [_blanked(text).split(" ") for text in texts]
+        known, before = self.words.get(type(kind), ({}, {}))
         if len(known) > REMEMBERED:
-            known.clear()
+            known, before = {}, known
+        self.words[type(kind)] = known, before
         new = {word for words in split for word in words if word not in known}
-        for word, ids in self._ids(new):
+        met = {word: before[word] for word in new if word in before}
+        known.update(met)
+        for word, ids in self._ids(new.difference(met)):
             known[word] = kind.of_word(self, ids)
         return [[made for word in words if (made := known[word])] for words in split]
 
@@ -183,7 +190,10 @@ class Codec:
             yield word, made.ids
 
     def _piece(self, piece: str) -> list[int]:
-        return [token.id for token in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        # Pieces have no ASCII but letters and marks, which stand for themselves.
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [token.id for token in self.model.tokenize(piece)]
 
     def encode_with_places(self, text: str, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, starts and ends of a piece's tokens; the piece begins at ``at``."""
@@ -205,7 +215,13 @@ def _byte_letters() -> dict[int, str]:
     return {byte: chr(byte) for byte in printable} | {byte: chr(0x100 + i) for i, byte in enumerate(others)}
 
 
-_TO_BLANK = {ord(blank): " " for blank in BLANKS}
+def _blanked(text: str) -> str:
+    """With blanks for white space. Whole passes for one character each take less than a table for all."""
+    for blank in BLANKS[1:]:
+        text = text.replace(blank, " ")
+    return text
+
+
 _BYTE_LETTERS = _byte_letters()
 #: Letters up to U+017F, which neither compose nor depend on their neighbours in lower case (but for U+0130), and marks.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([.,;:!?]*)")
