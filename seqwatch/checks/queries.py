@@ -423,14 +423,16 @@ def fetch_and_curate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The totals of searches from a stream of their pages, which lands in four files in an order of its own."""
+    """The totals of searches from a stream of their pages, which lands in four parts in an order of its own."""
     source, output, state = (scratch_path(spark, name) for name in ("pages", "progress", "state"))
-    pages = standins.fetched_pages(spark, sf_dir).withColumn("_file", F.pmod(F.xxhash64("search", "retstart"), F.lit(4)))
-    pages.repartitionByRange(4, "_file").drop("_file").write.parquet(source)
+    pages = standins.fetched_pages(spark, sf_dir)
+    # Every task writes a file of each part that it has pages of; documents aren't moved for it.
+    pages.withColumn("_file", F.pmod(F.xxhash64("search", "retstart"), F.lit(4))).write.partitionBy("_file").parquet(source)
+    files = len(spark.read.parquet(source).inputFiles())
     before = spark.conf.get(progress.PROVIDER)
     spark.conf.set(progress.PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = spark.readStream.schema(pages.drop("_file").schema).option("maxFilesPerTrigger", 1).parquet(source)
+        stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", max(1, -(-files // 4))).parquet(f"{source}/*")
         running = progress.search_progress(progress.page_counts(stream))
         sink = running.writeStream.format("parquet").option("path", output).option("checkpointLocation", state)
         sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()

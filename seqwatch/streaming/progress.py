@@ -76,28 +76,42 @@ class SearchProgress(StatefulProcessor):
         self.so_far = handle.getValueState("so_far", f"next bigint, pages bigint, closed boolean, {counts}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.so_far.get() if self.so_far.exists() else (0, 0, False, *[0] * len(self.names))
-        following, pages, closed, totals = held[0], held[1], held[2], list(held[3:])
-        for batch in rows:
-            for offset, *counts in batch[["retstart", *self.names]].itertuples(index=False):
-                if not closed and offset >= following and not self.ahead.containsKey((int(offset),)):
-                    self.ahead.updateValue((int(offset),), tuple(map(int, counts)))
+        before = self.so_far.get() or (0, 0, False, *[0] * len(self.names))
+        following, pages, closed, totals = before[0], before[1], before[2], list(before[3:])
+        # Each look at the state is a request to the JVM: the offsets that are held are asked for once, and pages that count at once never get there.
+        held = set() if closed else {offset for (offset,) in self.ahead.keys()}
         out = []
-        while not closed and self.ahead.containsKey((following,)):
-            counts = self.ahead.getValue((following,))
-            self.ahead.removeKey((following,))
-            closed = not counts[0]
+        for batch in rows:
+            if closed:
+                continue
+            new: dict[int, tuple] = {}
+            for offset, *counts in zip(*(batch[name].tolist() for name in ("retstart", *self.names)), strict=True):
+                if offset >= following and offset not in held:
+                    new.setdefault(int(offset), tuple(map(int, counts)))
+            while not closed and (following in new or following in held):
+                if following in new:
+                    counts = new.pop(following)
+                else:
+                    counts = self.ahead.getValue((following,))
+                    self.ahead.removeKey((following,))
+                    held.remove(following)
+                closed = not counts[0]
+                if not closed:
+                    pages += 1
+                    totals = [a + b for a, b in zip(totals, counts, strict=True)]
+                out.append((key[0], following, pages, *totals, closed))
+                following += self.step
             if not closed:
-                pages += 1
-                totals = [a + b for a, b in zip(totals, counts, strict=True)]
-            out.append((key[0], following, pages, *totals, closed))
-            following += self.step
-        if closed and out:
+                for offset, counts in new.items():
+                    if offset >= following:
+                        self.ahead.updateValue((offset,), counts)
+                        held.add(offset)
+        if closed and held:
             # Nothing behind the end is looked at again.
             self.ahead.clear()
         if out:
             self.so_far.update((following, pages, closed, *totals))
-        yield pd.DataFrame(out, columns=["search", "retstart", "pages", *self.names, "closed"])
+            yield pd.DataFrame(out, columns=["search", "retstart", "pages", *self.names, "closed"])
 
     def close(self) -> None:
         pass
