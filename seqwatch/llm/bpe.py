@@ -118,11 +118,9 @@ class _Digests:
     def columns(self, codec: Codec, texts: list[list[tuple]]) -> list[pa.Array]:
         rows = []
         for words in texts:
-            if codec.plain:
-                decoded = " ".join([word[2] for word in words])
-            else:
-                decoded = codec.decode([i for word in words for i in word[3]])
-            rows.append((sum([word[0] for word in words]), _sha256(" ".join([word[1] for word in words])), _sha256(decoded)))
+            counts, written, tokens, ids = zip(*words, strict=True) if words else ((),) * 4
+            decoded = " ".join(tokens) if codec.plain else codec.decode([i for word in ids for i in word])
+            rows.append((sum(counts), _sha256(" ".join(written)), _sha256(decoded)))
         counts, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
         return [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
 
@@ -171,12 +169,12 @@ class Codec:
         if len(known) > REMEMBERED:
             known, before = {}, known
         self.words[type(kind)] = known, before
-        new = {word for words in split for word in words if word not in known}
+        new = set().union(*split).difference(known)
         met = {word: before[word] for word in new if word in before}
         known.update(met)
         for word, ids in self._ids(new.difference(met)):
             known[word] = kind.of_word(self, ids)
-        return [[made for word in words if (made := known[word])] for words in split]
+        return [list(filter(None, map(known.__getitem__, words))) for words in split]
 
     def _ids(self, words: set[str]) -> Iterator[tuple[str, list[int]]]:
         """Ids of words. A run of common letters and the marks after it are two pieces, which the model takes as they are."""

@@ -96,3 +96,15 @@ def test_other_decoders(tmp_path):
     ids = codec.tokenizer.encode("hello there").ids
     assert not codec.by_word and codec.encode(["hello there", ""], bpe._Ids()) == [[tuple(ids)], []]
     assert codec.decode(ids) == codec.tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_words_met_again_are_remembered(monkeypatch):
+    """A full memory is not emptied of the words that texts go on with."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    codec, kind, asked = bpe.Codec(tokenizer_path()), bpe._Ids(), []
+    ids_of = codec._ids
+    monkeypatch.setattr(codec, "_ids", lambda words: asked.extend(words) or ids_of(words))
+    texts = [["the of and to"], ["the of x"], ["the y"], ["the of\tz the"]]
+    made = [codec.encode(text, kind) for text in texts]
+    assert asked.count("the") == 1 and max(len(part) for part in codec.words[bpe._Ids]) < 8
+    assert [[i for word in words for i in word] for batch in made for words in batch] == [codec.tokenizer.encode(t[0], add_special_tokens=False).ids for t in texts]
