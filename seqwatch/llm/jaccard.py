@@ -8,6 +8,10 @@ Documents with equal sets are one class, classes with equal prefixes and sizes o
 share a prefix shingle are listed, and pairs from a list pass by size, place and a parity bitmap before they are
 expanded to their classes and verified by their whole sets. Components are what is asked for, so each list is first
 compared with one of its groups only; then only pairs whose ends are still apart are looked at, all of them.
+
+Pairs that share one prefix shingle tend to share many. Each entry of a list names the entry before it in its own prefix, so
+rows that have come from the same list are seen to have met there: a list of such rows only is left out, and of
+others such pairs are. The first of a run of shared lists remains, so every pair is looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ LEAST = (90, 100)
 COUNTERS = 21
 #: Rows of a list that are compared at once.
 BLOCK = 512
+#: Slots of a set's bitmap for each shingle that an alike set may have apart. Results do not depend on them.
+SLOTS = 4
 #: Bits that mark the shingles that are shared, or the documents whose sets are needed again: two to this power. With more
 #: of them than bits the marks tell less, and more is moved or read; results do not depend on them.
 MARKS = 25
@@ -199,12 +205,14 @@ def prefix_length(n: int, least: tuple[int, int]) -> int:
     return n - -(-least[0] * n // least[1]) + 1
 
 
-def parity_bitmap(shingles: np.ndarray) -> bytes:
-    """A bit per slot, 256 or about half as many as the set has members (a power of two): whether an odd number of them falls there.
+def parity_bitmap(shingles: np.ndarray, least: tuple[int, int] = LEAST) -> bytes:
+    """A bit per slot, 256 or more (a power of two): whether an odd number of the set's members falls there.
 
-    Sets that differ in d shingles have bitmaps that differ in d bits at most.
+    Sets that differ in d shingles have bitmaps that differ in d bits at most. There are ``SLOTS`` times as many slots as shingles that
+    alike sets of this size may have apart, or up to twice as many again: with fewer, sets that are not quite alike would pass for it.
     """
-    bits = max(256, 1 << (len(shingles) // 4).bit_length())
+    apart = int(most_differences(np.array([len(shingles)]), np.array([len(shingles)]), least)[0])
+    bits = max(256, 1 << (SLOTS * apart - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -223,7 +231,7 @@ def _sign(words: int, least: tuple[int, int], counts: np.ndarray):
                     continue
                 by_count = np.lexsort((shingles, counts[_counter(shingles)]))
                 prefix = shingles[by_count[: prefix_length(n, least)]]
-                rows.append((n, _digest(shingles), _digest(prefix, n), prefix.view(np.int64), parity_bitmap(shingles)))
+                rows.append((n, _digest(shingles), _digest(prefix, n), prefix.view(np.int64), parity_bitmap(shingles, least)))
             n, classes, groups, prefixes, bitmaps = zip(*rows, strict=True) if rows else ((),) * 5
             # Long numbers with nulls among them must not become doubles on the way.
             yield batch[["doc_id", "content"]].reset_index(drop=True).assign(
@@ -254,21 +262,23 @@ def link_classes(docs: DataFrame, signed: DataFrame, words: int, least: tuple[in
     # Most shingles turn out to be in one prefix only. They are sorted out by their hashes alone, as far as a bitmap of
     # the shared ones tells, before anything else of an entry is moved.
     inner = classes.join(groups.where("many").select("gr"), "gr", "left_semi").select(
-        F.xxhash64("gr").alias("list"), F.col("class").alias("unit_id"), "n", F.lit(0).alias("place"), F.lit(False).alias("many"), "copies"
-    )
+        F.xxhash64("gr").alias("list"), F.col("class").alias("unit_id"), "n", F.lit(0).alias("place"), F.lit(False).alias("many"), "copies",
+        F.lit(0).cast("long").alias("previous"),
+    )
     shared = groups.select(F.explode("prefix").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("list_size"))
     shared = store(shared.where("list_size > 1").select("list"), "jaccard-shared")
     entries = groups.select(F.col("class").alias("unit_id"), "n", "many", "copies", "prefix").mapInPandas(
-        _enter(marks(shared, F.col("list"))), "list bigint, unit_id bigint, n int, place int, many boolean, copies bigint"
+        _enter(marks(shared, F.col("list"))), "list bigint, unit_id bigint, n int, place int, many boolean, copies bigint, previous bigint"
     )
     listed = store(entries.join(shared, "list", "left_semi").unionByName(inner), "jaccard-listed")
 
     if every:
         maps = classes.select(F.col("class").alias("unit_id"), "bitmap", F.col("class").alias("root"))
         apart = listed.join(store(maps, "jaccard-known"), "unit_id").withColumns({x: F.when(~F.col("many"), F.col(x)) for x in ("root", "bitmap")})
-        several = store(listed.groupBy("list").agg(F.count(F.lit(1)).alias("list_size")), "jaccard-apart")
+        several = listed.groupBy("list").agg(F.count(F.lit(1)).alias("list_size"), _settled(least).alias("settled"))
+        several = store(several.where("not settled").select("list", "list_size"), "jaccard-apart")
         # A group of several classes in a list of its own has its classes there; elsewhere it stands for all of them.
-        units = to_units(apart.withColumn("row", F.xxhash64("unit_id", "many")), several, "list", "row", BLOCK)
+        units = to_units(apart.withColumn("row", F.xxhash64("unit_id", "many")).drop("copies"), several, "list", "row", BLOCK)
         pairs = store(_one_unit_each(map_units(units.drop("row"), "list", _pairs_apart(least), UNIT_PAIR)), "jaccard-second")
         return verify(docs, classes, groups, pairs, words, least)
 
@@ -294,22 +304,33 @@ def link_classes(docs: DataFrame, signed: DataFrame, words: int, least: tuple[in
     first = store(_one_unit_each(first), "jaccard-first-units")
     links = verify(docs, classes, groups, first, words, least)
 
-    # Where one comparison has not joined a list, every pair of it that is still apart is looked at.
+    # Where one comparison has not joined a list, every pair of it that is still apart is looked at, in the first list they share or
+    # the first of a later run of lists.
     roots = components(links).select(F.col("node").alias("unit_id"), "root")
     # Roots are names of their own; a class without links is its own.
     known = maps.join(roots, "unit_id", "left").withColumn("root", F.coalesce("root", "unit_id"))
     apart = listed.join(store(known, "jaccard-known"), "unit_id")
     apart = apart.withColumns({name: F.when(~F.col("many"), F.col(name)) for name in ("root", "bitmap")})
     several = apart.groupBy("list").agg(
-        F.count(F.lit(1)).alias("list_size"), F.min("root").alias("low_root"), F.max("root").alias("high_root"), F.max("many").alias("any_many")
-    )
-    several = store(several.where("any_many or low_root <> high_root").select("list", "list_size"), "jaccard-apart")
-    units = to_units(apart.withColumn("row", F.xxhash64("unit_id", "many")), several, "list", "row", BLOCK)
+        F.count(F.lit(1)).alias("list_size"), F.min("root").alias("low_root"), F.max("root").alias("high_root"), F.max("many").alias("any_many"),
+        _settled(least).alias("settled"),
+    )
+    several = store(several.where("not settled and (any_many or low_root <> high_root)").select("list", "list_size"), "jaccard-apart")
+    units = to_units(apart.withColumn("row", F.xxhash64("unit_id", "many")).drop("copies"), several, "list", "row", BLOCK)
     second = _one_unit_each(map_units(units.drop("row"), "list", _pairs_apart(least), UNIT_PAIR))
     second = store(second.join(first, ["a", "many_a", "b", "many_b"], "left_anti"), "jaccard-second")
     return links.unionByName(verify(docs, classes, groups, second, words, least))
 
 
+def _settled(least: tuple[int, int]) -> Column:
+    """Whether a list has no pair to look at: its rows have all come from one list before and met there, or in one before
+    that, or it has two rows only, whose sizes or places rule them out."""
+    met = (F.min("previous") == F.max("previous")) & (F.min("previous") != 0)
+    sizes_fit = (F.min("n") * least[1]) >= (F.max("n") * least[0])
+    places_fit = F.min("place") + F.min(F.col("n") - F.col("place")) >= _needed(F.sum("n"), F.lit(0), least)
+    return met | ((F.count(F.lit(1)) == 2) & ~(sizes_fit & places_fit))
+
+
 def marks(frame: DataFrame, hashed: Column) -> np.ndarray:
     """A bitmap of fixed size with a bit for each hash, at its last ``MARKS`` bits."""
     # The bitmap functions count from 1, in parts of 32,768 bits.
@@ -327,7 +348,11 @@ def _marked(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
 
 
 def _enter(bits: np.ndarray):
-    """The list entries of the groups' prefixes, but for those that the bitmap shows to be alone."""
+    """The list entries of the groups' prefixes, but for those that the bitmap shows to be alone.
+
+    ``previous`` is the list of the entry before in the same prefix, 0 for the first. Where the bitmap was wrong it may be a list of one
+    row, which no two rows come from.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -339,7 +364,12 @@ def _enter(bits: np.ndarray):
             place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             kept = np.flatnonzero(_marked(bits, shingles))
             about = batch[["unit_id", "n", "many", "copies"]].iloc[row[kept]].reset_index(drop=True)
-            yield about.assign(list=shingles[kept], place=place[kept].astype(np.int32))[["list", "unit_id", "n", "place", "many", "copies"]]
+            lists = shingles[kept]
+            previous = np.zeros_like(lists)
+            follows = row[kept][1:] == row[kept][:-1]
+            previous[1:][follows] = lists[:-1][follows]
+            about = about.assign(list=lists, place=place[kept].astype(np.int32), previous=previous)
+            yield about[["list", "unit_id", "n", "place", "many", "copies", "previous"]]
 
     return run
 
@@ -409,12 +439,13 @@ def _filter_bitmaps(least: tuple[int, int]):
 
 
 def _pairs_apart(least: tuple[int, int]):
-    """The pairs of units' rows that pass every filter and are not known to be connected."""
+    """The pairs of units' rows that pass every filter, are not known to be connected and have not met in the list before."""
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        columns = {c: frame[c].to_numpy() for c in ("unit", "side", "low", "high", "unit_id", "many", "n", "place")}
+        columns = {c: frame[c].to_numpy() for c in ("unit", "side", "low", "high", "unit_id", "many", "n", "place", "previous")}
         root = frame["root"].astype("Int64").fillna(0).to_numpy(dtype=np.int64)
         single = ~frame["many"].to_numpy(dtype=bool)
+        previous = columns["previous"]
         n, place, maps = columns["n"].astype(np.int64), columns["place"].astype(np.int64), frame["bitmap"].tolist()
         # A name for the unit that is the same in every frame.
         keys = frame[["list", "low", "high"]].astype("int64").to_numpy().view(np.uint64)
@@ -423,6 +454,7 @@ def _pairs_apart(least: tuple[int, int]):
         for one, other in pairs_within(columns["unit"], columns["side"], columns["low"], columns["high"]):
             n_a, n_b = n[one], n[other]
             fit = ~(single[one] & single[other] & (root[one] == root[other]))
+            fit &= (previous[one] == 0) | (previous[one] != previous[other])
             fit &= np.minimum(n_a, n_b) * least[1] >= np.maximum(n_a, n_b) * least[0]
             before = np.minimum(place[one], place[other])
             after = np.minimum(n_a - place[one], n_b - place[other])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seqwatch.checks.compare import connect, oracle_rows, spark_rows
 from seqwatch.llm import jaccard
+from seqwatch.llm.common import store
 from seqwatch.llm.graph import components
 from seqwatch.llm.oracle import ORACLE
 from seqwatch.llm.queries import op9_jaccard
@@ -103,6 +104,27 @@ def test_groups_of_equal_prefixes(make_docs):
     assert sorted(repr(tuple(r)) for r in out) == expected(rows)
 
 
+@pytest.mark.parametrize("changes, most", [(9, 30 * 30), (13, 60)])
+def test_families_apart_are_not_paired_in_every_list(make_docs, monkeypatch, changes, most):
+    """Two families that are nearly alike: each pair is given once, not in all lists they share, and those further apart not at all."""
+    made = []
+
+    def map_units(*args):
+        out = store(map_units_(*args), "test-made")
+        made.append(out.count())
+        return out
+
+    map_units_ = jaccard.map_units
+    monkeypatch.setattr(jaccard, "map_units", map_units)
+    one = prose(7, 394, 5000).split()
+    other = [f"x{i}" if i % 28 == 14 and i < 28 * changes else word for i, word in enumerate(one)]
+    rows = [(i, " ".join([*(one if i % 2 else other), f"end{i}"]), "a") for i in range(60)]
+    out = jaccard.similar_documents(make_docs(rows, clashing=False), 5, (80, 100)).collect()
+    assert sorted(repr(tuple(r)) for r in out) == expected(rows, 5, (80, 100))
+    assert {r.component_id for r in out} == {0, 1}
+    assert len(made) == 1 and made[0] <= most
+
+
 def test_one_of_each_component_is_kept(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     kept = jaccard.keep_one_each(docs)
