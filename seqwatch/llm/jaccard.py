@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from seqwatch.llm.blocks import map_units, pairs_within, to_units
 from seqwatch.llm.common import carried, free_name, hand_back, in_slices, store
@@ -266,26 +266,21 @@ def link_classes(docs: DataFrame, signed: DataFrame, words: int, least: tuple[in
         F.lit(0).cast("long").alias("previous"),
     )
     shared = groups.select(F.explode("prefix").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("list_size"))
-    shared = store(shared.where("list_size > 1").select("list"), "jaccard-shared")
     entries = groups.select(F.col("class").alias("unit_id"), "n", "many", "copies", "prefix").mapInPandas(
-        _enter(marks(shared, F.col("list"))), "list bigint, unit_id bigint, n int, place int, many boolean, copies bigint, previous bigint"
+        _enter(marks(shared.where("list_size > 1"), F.col("list"))),
+        "list bigint, unit_id bigint, n int, place int, many boolean, copies bigint, previous bigint",
     )
-    listed = store(entries.join(shared, "list", "left_semi").unionByName(inner), "jaccard-listed")
+    listed = store(_listed(entries.unionByName(inner), least), "jaccard-listed")
+    # Lists that may have a pair to look at.
+    open_ = listed.where("not settled").select("list", "unit_id", "n", "place", "many", "previous")
 
     if every:
         maps = classes.select(F.col("class").alias("unit_id"), "bitmap", F.col("class").alias("root"))
-        apart = listed.join(store(maps, "jaccard-known"), "unit_id").withColumns({x: F.when(~F.col("many"), F.col(x)) for x in ("root", "bitmap")})
-        several = listed.groupBy("list").agg(F.count(F.lit(1)).alias("list_size"), _settled(least).alias("settled"))
-        several = store(several.where("not settled").select("list", "list_size"), "jaccard-apart")
-        # A group of several classes in a list of its own has its classes there; elsewhere it stands for all of them.
-        units = to_units(apart.withColumn("row", F.xxhash64("unit_id", "many")).drop("copies"), several, "list", "row", BLOCK)
-        pairs = store(_one_unit_each(map_units(units.drop("row"), "list", _pairs_apart(least), UNIT_PAIR)), "jaccard-second")
+        several = store(open_.groupBy("list").agg(F.count(F.lit(1)).alias("list_size")), "jaccard-apart")
+        pairs = store(_pairs(open_, several, store(maps, "jaccard-known"), least), "jaccard-second")
         return verify(docs, classes, groups, pairs, words, least)
 
-    # The unit of the most copies leads its list.
-    leader = F.struct("copies", "unit_id", "many", "n", "place")
-    leaders = store(listed.groupBy("list").agg(F.max(leader).alias("leader")), "jaccard-leaders")
-    led = listed.join(leaders, "list").where("unit_id <> leader.unit_id or many <> leader.many")
+    led = listed.where("unit_id <> leader.unit_id or many <> leader.many")
     led = led.where(_sizes_fit(F.col("n"), F.col("leader.n"), least) & _places_fit(F.col("n"), F.col("place"), F.col("leader.n"), F.col("leader.place"), least))
     led = led.select(
         F.col("unit_id").alias("a"), F.col("many").alias("many_a"), "n", F.col("leader.unit_id").alias("b"), F.col("leader.many").alias("many_b"),
@@ -308,27 +303,49 @@ def link_classes(docs: DataFrame, signed: DataFrame, words: int, least: tuple[in
     # the first of a later run of lists.
     roots = components(links).select(F.col("node").alias("unit_id"), "root")
     # Roots are names of their own; a class without links is its own.
-    known = maps.join(roots, "unit_id", "left").withColumn("root", F.coalesce("root", "unit_id"))
-    apart = listed.join(store(known, "jaccard-known"), "unit_id")
-    apart = apart.withColumns({name: F.when(~F.col("many"), F.col(name)) for name in ("root", "bitmap")})
+    known = store(maps.join(roots, "unit_id", "left").withColumn("root", F.coalesce("root", "unit_id")), "jaccard-known")
+    apart = open_.join(known.select("unit_id", "root"), "unit_id").withColumn("root", F.when(~F.col("many"), F.col("root")))
     several = apart.groupBy("list").agg(
-        F.count(F.lit(1)).alias("list_size"), F.min("root").alias("low_root"), F.max("root").alias("high_root"), F.max("many").alias("any_many"),
-        _settled(least).alias("settled"),
-    )
-    several = store(several.where("not settled and (any_many or low_root <> high_root)").select("list", "list_size"), "jaccard-apart")
-    units = to_units(apart.withColumn("row", F.xxhash64("unit_id", "many")).drop("copies"), several, "list", "row", BLOCK)
-    second = _one_unit_each(map_units(units.drop("row"), "list", _pairs_apart(least), UNIT_PAIR))
-    second = store(second.join(first, ["a", "many_a", "b", "many_b"], "left_anti"), "jaccard-second")
-    return links.unionByName(verify(docs, classes, groups, second, words, least))
+        F.count(F.lit(1)).alias("list_size"), F.min("root").alias("low_root"), F.max("root").alias("high_root"), F.max("many").alias("any_many")
+    )
+    several = store(several.where("any_many or low_root <> high_root").select("list", "list_size"), "jaccard-apart")
+    second = _pairs(open_, several, known, least).join(first, ["a", "many_a", "b", "many_b"], "left_anti")
+    return links.unionByName(verify(docs, classes, groups, store(second, "jaccard-second"), words, least))
+
+
+def _listed(entries: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The entries whose list has another of a fitting size, with their list's leader and whether it is settled.
+
+    Texts that meet by chance are mostly of unlike sizes, and the larger the corpus, the more of them meet; they go here, before entries
+    are stored or moved again. If any size fits, the next smaller or the next larger of the list does.
+    """
+    by_size, whole = Window.partitionBy("list").orderBy("n"), Window.partitionBy("list")
+    entries = entries.withColumns({"smaller": F.lag("n").over(by_size), "larger": F.lead("n").over(by_size)})
+    smaller_fits = F.col("smaller").cast("long") * least[1] >= F.col("n").cast("long") * least[0]
+    larger_fits = F.col("n").cast("long") * least[1] >= F.col("larger").cast("long") * least[0]
+    entries = entries.where(F.coalesce(smaller_fits, F.lit(False)) | F.coalesce(larger_fits, F.lit(False))).drop("smaller", "larger")
+    # The unit of the most copies leads its list.
+    leader = F.max(F.struct("copies", "unit_id", "many", "n", "place")).over(whole)
+    return entries.withColumns({"leader": leader, "settled": _settled(least, whole)}).drop("copies")
 
 
-def _settled(least: tuple[int, int]) -> Column:
+def _settled(least: tuple[int, int], rows: WindowSpec) -> Column:
     """Whether a list has no pair to look at: its rows have all come from one list before and met there, or in one before
-    that, or it has two rows only, whose sizes or places rule them out."""
-    met = (F.min("previous") == F.max("previous")) & (F.min("previous") != 0)
-    sizes_fit = (F.min("n") * least[1]) >= (F.max("n") * least[0])
-    places_fit = F.min("place") + F.min(F.col("n") - F.col("place")) >= _needed(F.sum("n"), F.lit(0), least)
-    return met | ((F.count(F.lit(1)) == 2) & ~(sizes_fit & places_fit))
+    that, or it has two rows only, whose places rule them out."""
+    low, high = F.min("previous").over(rows), F.max("previous").over(rows)
+    most = F.min("place").over(rows) + F.min(F.col("n") - F.col("place")).over(rows)
+    places_fit = most >= _needed(F.sum("n").over(rows), F.lit(0), least)
+    return ((low == high) & (low != 0)) | ((F.count(F.lit(1)).over(rows) == 2) & ~places_fit)
+
+
+def _pairs(entries: DataFrame, lists: DataFrame, known: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs to verify of these lists. Bitmaps, most of a row, are moved with what is left of the lists only.
+
+    A group of several classes in a list of its own has its classes there; elsewhere it stands for all of them.
+    """
+    units = to_units(entries.withColumn("row", F.xxhash64("unit_id", "many")), lists, "list", "row", BLOCK).drop("row").join(known, "unit_id")
+    units = units.withColumns({name: F.when(~F.col("many"), F.col(name)) for name in ("root", "bitmap")})
+    return _one_unit_each(map_units(units, "list", _pairs_apart(least), UNIT_PAIR))
 
 
 def marks(frame: DataFrame, hashed: Column) -> np.ndarray:

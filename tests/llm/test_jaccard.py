@@ -125,6 +125,33 @@ def test_families_apart_are_not_paired_in_every_list(make_docs, monkeypatch, cha
     assert len(made) == 1 and made[0] <= most
 
 
+@pytest.mark.parametrize("every", [False, True])
+def test_entries_without_one_of_a_fitting_size_are_not_kept(make_docs, monkeypatch, every):
+    """Texts of unlike sizes that share their shingles: only those of a fitting size are listed, however many the others are."""
+    kept = {}
+
+    def store(frame, name):
+        out = store_(frame, name)
+        kept[name] = out
+        return out
+
+    store_ = jaccard.store
+    monkeypatch.setattr(jaccard, "store", store)
+    # Each short text is a part of the long one, so all their shingles are equally rare.
+    parts = [prose(500 + i, 50, 10**6) for i in range(10)]
+    unlike = [(i, part, "a") for i, part in enumerate([*parts, " ".join(parts)])]
+    # One more that fits the long one and links, in lists with the others.
+    alike = [(100, " ".join([*parts, "end"]), "a")]
+    for rows, listed in ((unlike, 0), (unlike + alike, 2)):
+        docs = make_docs(rows, clashing=False)
+        if every:
+            documents, links = jaccard.link_documents(docs)
+            assert links.count() == listed // 2 and documents.count() == len(rows)
+        else:
+            assert sorted(repr(tuple(r)) for r in jaccard.similar_documents(docs).collect()) == expected(rows)
+        assert kept["jaccard-listed"].select("unit_id").distinct().count() == listed
+
+
 def test_one_of_each_component_is_kept(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     kept = jaccard.keep_one_each(docs)
