@@ -12,6 +12,7 @@ of the joined sequence is a pair of one of the three. White space is always such
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -33,8 +34,10 @@ LEAF = 65_536
 WINDOW = 128
 #: How far a place of agreement within a word is from the ends of both encodings, so that both have seen any special token beside it.
 MARGIN = 32
-#: Words whose ids a worker remembers; beyond it starts anew, but for those of the last so many that are met again.
-REMEMBERED = 120_000
+#: Words whose ids a task remembers; beyond it starts anew, but for those of the last so many that are met again.
+REMEMBERED = 60_000
+#: Words of more code points are not remembered: they are many, each is seldom met again, and so many of them take much memory.
+LONGEST = 48
 #: Code points encoded at a time.
 AT_ONCE = 500_000
 
@@ -144,6 +147,7 @@ class Codec:
             layout = json.load(file)
         #: Whether blanks only separate words: no token, special token or composed character then spans one.
         self.by_word = layout["normalizer"] == WORD_NORMALIZER and layout["pre_tokenizer"] == WORD_PRE_TOKENIZER
+        del layout
         self.model = self.tokenizer.model
         # Without a decoder the library sets blanks between tokens.
         self.plain = self.tokenizer.decoder is None
@@ -174,18 +178,24 @@ class Codec:
         known.update(met)
         for word, ids in self._ids(new.difference(met)):
             known[word] = kind.of_word(self, ids)
-        return [list(filter(None, map(known.__getitem__, words))) for words in split]
+        made = [list(filter(None, map(known.__getitem__, words))) for words in split]
+        for word in new:
+            if len(word) > LONGEST:
+                del known[word]
+        return made
+
+    def forget(self) -> None:
+        """Without the words met so far."""
+        self.words.clear()
 
     def _ids(self, words: set[str]) -> Iterator[tuple[str, list[int]]]:
         """Ids of words. A run of common letters and the marks after it are two pieces, which the model takes as they are."""
-        others = []
         for word in words:
             if found := SIMPLE.fullmatch(word):
                 yield word, self._piece(found[1].lower()) + (self._piece(found[2]) if found[2] else [])
             else:
-                others.append(word)
-        for word, made in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False), strict=True):
-            yield word, made.ids
+                # Not as a batch: that takes threads, each of which keeps a heap, and holds all that was made at once.
+                yield word, self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def _piece(self, piece: str) -> list[int]:
         # Pieces have no ASCII but letters and marks, which stand for themselves.
@@ -254,9 +264,14 @@ def _encode_rows(tokenizer: str, kind, names: list[str]):
                 part = batch.slice(rows[0], len(rows))
                 made = kind.columns(codec, codec.encode(part.column("text").to_pylist(), kind))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], names=names)
-                del made
+                # A part holds its whole batch, beside the next one.
+                del made, part
             del batch
             hand_back()
+        # Workers live on, idle or in other stages, beside heaps that have grown meanwhile.
+        codec.forget()
+        gc.collect()
+        hand_back()
 
     return run
 
@@ -275,6 +290,8 @@ def _halve(leaf: int):
             for row in batch.itertuples(index=False):
                 pieces = halves(row.text, leaf)
                 yield pd.DataFrame({"content": [row.content] * len(pieces), "piece": range(len(pieces)), "text": pieces})
+            del batch
+            hand_back()
 
     return run
 
@@ -288,6 +305,8 @@ def _encode_pieces(tokenizer: str):
                 ids, starts, ends = codec.encode_with_places(piece["text"].iat[0], 0)
                 piece["ids"], piece["starts"], piece["ends"] = [ids], [starts], [ends]
                 yield piece
+            del batch
+            hand_back()
 
     return run
 

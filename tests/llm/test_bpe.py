@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -108,3 +109,21 @@ def test_words_met_again_are_remembered(monkeypatch):
     made = [codec.encode(text, kind) for text in texts]
     assert asked.count("the") == 1 and max(len(part) for part in codec.words[bpe._Ids]) < 8
     assert [[i for word in words for i in word] for batch in made for words in batch] == [codec.tokenizer.encode(t[0], add_special_tokens=False).ids for t in texts]
+
+
+def test_a_task_leaves_no_words_behind():
+    """A worker lives on in stages that have no use for what it has met."""
+    codec = bpe.Codec.of(tokenizer_path())
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["the of\tand to", "words met once only"]})
+    out = list(bpe._encode_rows(tokenizer_path(), bpe._Digests(), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])(iter([batch])))
+    assert sum(part.num_rows for part in out) == 2 and not codec.words
+
+
+def test_memory_is_bounded_for_long_words(library):
+    """Texts without blanks are one word each; remembering them would hold all texts."""
+    codec, rng = bpe.Codec(tokenizer_path()), random.Random(5)
+    texts = ["".join(rng.choice("abcdefghijé1你") for _ in range(3000)) + " the the" for _ in range(40)]
+    made = codec.encode(texts, bpe._Ids())
+    assert [[i for word in words for i in word] for words in made] == [library.encode(text, add_special_tokens=False).ids for text in texts]
+    known = codec.words[bpe._Ids][0]
+    assert "the" in known and sum(map(len, known)) < 3000
