@@ -3,8 +3,9 @@
 A rule is a label with clauses. A clause is a pattern, phrases between bars, of which one has to be in the text; a negated clause must have
 none in it. Clauses of one pattern are looked for once, and a rule is looked at only in texts that meet its rarest clause.
 
-The phrases of a small table make one automaton. A larger table stays a table: texts are gone through once for what a bitmap of fixed size
-takes for a phrase, and what was found meets the phrases, their patterns and the rules in joins.
+The phrases of a small table make one automaton. A larger table is dealt into parts, each in arrays of bounded size: texts are gone through once for what
+a bitmap of fixed size takes for a phrase, and what was found is looked up in each part where the text is. Texts and rules that meet are many more than
+either, so they are made last and never stored or moved.
 """
 
 from __future__ import annotations
@@ -12,17 +13,27 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from seqwatch.functions.sequences import COMPLETE_PHRASES, PARTIAL_PHRASE, SEROTYPE_PHRASES, Rules
 from seqwatch.session import scratch_path, ship_package
 
-#: Letters of the patterns of one automaton, at most. Tables with more are joined; ``compile_rules`` deals them over several.
+#: Letters of the patterns of one automaton, at most. Tables with more are made into arrays; ``compile_rules`` deals them over several.
 MOST_LETTERS = 2_000_000
+#: Bytes of one part of a larger table, about; a process holds one part. The driver makes it of twice as many bytes of rules.
+PART_BYTES = 1 << 26
+#: Labels that a row, and a batch of rows, gives on at once.
+PIECE, BATCH = 1 << 12, 1 << 17
+#: With so many sets of other clauses, or fewer, all are tested before the rules are looked at.
+FEW_KINDS = 256
 #: Bits of the bitmap of the phrases, at least and at most: two to these powers. With more phrases it tells less, and more is moved; results do not depend on it.
 FEWEST_BITS, MOST_BITS = 20, 28
 #: Code points that are gone through at once. A longer text is one go.
@@ -87,11 +98,10 @@ def match_rules(documents: DataFrame, rules: DataFrame, text: str = "body", labe
     number = f"n_{label}s"
     if (rules.agg(F.sum(F.length("pattern"))).first()[0] or 0) <= MOST_LETTERS:
         met = [_met_by(part)(F.col(text)) for part in compile_rules(rules)]
-        found = documents.withColumn("_met", F.concat(*met) if met else F.array().cast("array<string>"))
+        found = documents.withColumn("_met", F.concat(*met) if met else F.array().cast("array<string>")).withColumn(number, F.size("_met"))
     else:
-        # Equal texts are one. A text without a rule, or none, has no row.
-        found = documents.withColumn("_text", _text_key(F.col(text))).join(_met_by_texts(documents, rules, text), "_text")
-    return found.withColumn(number, F.size("_met")).select(*documents.columns, number, F.explode("_met").alias(label))
+        found = _met_by_parts(documents, rules, text, number)
+    return found.select(*documents.columns, number, F.explode("_met").alias(label))
 
 
 def _met_by(clauses: Clauses):
@@ -170,78 +180,279 @@ def _compiled(rows: Sequence[tuple[str, str, bool]]) -> Clauses:
 # Large tables
 
 
-def _stored(frame: DataFrame, name: str) -> DataFrame:
+def _stored(frame: DataFrame, name: str, *by: str) -> DataFrame:
     path = scratch_path(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.partitionBy(*by).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def _text_key(text: Column) -> Column:
-    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
-
-
-def _met_by_texts(documents: DataFrame, rules: DataFrame, text: str) -> DataFrame:
-    """_text, _met: the labels of the rules that each text meets, for texts that meet any."""
-    clauses, phrases = _numbered(rules)
-    scanned = documents.select(_text_key(F.col(text)).alias("_text"), F.col(text).alias("text")).where("text is not null")
-    hits = scanned.mapInPandas(_scan(*_bitmap(phrases)), "_text binary, phrase string")
-    met = _stored(hits.join(phrases, "phrase").select("_text", "number").distinct(), "rules-met")
-
-    # A rule's candidates are the texts that meet its needed clause which fewest texts meet; with one that none meets there are none.
-    texts = met.groupBy("number").agg(F.count(F.lit(1)).alias("texts"))
-    rarest = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "number"))
-    lead = clauses.where(~F.col("negated")).join(texts, "number", "left").groupBy("label").agg(rarest.alias("lead")).where("lead.texts > 0")
-    sides = clauses.groupBy("label").agg(*[F.array_sort(F.collect_list(F.when(which, F.col("number")))).alias(name) for name, which in (("needed", ~F.col("negated")), ("excluded", F.col("negated")))])
-    ready = sides.join(lead, "label").select("label", F.col("lead.number").alias("number"), F.array_except("needed", F.array("lead.number")).alias("needed"), "excluded")
-    # Many rules have the other clauses in common; these are tested once for a text.
-    others = ["needed", "excluded"]
-    ready = _stored(ready, "rules-ready")
-    candidates = met.join(ready.select("number", *others).distinct(), "number").select("_text", *others).distinct()
-    all_met = met.groupBy("_text").agg(F.collect_list("number").alias("numbers"))
-    passed = candidates.join(all_met, "_text").where(
-        F.forall("needed", lambda n: F.array_contains("numbers", n)) & ~F.arrays_overlap("excluded", "numbers")
-    )
-    labelled = met.join(passed.select("_text", *others), "_text").join(ready, ["number", *others])
-    return labelled.groupBy("_text").agg(F.array_sort(F.collect_list("label")).alias("_met"))
-
-
-def _numbered(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """label, negated, number of each clause, and phrase, number of each pattern."""
+def _met_by_parts(documents: DataFrame, rules: DataFrame, text: str, number: str) -> DataFrame:
+    """The documents that meet a rule with how many, as ``number``, and the labels, as _met. Documents with many labels have several rows."""
+    bits, lengths, parts = _parts(_refused(rules))
+    if text not in documents.columns:
+        documents, text = documents.withColumn("_text", F.col(text)), "_text"
+    fields, at = documents.schema.fields, documents.columns.index(text)
+    labels, counted = T.StructField("_met", T.ArrayType(T.StringType())), T.StructField(number, T.IntegerType())
+    if len(parts) == 1:
+        return documents.mapInArrow(_labelling(parts[0], at, bits, lengths), T.StructType([*fields, counted, labels]))
+
+    # Texts are gone through once for all parts.
+    hits, row = T.StructField("_hits", T.ArrayType(T.StringType())), T.StructField("_row", T.LongType())
+    scanned = documents.mapInArrow(_scanning(at, bits, lengths), T.StructType([*fields, hits])).withColumn("_row", F.monotonically_increasing_id())
+    scanned = _stored(scanned.select(*documents.columns, "_row", "_hits"), "rules-hits")
+    schema = T.StructType([*fields, row, hits, T.StructField("_of_part", T.IntegerType()), labels])
+    met = reduce(DataFrame.union, [scanned.mapInArrow(_labelling(part, len(fields) + 1), schema) for part in parts])
+    counts = [scanned.select("_row", "_hits").mapInArrow(_labelling(part, 1), T.StructType([row, *schema.fields[-3:]])) for part in parts]
+    count = reduce(DataFrame.union, counts).groupBy("_row").agg(F.sum(F.size("_met")).cast("int").alias(number))
+    # Who does not ask for the number does without this join.
+    return met.join(count, "_row", "left")
+
+
+def _refused(rules: DataFrame) -> DataFrame:
+    """The clauses with phrases, if all can be looked for."""
     special = F.regexp_replace("pattern", r"[^\\^$.*+?()\[\]{}]", "") != ""
     for row in rules.where(special).limit(1).collect():
         _refuse_other_characters(row.label, row.pattern)
     clauses = rules.where(F.regexp_replace("pattern", r"\|", "") != "")
     for row in clauses.groupBy("label").agg(F.bool_and("negated").alias("none")).where("none").limit(1).collect():
         _refuse_without_needed(row.label)
-    patterns = _stored(clauses.select("pattern").distinct().withColumn("number", F.monotonically_increasing_id()), "rules-patterns")
-    phrases = patterns.select(F.explode(F.array_distinct(F.split("pattern", r"\|"))).alias("phrase"), "number").where("phrase <> ''")
-    clauses = clauses.join(patterns, "pattern").select("label", "negated", "number")
-    return _stored(clauses, "rules-clauses"), _stored(phrases, "rules-phrases")
+    return clauses
+
+
+def _parts(clauses: DataFrame) -> tuple[Broadcast, list[int], list[Broadcast]]:
+    """A bitmap with two bits for each phrase and two for its beginning, the phrases' lengths, and the parts. The driver holds one part at a time."""
+    phrase = F.explode(F.split("pattern", r"\|")).alias("phrase")
+    about = clauses.select(phrase).agg(F.approx_count_distinct("phrase").alias("n")).first().n
+    size = min(MOST_BITS, max(FEWEST_BITS, (64 * about).bit_length()))
+    several = _number_of_parts(clauses)
+    if several > 1:
+        # A rule is in one part.
+        clauses = _stored(clauses.withColumn("part", F.pmod(F.xxhash64("label"), F.lit(several)).cast("int")), "rules-parts", "part")
+    bits, lengths, parts = np.zeros((1 << size) // 8, dtype=np.uint8), set(), []
+    for k in range(several):
+        rows = (clauses.where(F.col("part") == k) if several > 1 else clauses).select("label", "pattern", "negated").toArrow()
+        part, of_part = _part(rows, bits)
+        lengths |= of_part
+        if of_part or not k:
+            parts.append(clauses.sparkSession.sparkContext.broadcast(part))
+    return clauses.sparkSession.sparkContext.broadcast(bits), sorted(lengths), parts
+
+
+def _number_of_parts(clauses: DataFrame) -> int:
+    """A part holds a pattern once for all of its rules; with so many rules as parts, each part has it."""
+    own = F.octet_length("label") + 8
+    patterns = clauses.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum(own).alias("rules")).withColumn("bytes", F.octet_length("pattern") + 24)
+    several = [1 << k for k in range(16)]
+    held = [F.sum(F.col("bytes") * F.least(F.lit(1.0), F.col("n") / k) + F.col("rules") / k) for k in several]
+    rows = F.sum(F.col("bytes") * F.col("n") + F.col("rules"))
+    *held, rows = patterns.agg(*held, rows).first()
+    return next((k for k, most in zip(several, held, strict=True) if (most or 0) <= PART_BYTES and (rows or 0) / k <= 2 * PART_BYTES), several[-1])
+
+
+class _Lists:
+    """Lists of numbers, one after the other; each has the values of a key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, n: int):
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=n))]).astype(np.int32)
+        self.values = values[np.lexsort((values, keys))].astype(np.int32)
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the keys, and how many each has."""
+        starts, many = self.starts[keys], self.starts[keys + 1] - self.starts[keys]
+        before = np.cumsum(many, dtype=np.int64) - many
+        return self.values[np.repeat(starts - before, many) + np.arange(many.sum())], many
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """The different numbers, none negative, in order."""
+    numbers = np.sort(numbers)
+    return numbers[np.concatenate([[True], numbers[1:] != numbers[:-1]])[: len(numbers)]]
 
 
-def _bitmap(phrases: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """A bitmap with two bits for each phrase and two for its beginning, and the phrases' lengths."""
-    about = phrases.agg(F.approx_count_distinct("phrase").alias("n"), F.collect_set(F.length("phrase")).alias("lengths")).first()
-    size = min(MOST_BITS, max(FEWEST_BITS, (64 * about.n).bit_length()))
+@dataclass(frozen=True)
+class Part:
+    """Rules made ready in arrays: the phrases in the order of their hashes, for each the patterns that lead rules and those that are tested; for each
+    pattern the rules that it leads, in the order of labels; for each rule its kind, and for each kind the other clauses: twice the pattern, and one if negated."""
+
+    labels: pa.Array
+    phrases: pa.Array
+    hashes: np.ndarray
+    #: Phrases of one hash, at most.
+    alike: int
+    n_patterns: int
+    leading: _Lists
+    tested: _Lists
+    led: _Lists
+    kind_of: np.ndarray
+    kinds: _Lists
+    n_kinds: int
+
+    def looked_up(self, phrases: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the list, and the numbers of the phrases that are there."""
+        sought, hashes = pa.array(phrases, self.phrases.type), _hashes(phrases)
+        first, places, numbers = np.searchsorted(self.hashes, hashes), [], []
+        for k in range(self.alike):
+            at = np.flatnonzero(first + k < len(self.hashes))
+            at = at[self.hashes[first[at] + k] == hashes[at]]
+            same = pc.equal(self.phrases.take(pa.array(first[at] + k)), sought.take(pa.array(at))).to_numpy(zero_copy_only=False)
+            places.append(at[same])
+            numbers.append(first[at[same]] + k)
+        return np.concatenate([[], *places]).astype(np.int64), np.concatenate([[], *numbers]).astype(np.int64)
+
+    def met(self, phrases: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """The rules that a text with these phrases meets, in the order of labels. ``marks``: false for each pattern."""
+        tested = self.tested.of(phrases)[0]
+        marks[tested] = True
+        try:
+            every = np.arange(self.n_kinds) if self.n_kinds <= FEW_KINDS else None
+            if every is not None and not (passed := self._passed(every, marks)).any():
+                return np.empty(0, dtype=np.int32)
+            rules = self.led.of(_distinct(self.leading.of(phrases)[0]))[0]
+            kinds = self.kind_of[rules]
+            if every is None:
+                some, kinds = np.unique(kinds, return_inverse=True)
+                passed = self._passed(some, marks)
+            return np.sort(rules[passed[kinds]])
+        finally:
+            marks[tested] = False
+
+    def _passed(self, kinds: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        clauses, many = self.kinds.of(kinds)
+        against = marks[clauses >> 1] == (clauses & 1)
+        return np.bincount(np.repeat(np.arange(len(kinds)), many), weights=against, minlength=len(kinds)) == 0
+
+
+def _part(rows: pa.Table, bits: np.ndarray) -> tuple[Part, set[int]]:
+    """Clauses made ready, and the lengths of their phrases, which are entered in the bitmap."""
+    label, pattern = (rows[name].combine_chunks().dictionary_encode() for name in ("label", "pattern"))
+    order = pc.sort_indices(label.dictionary).to_numpy()
+    rule, pattern_of = np.argsort(order)[label.indices.to_numpy()], pattern.indices.to_numpy().astype(np.int64)
+    negated = rows["negated"].to_numpy().astype(bool)
+    n_rules, n_patterns = len(order), len(pattern.dictionary)
+
+    lists = pc.split_pattern(pattern.dictionary, "|")
+    parent, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)
+    phrase, parent = flat.filter(some).dictionary_encode(), parent[some.to_numpy(zero_copy_only=False)].astype(np.int64)
+    hashes = _hashes(phrase.dictionary, bits)
+    by_hash = np.argsort(hashes, kind="stable")
+    pairs = divmod(_distinct(np.argsort(by_hash)[phrase.indices.to_numpy()] * n_patterns + parent), max(1, n_patterns))
+    hashes = hashes[by_hash]
+
+    # The clause that leads a rule is one that fewest rules have.
+    of_rules = np.bincount(pattern_of[~negated], minlength=n_patterns)
+    needed = np.flatnonzero(~negated)
+    needed = needed[np.lexsort((pattern_of[needed], of_rules[pattern_of[needed]], rule[needed]))]
+    leads = needed[np.flatnonzero(np.diff(rule[needed], prepend=-1))]
+    led = _Lists(pattern_of[leads], rule[leads], n_patterns)
+
+    others = np.ones(len(rule), dtype=bool)
+    others[leads] = False
+    clauses = _Lists(rule[others], 2 * pattern_of[others] + negated[others], n_rules)
+    kinds: dict[bytes, int] = {}
+    kind_of = np.array([kinds.setdefault(clauses.values[a:b].tobytes(), len(kinds)) for a, b in zip(clauses.starts[:-1].tolist(), clauses.starts[1:].tolist(), strict=True)], dtype=np.int32)
+    held = [np.frombuffer(kind, dtype=np.int32) for kind in kinds]
+    own = np.concatenate([np.empty(0, np.int32), *held])
+
+    def of_phrases(patterns: np.ndarray) -> _Lists:
+        wanted = np.zeros(n_patterns, dtype=bool)
+        wanted[patterns] = True
+        return _Lists(*(numbers[wanted[pairs[1]]] for numbers in pairs), len(hashes))
+
+    part = Part(
+        label.dictionary.take(pa.array(order)), phrase.dictionary.take(pa.array(by_hash)), hashes, int(max(np.unique(hashes, return_counts=True)[1], default=0)), n_patterns,
+        of_phrases(pattern_of[leads]), of_phrases(own >> 1), led, kind_of, _Lists(np.repeat(np.arange(len(held)), [len(kind) for kind in held]).astype(np.int64), own, len(held)), len(held),
+    )
+    return part, set(pc.unique(pc.utf8_length(phrase.dictionary)).to_pylist())
+
+
+def _hashes(phrases: pa.Array | list[str], bits: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of phrases, which are entered in a bitmap with their beginnings if there is one."""
+    out = np.empty(len(phrases), dtype=np.uint64)
+    for begin in range(0, len(phrases), 10_000):
+        some = phrases[begin : begin + 10_000]
+        codes, starts, ends = _codes(some if isinstance(some, list) else some.to_pylist())
+        windows, own = _Windows(codes), out[begin : begin + 10_000]
+        for n in np.unique(ends - starts).tolist():
+            own[ends - starts == n] = windows.hashes(starts[ends - starts == n], n)
+        if bits is not None:
+            begins = _begins(ends - starts)
+            for hashes in [own, *(windows.hashes(starts[begins == n], n) for n in np.unique(begins).tolist())]:
+                at = _distinct(np.concatenate(_bits(hashes, (len(bits) * 8).bit_length() - 1)))
+                places, first = np.unique(at >> 3, return_index=True)
+                bits[places] |= np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), first)
+    return out
+
+
+def _labelling(part: Broadcast, at: int, bits: Broadcast | None = None, lengths: Sequence[int] = ()):
+    """Rows with the number and the labels of the rules that they meet. Column ``at`` has the texts, or what the bitmap took for phrases in them."""
+    piece, most, at_once = PIECE, BATCH, AT_ONCE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = part.value
+        marks = np.zeros(own.n_patterns, dtype=bool)
+        found = _scan(bits.value, lengths) if bits else None
+
+        def given(batch: pa.RecordBatch, rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+            offsets = np.cumsum([0, *(len(rules) for _, _, rules in rows)]).astype(np.int32)
+            labels = own.labels.take(pa.array(np.concatenate([rules for _, _, rules in rows])))
+            columns = batch.take(pa.array([row for row, _, _ in rows], pa.int64())).columns
+            more = [pa.array([n for _, n, _ in rows], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), labels)]
+            return pa.RecordBatch.from_arrays([*columns, *more], [*batch.schema.names, "_n", "_met"])
+
+        for batch in batches:
+            rows, held = [], 0
+            for places, hits in _found(batch.column(at), found, at_once):
+                where, numbers = own.looked_up([phrase for _, phrase in hits])
+                text = np.array([text for text, _ in hits], dtype=np.int64)[where]
+                by_text = np.argsort(text, kind="stable")
+                text, numbers = text[by_text], numbers[by_text]
+                texts, first = np.unique(text, return_index=True)
+                for k, phrases in zip(texts.tolist(), np.split(numbers, first[1:]), strict=False):
+                    rules = own.met(phrases, marks)
+                    for start in range(0, len(rules), piece):
+                        rows.append((int(places[k]), len(rules), rules[start : start + piece]))
+                        held += len(rows[-1][2])
+                        if held >= most:
+                            yield given(batch, rows)
+                            rows, held = [], 0
+            if rows:
+                yield given(batch, rows)
+
+    return run
+
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scanning(at: int, bits: Broadcast, lengths: Sequence[int]):
+    """Rows with what the bitmap takes for phrases in the texts of column ``at``; those with nothing go."""
+    at_once = AT_ONCE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _scan(bits.value, lengths)
         for batch in batches:
-            for start in range(0, len(batch), 10_000):
-                codes, starts, ends = _codes(batch["phrase"].iloc[start : start + 10_000].tolist())
-                windows = _Windows(codes)
-                found = [windows.hashes(starts[ends - starts == n], n) for n in np.unique(ends - starts)]
-                found += [windows.hashes(starts[_begins(ends - starts) == n], n) for n in np.unique(_begins(ends - starts))]
-                yield pd.DataFrame({"bit": np.unique(np.concatenate([_bits(h, size) for h in found], axis=None))})
-
-    bit = F.col("bit") + 1
-    marked = phrases.select("phrase").mapInPandas(hashed, "bit bigint").groupBy(F.bitmap_bucket_number(bit).alias("part"))
-    out = np.zeros(((1 << size) // 32768, 4096), dtype=np.uint8)
-    for row in marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toLocalIterator():  # at most 2^28 bits
-        out[row.part - 1] = np.frombuffer(row.bits, dtype=np.uint8)
-    return out.reshape(-1), sorted(about.lengths)
-
-
-def _scan(bits: np.ndarray, lengths: list[int]):
+            for places, hits in _found(batch.column(at), found, at_once):
+                of_text: dict[int, list[str]] = {}
+                for k, phrase in hits:
+                    of_text.setdefault(k, []).append(phrase)
+                if of_text:
+                    columns = batch.take(pa.array(places[list(of_text)])).columns
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(of_text.values(), pa.list_(pa.string()))], [*batch.schema.names, "_hits"])
+
+    return run
+
+
+def _found(column: pa.Array, found, at_once: int) -> Iterator[tuple[np.ndarray, list[tuple[int, str]]]]:
+    """Places of rows, some at a time, and what is found in them with the number of its row among these. Without ``found`` the column has it."""
+    there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    column = column.take(pa.array(there))
+    many = (pc.utf8_length(column) if found else pc.multiply(pc.list_value_length(column), 16)).to_numpy(zero_copy_only=False).astype(np.int64)
+    groups = np.cumsum(many) // at_once
+    for group in np.unique(groups):
+        own = np.flatnonzero(groups == group)
+        values = column.take(pa.array(own)).to_pylist()
+        yield there[own], list(found(values)) if found else [(k, phrase) for k, phrases in enumerate(values) for phrase in phrases]
+
+
+def _scan(bits: np.ndarray, lengths: Sequence[int]):
     """The different parts of each text that the bitmap takes for phrases."""
     size = (len(bits) * 8).bit_length() - 1
     by_begin: dict[int, list[int]] = {}
@@ -249,7 +460,11 @@ def _scan(bits: np.ndarray, lengths: list[int]):
         by_begin.setdefault(int(_begins(np.array([length]))[0]), []).append(length)
 
     def taken(hashes: np.ndarray) -> np.ndarray:
-        return np.all([(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in _bits(hashes, size)], axis=0)
+        """Where the bitmap has both bits."""
+        first, second = _bits(hashes, size)
+        at = np.flatnonzero((bits[first >> 3] >> (first & 7).astype(np.uint8)) & 1)
+        second = second[at]
+        return at[(bits[second >> 3] >> (second & 7).astype(np.uint8)) & 1 == 1]
 
     def found(texts: list[str]) -> set[tuple[int, str]]:
         codes, starts, ends = _codes(texts)
@@ -267,16 +482,7 @@ def _scan(bits: np.ndarray, lengths: list[int]):
                     out.add((number, texts[number][first : first + length]))
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            groups = np.cumsum(batch["text"].str.len().to_numpy(dtype=np.int64)) // AT_ONCE
-            for group in np.unique(groups):
-                part = batch[groups == group]
-                keys = part["_text"].tolist()
-                rows = found(part["text"].tolist())
-                yield pd.DataFrame([(keys[number], phrase) for number, phrase in rows], columns=["_text", "phrase"])
-
-    return run
+    return found
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

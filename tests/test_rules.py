@@ -127,3 +127,72 @@ def test_large_tables_are_joined(spark, monkeypatch, bits):
         met(spark, ["x"], [*rows, ("a", "a.b", False)])
     with pytest.raises(ValueError, match="nothing that must be"):
         met(spark, ["x"], [*rows, ("a", "x", True), ("a", "|", False)])
+
+
+def all_met(spark, monkeypatch, n, part_bytes):
+    """Texts that all meet as many rules, by a phrase that these share; the paths that are written."""
+    paths = []
+    path = rules.scratch_path
+    monkeypatch.setattr(rules, "scratch_path", lambda *a: paths.append(path(*a)) or paths[-1])
+    monkeypatch.setattr(rules, "MOST_LETTERS", 50)
+    monkeypatch.setattr(rules, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(rules, "PIECE", 37)
+    monkeypatch.setattr(rules, "BATCH", 100)
+    rows = [row for i in range(n) for row in ((f"r{i}", f"own {i} piece|shared", False), (f"r{i}", "complete", False), (f"r{i}", "partial", True))]
+    texts = spark.createDataFrame([(i, f"{i} shared and complete" + " partial" * (i % 10 == 0)) for i in range(n)], "i int, body string")
+    return rules.match_rules(texts, table(spark, rows)), paths
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 26, 10_000])
+def test_what_meets_is_neither_stored_nor_moved(spark, monkeypatch, part_bytes):
+    """Texts and rules that meet are many more than either."""
+    n = 300
+    found, paths = all_met(spark, monkeypatch, n, part_bytes)
+    pairs = found.select("i", "serotype")
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in pairs.collect()} == {(i, f"r{k}") for i in range(n) if i % 10 for k in range(n)} and pairs.count() == n * 9 // 10 * n
+    assert sum(spark.read.parquet(path).count() for path in paths) < 20 * n
+    assert any("rules-hits" in path for path in paths) == (part_bytes == 10_000)
+    assert {(r.i, r.n_serotypes) for r in found.collect()} == {(i, n) for i in range(n) if i % 10}
+
+
+def test_parts_give_what_one_automaton_gives(spark, monkeypatch):
+    """Also with a text column named in other letters, and columns that only ride along."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    rows = []
+    for i in range(60):
+        rows += [(f"r{i}", "|".join(word(rng.randrange(1, 9)) for _ in range(3)), False), (f"r{i}", "a|b", i % 4 == 0), (f"r{i}", word(3), False)]
+    texts = [(word(rng.randrange(0, 40)), [i, None], None) for i in range(100)] + [(None, None, None)]
+    frame = spark.createDataFrame(texts, "Body string, more array<int>, nothing date")
+    small = sorted(rules.match_rules(frame, table(spark, rows), "body").collect(), key=str)
+    monkeypatch.setattr(rules, "MOST_LETTERS", 50)
+    monkeypatch.setattr(rules, "FEWEST_BITS", 15)
+    for part_bytes in (1 << 26, 1_000):
+        monkeypatch.setattr(rules, "PART_BYTES", part_bytes)
+        assert sorted(rules.match_rules(frame, table(spark, rows), "body").collect(), key=str) == small and len(small) > 100
+
+
+@pytest.mark.parametrize("few", [0, 256])
+@pytest.mark.parametrize("alike", [1 << 40, 3])
+def test_a_part_against_a_loop(monkeypatch, few, alike):
+    """Also with phrases of one hash."""
+    monkeypatch.setattr(rules, "FEW_KINDS", few)
+    own = rules._hashes
+    monkeypatch.setattr(rules, "_hashes", lambda phrases, bits=None: own(phrases, bits) % rules.np.uint64(alike))
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    rows = {(f"r{i % 50}", "|".join(word(rng.randrange(0, 5)) for _ in range(2)), i >= 110) for i in range(150)}
+    rows = sorted(r for r in rows if r[1] != "|")
+    part, lengths = rules._part(rules.pa.table(dict(zip(("label", "pattern", "negated"), map(list, zip(*rows, strict=True)), strict=True))), rules.np.zeros(1 << 12, dtype="uint8"))
+    marks = rules.np.zeros(part.n_patterns, dtype=bool)
+    clauses = rules._compiled(rows)
+    some = 0
+    for _ in range(200):
+        text = word(rng.randrange(0, 9))
+        parts = list({text[i : i + n] for n in lengths for i in range(len(text) - n + 1)})
+        places, numbers = part.looked_up([*parts, "zz"])
+        assert [part.phrases[k].as_py() for k in numbers.tolist()] == [parts[k] for k in places.tolist()]
+        assert part.labels.take(rules.pa.array(part.met(numbers, marks))).to_pylist() == clauses.met(text) and not marks.any()
+        some += len(clauses.met(text))
+    assert some > 100
