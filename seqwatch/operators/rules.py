@@ -32,7 +32,7 @@ MOST_LETTERS = 2_000_000
 PART_BYTES = 1 << 26
 #: Labels that a row, and a batch of rows, gives on at once.
 PIECE, BATCH = 1 << 12, 1 << 17
-#: With so many sets of other clauses, or fewer, all are tested before the rules are looked at.
+#: With so many sets of other clauses, or fewer, all are tested before the rules are looked at, and first of all if they have as few phrases.
 FEW_KINDS = 256
 #: Bits of the bitmap of the phrases, at least and at most: two to these powers. With more phrases it tells less, and more is moved; results do not depend on it.
 FEWEST_BITS, MOST_BITS = 20, 28
@@ -188,17 +188,17 @@ def _stored(frame: DataFrame, name: str, *by: str) -> DataFrame:
 
 def _met_by_parts(documents: DataFrame, rules: DataFrame, text: str, number: str) -> DataFrame:
     """The documents that meet a rule with how many, as ``number``, and the labels, as _met. Documents with many labels have several rows."""
-    bits, lengths, parts = _parts(_refused(rules))
+    bits, lengths, gate, parts = _parts(_refused(rules))
     if text not in documents.columns:
         documents, text = documents.withColumn("_text", F.col(text)), "_text"
     fields, at = documents.schema.fields, documents.columns.index(text)
     labels, counted = T.StructField("_met", T.ArrayType(T.StringType())), T.StructField(number, T.IntegerType())
     if len(parts) == 1:
-        return documents.mapInArrow(_labelling(parts[0], at, bits, lengths), T.StructType([*fields, counted, labels]))
+        return documents.mapInArrow(_labelling(parts[0], at, bits, lengths, gate), T.StructType([*fields, counted, labels]))
 
     # Texts are gone through once for all parts.
     hits, row = T.StructField("_hits", T.ArrayType(T.StringType())), T.StructField("_row", T.LongType())
-    scanned = documents.mapInArrow(_scanning(at, bits, lengths), T.StructType([*fields, hits])).withColumn("_row", F.monotonically_increasing_id())
+    scanned = documents.mapInArrow(_scanning(at, bits, lengths, gate), T.StructType([*fields, hits])).withColumn("_row", F.monotonically_increasing_id())
     scanned = _stored(scanned.select(*documents.columns, "_row", "_hits"), "rules-hits")
     schema = T.StructType([*fields, row, hits, T.StructField("_of_part", T.IntegerType()), labels])
     met = reduce(DataFrame.union, [scanned.mapInArrow(_labelling(part, len(fields) + 1), schema) for part in parts])
@@ -219,8 +219,9 @@ def _refused(rules: DataFrame) -> DataFrame:
     return clauses
 
 
-def _parts(clauses: DataFrame) -> tuple[Broadcast, list[int], list[Broadcast]]:
-    """A bitmap with two bits for each phrase and two for its beginning, the phrases' lengths, and the parts. The driver holds one part at a time."""
+def _parts(clauses: DataFrame) -> tuple[Broadcast, list[int], _Gate, list[Broadcast]]:
+    """A bitmap with two bits for each phrase and two for its beginning, the phrases' lengths, which texts are gone through, and the parts. The driver
+    holds one part at a time."""
     phrase = F.explode(F.split("pattern", r"\|")).alias("phrase")
     about = clauses.select(phrase).agg(F.approx_count_distinct("phrase").alias("n")).first().n
     size = min(MOST_BITS, max(FEWEST_BITS, (64 * about).bit_length()))
@@ -228,14 +229,15 @@ def _parts(clauses: DataFrame) -> tuple[Broadcast, list[int], list[Broadcast]]:
     if several > 1:
         # A rule is in one part.
         clauses = _stored(clauses.withColumn("part", F.pmod(F.xxhash64("label"), F.lit(several)).cast("int")), "rules-parts", "part")
-    bits, lengths, parts = np.zeros((1 << size) // 8, dtype=np.uint8), set(), []
+    bits, lengths, gate, parts = np.zeros((1 << size) // 8, dtype=np.uint8), set(), _Gate(frozenset()), []
     for k in range(several):
         rows = (clauses.where(F.col("part") == k) if several > 1 else clauses).select("label", "pattern", "negated").toArrow()
-        part, of_part = _part(rows, bits)
+        part, of_part, own = _part(rows, bits)
         lengths |= of_part
+        gate = gate.wider(own)
         if of_part or not k:
             parts.append(clauses.sparkSession.sparkContext.broadcast(part))
-    return clauses.sparkSession.sparkContext.broadcast(bits), sorted(lengths), parts
+    return clauses.sparkSession.sparkContext.broadcast(bits), sorted(lengths), gate, parts
 
 
 def _number_of_parts(clauses: DataFrame) -> int:
@@ -322,8 +324,35 @@ class Part:
         return np.bincount(np.repeat(np.arange(len(kinds)), many), weights=against, minlength=len(kinds)) == 0
 
 
-def _part(rows: pa.Table, bits: np.ndarray) -> tuple[Part, set[int]]:
-    """Clauses made ready, and the lengths of their phrases, which are entered in the bitmap."""
+Phrases = frozenset[str]
+
+
+@dataclass(frozen=True)
+class _Gate:
+    """The sets of clauses, needed and negated, that rules have besides the one that leads them. A text that meets none of the sets meets no rule. None: too many."""
+
+    kinds: frozenset[tuple[frozenset[Phrases], frozenset[Phrases]]] | None
+
+    def wider(self, other: _Gate) -> _Gate:
+        kinds = None if self.kinds is None or other.kinds is None else self.kinds | other.kinds
+        few = kinds is not None and len(kinds) <= FEW_KINDS and len({phrase for kind in kinds for side in kind for clause in side for phrase in clause}) <= FEW_KINDS
+        return _Gate(kinds if few else None)
+
+    def opened(self):
+        """Whether a text has to be gone through."""
+        if self.kinds is None or (frozenset(), frozenset()) in self.kinds:
+            return None
+        phrases = {phrase for kind in self.kinds for side in kind for clause in side for phrase in clause}
+
+        def lets(text: str) -> bool:
+            there = {phrase for phrase in phrases if phrase in text}
+            return any(all(not there.isdisjoint(c) for c in needed) and all(there.isdisjoint(c) for c in negated) for needed, negated in self.kinds)
+
+        return lets
+
+
+def _part(rows: pa.Table, bits: np.ndarray) -> tuple[Part, set[int], _Gate]:
+    """Clauses made ready, the lengths of their phrases, which are entered in the bitmap, and their gate."""
     label, pattern = (rows[name].combine_chunks().dictionary_encode() for name in ("label", "pattern"))
     order = pc.sort_indices(label.dictionary).to_numpy()
     rule, pattern_of = np.argsort(order)[label.indices.to_numpy()], pattern.indices.to_numpy().astype(np.int64)
@@ -363,7 +392,12 @@ def _part(rows: pa.Table, bits: np.ndarray) -> tuple[Part, set[int]]:
         label.dictionary.take(pa.array(order)), phrase.dictionary.take(pa.array(by_hash)), hashes, int(max(np.unique(hashes, return_counts=True)[1], default=0)), n_patterns,
         of_phrases(pattern_of[leads]), of_phrases(own >> 1), led, kind_of, _Lists(np.repeat(np.arange(len(held)), [len(kind) for kind in held]).astype(np.int64), own, len(held)), len(held),
     )
-    return part, set(pc.unique(pc.utf8_length(phrase.dictionary)).to_pylist())
+
+    def clauses_of(kind: np.ndarray, side: int) -> frozenset[Phrases]:
+        return frozenset(frozenset(pattern.dictionary[p].as_py().split("|")) - {""} for p in (kind[kind & 1 == side] >> 1).tolist())
+
+    gate = _Gate(frozenset((clauses_of(kind, 0), clauses_of(kind, 1)) for kind in held) if len(held) <= FEW_KINDS and len(own) <= FEW_KINDS * 8 else None)
+    return part, set(pc.unique(pc.utf8_length(phrase.dictionary)).to_pylist()), gate
 
 
 def _hashes(phrases: pa.Array | list[str], bits: np.ndarray | None = None) -> np.ndarray:
@@ -384,14 +418,14 @@ def _hashes(phrases: pa.Array | list[str], bits: np.ndarray | None = None) -> np
     return out
 
 
-def _labelling(part: Broadcast, at: int, bits: Broadcast | None = None, lengths: Sequence[int] = ()):
+def _labelling(part: Broadcast, at: int, bits: Broadcast | None = None, lengths: Sequence[int] = (), gate: _Gate = _Gate(None)):
     """Rows with the number and the labels of the rules that they meet. Column ``at`` has the texts, or what the bitmap took for phrases in them."""
     piece, most, at_once = PIECE, BATCH, AT_ONCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = part.value
         marks = np.zeros(own.n_patterns, dtype=bool)
-        found = _scan(bits.value, lengths) if bits else None
+        found, lets = _scan(bits.value, lengths) if bits else None, gate.opened()
 
         def given(batch: pa.RecordBatch, rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
             offsets = np.cumsum([0, *(len(rules) for _, _, rules in rows)]).astype(np.int32)
@@ -402,7 +436,7 @@ def _labelling(part: Broadcast, at: int, bits: Broadcast | None = None, lengths:
 
         for batch in batches:
             rows, held = [], 0
-            for places, hits in _found(batch.column(at), found, at_once):
+            for places, hits in _found(batch.column(at), found, lets, at_once):
                 where, numbers = own.looked_up([phrase for _, phrase in hits])
                 text = np.array([text for text, _ in hits], dtype=np.int64)[where]
                 by_text = np.argsort(text, kind="stable")
@@ -422,14 +456,14 @@ def _labelling(part: Broadcast, at: int, bits: Broadcast | None = None, lengths:
     return run
 
 
-def _scanning(at: int, bits: Broadcast, lengths: Sequence[int]):
+def _scanning(at: int, bits: Broadcast, lengths: Sequence[int], gate: _Gate):
     """Rows with what the bitmap takes for phrases in the texts of column ``at``; those with nothing go."""
     at_once = AT_ONCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _scan(bits.value, lengths)
+        found, lets = _scan(bits.value, lengths), gate.opened()
         for batch in batches:
-            for places, hits in _found(batch.column(at), found, at_once):
+            for places, hits in _found(batch.column(at), found, lets, at_once):
                 of_text: dict[int, list[str]] = {}
                 for k, phrase in hits:
                     of_text.setdefault(k, []).append(phrase)
@@ -440,10 +474,13 @@ def _scanning(at: int, bits: Broadcast, lengths: Sequence[int]):
     return run
 
 
-def _found(column: pa.Array, found, at_once: int) -> Iterator[tuple[np.ndarray, list[tuple[int, str]]]]:
+def _found(column: pa.Array, found, lets, at_once: int) -> Iterator[tuple[np.ndarray, list[tuple[int, str]]]]:
     """Places of rows, some at a time, and what is found in them with the number of its row among these. Without ``found`` the column has it."""
     there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
     column = column.take(pa.array(there))
+    if lets:
+        let = np.array([lets(text.as_py()) for text in column], dtype=bool)
+        there, column = there[let], column.filter(pa.array(let))
     many = (pc.utf8_length(column) if found else pc.multiply(pc.list_value_length(column), 16)).to_numpy(zero_copy_only=False).astype(np.int64)
     groups = np.cumsum(many) // at_once
     for group in np.unique(groups):

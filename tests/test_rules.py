@@ -184,9 +184,11 @@ def test_a_part_against_a_loop(monkeypatch, few, alike):
     word = lambda n: "".join(rng.choice("ab") for _ in range(n))
     rows = {(f"r{i % 50}", "|".join(word(rng.randrange(0, 5)) for _ in range(2)), i >= 110) for i in range(150)}
     rows = sorted(r for r in rows if r[1] != "|")
-    part, lengths = rules._part(rules.pa.table(dict(zip(("label", "pattern", "negated"), map(list, zip(*rows, strict=True)), strict=True))), rules.np.zeros(1 << 12, dtype="uint8"))
+    part, lengths, gate = rules._part(rules.pa.table(dict(zip(("label", "pattern", "negated"), map(list, zip(*rows, strict=True)), strict=True))), rules.np.zeros(1 << 12, dtype="uint8"))
     marks = rules.np.zeros(part.n_patterns, dtype=bool)
     clauses = rules._compiled(rows)
+    lets = gate.opened()
+    assert (lets is None) == (few == 0)
     some = 0
     for _ in range(200):
         text = word(rng.randrange(0, 9))
@@ -195,4 +197,15 @@ def test_a_part_against_a_loop(monkeypatch, few, alike):
         assert [part.phrases[k].as_py() for k in numbers.tolist()] == [parts[k] for k in places.tolist()]
         assert part.labels.take(rules.pa.array(part.met(numbers, marks))).to_pylist() == clauses.met(text) and not marks.any()
         some += len(clauses.met(text))
+        assert lets is None or lets(text) or not clauses.met(text)
     assert some > 100
+
+
+def test_texts_that_fail_what_all_rules_have_are_not_gone_through():
+    rows = [row for i in range(9) for row in ((f"r{i}", f"own {i}", False), (f"r{i}", "genome|cds", False), (f"r{i}", "partial", True))]
+    made = lambda rows: rules._part(rules.pa.table(dict(zip(("label", "pattern", "negated"), map(list, zip(*rows, strict=True)), strict=True))), rules.np.zeros(1 << 12, dtype="uint8"))[2]
+    lets = made(rows).opened()
+    assert [lets(text) for text in ("own 1", "a cds", "own 1 genome", "partial genome", "")] == [False, True, True, False, False]
+    assert made([*rows, ("alone", "x", False)]).opened() is None
+    wider = made(rows).wider(made([("r", "x", False), ("r", "y", False), ("s", "y", False), ("s", "z", False)])).opened()
+    assert wider("own 1 genome") and not wider("partial genome") and (wider("x") or wider("y"))
